@@ -12,6 +12,10 @@ from trailmill.sources.files import FILE_COLUMN
 EXAMPLES = 3
 
 
+def _text_at(place: int):
+    return lambda row: row["texts"][place]
+
+
 def column_preview(records: DataFrame, order_by: str | None = None) -> DataFrame:
     """(position, column, type, examples): guessed from the first value, with three samples.
 
@@ -28,7 +32,7 @@ def column_preview(records: DataFrame, order_by: str | None = None) -> DataFrame
         F.struct(
             F.lit(i + 1).alias("position"),
             F.lit(n).alias("column"),
-            F.transform("rows", lambda r, i=i: r["texts"][i]).alias("values"),
+            F.transform("rows", _text_at(i)).alias("values"),
         )
         for i, n in enumerate(names)
     ]
