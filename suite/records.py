@@ -69,7 +69,7 @@ def _cast_query(name, column, cast, sql_value, out_type):
 
     @query(name, sql)
     def run(spark, sf_dir):
-        value = cast(F.col(column))
+        value = F.expr(cast(column))
         return derived(spark, sf_dir, "geo_raw").select(
             "row_id", value.cast(out_type).alias("value"),
             (F.col(column).isNotNull() & value.isNull()).alias("invalid"),
@@ -87,7 +87,7 @@ _cast_query("safe_cast_long", "visits", casts.to_long, LONG.format("visits"), "b
 )
 def string_empty_to_null(spark, sf_dir):
     return derived(spark, sf_dir, "geo_raw").select(
-        "row_id", casts.to_text(F.col("segment")).alias("segment")
+        "row_id", F.expr(casts.to_text("segment")).alias("segment")
     )
 
 
@@ -100,7 +100,7 @@ def string_empty_to_null(spark, sf_dir):
     ),
 )
 def radius_clean(spark, sf_dir):
-    radius = casts.to_float(casts.radius_text(F.col("raw_radius")))
+    radius = F.expr(casts.to_float(casts.radius_text("raw_radius")))
     return derived(spark, sf_dir, "geo_raw").select("row_id", radius.cast("double").alias("radius"))
 
 
@@ -394,7 +394,7 @@ def _time_query(name, fmt, pattern, suffix="", zone="Z", shift_ms=0, whole_secon
             written = F.floor(micros / F.lit(1_000_000 if fmt == "epoch_s" else 1000)).cast("string")
         text = F.when(F.expr(_MALFORMED), "12 o'clock").otherwise(written)
         events = table(spark, sf_dir, "events").select("event_id", text.alias("text"))
-        return events.select("event_id", times.to_millis(F.col("text"), fmt, zone).alias("millis"))
+        return events.selectExpr("event_id", times.to_millis("text", fmt, zone) + " AS millis")
 
 
 _time_query("time_offset_ms", "spaced_offset", "yyyy-MM-dd HH:mm:ss.SSS", " -0500", shift_ms=5 * 3600 * 1000)
@@ -432,7 +432,8 @@ def time_format(spark, sf_dir):
         F.concat(F.lit("on "), iso),
     ]
     text = F.element_at(F.array(*texts), (F.col("event_id") % 7 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", times.format_of(text).alias("format"))
+    texts = table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+    return texts.selectExpr("event_id", times.format_of("text") + " AS format")
 
 
 @query(
@@ -447,8 +448,11 @@ def calendar_day(spark, sf_dir):
         F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-11:00")
     )
     millis = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000)).cast("long")
-    return table(spark, sf_dir, "events").select(
+    texts = table(spark, sf_dir, "events").select(
+        "event_id", iso.alias("iso"), millis.alias("millis"), millis.cast("string").alias("epoch")
+    )
+    return texts.selectExpr(
         "event_id",
-        times.to_day(iso, times.to_millis(iso, "iso_offset"), "iso_offset").alias("written_day"),
-        times.to_day(millis.cast("string"), millis, "epoch_ms", "America/New_York").alias("new_york_day"),
+        times.to_day("iso", times.to_millis("iso", "iso_offset"), "iso_offset") + " AS written_day",
+        times.to_day("epoch", "millis", "epoch_ms", "America/New_York") + " AS new_york_day",
     )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from trailmill.functions.casts import literal, quoted
 
 # The accepted text formats, tried in this order; epoch sits before local text.
 SPACED_OFFSET = "yyyy-MM-dd HH:mm:ss.SSS xx"
@@ -29,35 +29,33 @@ def zone_name(zone: str) -> str:
     return "UTC" if zone in ("", "Z") else zone
 
 
-def _instant(text: Column, pattern: str) -> Column:
-    return F.unix_millis(F.try_to_timestamp(text, F.lit(pattern)))
+def _instant(text: str, pattern: str) -> str:
+    return f"unix_millis(try_to_timestamp({text}, {literal(pattern)}))"
 
 
-def to_millis(text: Column, fmt: str, zone: str = "Z") -> Column:
+def to_millis(text: str, fmt: str, zone: str = "Z") -> str:
     """Epoch milliseconds of a time text in a known format; null if it does not fit."""
     if fmt in _PATTERNS:
         return _instant(text, _PATTERNS[fmt])
     if fmt == "iso_local":
         # read as if UTC (independent of the session zone), then move into the given zone
-        as_utc = F.try_to_timestamp(F.concat(text, F.lit("Z")), F.lit(ISO_LOCAL + "XXX"))
-        return F.unix_millis(F.to_utc_timestamp(as_utc, zone_name(zone)))
+        as_utc = f"try_to_timestamp({text} || 'Z', {literal(ISO_LOCAL + 'XXX')})"
+        return f"unix_millis(to_utc_timestamp({as_utc}, {literal(zone_name(zone))}))"
     if fmt in ("epoch_s", "epoch_ms"):
-        number = text.try_cast("bigint")
-        scaled = number if fmt == "epoch_ms" else F.try_multiply(number, F.lit(1000).cast("bigint"))
-        return F.when(F.length(text) >= EPOCH_DIGITS, scaled)
+        number = f"try_cast({text} AS BIGINT)"
+        scaled = number if fmt == "epoch_ms" else f"try_multiply({number}, 1000L)"
+        return f"CASE WHEN length({text}) >= {EPOCH_DIGITS} THEN {scaled} END"
     raise ValueError(f"unknown time format {fmt!r}")
 
 
-def to_day(text: Column, millis: Column, fmt: str, zone: str = "Z") -> Column:
+def to_day(text: str, millis: str, fmt: str, zone: str = "Z") -> str:
     """Calendar day as text: written dates keep their own day, epochs use the given zone."""
     if fmt.startswith("epoch"):
-        in_range = millis.between(-_DAY_LIMIT_MS, _DAY_LIMIT_MS)
-        local = F.from_utc_timestamp(F.timestamp_millis(F.when(in_range, millis)), zone_name(zone))
+        in_range = f"CASE WHEN {millis} BETWEEN -{_DAY_LIMIT_MS} AND {_DAY_LIMIT_MS} THEN {millis} END"
+        local = f"from_utc_timestamp(timestamp_millis({in_range}), {literal(zone_name(zone))})"
         # the instant shifted into the zone, read back in UTC whatever the session zone is
-        return F.date_from_unix_date(
-            F.floor(F.unix_micros(local) / F.lit(86_400_000_000)).cast("int")
-        ).cast("string")
-    return F.when(millis.isNotNull(), F.substring(text, 1, 10))
+        return f"CAST(date_from_unix_date(CAST(floor(unix_micros({local}) / 86400000000) AS INT)) AS STRING)"
+    return f"CASE WHEN {millis} IS NOT NULL THEN substring({text}, 1, 10) END"
 
 
 @dataclass(frozen=True)
@@ -67,30 +65,30 @@ class TimeReader:
     fmt: str
     zone: str = "Z"
 
-    def millis(self, text: Column) -> Column:
+    def millis(self, text: str) -> str:
         return to_millis(text, self.fmt, self.zone)
 
-    def day(self, text: Column, millis: Column) -> Column:
+    def day(self, text: str, millis: str) -> str:
         return to_day(text, millis, self.fmt, self.zone)
 
 
-def _fits(text: Column) -> list[tuple[str, Callable[[], Column]]]:
+def _fits(text: str) -> list[tuple[str, str]]:
+    whole = f"try_cast({text} AS BIGINT) IS NOT NULL"
     return [
-        ("spaced_offset", _instant(text, SPACED_OFFSET).isNotNull()),
-        ("iso_offset", _instant(text, ISO_OFFSET).isNotNull()),
-        ("iso_zoned", _instant(text, ISO_ZONED).isNotNull()),
-        ("epoch_ms", text.try_cast("bigint").isNotNull() & (F.length(text) > EPOCH_DIGITS)),
-        ("epoch_s", text.try_cast("bigint").isNotNull()),
-        ("iso_local", to_millis(text, "iso_local").isNotNull()),
+        ("spaced_offset", _instant(text, SPACED_OFFSET) + " IS NOT NULL"),
+        ("iso_offset", _instant(text, ISO_OFFSET) + " IS NOT NULL"),
+        ("iso_zoned", _instant(text, ISO_ZONED) + " IS NOT NULL"),
+        ("epoch_ms", f"{whole} AND length({text}) > {EPOCH_DIGITS}"),
+        ("epoch_s", whole),
+        ("iso_local", to_millis(text, "iso_local") + " IS NOT NULL"),
     ]
 
 
 def detect_format(sample: DataFrame, column: str) -> str:
     """First format that fits every non-null value of the sample (default: one row)."""
-    text = F.col(column).cast("string")
-    counted = sample.agg(
-        F.count(text).alias("n"),
-        *[F.count_if(fits).alias(name) for name, fits in _fits(text)],
+    text = f"CAST({quoted(column)} AS STRING)"
+    counted = sample.selectExpr(
+        f"count({text}) AS n", *[f"count_if({fits}) AS {name}" for name, fits in _fits(text)]
     ).first()
     if counted["n"]:
         for name, _ in _fits(text):
@@ -99,9 +97,6 @@ def detect_format(sample: DataFrame, column: str) -> str:
     raise ValueError(f"the first values of {column!r} match no known time format")
 
 
-def format_of(text: Column) -> Column:
+def format_of(text: str) -> str:
     """Per value: the name of the first format it fits, or null."""
-    chosen = F.lit(None).cast("string")
-    for name, fits in reversed(_fits(text)):
-        chosen = F.when(fits, name).otherwise(chosen)
-    return chosen
+    return "CASE " + " ".join(f"WHEN {fits} THEN '{name}'" for name, fits in _fits(text)) + " END"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmill.functions.casts import (
-    CASTS, is_marker, radius_text, to_double, to_float, to_long, to_text,
+    CASTS, SQL_TYPES, is_marker, literal, quoted, radius_text, to_double, to_float, to_long, to_text,
 )
 from trailmill.functions.times import TimeReader
 from trailmill.operators.schema import OutputColumn
@@ -29,7 +29,8 @@ DAY = "__day"
 ACCEPTED = "__accepted"
 REASON = "reject_reason"
 
-_NUMERIC = {"float", "double", "int", "bigint", "smallint", "tinyint"}
+_WHOLE = {"int", "bigint", "smallint", "tinyint"}
+_NUMERIC = _WHOLE | {"float", "double"}
 
 
 def status_of(name: str) -> str:
@@ -60,61 +61,48 @@ class NullMarkers:
             options.column_null_values,
         )
 
-    def hit(self, name: str, kind: str, value: Column) -> Column:
-        markers = self.by_column.get(name, self.by_type.get(kind, ()))
-        return is_marker(value, markers, kind) if markers else F.lit(False)
+    def hit(self, name: str, kind: str, value: str) -> str:
+        return is_marker(value, self.by_column.get(name, self.by_type.get(kind, ())), kind)
 
 
-def judge(text: Column, parsed: Column, marked: Column, allowed: Column | None = None):
+def judge(text: str, parsed: str, marked: str, allowed: str | None = None) -> tuple[str, str]:
     """(value, status) of one conversion: what is not text is null, what does not parse is
     invalid, what is a null-marker is null, what is not allowed is out of range."""
+    good = f"NOT ({marked})" + (f" AND {allowed}" if allowed else "")
+    outside = f" WHEN NOT ({allowed}) THEN '{OUT_OF_RANGE}'" if allowed else ""
+    value = parsed if good == "NOT (false)" else f"CASE WHEN {good} THEN {parsed} END"
     status = (
-        F.when(text.isNull(), NULL).when(parsed.isNull(), INVALID).when(marked, NULL)
+        f"CASE WHEN {text} IS NULL THEN '{NULL}' WHEN {parsed} IS NULL THEN '{INVALID}'"
+        f" WHEN {marked} THEN '{NULL}'{outside} ELSE '{OK}' END"
     )
-    if allowed is not None:
-        status = status.when(~allowed, OUT_OF_RANGE)
-        good = ~marked & allowed
-    else:
-        good = ~marked
-    return F.when(good, parsed), status.otherwise(OK)
+    return value, status
 
 
-def convert(
-    column: OutputColumn, raw: Column, raw_type: str, markers: NullMarkers, times: TimeReader
-) -> tuple[Column, Column]:
-    """Value and status of one column from its input value.
+def parse(column: OutputColumn, raw_type: str, times: TimeReader) -> tuple[str, str]:
+    """(given text, parsed value) of one column.
 
     A stored number that already fits its target is used as it is; anything else goes through
     its text.
     """
-    text = raw.cast("string")
+    raw = quoted(column.source)
+    text = raw if raw_type == "string" else f"CAST({raw} AS STRING)"
     number = raw_type in _NUMERIC
     if column.role in ("lat", "lon"):
-        parsed = raw.cast("double") if number else to_double(text)
-        low, high = RANGES[column.role]
-        given = text if number else to_text(text)
-        return judge(given, parsed, markers.hit(column.name, "double", parsed), parsed.between(low, high))
+        return (raw, f"CAST({raw} AS DOUBLE)") if number else (to_text(text), to_double(text))
     if column.role in ("time", "moment"):
-        parsed = times.millis(text)
-        return judge(to_text(text), parsed, markers.hit(column.name, "long", parsed))
+        return to_text(text), times.millis(text)
     if column.role == "radius":
         given = radius_text(text)
-        parsed = raw.cast("float") if number else to_float(given)
-        return judge(given, parsed, markers.hit(column.name, "float", parsed))
-    if column.role in ("encoded", "ids"):
-        value = to_text(text)
-        return value, F.when(value.isNull(), NULL).otherwise(OK)
-    if column.kind == "string":
-        value = to_text(text)
-        return judge(value, value, markers.hit(column.name, "string", value))
+        return (raw, f"CAST({raw} AS FLOAT)") if number else (given, to_float(given))
+    if column.role in ("encoded", "ids") or column.kind == "string":
+        return to_text(text), to_text(text)
     if column.kind == "long":
-        whole = raw_type in ("int", "bigint", "smallint", "tinyint")
-        parsed = raw.cast("bigint") if whole else F.coalesce(to_long(text), times.millis(text))
-    elif number:
-        parsed = raw.cast(column.kind)
-    else:
-        parsed = CASTS[column.kind](text)
-    return judge(text, parsed, markers.hit(column.name, column.kind, parsed))
+        if raw_type in _WHOLE:
+            return raw, f"CAST({raw} AS BIGINT)"
+        return text, f"coalesce({to_long(text)}, {times.millis(text)})"
+    if number:
+        return raw, f"CAST({raw} AS {SQL_TYPES[column.kind]})"
+    return text, CASTS[column.kind](text)
 
 
 def clean(
@@ -125,29 +113,45 @@ def clean(
 ) -> DataFrame:
     """One typed column and one status column per output column that comes from the input.
 
-    Id columns hold their text until they are encoded; the text of lookup sources is carried
-    along. The calendar day of each record is added as ``DAY``.
+    Two projections: the first parses every value once, the second judges it. Id columns hold
+    their text until they are encoded; the text of lookup sources is carried along. The
+    calendar day of each record is added as ``DAY``.
     """
     types = dict(raw.dtypes)
     markers = NullMarkers.of(options)
-    selected: dict[str, Column] = {}
-    for column in columns:
+    parsed: dict[str, str] = {}
+    judged: dict[str, str] = {}
+    for i, column in enumerate(columns):
         if column.role in ("geometry", "lookup"):
             continue
-        source = F.col(f"`{column.source}`")
-        value, status = convert(column, source, types[column.source], markers, times)
-        selected[column.name] = value
-        selected[status_of(column.name)] = status
-    for column in columns:
-        if column.role == "lookup":
-            selected[raw_of(column.source)] = F.col(f"`{column.source}`").cast("string")
+        text, value = f"__t{i}", f"__p{i}"
+        parsed[text], parsed[value] = parse(column, types[column.source], times)
+        allowed = None
+        if column.role in RANGES:
+            low, high = RANGES[column.role]
+            allowed = f"{value} BETWEEN {low}D AND {high}D"
+        marked = (
+            "false" if column.role in ("encoded", "ids")
+            else markers.hit(column.name, column.kind, value)
+        )
+        judged[column.name], judged[status_of(column.name)] = judge(text, value, marked, allowed)
+        if column.role == "time":
+            written_time = f"CAST({quoted(column.source)} AS STRING)"
+            parsed["__time_text"] = written_time
+            judged[DAY] = times.day("__time_text", value)
+    carried = {c.source for c in columns if c.role == "lookup"}
+    for source in sorted(carried):
+        parsed[raw_of(source)] = f"CAST({quoted(source)} AS STRING)"
     if options.site_id:
-        selected[raw_of(options.site_id)] = to_text(F.col(f"`{options.site_id}`").cast("string"))
-    time_text = F.col(f"`{options.time}`").cast("string")
-    selected[DAY] = times.day(time_text, times.millis(time_text))
+        parsed[raw_of(options.site_id)] = to_text(f"CAST({quoted(options.site_id)} AS STRING)")
+        carried.add(options.site_id)
+    for name in sorted(map(raw_of, carried)):
+        judged[name] = quoted(name)
     if FILE_COLUMN in raw.columns:
-        selected[FILE_COLUMN] = F.col(FILE_COLUMN)
-    return raw.select(*[value.alias(name) for name, value in selected.items()])
+        parsed[FILE_COLUMN] = judged[FILE_COLUMN] = FILE_COLUMN
+    return raw.selectExpr(*[f"{e} AS {quoted(n)}" for n, e in parsed.items()]).selectExpr(
+        *[f"{e} AS {quoted(n)}" for n, e in judged.items()]
+    )
 
 
 def gate_bounds(raw: DataFrame, options: PrepOptions, times: TimeReader) -> tuple[int | None, int | None]:
@@ -157,7 +161,7 @@ def gate_bounds(raw: DataFrame, options: PrepOptions, times: TimeReader) -> tupl
         if not text:
             bounds.append(None)
             continue
-        value = raw.sparkSession.range(1).select(times.millis(F.lit(text))).first()[0]
+        value = raw.sparkSession.range(1).selectExpr(times.millis(literal(text))).first()[0]
         if value is None:
             raise ValueError(f"time bound {text!r} is not in the format of the data ({times.fmt})")
         bounds.append(value)
@@ -166,15 +170,17 @@ def gate_bounds(raw: DataFrame, options: PrepOptions, times: TimeReader) -> tupl
 
 def decide(cleaned: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """Add ``ACCEPTED`` and ``reject_reason`` (null for accepted records)."""
-    reason = F.lit(None).cast("string")
-    if end is not None:
-        reason = F.when(F.col("time") > end, "after_end").otherwise(reason)
+    tests = [
+        f"WHEN {status_of(name)} <> '{OK}' THEN '{name}_' || {status_of(name)}"
+        for name in ("lon", "lat", "time")
+    ]
     if start is not None:
-        reason = F.when(F.col("time") < start, "before_start").otherwise(reason)
-    for name in ("time", "lat", "lon"):
-        status = F.col(status_of(name))
-        reason = F.when(status != OK, F.concat(F.lit(f"{name}_"), status)).otherwise(reason)
-    return cleaned.withColumn(REASON, reason).withColumn(ACCEPTED, F.col(REASON).isNull())
+        tests.append(f"WHEN time < {start}L THEN 'before_start'")
+    if end is not None:
+        tests.append(f"WHEN time > {end}L THEN 'after_end'")
+    return cleaned.selectExpr("*", f"CASE {' '.join(tests)} END AS {REASON}").selectExpr(
+        "*", f"{REASON} IS NULL AS {ACCEPTED}"
+    )
 
 
 def stored_filters(

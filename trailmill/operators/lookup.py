@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.functions.casts import CASTS
-from trailmill.operators.clean import NULL, OK, NullMarkers, judge, status_of
+from trailmill.functions.casts import CASTS, quoted
+from trailmill.operators.clean import NullMarkers, judge, status_of
 from trailmill.operators.joins import left_join_unique
 from trailmill.sources.lookups import LookupTable
 
 
-def typed_lookup_value(text: Column, name: str, kind: str, markers: NullMarkers):
-    parsed = CASTS[kind](text)
-    return judge(text, parsed, markers.hit(name, kind, parsed))
-
-
 def add_lookup(
     df: DataFrame,
     lookup: LookupTable,
@@ -31,8 +26,10 @@ def add_lookup(
     table = lookup.latest().select(F.col("key").alias("__key"), F.col("value").alias("__value"))
     keyed = df.withColumn("__key", F.lower(source_text))
     joined = left_join_unique(keyed, table, "__key", **bounds)
-    value, status = typed_lookup_value(F.col("__value"), lookup.target, lookup.kind, markers)
-    added = {lookup.target: value}
+    parsed = joined.selectExpr("*", f"{CASTS[lookup.kind]('__value')} AS __parsed")
+    marked = markers.hit(lookup.target, lookup.kind, "__parsed")
+    value, status = judge("__value", "__parsed", marked)
+    added = [f"{value} AS {quoted(lookup.target)}"]
     if with_status:
-        added[status_of(lookup.target)] = F.coalesce(status, F.when(value.isNull(), NULL).otherwise(OK))
-    return joined.withColumns(added).drop("__key", "__value")
+        added.append(f"{status} AS {quoted(status_of(lookup.target))}")
+    return parsed.selectExpr("*", *added).drop("__key", "__value", "__parsed")

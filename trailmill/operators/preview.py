@@ -37,18 +37,13 @@ def column_preview(records: DataFrame, order_by: str | None = None) -> DataFrame
         for i, n in enumerate(names)
     ]
     shown = rows.select(F.explode(F.array(*columns)).alias("c")).select("c.*")
-    first = F.get("values", F.lit(0))
-    return shown.select(
+    return shown.withColumn("first", F.get("values", F.lit(0))).selectExpr(
         "position",
         "column",
-        F.when(first.isNull() | (first == ""), "Undetermined")
-        .when(to_float(first).isNotNull(), "Float")
-        .otherwise("String")
-        .alias("type"),
+        "CASE WHEN coalesce(first, '') = '' THEN 'Undetermined'"
+        f" WHEN ({to_float('first')}) IS NOT NULL THEN 'Float' ELSE 'String' END AS type",
         # each sample is followed by a semicolon and a blank; a missing one shows as null
-        F.array_join(
-            F.transform("values", lambda v: F.concat(F.coalesce(v, F.lit("null")), F.lit("; "))), ""
-        ).alias("examples"),
+        "array_join(transform(values, v -> coalesce(v, 'null') || '; '), '') AS examples",
     )
 
 

@@ -7,13 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmill.functions.casts import literal, quoted
 from trailmill.operators.clean import ACCEPTED, DAY, INVALID, NULL, OUT_OF_RANGE, REASON, status_of
 from trailmill.operators.schema import OutputColumn
 from trailmill.sources.files import FILE_COLUMN
 
-_MEASURES = ("non_null", "invalid", "nulls", "out_of_range", "zeros")
-
-
 def profile_counts(cleaned: DataFrame, columns: Sequence[OutputColumn]) -> DataFrame:
     """One row per column over all records, rejected ones too.
 
@@ -22,29 +20,25 @@ def profile_counts(cleaned: DataFrame, columns: Sequence[OutputColumn]) -> DataF
     """
     aggregates, rows = [], []
     for i, column in enumerate(columns):
-        value, status = F.col(f"`{column.name}`"), F.col(f"`{status_of(column.name)}`")
+        value, status = quoted(column.name), quoted(status_of(column.name))
         numeric = column.kind != "string" and column.role not in ("encoded", "ids")
         ranged = numeric and column.kind in ("float", "double")
-        zero = F.lit(None).cast("double")
         measures = {
-            "non_null": F.count_if(~status.isin(NULL, OUT_OF_RANGE)),
-            "invalid": F.count_if(status == INVALID),
-            "nulls": F.count_if(status.isin(NULL, OUT_OF_RANGE)),
-            "out_of_range": F.count_if(status == OUT_OF_RANGE),
-            "zeros": F.count_if(value == 0) if numeric else F.lit(0).cast("long"),
-            "min": F.min(value).cast("double") if ranged else zero,
-            "max": F.max(value).cast("double") if ranged else zero,
+            "non_null": f"count_if({status} NOT IN ('{NULL}', '{OUT_OF_RANGE}'))",
+            "invalid": f"count_if({status} = '{INVALID}')",
+            "nulls": f"count_if({status} IN ('{NULL}', '{OUT_OF_RANGE}'))",
+            "out_of_range": f"count_if({status} = '{OUT_OF_RANGE}')",
+            "zeros": f"count_if({value} = 0)" if numeric else "0L",
+            "min": f"CAST(min({value}) AS DOUBLE)" if ranged else "CAST(NULL AS DOUBLE)",
+            "max": f"CAST(max({value}) AS DOUBLE)" if ranged else "CAST(NULL AS DOUBLE)",
         }
-        aggregates += [measure.alias(f"{name}_{i}") for name, measure in measures.items()]
+        aggregates += [f"{measure} AS {name}_{i}" for name, measure in measures.items()]
         rows.append(
-            F.struct(
-                F.lit(i + 1).alias("position"),
-                F.lit(column.name).alias("column"),
-                F.lit(column.kind).alias("type"),
-                *[F.col(f"{name}_{i}").alias(name) for name in measures],
-            )
+            f"named_struct('position', {i + 1}, 'column', {literal(column.name)},"
+            f" 'type', '{column.kind}', "
+            + ", ".join(f"'{name}', {name}_{i}" for name in measures) + ")"
         )
-    return cleaned.agg(*aggregates).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return cleaned.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def profile_distinct(
@@ -58,18 +52,15 @@ def profile_distinct(
     if not names:
         return cleaned.sparkSession.createDataFrame([], "column string, n_distinct long")
     if approximate:
-        counted = cleaned.agg(*[F.approx_count_distinct(f"`{n}`").alias(f"d{i}") for i, n in enumerate(names)])
-        pairs = F.array(
-            *[F.struct(F.lit(n).alias("column"), F.col(f"d{i}").alias("n_distinct")) for i, n in enumerate(names)]
+        counted = cleaned.selectExpr(
+            *[f"approx_count_distinct({quoted(n)}) AS d{i}" for i, n in enumerate(names)]
         )
-        return counted.select(F.explode(pairs).alias("p")).select("p.*")
-    pairs = F.array(
-        *[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").alias("value")) for n in names]
-    )
+        pairs = ", ".join(f"struct({literal(n)} AS column, d{i} AS n_distinct)" for i, n in enumerate(names))
+        return counted.selectExpr(f"inline(array({pairs}))")
+    pairs = ", ".join(f"struct({literal(n)} AS column, {quoted(n)} AS value)" for n in names)
     return (
-        cleaned.select(F.explode(pairs).alias("p"))
-        .select("p.*")
-        .where(F.col("value").isNotNull())
+        cleaned.selectExpr(f"inline(array({pairs}))")
+        .where("value IS NOT NULL")
         .distinct()
         .groupBy("column")
         .agg(F.count(F.lit(1)).alias("n_distinct"))

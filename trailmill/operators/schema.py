@@ -6,10 +6,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmill.functions.casts import to_float
+from trailmill.functions.casts import quoted, to_float
 from trailmill.functions.times import TimeReader
 from trailmill.options import GEOMETRY_COLUMNS, IDS_SUFFIX, PrepOptions
 from trailmill.sources.files import FILE_COLUMN
@@ -54,13 +53,13 @@ def infer_kinds(
         return {}
     checks = []
     for i, name in enumerate(columns):
-        text = F.col(f"`{name}`").cast("string")
+        text = f"CAST({quoted(name)} AS STRING)"
         checks += [
-            F.count(text).alias(f"n{i}"),
-            F.count_if(times.millis(text).isNotNull()).alias(f"t{i}"),
-            F.count_if(to_float(text).isNotNull()).alias(f"f{i}"),
+            f"count({text}) AS n{i}",
+            f"count({times.millis(text)}) AS t{i}",
+            f"count({to_float(text)}) AS f{i}",
         ]
-    row = sample.agg(*checks).first()
+    row = sample.selectExpr(*checks).first()
     kinds = {}
     for i, name in enumerate(columns):
         n = row[f"n{i}"]

@@ -19,6 +19,12 @@ SPREAD_ABOVE = 2_000_000
 _RUN = 50_000
 _HALF_EARTH = 6_400_000.0
 _AXIS_BITS = 21
+_AXES = ("x", "y", "z")
+# The usual shift and mask pairs that put two free bits after each of 21.
+_INTERLEAVE = (
+    (32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F),
+    (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249),
+)
 
 
 def distinct_sites(records: DataFrame, tolerance: float | None = None) -> DataFrame:
@@ -38,38 +44,34 @@ def distinct_sites(records: DataFrame, tolerance: float | None = None) -> DataFr
     )
 
 
-def _spaced(value: Column) -> Column:
-    """Spread 21 bits so that two free bits follow each."""
-    # The usual shift and mask pairs for a three-way interleave.
-    for shift, mask in (
-        (32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F),
-        (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249),
-    ):
-        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
-    return value
+def _woven(columns: list[str]) -> str:
+    x, y, z = columns
+    return f"{x} | shiftleft({y}, 1) | shiftleft({z}, 2)"
 
 
-def _along_curve(points: DataFrame) -> list[Column]:
-    """Z-order of x, y, z in two longs: cells of 6 m, then of 3 micrometres."""
-    coarse, fine = [], []
-    for axis in ("x", "y", "z"):
-        scaled = (F.col(axis) + _HALF_EARTH) / (2 * _HALF_EARTH) * (1 << _AXIS_BITS)
-        cell = F.floor(scaled)
-        coarse.append(cell.cast("long"))
-        fine.append(F.floor((scaled - cell) * (1 << _AXIS_BITS)).cast("long"))
-
-    def woven(axes: list[Column]) -> Column:
-        x, y, z = (_spaced(a) for a in axes)
-        return x.bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(F.shiftleft(z, 2))
-
-    return [woven(coarse), woven(fine)]
+def _along_curve(points: DataFrame) -> DataFrame:
+    """Add the z-order of x, y, z as two longs: cells of 6 m, then of 3 micrometres."""
+    side = 2 * _HALF_EARTH / (1 << _AXIS_BITS)
+    scaled = points.selectExpr("*", *[f"({a} + {_HALF_EARTH}D) / {side!r}D AS __s{a}" for a in _AXES])
+    cells = scaled.selectExpr(
+        *points.columns,
+        *[f"CAST(floor(__s{a}) AS BIGINT) AS __b{a}" for a in _AXES],
+        *[f"CAST(floor((__s{a} - floor(__s{a})) * {1 << _AXIS_BITS}) AS BIGINT) AS __d{a}" for a in _AXES],
+    )
+    numbers = [f"__{k}{a}" for k in "bd" for a in _AXES]
+    for shift, mask in _INTERLEAVE:
+        cells = cells.selectExpr(
+            *points.columns, *[f"({n} | shiftleft({n}, {shift})) & {mask}L AS {n}" for n in numbers]
+        )
+    return cells.selectExpr(
+        *points.columns, f"{_woven(numbers[:3])} AS __coarse", f"{_woven(numbers[3:])} AS __fine"
+    )
 
 
-def _chord(*pairs: tuple[Column, Column]) -> Column:
-    total = F.lit(0.0)
-    for a, b in pairs:
-        total = total + (a - b) * (a - b)
-    return F.sqrt(total)
+def _chord(left: str, right: str) -> str:
+    """Straight distance; the arguments are patterns with {} for the axis."""
+    squares = [f"pow({left.format(a)} - {right.format(a)}, 2)" for a in _AXES]
+    return f"sqrt({' + '.join(squares)})"
 
 
 def _with_reach(points: DataFrame) -> DataFrame:
@@ -80,52 +82,34 @@ def _with_reach(points: DataFrame) -> DataFrame:
     nearest. Runs of the curve are window groups of fixed size with four rows of overlap, so
     no group depends on how the points are distributed.
     """
-    curve, fine = _along_curve(points)
-    placed = points.withColumns({"__c": curve, "__f": fine})
-    ordered = numbered(placed, ["__c", "__f", "lat", "lon"], "__at", "curve").drop("__c", "__f")
-    at = F.col("__at") - 1
-    run = F.floor(at / _RUN).cast("long")
-    place = F.pmod(at, F.lit(_RUN))
-    ordered = ordered.withColumn("__home", run).withColumn(
-        "__run",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    run,
-                    F.when((place < NEAREST) & (run > 0), run - 1),
-                    F.when(place >= _RUN - NEAREST, run + 1),
-                )
-            )
-        ),
+    ordered = numbered(
+        _along_curve(points), ["__coarse", "__fine", "lat", "lon"], "__at", "curve"
+    ).drop("__coarse", "__fine")
+    run, place = f"floor((__at - 1) / {_RUN})", f"((__at - 1) % {_RUN})"
+    overlapping = ordered.selectExpr(
+        "*", f"{run} AS __home",
+        f"explode(array_compact(array({run}, CASE WHEN {place} < {NEAREST} THEN {run} - 1 END,"
+        f" CASE WHEN {place} >= {_RUN - NEAREST} THEN {run} + 1 END))) AS __run",
     )
-    window = Window.partitionBy("__run").orderBy("__at")
-    near = []
-    for step in range(1, NEAREST + 1):
-        for shift in (F.lag, F.lead):
-            other = shift(F.struct("x", "y", "z"), step).over(window)
-            near.append(other)
-    ordered = ordered.withColumns({f"__o{i}": other for i, other in enumerate(near)})
-    chords = F.array_sort(
-        F.array(
-            *[
-                _chord(*[(F.col(a), F.col(f"__o{i}.{a}")) for a in ("x", "y", "z")])
-                for i in range(len(near))
-            ]
-        )
-    )  # nulls (ends of the curve) come last
-    reach = distance_bound(F.get(chords, F.lit(NEAREST - 1)))
+    near = [(shift, step) for shift in ("lag", "lead") for step in range(1, NEAREST + 1)]
+    seen = overlapping.selectExpr(
+        "*",
+        *[
+            f"{shift}(struct(x, y, z), {step}) OVER (PARTITION BY __run ORDER BY __at) AS __{shift}{step}"
+            for shift, step in near
+        ],
+    )
+    # nulls (the ends of the curve) sort last
+    chords = ", ".join(_chord("{}", f"__{shift}{step}.{{}}") for shift, step in near)
     return (
-        ordered.where(F.col("__run") == F.col("__home"))
-        .withColumn("reach", F.coalesce(reach, F.lit(LONGEST)))
-        .drop("__run", "__home", "__at", *[f"__o{i}" for i in range(len(near))])
+        seen.where("__run = __home")
+        .selectExpr(*points.columns, f"get(array_sort(array({chords})), {NEAREST - 1}) AS __fourth")
+        .selectExpr(
+            *points.columns, f"coalesce({distance_bound('__fourth')}, {LONGEST!r}D) AS reach"
+        )
     )
 
 
-def _cells(level: Column, low: Column, high: Column) -> Column:
-    side = F.pow(F.lit(2.0), level)
-    return F.sequence(F.floor(low / side).cast("long"), F.floor(high / side).cast("long"))
-
-
 def nearest_neighbours(
     coordinates: DataFrame,
     wanted: DataFrame | None = None,
@@ -143,51 +127,33 @@ def nearest_neighbours(
     cubes are spread over several tasks, and the four nearest are kept per task before the
     shuffle.
     """
+    reached = _with_reach(with_position(coordinates, "lat", "lon"))
     points = written(
-        _with_reach(with_position(coordinates, "lat", "lon")).withColumn(
-            "level", F.ceil(F.log2(2 * F.col("reach"))).cast("int")
-        ),
-        "points",
+        reached.selectExpr("*", "CAST(ceil(log2(2 * reach)) AS INT) AS level"), "points"
     )
     seekers = points
     if wanted is not None:
         seekers = points.join(wanted.select("lat", "lon").distinct(), ["lat", "lon"], "left_semi")
     # cube sizes in use: powers of two between a centimetre and the earth, some thirty at most
-    levels = sorted(row["level"] for row in seekers.select("level").distinct().collect())
-    if not levels:
-        return seekers.select("lat", "lon", F.lit(0.0).alias("distance_m"), "copies").limit(0)
-    seek = seekers.select(
-        F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), "level", "reach",
-        *[F.col(a).alias(f"{a}_a") for a in "xyz"],
-    )
-    for axis in "xyz":
-        seek = seek.withColumn(
-            f"c{axis}",
-            F.explode(
-                _cells(
-                    F.col("level"),
-                    F.col(f"{axis}_a") - F.col("reach"),
-                    F.col(f"{axis}_a") + F.col("reach"),
-                )
-            ),
-        )
-    offered = points.select(
-        F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), "copies",
-        *[F.col(a).alias(f"{a}_b") for a in "xyz"],
-        F.explode(F.array(*[F.lit(n) for n in levels])).alias("level"),
+    levels = sorted(row["level"] for row in seekers.select("level").distinct().collect()) or [0]
+    side = "pow(2D, level)"
+    seek = seekers.selectExpr(
+        "lat AS lat_a", "lon AS lon_a", "level", "reach", *[f"{a} AS {a}_a" for a in _AXES]
     )
-    for axis in "xyz":
-        side = F.pow(F.lit(2.0), F.col("level"))
-        offered = offered.withColumn(f"c{axis}", F.floor(F.col(f"{axis}_b") / side).cast("long"))
+    for a in _AXES:
+        low, high = (f"CAST(floor(({a}_a {sign} reach) / {side}) AS BIGINT)" for sign in "-+")
+        seek = seek.selectExpr("*", f"explode(sequence({low}, {high})) AS c{a}")
+    offered = points.selectExpr(
+        "lat AS lat_b", "lon AS lon_b", "copies", *[f"{a} AS {a}_b" for a in _AXES],
+        f"explode(array({', '.join(map(str, levels))})) AS level",
+    ).selectExpr("*", *[f"CAST(floor({a}_b / {side}) AS BIGINT) AS c{a}" for a in _AXES])
     cube = ["level", "cx", "cy", "cz"]
-    # cubes nobody looks into need not move
     keys = cube
     if points.count() > spread_above:
         seek, offered = _spread_crowds(seek, offered, cube)
         keys = [*cube, "__part"]
     pairs = seek.join(offered, keys).where(
-        ((F.col("lat_a") != F.col("lat_b")) | (F.col("lon_a") != F.col("lon_b")))
-        & (_chord(*[(F.col(f"{a}_a"), F.col(f"{a}_b")) for a in "xyz"]) <= F.col("reach"))
+        f"(lat_a <> lat_b OR lon_a <> lon_b) AND {_chord('{}_a', '{}_b')} <= reach"
     )
     measured = pairs.select(
         "lat_a", "lon_a", "lat_b", "lon_b", "copies",
