@@ -8,8 +8,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from trailmill.functions.casts import (
     CASTS, SQL_TYPES, is_marker, literal, quoted, radius_text, to_double, to_float, to_long, to_text,
@@ -183,30 +182,49 @@ def decide(cleaned: DataFrame, start: int | None = None, end: int | None = None)
     )
 
 
-def stored_filters(
+def accept_condition(
     raw: DataFrame, options: PrepOptions, times: TimeReader, start: int | None, end: int | None
-) -> Column | None:
-    """Conditions on stored numbers that every accepted record meets.
+) -> str:
+    """The accept decision as a condition on the input columns; never null.
 
-    They repeat part of the decision in a form that reaches Parquet files; used only where the
-    rejected records are not needed.
+    Same outcome as ``decide``, for filtering before anything is parsed into columns. A filter
+    on the parsed columns would be moved below their projection and would repeat the parsing
+    once per mention; here each value is parsed once. Conditions on stored numbers reach
+    Parquet files.
     """
     types = dict(raw.dtypes)
-    conditions = []
-    for source, (low, high) in ((options.latitude, RANGES["lat"]), (options.longitude, RANGES["lon"])):
+    markers = NullMarkers.of(options)
+    tests = []
+    for name, source in (("lat", options.latitude), ("lon", options.longitude)):
+        low, high = RANGES[name]
+        column = quoted(source)
         if types[source] in _NUMERIC:
-            conditions.append(F.col(f"`{source}`").between(low, high))
+            value = f"CAST({column} AS DOUBLE)"
+            tests.append(f"{column} BETWEEN {low}D AND {high}D")
+        else:
+            # the ranges are symmetric, and not-a-number is beyond every bound
+            value = f"try_cast(CAST({column} AS STRING) AS DOUBLE)"
+            tests.append(f"abs({value}) <= {high}D")
+        marked = markers.hit(name, "double", value)
+        if marked != "false":
+            tests.append(f"NOT {marked}")
+    column = quoted(options.time)
+    millis = times.millis(f"CAST({column} AS STRING)")
     scale = {"epoch_ms": 1, "epoch_s": 1000}.get(times.fmt)
     if types[options.time] in ("bigint", "int") and scale:
-        source = F.col(f"`{options.time}`")
-        conditions.append(source.isNotNull())
         if start is not None:
-            conditions.append(source >= -(-start // scale))
+            tests.append(f"{column} >= {-(-start // scale)}L")
+        if end is not None:
+            tests.append(f"{column} <= {end // scale}L")
+        tests.append(f"{millis} IS NOT NULL")
+    elif start is None and end is None:
+        tests.append(f"{millis} IS NOT NULL")
+    else:
+        if start is not None:
+            tests.append(f"{millis} >= {start}L")
         if end is not None:
-            conditions.append(source <= end // scale)
-    if not conditions:
-        return None
-    whole = conditions[0]
-    for condition in conditions[1:]:
-        whole = whole & condition
-    return whole
+            tests.append(f"{millis} <= {end}L")
+    marked = markers.hit("time", "long", millis)
+    if marked != "false":
+        tests.append(f"NOT {marked}")
+    return " AND ".join(f"({test})" for test in tests)

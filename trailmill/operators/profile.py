@@ -113,17 +113,12 @@ def run_totals(decided: DataFrame, start: int | None = None, end: int | None = N
     )
 
 
-def reject_reasons(decided: DataFrame) -> DataFrame:
-    return (
-        decided.where(~F.col(ACCEPTED)).groupBy(REASON).agg(F.count(F.lit(1)).alias("n"))
-    )
+def reject_reasons(rejected: DataFrame) -> DataFrame:
+    return rejected.groupBy(REASON).agg(F.count(F.lit(1)).alias("n"))
 
 
-def rows_per_day(decided: DataFrame) -> DataFrame:
+def rows_per_day(accepted: DataFrame) -> DataFrame:
     """(day, n) of the accepted records, in order of the day."""
     return (
-        decided.where(ACCEPTED)
-        .groupBy(F.col(DAY).alias("day"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy("day")
+        accepted.groupBy(F.col(DAY).alias("day")).agg(F.count(F.lit(1)).alias("n")).orderBy("day")
     )

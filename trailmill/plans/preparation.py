@@ -12,7 +12,7 @@ from trailmill.functions.times import TimeReader, detect_format
 from trailmill.operators import catalogue as catalogues
 from trailmill.operators import profile as profiles
 from trailmill.operators.clean import (
-    ACCEPTED, REASON, NullMarkers, clean, decide, gate_bounds, raw_of, stored_filters,
+    REASON, NullMarkers, accept_condition, clean, decide, gate_bounds, raw_of,
 )
 from trailmill.operators.dictionary import build_dictionary, encode
 from trailmill.operators.geometry import add_geometry
@@ -64,12 +64,18 @@ class Preparation:
         """Every record: typed values, statuses, and whether it is accepted."""
         return self._cleaned(self.raw)
 
+    @property
+    def _condition(self) -> str:
+        return accept_condition(self.raw, self.options, self.times, self.start, self.end)
+
     @cached_property
     def accepted(self) -> DataFrame:
-        """Accepted records before ids and geometry; stored numbers are filtered in the scan."""
-        stored = stored_filters(self.raw, self.options, self.times, self.start, self.end)
-        raw = self.raw if stored is None else self.raw.where(stored)
-        return self._cleaned(raw).where(ACCEPTED)
+        """Accepted records before ids and geometry, filtered in the scan."""
+        return self._cleaned(self.raw.where(self._condition))
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        return self._cleaned(self.raw.where(f"NOT coalesce({self._condition}, false)"))
 
     @cached_property
     def dictionary(self) -> DataFrame | None:
@@ -116,7 +122,7 @@ class Preparation:
     def rejects(self) -> DataFrame:
         """Rejected records with the reason and the typed values, encoded columns as text."""
         names = [f"`{c.name}`" for c in self.profiled_columns if c.role != "ids"]
-        return self.decided.where(~F.col(ACCEPTED)).select(REASON, *names)
+        return self.rejected.select(REASON, *names)
 
     def profile(self) -> DataFrame:
         return profiles.profile(self.decided, self.profiled_columns, self.options.approximate_distinct)
@@ -125,10 +131,10 @@ class Preparation:
         return profiles.run_totals(self.decided, self.start, self.end)
 
     def daily(self) -> DataFrame:
-        return profiles.rows_per_day(self.decided)
+        return profiles.rows_per_day(self.accepted)
 
     def reject_reasons(self) -> DataFrame:
-        return profiles.reject_reasons(self.decided)
+        return profiles.reject_reasons(self.rejected)
 
     def catalogue(self, with_counts: bool = False) -> DataFrame:
         return catalogues.attribute_catalogue(

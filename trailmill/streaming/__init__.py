@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from trailmill.functions.casts import quoted
 from trailmill.functions.times import TimeReader
-from trailmill.operators.clean import ACCEPTED, clean, decide
+from trailmill.operators.clean import accept_condition, clean
 from trailmill.operators.schema import OutputColumn
 from trailmill.options import PrepOptions
 
@@ -28,5 +28,5 @@ def accepted_stream(
 ) -> DataFrame:
     """Accepted, typed records of a stream; the schema and time format come from a sample."""
     kept = [c for c in columns if c.role not in ("geometry", "encoded", "ids", "lookup")]
-    decided = decide(clean(stream, kept, options, times), start, end)
-    return decided.where(ACCEPTED).select(*[F.col(f"`{c.name}`") for c in kept])
+    accepted = stream.where(accept_condition(stream, options, times, start, end))
+    return clean(accepted, kept, options, times).select(*[quoted(c.name) for c in kept])
