@@ -10,14 +10,11 @@ from pyspark.sql import functions as F
 from trailmill.functions.casts import literal, quoted
 from trailmill.operators.clean import ACCEPTED, DAY, INVALID, NULL, OUT_OF_RANGE, REASON, status_of
 from trailmill.operators.schema import OutputColumn
+from trailmill.session import written
 from trailmill.sources.files import FILE_COLUMN
 
-def profile_counts(cleaned: DataFrame, columns: Sequence[OutputColumn]) -> DataFrame:
-    """One row per column over all records, rejected ones too.
-
-    A single aggregate reads every column once and moves one row per task; that row is then
-    turned into one row per column. Out-of-range coordinates count as null as well.
-    """
+def _measures(columns: Sequence[OutputColumn]) -> tuple[list[str], str]:
+    """Aggregates of every column, and the expression that makes rows of them."""
     aggregates, rows = [], []
     for i, column in enumerate(columns):
         value, status = quoted(column.name), quoted(status_of(column.name))
@@ -38,7 +35,17 @@ def profile_counts(cleaned: DataFrame, columns: Sequence[OutputColumn]) -> DataF
             f" 'type', '{column.kind}', "
             + ", ".join(f"'{name}', {name}_{i}" for name in measures) + ")"
         )
-    return cleaned.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")
+    return aggregates, f"inline(array({', '.join(rows)}))"
+
+
+def profile_counts(cleaned: DataFrame, columns: Sequence[OutputColumn]) -> DataFrame:
+    """One row per column over all records, rejected ones too.
+
+    A single aggregate reads every column once and moves one row per task; that row is then
+    turned into one row per column. Out-of-range coordinates count as null as well.
+    """
+    aggregates, rows = _measures(columns)
+    return cleaned.selectExpr(*aggregates).selectExpr(rows)
 
 
 def profile_distinct(
@@ -67,15 +74,20 @@ def profile_distinct(
     )
 
 
+def with_distinct(counts: DataFrame, distinct: DataFrame) -> DataFrame:
+    # one row per output column on both sides
+    joined = counts.join(F.broadcast(distinct), "column", "left")
+    textual = (F.col("type") == "string") & F.col("n_distinct").isNull()
+    return joined.withColumn("n_distinct", F.when(textual, 0).otherwise(F.col("n_distinct")))
+
+
 def profile(
     cleaned: DataFrame, columns: Sequence[OutputColumn], approximate: bool = False
 ) -> DataFrame:
     """Counts, ranges and distinct strings, one row per column."""
-    distinct = profile_distinct(cleaned, columns, approximate)
-    # one row per output column on both sides
-    joined = profile_counts(cleaned, columns).join(F.broadcast(distinct), "column", "left")
-    textual = (F.col("type") == "string") & F.col("n_distinct").isNull()
-    return joined.withColumn("n_distinct", F.when(textual, 0).otherwise(F.col("n_distinct")))
+    return with_distinct(
+        profile_counts(cleaned, columns), profile_distinct(cleaned, columns, approximate)
+    )
 
 
 def cardinality_warnings(profiled: DataFrame, limit: int) -> DataFrame:
@@ -94,23 +106,47 @@ def empty_columns(profiled: DataFrame) -> DataFrame:
     return profiled.select("column", finding.alias("finding")).where(F.col("finding").isNotNull())
 
 
+def _totals(decided: DataFrame, start: int | None, end: int | None) -> dict[str, str]:
+    gates = [f"time < {start}L"] if start is not None else []
+    gates += [f"time > {end}L"] if end is not None else []
+    totals = {
+        "total": "count(1)",
+        "written": f"count_if({ACCEPTED})",
+        "rejected": f"count_if(NOT {ACCEPTED})",
+        "time_gated": f"count_if({' OR '.join(gates) or 'false'})",
+    }
+    if FILE_COLUMN in decided.columns:
+        totals["files"] = f"count(DISTINCT {FILE_COLUMN})"
+    return totals
+
+
 def run_totals(decided: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """One row: total, written, rejected, time_gated and, where known, files."""
-    gated = F.lit(False)
-    if start is not None:
-        gated = gated | (F.col("time") < start)
-    if end is not None:
-        gated = gated | (F.col("time") > end)
-    files = (
-        [F.count_distinct(FILE_COLUMN).alias("files")] if FILE_COLUMN in decided.columns else []
-    )
-    return decided.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(ACCEPTED).alias("written"),
-        F.count_if(~F.col(ACCEPTED)).alias("rejected"),
-        F.count_if(gated).alias("time_gated"),
-        *files,
+    totals = _totals(decided, start, end)
+    return decided.selectExpr(*[f"{value} AS {name}" for name, value in totals.items()])
+
+
+def totals_and_counts(
+    decided: DataFrame,
+    columns: Sequence[OutputColumn],
+    start: int | None = None,
+    end: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``run_totals`` and ``profile_counts`` from one pass over the records."""
+    totals = _totals(decided, start, end)
+    aggregates, rows = _measures(columns)
+    once = written(
+        decided.selectExpr(*[f"{v} AS {n}" for n, v in totals.items()], *aggregates), "overview"
     )
+    return once.select(*totals), once.selectExpr(rows)
+
+
+def days_and_reasons(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows_per_day`` and ``reject_reasons`` from one pass over the records."""
+    once = written(decided.groupBy(DAY, REASON).agg(F.count(F.lit(1)).alias("n")), "days")
+    days = once.where(f"{REASON} IS NULL").select(F.col(DAY).alias("day"), "n").orderBy("day")
+    reasons = once.where(f"{REASON} IS NOT NULL").groupBy(REASON).agg(F.sum("n").alias("n"))
+    return days, reasons
 
 
 def reject_reasons(rejected: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ NEAREST = 4
 
 # Below this many distinct coordinates no grid cell can outgrow one task.
 SPREAD_ABOVE = 2_000_000
+# Cubes, looked into by few seekers, that may be broadcast.
+SOUGHT_CUBES = 200_000
 # Rows per window group in the first pass.
 _RUN = 50_000
 _HALF_EARTH = 6_400_000.0
@@ -134,8 +136,6 @@ def nearest_neighbours(
     seekers = points
     if wanted is not None:
         seekers = points.join(wanted.select("lat", "lon").distinct(), ["lat", "lon"], "left_semi")
-    # cube sizes in use: powers of two between a centimetre and the earth, some thirty at most
-    levels = sorted(row["level"] for row in seekers.select("level").distinct().collect()) or [0]
     side = "pow(2D, level)"
     seek = seekers.selectExpr(
         "lat AS lat_a", "lon AS lon_a", "level", "reach", *[f"{a} AS {a}_a" for a in _AXES]
@@ -143,11 +143,8 @@ def nearest_neighbours(
     for a in _AXES:
         low, high = (f"CAST(floor(({a}_a {sign} reach) / {side}) AS BIGINT)" for sign in "-+")
         seek = seek.selectExpr("*", f"explode(sequence({low}, {high})) AS c{a}")
-    offered = points.selectExpr(
-        "lat AS lat_b", "lon AS lon_b", "copies", *[f"{a} AS {a}_b" for a in _AXES],
-        f"explode(array({', '.join(map(str, levels))})) AS level",
-    ).selectExpr("*", *[f"CAST(floor({a}_b / {side}) AS BIGINT) AS c{a}" for a in _AXES])
     cube = ["level", "cx", "cy", "cz"]
+    offered = _offered(points, seek, cube)
     keys = cube
     if points.count() > spread_above:
         seek, offered = _spread_crowds(seek, offered, cube)
@@ -170,6 +167,33 @@ def nearest_neighbours(
     )
 
 
+def _offered(points: DataFrame, seek: DataFrame, cube: list[str]) -> DataFrame:
+    """Every point in its cube of each size in use, as far as somebody looks into that cube.
+
+    Most points seek at a few sizes; the other sizes belong to few seekers. The cubes of those
+    few are broadcast, so that a point is not shuffled once per size for nothing.
+    """
+    # cube sizes are powers of two between a centimetre and the earth, some thirty at most
+    per_level = seek.groupBy("level").count().orderBy("count", "level").collect()
+    few, many, total = [], [], 0
+    for row in per_level:
+        total += row["count"]
+        (few if total <= SOUGHT_CUBES else many).append(row["level"])
+
+    def at(levels: list[int]) -> DataFrame:
+        return points.selectExpr(
+            "lat AS lat_b", "lon AS lon_b", "copies", *[f"{a} AS {a}_b" for a in _AXES],
+            f"explode(array({', '.join(map(str, levels)) or 0})) AS level",
+        ).selectExpr("*", *[f"CAST(floor({a}_b / pow(2D, level)) AS BIGINT) AS c{a}" for a in _AXES])
+
+    parts = [at(many)] if many else []
+    if few or not many:
+        sought = seek.where(F.col("level").isin(few)).select(*cube).distinct()
+        # at most SOUGHT_CUBES rows of four numbers
+        parts.append(at(few).join(F.broadcast(sought), cube, "left_semi"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def _spread_crowds(seek: DataFrame, offered: DataFrame, cube: list[str]):
     """Split the candidates of crowded cubes into parts and send each seeker to every part."""
     tasks = int(seek.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -142,13 +142,14 @@ class Preparation:
         )
 
     def report(self) -> DataFrame:
-        """The report as lines of text, in order."""
+        """The report as lines of text, in order; three passes over the records."""
+        o, columns = self.options, self.profiled_columns
+        totals, counts = profiles.totals_and_counts(self.decided, columns, self.start, self.end)
+        distinct = profiles.profile_distinct(self.decided, columns, o.approximate_distinct)
+        profiled = written(profiles.with_distinct(counts, distinct), "profile")
+        days, reasons = profiles.days_and_reasons(self.decided)
         return ordered_text(
-            report_lines(
-                self.totals(), written(self.profile(), "profile"), self.daily(),
-                self.reject_reasons(), self.options.start_time, self.options.end_time,
-                self.options.unique_strings,
-            )
+            report_lines(totals, profiled, days, reasons, o.start_time, o.end_time, o.unique_strings)
         )
 
     def write(self, mode: str = "errorifexists") -> None:
