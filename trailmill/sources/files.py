@@ -93,7 +93,9 @@ def read_csv(
         names = list(headers) if headers is not None else None
     if plain and names:
         schema = T.StructType([T.StructField(n.strip(), T.StringType()) for n in names])
-        frame = reader.schema(schema).option("header", headers is None).csv(plain)
+        # the folder itself, not its files one by one: it may hold very many
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(CSV_ENDINGS) + "}")
+        frame = reader.schema(schema).option("header", headers is None).csv(_paths(path))
         parts.append(frame.select("*", F.col("_metadata.file_path").alias(FILE_COLUMN)))
     if zipped:
         parts.append(read_zipped_csv(spark, zipped, names, headers is None, quote, FILE_COLUMN))
@@ -110,7 +112,7 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     files = list_files(spark, path)
     if input_kind(files) != "parquet":
         raise OptionsError("not a Parquet input")
-    frame = spark.read.parquet(*[f for f in files if f.endswith(PARQUET_ENDING)])
+    frame = spark.read.option("pathGlobFilter", f"*{PARQUET_ENDING}").parquet(*_paths(path))
     return frame.select("*", F.col("_metadata.file_path").alias(FILE_COLUMN))
 
 
