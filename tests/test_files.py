@@ -172,6 +172,18 @@ def test_approximate_distinct(run, spark):
     assert {r["column"]: r.n_distinct for r in got.collect()} == {"cell": 2, "tag": 10}
 
 
+def test_wide_inputs_have_the_same_profile(run, monkeypatch):
+    from trailmill.operators import profile as profiles
+
+    prepared = run[0]
+    narrow = profiles.profile_counts(prepared.decided, prepared.profiled_columns)
+    monkeypatch.setattr(profiles, "WIDE", 0)
+    wide = profiles.profile_counts(prepared.decided, prepared.profiled_columns).select(narrow.columns)
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, wide.collect()))
+    none = profiles.profile_counts(prepared.decided.where("false"), prepared.profiled_columns)
+    assert none.count() == len(prepared.profiled_columns) and none.agg(F.sum("nulls")).first()[0] == 0
+
+
 def test_days(run):
     days = run[0].daily().collect()
     assert [r.day for r in days] == sorted(r.day for r in days) and sum(r.n for r in days) == 7

@@ -13,6 +13,10 @@ from trailmill.operators.schema import OutputColumn
 from trailmill.session import written
 from trailmill.sources.files import FILE_COLUMN
 
+# Beyond this many columns one aggregate of all measures outgrows generated code.
+WIDE = 60
+
+
 def _measures(columns: Sequence[OutputColumn]) -> tuple[list[str], str]:
     """Aggregates of every column, and the expression that makes rows of them."""
     aggregates, rows = [], []
@@ -44,10 +48,44 @@ def profile_counts(cleaned: DataFrame, columns: Sequence[OutputColumn]) -> DataF
     A single aggregate reads every column once and moves one row per task; that row is then
     turned into one row per column. Out-of-range coordinates count as null as well.
     """
+    if len(columns) > WIDE:
+        return _wide_counts(cleaned, columns)
     aggregates, rows = _measures(columns)
     return cleaned.selectExpr(*aggregates).selectExpr(rows)
 
 
+def _wide_counts(cleaned: DataFrame, columns: Sequence[OutputColumn]) -> DataFrame:
+    """The same counts from one row per value, reduced per task before the shuffle."""
+    cells = []
+    for i, column in enumerate(columns):
+        value, status = quoted(column.name), quoted(status_of(column.name))
+        numeric = column.kind != "string" and column.role not in ("encoded", "ids")
+        ranged = numeric and column.kind in ("float", "double")
+        number = f"CAST({value} AS DOUBLE)" if ranged else "CAST(NULL AS DOUBLE)"
+        zero = f"coalesce({value} = 0, false)" if numeric else "false"
+        cells.append(f"struct({i + 1} AS position, {status} AS status, {zero} AS zero, {number} AS number)")
+    counted = (
+        cleaned.selectExpr(f"inline(array({', '.join(cells)}))")
+        .groupBy("position")
+        .agg(
+            F.expr(f"count_if(status NOT IN ('{NULL}', '{OUT_OF_RANGE}'))").alias("non_null"),
+            F.expr(f"count_if(status = '{INVALID}')").alias("invalid"),
+            F.expr(f"count_if(status IN ('{NULL}', '{OUT_OF_RANGE}'))").alias("nulls"),
+            F.expr(f"count_if(status = '{OUT_OF_RANGE}')").alias("out_of_range"),
+            F.count_if("zero").alias("zeros"),
+            F.min("number").alias("min"),
+            F.max("number").alias("max"),
+        )
+    )
+    names = cleaned.sparkSession.createDataFrame(
+        [(i + 1, c.name, c.kind) for i, c in enumerate(columns)], "position int, column string, type string"
+    )
+    # one row per output column on both sides
+    return names.join(F.broadcast(counted), "position", "left").fillna(
+        0, ["non_null", "invalid", "nulls", "out_of_range", "zeros"]
+    )
+
+
 def profile_distinct(
     cleaned: DataFrame, columns: Sequence[OutputColumn], approximate: bool = False
 ) -> DataFrame:
@@ -133,6 +171,8 @@ def totals_and_counts(
     end: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``run_totals`` and ``profile_counts`` from one pass over the records."""
+    if len(columns) > WIDE:
+        return run_totals(decided, start, end), profile_counts(decided, columns)
     totals = _totals(decided, start, end)
     aggregates, rows = _measures(columns)
     once = written(

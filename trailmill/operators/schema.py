@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmill.functions.casts import quoted, to_float
@@ -47,30 +48,31 @@ def infer_kinds(
 ) -> dict[str, str]:
     """Kind of each column from a sample: time, float, or the default; string if all null.
 
-    One aggregate over the sample; only one row of counts comes back.
+    One aggregate over the sample, turned into one row per value first, so that the plan stays
+    small for wide inputs; one row of counts per column comes back.
     """
     if not columns:
         return {}
-    checks = []
-    for i, name in enumerate(columns):
-        text = f"CAST({quoted(name)} AS STRING)"
-        checks += [
-            f"count({text}) AS n{i}",
-            f"count({times.millis(text)}) AS t{i}",
-            f"count({to_float(text)}) AS f{i}",
-        ]
-    row = sample.selectExpr(*checks).first()
-    kinds = {}
-    for i, name in enumerate(columns):
-        n = row[f"n{i}"]
-        if not n:
-            kinds[name] = "string"
-        elif row[f"t{i}"] == n:
-            kinds[name] = "time"
-        elif row[f"f{i}"] == n:
-            kinds[name] = "float"
-        else:
-            kinds[name] = default_type
+    cells = ", ".join(
+        f"struct({i} AS place, CAST({quoted(name)} AS STRING) AS v)" for i, name in enumerate(columns)
+    )
+    counts = (
+        sample.selectExpr(f"inline(array({cells}))")
+        .groupBy("place")
+        .agg(
+            F.count("v").alias("n"),
+            F.expr(f"count({times.millis('v')})").alias("times"),
+            F.expr(f"count({to_float('v')})").alias("floats"),
+        )
+    )
+    kinds = dict.fromkeys(columns, "string")
+    for row in counts.where("n > 0").collect():
+        kind = default_type
+        if row["times"] == row["n"]:
+            kind = "time"
+        elif row["floats"] == row["n"]:
+            kind = "float"
+        kinds[columns[row["place"]]] = kind
     return kinds
 
 
