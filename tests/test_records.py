@@ -4,6 +4,7 @@ import itertools
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import trailmill as tm
 from trailmill.operators.clean import ACCEPTED, accept_condition
@@ -49,7 +50,7 @@ def test_bad_options(changes):
 
 @pytest.mark.parametrize(
     "changes",
-    [dict(excluded=["zz"]), dict(radius="zz"), dict(column_null_values={"zz": ["1"]}), dict(column_null_values={"la": ["1"]})],
+    [dict(excluded=["zz"]), dict(radius="zz"), dict(column_null_values={"zz": ["1"]}), dict(column_null_values={"la": ["1"]}), dict(first_seen_by=["zz"])],
 )
 def test_unknown_columns(spark, changes):
     with pytest.raises(OptionsError):
@@ -96,6 +97,27 @@ def test_output_schema_matches_the_records(spark):
     assert [(f.name, f.dataType) for f in run.records().schema] == [(f.name, f.dataType) for f in run.schema]
 
 
+def test_names_with_dots_and_quotes(spark):
+    columns = ["g.la", "g.lo", "g.t", "cell.id", "tag`x", "who is"]
+    rows = [("1", "1", "1700000000", "A", "x", "p"), ("2", "2", "1700000001", "B", "y", "p")]
+    table = LookupTable(
+        "cell.id", "label.of", "string",
+        spark.createDataFrame([("a", "first", 0)], "key string, value string, position int"),
+    )
+    run = tm.prepare(
+        spark,
+        tm.PrepOptions(
+            longitude="g.lo", latitude="g.la", time="g.t", site_id="cell.id", string_columns=["tag`x"],
+            encoded_columns=["who is"], retained_id_columns=["cell.id"],
+        ),
+        records=spark.createDataFrame(rows, T.StructType([T.StructField(c, T.StringType()) for c in columns])),
+        lookups=(table,),
+    )
+    got = {r["cell.id"]: (r["tag`x"], r["who is"], r["cell.id_IDs"], r["label.of"]) for r in run.records().collect()}
+    assert got == {"A": ("x", 1, 1, "first"), "B": ("y", 1, 2, None)}
+    assert run.profile().count() == 8 and run.report().count() > 8 and run.rejects().count() == 0
+
+
 # -- values -----------------------------------------------------------------------------------
 
 

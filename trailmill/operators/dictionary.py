@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmill.functions.casts import quoted
 from trailmill.operators.joins import left_join_unique
 from trailmill.operators.numbering import numbered
 
@@ -18,10 +19,11 @@ def build_dictionary(df: DataFrame, columns: Sequence[str], first_seen_by: Seque
     as one row per task. Records without an order value count as seen last; equal first
     places are told apart by the value.
     """
-    seen = F.struct(*[x for c in first_seen_by for x in (F.col(c).isNull(), F.col(c))])
+    order = [F.col(quoted(c)) for c in first_seen_by]
+    seen = F.struct(*[x for c in order for x in (c.isNull(), c)])
     pairs = df.select(
         F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
+            F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).alias("value")) for c in columns])
         ).alias("pair"),
         seen.alias("seen"),
     ).select("pair.*", "seen")
@@ -42,5 +44,5 @@ def encode(
     entries = dictionary.where(F.col("column") == column)
     table = entries.select(F.col("value").alias("__value"), F.col("id").alias(target))
     counts = entries.select(F.xxhash64("value").alias("hash"), "n")
-    keyed = df.withColumn("__value", F.col(column))
+    keyed = df.withColumn("__value", F.col(quoted(column)))
     return left_join_unique(keyed, table, "__value", counts, **bounds).drop("__value")

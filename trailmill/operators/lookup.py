@@ -24,7 +24,7 @@ def add_lookup(
     ``source_text`` is the column that holds the text of the lookup's source column.
     """
     table = lookup.latest().select(F.col("key").alias("__key"), F.col("value").alias("__value"))
-    keyed = df.withColumn("__key", F.lower(source_text))
+    keyed = df.withColumn("__key", F.lower(F.col(quoted(source_text))))
     joined = left_join_unique(keyed, table, "__key", **bounds)
     parsed = joined.selectExpr("*", f"{CASTS[lookup.kind]('__value')} AS __parsed")
     marked = markers.hit(lookup.target, lookup.kind, "__parsed")

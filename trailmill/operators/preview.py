@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.functions.casts import to_float
+from trailmill.functions.casts import quoted, to_float
 from trailmill.sources.files import FILE_COLUMN
 
 # Fixed value: sample values shown per column.
@@ -23,7 +23,7 @@ def column_preview(records: DataFrame, order_by: str | None = None) -> DataFrame
     """
     names = [c for c in records.columns if c not in (FILE_COLUMN, order_by)]
     sample = records.orderBy(order_by).limit(EXAMPLES) if order_by else records.limit(EXAMPLES)
-    texts = [F.col(f"`{n}`").cast("string").alias(f"t{i}") for i, n in enumerate(names)]
+    texts = [F.col(quoted(n)).cast("string").alias(f"t{i}") for i, n in enumerate(names)]
     place = F.col(order_by) if order_by else F.monotonically_increasing_id()
     rows = sample.select(
         F.struct(place.alias("place"), F.array(*texts).alias("texts")).alias("row")

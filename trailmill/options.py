@@ -172,6 +172,9 @@ class PrepOptions:
         missing = sorted({n for n in named if n and n not in known})
         if missing:
             raise OptionsError(f"columns not in the input: {', '.join(missing)}")
+        lost = sorted(set(self.first_seen_by or ()) - (known - set(self.excluded)))
+        if lost:
+            raise OptionsError(f"ids cannot be ordered by columns that are not kept: {', '.join(lost)}")
         outputs = {self.output_name(c) for c in columns} | set(lookup_targets)
         outputs |= {c + IDS_SUFFIX for c in self.retained_id_columns}
         unknown = sorted(set(self.column_null_values) - outputs)

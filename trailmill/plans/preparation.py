@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmill.functions.casts import quoted
 from trailmill.functions.times import TimeReader, detect_format
 from trailmill.operators import catalogue as catalogues
 from trailmill.operators import profile as profiles
@@ -93,7 +94,7 @@ class Preparation:
         """(site, site_radius) from the accepted records."""
         radius = F.col("radius") if self.options.radius else F.lit(None).cast("float")
         sites = self.accepted.select(
-            F.col(raw_of(self.options.site_id)).alias("site"), "lat", "lon",
+            F.col(quoted(raw_of(self.options.site_id))).alias("site"), "lat", "lon",
             radius.alias("radius"), "time",
         )
         stored = written(distinct_sites(sites, self.options.site_tolerance), "sites")
@@ -109,19 +110,19 @@ class Preparation:
                 df = df.withColumn(column.name, F.col("__id")).drop("__id")
         radius = None
         if self.options.site_id:
-            site = raw_of(self.options.site_id)
-            table = self.site_radius.withColumnRenamed("site", site)
-            df = left_join_unique(df, table, site, **self.bounds)
+            df = df.withColumn("__site", F.col(quoted(raw_of(self.options.site_id))))
+            table = self.site_radius.withColumnRenamed("site", "__site")
+            df = left_join_unique(df, table, "__site", **self.bounds)
             radius = "site_radius"
         elif self.options.radius:
             df = df.withColumn("site_radius", F.col("radius").try_cast("int"))
             radius = "site_radius"
         df = add_geometry(df, radius, self.options.randomize, self.options.seed)
-        return df.select(*[F.col(f"`{c.name}`") for c in self.columns])
+        return df.select(*[quoted(c.name) for c in self.columns])
 
     def rejects(self) -> DataFrame:
         """Rejected records with the reason and the typed values, encoded columns as text."""
-        names = [f"`{c.name}`" for c in self.profiled_columns if c.role != "ids"]
+        names = [quoted(c.name) for c in self.profiled_columns if c.role != "ids"]
         return self.rejected.select(REASON, *names)
 
     def profile(self) -> DataFrame:
