@@ -280,6 +280,21 @@ def test_shuffled_join_keeps_every_record(spark):
     assert "__salt" in plan
 
 
+def test_records_are_numbered_once_and_only_for_shuffled_joins(spark):
+    rows = [(*GOOD, "a", "p"), ("1", "1", "1700000001", "b", "q")]
+    columns = ["la", "lo", "t", "x", "y"]
+    o = options(encoded_columns=["x"], retained_id_columns=["y"])
+
+    def numbers(**bounds):
+        records = tm.prepare(spark, o, records=frame(spark, rows, columns), **bounds).records()
+        assert records.columns == [c.name for c in tm.prepare(spark, o, records=frame(spark, rows, columns)).columns]
+        plan = records._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("monotonically_increasing_id()")
+
+    assert numbers() == 0
+    assert numbers(max_rows=0) == 1
+
+
 def test_lookup_last_key_wins_and_bad_numbers_are_invalid(spark):
     rows = spark.createDataFrame(
         [("A", "1", 0), ("a", "2", 1), ("b", "x", 2)], "key string, value string, position int"

@@ -17,7 +17,7 @@ from trailmill.operators.clean import (
 )
 from trailmill.operators.dictionary import build_dictionary, encode
 from trailmill.operators.geometry import add_geometry
-from trailmill.operators.joins import left_join_unique
+from trailmill.operators.joins import left_join_unique, spread_column
 from trailmill.operators.lookup import add_lookup
 from trailmill.operators.report import ordered_text, report_lines
 from trailmill.operators.schema import OutputColumn, resolve_schema, struct_type
@@ -55,6 +55,9 @@ class Preparation:
 
     def _cleaned(self, raw: DataFrame) -> DataFrame:
         df = clean(raw, self.columns, self.options, self.times)
+        if self.options.site_id or any(c.role in ("encoded", "ids", "lookup") for c in self.columns):
+            # numbered here, before any shuffle; dropped from the plan if every join is a broadcast
+            df = spread_column(df)
         markers = NullMarkers.of(self.options)
         for lookup in self.lookups:
             df = add_lookup(df, lookup, raw_of(lookup.source), markers, True, **self.bounds)
