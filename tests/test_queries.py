@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from suite import all_queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLE = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+QUERIES, ORACLE = all_queries.QUERIES, all_queries.ORACLE
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
@@ -26,6 +27,8 @@ def duck():
 def test_every_oracle_has_its_query():
     assert set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLE) == {"profile_report"}
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert set(ORACLE) <= set(__spark_entry__.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
