@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmill.llm import host_quality, ring_sharding, secret_ownership, url_sweep
+from trailmill.llm import (
+    bpe_monoid,
+    host_quality,
+    jaccard_groups,
+    license_windows,
+    ring_sharding,
+    secret_ownership,
+    url_sweep,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,6 +96,23 @@ def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+@query()
+def op3_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = license_windows.template_table(spark)
+    return license_windows.find_licenses(table(spark, sf_dir, "documents"), templates)
+
+
+@query()
+def op4_bpe_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_monoid.token_digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return jaccard_groups.jaccard_components(docs, width=3, num=90, den=100)
+
+
 # Host, path, verdict.
 URL_RULES = [
     ("com", "/", "allow"),
