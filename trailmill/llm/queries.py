@@ -10,10 +10,13 @@ from trailmill.llm import (
     bpe_monoid,
     host_quality,
     jaccard_groups,
+    language_fusion,
     license_windows,
     ring_sharding,
     secret_ownership,
+    template_leaks,
     url_sweep,
+    wrapper_induction,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,3 +196,20 @@ FROM c JOIN verdicts USING (host)
 @query(QUALITY_SQL)
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge_quality(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return language_fusion.identify_documents(docs).select("doc_id", "language", "posterior", "kept")
+
+
+@query()
+def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    return template_leaks.find_leaks(table(spark, sf_dir, "documents"), items)
+
+
+@query()
+def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_induction.extract_text(table(spark, sf_dir, "pages"))
