@@ -26,58 +26,101 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 LEAF_BYTES = 16
 WINDOW = 2
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 60_000
+STRETCHES = 200_000
+OUT_BYTES = 8 << 20
+
+
+NEVER = 1 << 60
+SENTENCE_MARKS = (".", ",")
 
 
 def _merged(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merge the pair of least rank, the leftmost of equals, until none is left."""
+    rank_of = ranks.get
     parts = [data[i : i + 1] for i in range(len(data))]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            rank = ranks.get(parts[i] + parts[i + 1])
-            if rank is not None and (best is None or rank < best):
-                best, at = rank, i
-        if best is None:
+    pairs = [rank_of(data[i : i + 2], NEVER) for i in range(len(data) - 1)]
+    while pairs:
+        best = min(pairs)
+        if best == NEVER:
             break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        at = pairs.index(best)
+        parts[at] += parts.pop(at + 1)
+        del pairs[at]
+        if at < len(pairs):
+            pairs[at] = rank_of(parts[at] + parts[at + 1], NEVER)
+        if at:
+            pairs[at - 1] = rank_of(parts[at - 1] + parts[at], NEVER)
     return [ranks[part] for part in parts]
 
 
-def piece_encoder(ranks: dict[bytes, int]) -> Callable[[bytes], list[int]]:
-    """Encoder of one match of the pattern."""
-    tokens = {rank: data for data, rank in ranks.items()}
+class _Memo:
+    """Two generations of results: what was not asked for while the younger one filled is dropped."""
+
+    def __init__(self, entries: int):
+        self.entries, self.young, self.old = entries, {}, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.entries:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
-    def bytes_of(ids: list[int]) -> bytes:
-        return b"".join([tokens[i] for i in ids])
 
-    def fits(left: list[int], right: list[int]) -> bool:
-        if not left or not right:
-            return True
-        pair = [left[-1], right[0]]
-        return _merged(bytes_of(pair), ranks) == pair
+def piece_encoder(ranks: dict[bytes, int]) -> Callable[[bytes], list[int]]:
+    """Encoder of one match of the pattern. Leaves and seams are remembered: they repeat."""
+    tokens = {rank: data for data, rank in ranks.items()}
+    leaves, seams, windows = _Memo(MEMO_ENTRIES), _Memo(MEMO_ENTRIES), _Memo(MEMO_ENTRIES)
+
+    def fits(left: int, right: int) -> bool:
+        pair = (left, right)
+        known = seams.get(pair)
+        if known is None:
+            known = _merged(tokens[left] + tokens[right], ranks) == [left, right]
+            seams.put(pair, known)
+        return known
+
+    def again(ids: list[int]) -> list[int]:
+        key = tuple(ids)
+        known = windows.get(key)
+        if known is None:
+            known = _merged(b"".join([tokens[i] for i in ids]), ranks)
+            if len(key) <= 4 * WINDOW:
+                windows.put(key, known)
+        return known
 
     def joined(left: list[int], right: list[int]) -> list[int]:
-        if fits(left, right):
+        if fits(left[-1], right[0]):
             return left + right
         size = WINDOW
         while True:
-            a, b = left[max(0, len(left) - size) :], right[:size]
+            a, b = left[-size:], right[:size]
             before, after = left[: len(left) - len(a)], right[len(b) :]
-            middle = _merged(bytes_of(a + b), ranks)
-            if fits(before, middle) and fits(middle, after):
+            middle = again(a + b)
+            if (not before or fits(before[-1], middle[0])) and (not after or fits(middle[-1], after[0])):
                 return before + middle + after
             size *= 2
 
     def tree(data: bytes) -> list[int]:
         if len(data) <= LEAF_BYTES:
-            return _merged(data, ranks)
+            known = leaves.get(data)
+            if known is None:
+                known = _merged(data, ranks)
+                leaves.put(data, known)
+            return known
         half = len(data) // 2
         return joined(tree(data[:half]), tree(data[half:]))
 
     def encode(data: bytes) -> list[int]:
         whole = ranks.get(data)
-        return [whole] if whole is not None else tree(data)
+        if whole is not None:
+            return [whole]
+        return _merged(data, ranks) if len(data) <= LEAF_BYTES else tree(data)
 
     return encode
 
@@ -101,30 +144,51 @@ def text_encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], bytes
     import regex
 
     split = regex.compile(pattern).findall
-    doubled = re.compile(r"\s\s|^\s|\s$").search
     cut = re.compile(r"(?<=\S) (?=\S)").split
     piece = piece_encoder(ranks)
-    memo: dict[str, bytes] = {}
+    memo = _Memo(STRETCHES)
 
     def stretch(text: str) -> bytes:
+        if text[1:].isalpha() and text[0] == " ":  # one match
+            return array("i", piece(text.encode())).tobytes()
         ids = array("i")
         for match in split(text):
             ids.extend(piece(match.encode()))
         return ids.tobytes()
 
+    def looked_up(key: str) -> bytes:
+        packed = memo.get(key)
+        if packed is None:
+            bare = key[:-1]
+            if key[-1] in SENTENCE_MARKS and bare.isalpha():  # two matches
+                packed = looked_up(bare) + stretch(key[-1])
+            else:
+                packed = stretch(" " + key)
+            memo.put(key, packed)
+        return packed
+
     def encode(text: str) -> bytes:
-        stretches = cut(text) if doubled(text) else text.split(" ")
-        first = stretch(stretches[0])
-        out = [first]
+        stretches = text.split(" ")
+        if bordered(stretches[0]):
+            return encoded(cut(text))
+        out = [stretch(stretches[0])]
+        frequent = memo.young.get
         for key in stretches[1:]:
-            packed = memo.get(key)
+            packed = frequent(key)
             if packed is None:
-                if len(memo) >= MEMO_ENTRIES:
-                    memo.clear()
-                packed = memo[key] = stretch(" " + key)
+                if bordered(key):  # white space beside a space; the memo holds no such key
+                    return encoded(cut(text))
+                packed = looked_up(key)
+                frequent = memo.young.get
             out.append(packed)
         return b"".join(out)
 
+    def encoded(stretches: list[str]) -> bytes:
+        return b"".join([stretch(stretches[0]), *[stretch(" " + key) for key in stretches[1:]]])
+
+    def bordered(key: str) -> bool:
+        return not key or key[0].isspace() or key[-1].isspace()
+
     return encode
 
 
@@ -162,13 +226,19 @@ def encode(
         path, rule = _installed(vocabulary, pattern)
         encoder = text_encoder(read_ranks(path), rule)
         for batch in batches:
-            packed = [encoder(value) if value else b"" for value in batch.column(len(kept)).to_pylist()]
-            ends = np.cumsum([0, *map(len, packed)]) // 4
-            flat = np.frombuffer(b"".join(packed), np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(kept)], lists], [*kept, ids]
-            )
+            packed, size, start = [], 0, 0
+            texts = batch.column(len(kept))
+            for row in range(batch.num_rows):
+                text = texts[row].as_py()
+                packed.append(encoder(text) if text else b"")
+                size += len(packed[-1])
+                if size > OUT_BYTES or row + 1 == batch.num_rows:  # small batches, little memory
+                    ends = np.cumsum([0, *map(len, packed)]) // 4
+                    flat = np.frombuffer(b"".join(packed), np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+                    part = batch.slice(start, len(packed)).columns[: len(kept)]
+                    yield pa.RecordBatch.from_arrays([*part, lists], [*kept, ids])
+                    packed, size, start = [], 0, row + 1
 
     fields = [*rows.drop(text).schema, StructField(ids, ArrayType(IntegerType()))]
     return rows.mapInArrow(run, StructType(fields))
@@ -191,10 +261,11 @@ def decode(
         for token, rank in ranks.items():
             tokens[rank] = token
         for batch in batches:
-            whole = [
-                b"".join([tokens[i] for i in value]) if value else b""
-                for value in batch.column(at).to_pylist()
-            ]
+            lists = batch.column(at)
+            whole = []
+            for row in range(batch.num_rows):
+                value = lists[row].values  # one text's ids at a time
+                whole.append(b"" if value is None else b"".join([tokens[i] for i in value.to_numpy().tolist()]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(whole, pa.binary())], [*kept, data]
             )
