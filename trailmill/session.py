@@ -18,6 +18,10 @@ RECOMMENDED = {
 }
 
 
+# A setting of Spark: remove the shuffle files of a query when the query has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(cpus: str = "*", app: str = "trailmill") -> SparkSession:
     """A session for tests and benchmarks on one machine; a cluster brings its own."""
     return (
@@ -55,8 +59,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage (a lost executor re-reads the table instead of recomputing it) and gives
-    the planner true sizes.
+    the planner true sizes. Its shuffle files go when it is complete: nobody reads them again.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
