@@ -32,8 +32,8 @@ from trailmill.operators.joins import fits_broadcast
 from trailmill.session import written
 
 COUNTERS = 1 << 20
-BITMAP_WORDS = 4
-ROUNDS = 3
+BITMAP_WORDS = 8
+ROUNDS = 2
 MAX_BROADCAST_IDS = 200_000
 
 
@@ -55,10 +55,7 @@ def _scan(width: int):
             for shingles in sets(batch.column(1)):
                 sizes.append(len(shingles))
                 marks.append(_signature(shingles))
-                places = (shingles & np.uint64(COUNTERS - 1)).astype(np.int64)
-                counts += np.bincount(places, minlength=COUNTERS) if len(places) > COUNTERS // 8 else 0
-                if len(places) <= COUNTERS // 8:
-                    np.add.at(counts, places, 1)
+                np.add.at(counts, (shingles & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
                 [
