@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
+from trailmill.llm.batches import small_batches
+
 LEAF_BYTES = 16
 WINDOW = 2
 MEMO_ENTRIES = 60_000
@@ -217,6 +219,7 @@ def encode(
 
     ``vocabulary`` is a rank file: an absolute path, or the name of an installed public one.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text, ids)]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
 

@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmill.llm.batches import small_batches
 from trailmill.llm.graph import components
 from trailmill.llm.shingles import mixed, shingle_sets
 from trailmill.operators.joins import fits_broadcast
 from trailmill.session import written
 
 COUNTERS = 1 << 20
-BITMAP_WORDS = 8
+BITMAP_WORDS = 4
 ROUNDS = 2
 MAX_BROADCAST_IDS = 200_000
 
@@ -170,6 +171,7 @@ def _apart(a: str, b: str) -> Column:
 
 class _Join:
     def __init__(self, docs: DataFrame, width: int, num: int, den: int):
+        small_batches(docs.sparkSession)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.width, self.num, self.den = width, num, den
         self.scan = written(
@@ -288,8 +290,9 @@ class _Join:
             .where("x.comp <> y.comp")
             .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
         )
+        left = written(self.shared.join(mixed_tokens, "token"), "left")
         members = comps.join(self.nodes.select("cid", "bits"), "cid")
-        held = self.shared.join(mixed_tokens, "token").join(members, "gid")
+        held = left.join(members, "gid")
         x, y = held.alias("x"), held.alias("y")
         room = (self.num + self.den) * (F.col("x.pos") + F.col("y.pos")) <= (self.den - self.num) * (
             F.col("x.n") + F.col("y.n")

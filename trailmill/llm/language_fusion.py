@@ -4,8 +4,8 @@ Evidence is the text (byte trigrams), a declared language (markup or metadata),
 address, and the host's prior. The priors are smoothed hierarchically: a host's counts lean on
 its domain's, a domain's on all documents'. They are grouped aggregations over all documents.
 
-The trigram model is fitted on a bounded sample of labelled rows (``sample`` rows a language, the
-first by a hash of the text); its size is fixed. Every document is scored over its whole text.
+The trigram model is fitted on a bounded sample of labelled rows (about ``sample`` different texts
+a language, those with the least hashes); its size is fixed. Every document is scored over its whole text.
 Text evidence counts the mean over trigrams times a bounded number of them, as neighbouring
 trigrams are not independent; so a long text outweighs the other evidence, a short one does not.
 
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
+from trailmill.llm.batches import small_batches
 from trailmill.operators.joins import left_join_unique
 from trailmill.session import written
 
@@ -85,18 +86,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_trigrams(
     labelled: DataFrame, languages: list[str], text: str = "text", label: str = "lang", sample: int = SAMPLE
 ) -> np.ndarray:
-    """Log-probability of every trigram bucket per language, from at most ``sample`` rows each."""
-    held = np.zeros((len(languages), BUCKETS))
-    for row, language in enumerate(languages):
-        rows = (
-            labelled.where((F.col(label) == language) & F.col(text).isNotNull())
-            .select(F.col(label), F.col(text).cast("binary").alias("raw"))
-            .orderBy(F.xxhash64("raw"))
-            .limit(sample)
-        )
-        counts = rows.mapInArrow(_counted, "language string, bucket long, n long")
-        found = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
-        held[row, found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
+    """Log-probability of every trigram bucket per language, from about ``sample`` texts each.
+
+    The sample is every text whose hash lies below a bound that follows from the number of
+    different texts of the language; copies count once.
+    """
+    small_batches(labelled.sparkSession)
+    rows = labelled.where(F.col(label).isin(languages) & F.col(text).isNotNull()).select(
+        F.col(label).alias("language"), F.col(text).cast("binary").alias("raw")
+    ).withColumn("hash", F.xxhash64("raw"))
+    sizes = rows.groupBy("language").agg(F.approx_count_distinct("hash").alias("n")).collect()
+    chosen = F.lit(False)
+    for row in sizes:  # one row per language
+        bound = int(min(1.0, sample / max(1, row["n"])) * ((1 << 64) - 1)) - (1 << 63)
+        chosen |= (F.col("language") == row["language"]) & (F.col("hash") <= bound)
+    picked = rows.where(chosen).dropDuplicates(["language", "hash"]).select("language", "raw")
+    counts = picked.mapInArrow(_counted, "language string, bucket long, n long")
+    found = counts.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    held = np.zeros((len(languages), BUCKETS))  # as many rows at most
+    at = found["language"].map(languages.index).to_numpy(np.int64)
+    held[at, found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
     smooth = held + 0.5
     return np.log(smooth / smooth.sum(axis=1, keepdims=True))
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmill.llm.batches import small_batches
 from trailmill.llm.shingles import mixed
 from trailmill.session import written
 
@@ -141,6 +142,7 @@ def find_leaks(
 
     ``exact`` is true where every slot has the item's own value.
     """
+    small_batches(docs.sparkSession)
     pick = lambda df, key: df.select(
         F.col(key).cast("long").alias("id"), F.col(text).alias("text")
     )

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmill.llm.batches import small_batches
 from trailmill.llm.url_sweep import url_parts
 from trailmill.operators.joins import left_join_unique
 from trailmill.session import written
@@ -333,6 +334,7 @@ def extract_text(
     min_pages: int = MIN_PAGES,
 ) -> DataFrame:
     """``key``, ``url``, ``text`` (blocks joined by line breaks) and ``n_chars`` of every page."""
+    small_batches(pages.sparkSession)
     host, _ = url_parts(F.col(url))
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
     kind = dict(rows.dtypes)["key"]
