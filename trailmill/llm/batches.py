@@ -14,6 +14,6 @@ def small_batches(spark: SparkSession) -> None:
     A batch is held by the JVM and by the Python worker, on both ways and in every slot of an
     executor; whole texts fill the usual 64 MB. A single longer text still makes its own batch.
     """
-    now = spark.conf.get(SETTING, "").removesuffix("b")
+    now = spark.conf.get(SETTING, "1g").removesuffix("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(SETTING, str(BATCH_BYTES))
