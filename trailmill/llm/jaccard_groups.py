@@ -45,11 +45,13 @@ def _signature(shingles: np.ndarray) -> bytes:
     return one.tobytes() + two.tobytes()
 
 
-def _wide_bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Parity bitmap with a bit per shingle at least, for sets that fill the usual bitmap."""
-    if len(shingles) <= 64 * BITMAP_WORDS:
+MIDDLE_BITS = 1024
+
+
+def _wider_bitmap(shingles: np.ndarray, least: int, size: int) -> np.ndarray:
+    """Parity bitmap of ``size`` bits for sets over ``least``; smaller bitmaps do for the others."""
+    if len(shingles) <= least:
         return np.zeros(0, np.int64)
-    size = 1 << int(len(shingles) - 1).bit_length()
     odd = np.bincount((shingles >> np.uint64(24)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -78,7 +80,7 @@ def _scan(width: int):
                 ["doc_id", "n", "sig", "counter", "seen"],
             )
         mean = counts.mean()
-        common = np.flatnonzero(counts > mean + 4 * np.sqrt(mean) + 4)
+        common = np.flatnonzero(counts > mean + 2 * np.sqrt(mean) + 2)
         n = len(common)
         yield pa.RecordBatch.from_arrays(
             [
@@ -100,20 +102,21 @@ def _prefixes(width: int, num: int, den: int, levels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(width)
         for batch in batches:
-            marks, bits, wide, tokens = [], [], [], []
+            marks, bits, middle, wide, tokens = [], [], [], [], []
             for shingles in sets(batch.column(1)):
                 n = len(shingles)
                 marks.append(_signature(shingles))
                 odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * BITMAP_WORDS),
                                   minlength=64 * BITMAP_WORDS) & 1
                 bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-                wide.append(_wide_bitmap(shingles))
+                middle.append(_wider_bitmap(shingles, 64 * BITMAP_WORDS, MIDDLE_BITS))
+                wide.append(_wider_bitmap(shingles, 2 * MIDDLE_BITS, 1 << int(n).bit_length()))
                 level = levels[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 order = np.argsort(level, kind="stable")  # sets are sorted by hash already
                 tokens.append(shingles[order[: n - -(-n * num // den) + 1 if n else 0]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(marks, pa.binary()), _lists(bits), _lists(wide), _lists(tokens)],
-                ["doc_id", "sig", "bits", "wide", "tokens"],
+                [batch.column(0), pa.array(marks, pa.binary()), *map(_lists, (bits, middle, wide, tokens))],
+                ["doc_id", "sig", "bits", "middle", "wide", "tokens"],
             )
 
     return run
@@ -199,11 +202,15 @@ class _Join:
         levels = _levels(self.scan)
         found = self.docs.mapInArrow(
             _prefixes(self.width, self.num, self.den, levels),
-            "doc_id long, sig binary, bits array<long>, wide array<long>, tokens array<long>",
+            "doc_id long, sig binary, bits array<long>, middle array<long>, wide array<long>, "
+            "tokens array<long>",
         )
         prefixes = written(self.sets_of(found, self.classes), "prefixes")
         self.nodes = prefixes.select("cid", "n", "bits")
-        self.wide = prefixes.where(F.size("wide") > 0).select("cid", "n", "wide")
+        self.wider = [
+            prefixes.where(F.size(name) > 0).select("cid", "n", F.col(name).alias("wide"))
+            for name in ("middle", "wide")
+        ]
         groups = written(
             prefixes.groupBy("n", "tokens").agg(F.min("cid").alias("gid")), "groups"
         )
@@ -218,7 +225,9 @@ class _Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that link."""
-        pairs = written(self.sifted(pairs.select("a", "b").distinct()), "pairs")
+        pairs = pairs.select("a", "b").distinct()
+        for bitmaps in self.wider:
+            pairs = written(self.sifted(pairs, bitmaps), "pairs")
         needed = pairs.select("a").union(pairs.select("b")).distinct()
         classes = written(self.classes.join(needed, F.col("cid") == F.col("a"), "left_semi"), "needed")
         ids = classes.select(F.col("rep").alias("id")).distinct()
@@ -235,10 +244,10 @@ class _Join:
         linked = (self.den + self.num) * both >= self.num * (F.col("na") + F.col("nb"))
         return written(pairs.join(two, "b").join(one, "a").where(linked).select("a", "b"), "links")
 
-    def sifted(self, pairs: DataFrame) -> DataFrame:
+    def sifted(self, pairs: DataFrame, wide: DataFrame) -> DataFrame:
         """``pairs`` without those of large sets that bitmaps of the same width tell apart."""
-        one = self.wide.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
-        two = self.wide.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+        one = wide.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
+        two = wide.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
         unlike = F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
         apart = F.aggregate(unlike, F.lit(0), lambda total, x: total + x)
         far = (F.size("wa") == F.size("wb")) & (

@@ -98,7 +98,8 @@ def fit_trigrams(
     sizes = rows.groupBy("language").agg(F.approx_count_distinct("hash").alias("n")).collect()
     chosen = F.lit(False)
     for row in sizes:  # one row per language
-        bound = int(min(1.0, sample / max(1, row["n"])) * ((1 << 64) - 1)) - (1 << 63)
+        share = min(sample, row["n"]) * (1 << 64) // max(1, row["n"])
+        bound = min((1 << 63) - 1, share - (1 << 63))
         chosen |= (F.col("language") == row["language"]) & (F.col("hash") <= bound)
     picked = rows.where(chosen).dropDuplicates(["language", "hash"]).select("language", "raw")
     counts = picked.mapInArrow(_counted, "language string, bucket long, n long")
