@@ -135,6 +135,8 @@ def test_bpe_like_the_public_encoder(spark, docs, texts):
         assert rows[i].n_tokens == len(ids)
         assert rows[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert rows[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+    both = bpe_monoid.decode(bpe_monoid.encode(docs)).collect()
+    assert [bytes(r.data).decode() for r in sorted(both, key=lambda r: r.doc_id)] == [t or "" for t in texts]
     encode = bpe_monoid.text_encoder(ranks, public.PATTERN)
     rnd = random.Random(1)
     parts = ["a", "th", " ", "  ", "\n", "'s", "é", "中文", "🙂", "12", "#", "\x1c", "\xa0", "#a", "abc" * 40]

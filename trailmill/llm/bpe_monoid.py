@@ -29,7 +29,7 @@ from trailmill.llm.batches import small_batches
 LEAF_BYTES = 16
 WINDOW = 2
 MEMO_ENTRIES = 60_000
-STRETCHES = 200_000
+STRETCHES = 150_000
 OUT_BYTES = 8 << 20
 
 
@@ -194,6 +194,18 @@ def text_encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], bytes
     return encode
 
 
+def ids_decoder(ranks: dict[bytes, int]) -> Callable:
+    """Decoder of an array of ids: the tokens' bytes, concatenated."""
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+
+    def decoded(ids) -> bytes:
+        return b"".join([tokens[i] for i in ids.tolist()])
+
+    return decoded
+
+
 def _installed(vocabulary: str, pattern: str | None) -> tuple[str, str]:
     import os
 
@@ -214,9 +226,12 @@ def encode(
     ids: str = "ids",
     vocabulary: str = VOCABULARY,
     pattern: str | None = None,
+    data: str | None = None,
 ) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) in place of ``text``.
 
+    With ``data`` the ids are decoded again in the same pass, into a column of that name.
+
     ``vocabulary`` is a rank file: an absolute path, or the name of an installed public one.
     """
     small_batches(docs.sparkSession)
@@ -227,7 +242,8 @@ def encode(
         import numpy as np
 
         path, rule = _installed(vocabulary, pattern)
-        encoder = text_encoder(read_ranks(path), rule)
+        ranks = read_ranks(path)
+        encoder, decoder = text_encoder(ranks, rule), ids_decoder(ranks)
         for batch in batches:
             packed, size, start = [], 0, 0
             texts = batch.column(len(kept))
@@ -240,10 +256,17 @@ def encode(
                     flat = np.frombuffer(b"".join(packed), np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
                     part = batch.slice(start, len(packed)).columns[: len(kept)]
-                    yield pa.RecordBatch.from_arrays([*part, lists], [*kept, ids])
+                    columns = [*part, lists]
+                    if data is not None:
+                        whole = [decoder(np.frombuffer(one, np.int32)) for one in packed]
+                        columns.append(pa.array(whole, pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
                     packed, size, start = [], 0, row + 1
 
     fields = [*rows.drop(text).schema, StructField(ids, ArrayType(IntegerType()))]
+    if data is not None:
+        fields.append(StructField(data, BinaryType()))
+    names = [field.name for field in fields]
     return rows.mapInArrow(run, StructType(fields))
 
 
@@ -259,16 +282,13 @@ def decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, _ = _installed(vocabulary, "")
-        ranks = read_ranks(path)
-        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
+        decoder = ids_decoder(read_ranks(path))
         for batch in batches:
             lists = batch.column(at)
             whole = []
             for row in range(batch.num_rows):
                 value = lists[row].values  # one text's ids at a time
-                whole.append(b"" if value is None else b"".join([tokens[i] for i in value.to_numpy().tolist()]))
+                whole.append(b"" if value is None else decoder(value.to_numpy()))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(whole, pa.binary())], [*kept, data]
             )
@@ -279,8 +299,8 @@ def decode(
 
 def token_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, hash of the ids, hash of the decoded bytes of every document."""
-    encoded = encode(docs.select("doc_id", "text"), vocabulary=vocabulary)
-    return decode(encoded, vocabulary=vocabulary).select(
+    rows = docs.select("doc_id", "text")
+    return encode(rows, vocabulary=vocabulary, data="data").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

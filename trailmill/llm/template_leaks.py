@@ -32,7 +32,7 @@ WINDOW = 8
 MIN_WORDS = 5
 MIN_COVERED = 0.5
 BITS = 1 << 24
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 # Unit words.
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hour hours minute minutes second "
@@ -51,16 +51,16 @@ def word_codes():
     import xxhash
 
     number = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?").fullmatch
-    memo: dict[str, tuple[int, int, int]] = {}
+    memo: dict[str, int] = {}
 
-    def look(word: str) -> tuple[int, int, int]:
-        """Hash of the bare word, its fixed kind, and flags: 1 capitalised, 2 ends a sentence."""
+    def look(word: str) -> int:
+        """Hash of the bare word; its low bits are 1 capitalised, 2 ends a sentence, 4 x kind."""
         bare = word.strip(".,;:!?\"'()[]{}«»“”‘’|*#&")
         low = bare.lower()
-        code = xxhash.xxh64_intdigest(low) >> 1
+        code = xxhash.xxh64_intdigest(low) >> 1 & ~15
         kind = NUMBER if number(bare) else UNIT if low in UNITS else 0
         flags = (1 if bare[:1].isupper() else 0) | (2 if word[-1:] in ".!?:" else 0)
-        return code, kind, flags
+        return code | kind << 2 | flags
 
     def codes(text: str) -> tuple[np.ndarray, np.ndarray]:
         rows = []
@@ -73,8 +73,8 @@ def word_codes():
             rows.append(row)
         if not rows:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        table = np.array(rows, np.int64)
-        bare, kind, flags = table[:, 0], table[:, 1].copy(), table[:, 2]
+        packed = np.fromiter(rows, np.int64, len(rows))
+        bare, kind, flags = packed & ~15, packed >> 2 & 3, packed & 3
         inside = np.append(False, (flags[:-1] & 2) == 0)
         kind[(kind == 0) & ((flags & 1) == 1) & inside] = NAME
         return np.where(kind > 0, kind, bare).astype(np.uint64), np.where(kind > 0, bare, 0)
