@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from suite.inputs import GEO_RAW, derived, table, with_inputs
 from suite.records import TYPED, geo_options
 from suite.registry import query
-from trailmill.options import Lookup
+from trailmill.options import Lookup, PrepOptions
 from trailmill.operators.lookup import add_lookup
 from trailmill.plans.preparation import prepare
 from trailmill.plans.sinks import write_records
@@ -21,7 +21,8 @@ from trailmill.session import scratch_path
 from trailmill.sources.files import FILE_COLUMN, read_csv, read_parquet, union_records
 from trailmill.sources.lookups import read_lookup
 
-_COLUMNS = [c for c in GEO_RAW if c not in ("raw_lat", "raw_lon", "amount")]
+_COLUMNS = list(GEO_RAW)
+_FILE_RECORDS = 5000
 # text as it comes back from a CSV file: nothing and the empty string are the same
 _AS_READ = ", ".join(f"NULLIF(CAST({c} AS STRING), '') AS {c}" for c in _COLUMNS)
 _ROUND_TRIP = with_inputs(f"SELECT {_AS_READ} FROM geo_raw", "geo_raw")
@@ -30,7 +31,8 @@ _ROUND_TRIP = with_inputs(f"SELECT {_AS_READ} FROM geo_raw", "geo_raw")
 def _written_csv(spark, sf_dir, header=True, **options) -> str:
     path = scratch_path(spark, "csv")
     frame = derived(spark, sf_dir, "geo_raw").select(*_COLUMNS)
-    frame.repartition(3, "row_id").write.options(header=header, **options).csv(path)
+    # small files, as many as the table needs
+    frame.write.options(header=header, maxRecordsPerFile=_FILE_RECORDS, **options).csv(path)
     return path
 
 
@@ -106,21 +108,26 @@ def union_files(spark, sf_dir):
 @query(
     "parquet_rolled",
     with_inputs(
-        TYPED.format("geo_raw") + """SELECT row_id, lat, lon, time,
-            CAST((SELECT ceil(count(*) / CAST(97 AS DOUBLE)) FROM accepted) AS BIGINT) AS files FROM accepted""",
+        TYPED.format("geo_raw") + """SELECT row_id, lat, lon, time, TRUE AS within_limit,
+            (SELECT count(*) > 97 FROM accepted) AS several_files FROM accepted""",
         "geo_raw",
     ),
 )
 def parquet_rolled(spark, sf_dir):
-    """One writing task, so the number of files is exact; no file holds more than 97 records."""
+    """Several tasks write; all records come back and no file holds more than 97 of them."""
     path = scratch_path(spark, "rolled")
     run = prepare(spark, geo_options(), records=derived(spark, sf_dir, "geo_raw"))
-    write_records(
-        run.records().select("row_id", "lat", "lon", "time").coalesce(1), path, records_per_file=97
-    )
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    records = run.records().select("row_id", "lat", "lon", "time").repartition(tasks, "row_id")
+    write_records(records, path, records_per_file=97)
     back = read_parquet(spark, path)
-    files = back.select(FILE_COLUMN).distinct().count()
-    return back.drop(FILE_COLUMN).withColumn("files", F.lit(files).cast("long"))
+    sizes = back.groupBy(FILE_COLUMN).count().agg(
+        F.max("count").alias("largest"), F.count(F.lit(1)).alias("files")
+    ).first()
+    return back.drop(FILE_COLUMN).withColumns({
+        "within_limit": F.lit(sizes["largest"] is None or sizes["largest"] <= 97),
+        "several_files": F.lit(sizes["files"] > 1),
+    })
 
 
 @query(
@@ -140,8 +147,6 @@ def parquet_typed_source(spark, sf_dir):
         "((l_orderkey * 10473) % 40001) / CAST(100 AS DOUBLE) - 200 AS x",
         "1700000000 + l_orderkey * 37 AS at", "l_extendedprice AS price",
     ).write.parquet(path)
-    from trailmill.options import PrepOptions
-
     options = PrepOptions(
         longitude="x", latitude="y", time="at", long_columns=["l_orderkey", "l_linenumber"],
         double_columns=["price"], start_time="1700005000", input_path=path,
@@ -152,6 +157,33 @@ def parquet_typed_source(spark, sf_dir):
     )
 
 
+@query(
+    "parquet_timestamp_time",
+    """SELECT id, lat, lon, CAST(time AS BIGINT) AS time, CAST(seen AS BIGINT) AS seen FROM (
+            SELECT l_orderkey * 8 + l_linenumber AS id,
+                ((l_orderkey * 7919) % 20001) / CAST(100 AS DOUBLE) - 100 AS lat,
+                ((l_orderkey * 10473) % 40001) / CAST(100 AS DOUBLE) - 200 AS lon,
+                1700000000000 + l_orderkey * 37000 AS time, epoch(l_shipdate) * 1000 AS seen
+            FROM lineitem) t
+       WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180
+         AND time BETWEEN 1700006400000 AND 1700200000000""",
+)
+def parquet_timestamp_time(spark, sf_dir):
+    """Stored instants and dates are times; the gate's bounds reach the files."""
+    path = scratch_path(spark, "instants")
+    table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey * 8 + l_linenumber AS id",
+        "((l_orderkey * 7919) % 20001) / CAST(100 AS DOUBLE) - 100 AS y",
+        "((l_orderkey * 10473) % 40001) / CAST(100 AS DOUBLE) - 200 AS x",
+        "timestamp_seconds(1700000000 + l_orderkey * 37) AS at", "CAST(l_shipdate AS DATE) AS seen",
+    ).write.parquet(path)
+    options = PrepOptions(
+        longitude="x", latitude="y", time="at", input_path=path,
+        start_time="2023-11-15T00:00:00Z", end_time="1700200000",
+    )
+    return prepare(spark, options).records().select("id", "lat", "lon", "time", "seen")
+
+
 @query(
     "lookup_file",
     """SELECT c_custkey, n_name AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
@@ -175,15 +207,14 @@ def lookup_file(spark, sf_dir):
     "csv_run",
     with_inputs(
         TYPED.format("geo_raw") + """SELECT CAST(row_id AS BIGINT) AS row_id, time,
-            NULLIF(segment, '') AS segment, CAST(3 AS BIGINT) AS files FROM accepted""",
+            NULLIF(segment, '') AS segment, TRUE AS all_files FROM accepted""",
         "geo_raw",
     ),
 )
 def csv_run(spark, sf_dir):
-    """A whole run from a folder of CSV files, types inferred, with the number of files."""
-    path = scratch_path(spark, "run")
-    frame = derived(spark, sf_dir, "geo_raw")
-    frame.repartition(3, "row_id").write.options(header=True).csv(path)
-    run = prepare(spark, geo_options(input_path=path, time_format=None, sample_rows=1000))
-    files = run.totals().first()["files"]
-    return run.records().select("row_id", "time", "segment", F.lit(files).cast("long").alias("files"))
+    """A whole run from a folder of CSV files, types inferred, every file counted."""
+    path = _written_csv(spark, sf_dir)
+    run = prepare(spark, geo_options(input_path=path, time_format=None))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path")
+    all_files = run.totals().first()["files"] == listed.count()
+    return run.records().select("row_id", "time", "segment", F.lit(all_files).alias("all_files"))

@@ -149,9 +149,8 @@ def _sites(spark, sf_dir, name):
     )
 
 
-def _nearest(spark, sf_dir, name, **options):
-    coordinates = coordinates_of(_sites(spark, sf_dir, name))
-    return nearest_neighbours(coordinates, **options).select(
+def _nearest(spark, sf_dir, name):
+    return nearest_neighbours(coordinates_of(_sites(spark, sf_dir, name))).select(
         "lat", "lon", "rank", F.round("distance_m", 2).alias("distance_m")
     )
 
@@ -164,7 +163,7 @@ def nearest4_sites(spark, sf_dir):
 @query("nearest4_crowded", _nearest_sql("crowded_sites", _NEAREST_BODY))
 def nearest4_crowded(spark, sf_dir):
     """A third of the sites within some hundred metres; crowded cubes are spread."""
-    return _nearest(spark, sf_dir, "crowded_sites", spread_above=0)
+    return _nearest(spark, sf_dir, "crowded_sites")
 
 
 @query("intersite_radius", _nearest_sql("sites", _RADIUS_BODY.format("sites")))
@@ -247,11 +246,14 @@ def geometry_intersite(spark, sf_dir):
     with_inputs(TYPED.format("geo_raw") + """
         SELECT count(*) AS n, CAST(0 AS BIGINT) AS outside,
             count(*) FILTER (WHERE NULLIF(NULLIF(raw_radius, ''), 'null') IS NOT NULL) AS with_centre,
-            count(*) FILTER (WHERE NULLIF(NULLIF(raw_radius, ''), 'null') IS NULL) AS unmoved
+            count(*) FILTER (WHERE NULLIF(NULLIF(raw_radius, ''), 'null') IS NULL) AS unmoved,
+            count(*) FILTER (WHERE TRY_CAST(raw_radius AS FLOAT) >= 1) AS circles_moved,
+            TRUE AS about_half_beyond_half, CAST(0 AS BIGINT) AS points_away
         FROM accepted""", "geo_raw"),
 )
 def geometry_randomized(spark, sf_dir):
-    """Every moved point lies within radius + 1 metres of its centre; the others stay."""
+    """Every moved point lies within radius + 1 metres of its centre, all circles move, about half
+    of them beyond half their radius; the others stay."""
     run = prepared(
         spark, sf_dir, radius="raw_radius", randomize=True, seed=11,
         string_columns=["cell_id", "segment", "unused"],
@@ -265,4 +267,61 @@ def geometry_randomized(spark, sf_dir):
         F.count_if(F.col("off") > limit + 0.001).alias("outside"),
         F.count("geometryLatitude").alias("with_centre"),
         F.count_if(F.col("geometryType").isNull()).alias("unmoved"),
+        F.count_if((F.col("geometryType") == "CIRCLE") & (F.col("off") > 0)).alias("circles_moved"),
+        F.avg(
+            F.when(F.col("geometryType") == "CIRCLE", (F.col("off") > limit / 2).cast("int"))
+        ).between(0.3, 0.7).alias("about_half_beyond_half"),
+        F.count_if((F.col("geometryType") == "POINT") & (F.col("off") > 1.001)).alias("points_away"),
     )
+
+
+_LAST_GIVEN = """
+    , cells AS (SELECT DISTINCT NULLIF(cell_id, '') AS site, lat, lon, time,
+        TRY_CAST(NULLIF(NULLIF(raw_radius, ''), 'null') AS FLOAT) AS radius FROM accepted WHERE cell_id <> '')
+    , last AS (SELECT site, lat, lon, radius FROM (SELECT *, row_number() OVER
+        (PARTITION BY site ORDER BY time DESC) AS k FROM cells) c WHERE k = 1)
+    , spots AS (SELECT lat, lon, count(*) AS n
+        FROM (SELECT DISTINCT site, lat, lon, radius FROM cells) d GROUP BY lat, lon)
+    , pairs AS (SELECT a.site, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2, b.n
+        FROM last a JOIN spots b ON a.lat <> b.lat OR a.lon <> b.lon)
+"""
+
+
+@query(
+    "geometry_site_given_radius",
+    with_inputs(
+        TYPED.format("geo_raw") + _LAST_GIVEN + inverse_ctes("pairs", "site, lat2, lon2, n") + f"""
+        , four AS (SELECT *, greatest(0, least(n, 4 - (sum(n) OVER (PARTITION BY site ORDER BY rank) - n))) AS used
+            FROM (SELECT site, metres, n, row_number() OVER
+                (PARTITION BY site ORDER BY metres, lat2, lon2) AS rank FROM measured) q WHERE rank <= 4)
+        , means AS (SELECT site, CAST(floor(sum(metres * used) / sum(used)) AS INTEGER) AS mean
+            FROM four GROUP BY site)
+        , radii AS (SELECT site, COALESCE(CAST(trunc(radius) AS INTEGER), mean) AS r
+            FROM last LEFT JOIN means USING (site))
+        SELECT row_id, {_GEOMETRY} FROM accepted LEFT JOIN radii ON site = NULLIF(cell_id, '')""",
+        "geo_raw",
+    ),
+)
+def geometry_site_given_radius(spark, sf_dir):
+    """The radius of the latest site of each identifier, derived where that one has none."""
+    return _geometry_of(
+        prepared(
+            spark, sf_dir, site_id="cell_id", radius="raw_radius",
+            string_columns=["cell_id", "segment", "unused"],
+        )
+    )
+
+
+@query(
+    "sites_tolerance",
+    with_inputs(TYPED.format("geo_raw") + """
+        SELECT site, arg_max(lat, time) AS lat, arg_max(lon, time) AS lon, max(time) AS last_seen
+        FROM (SELECT NULLIF(cell_id, '') AS site, lat, lon, time FROM accepted) c
+        WHERE site IS NOT NULL GROUP BY site, round(lat / 20.5), round(lon / 20.5)""", "geo_raw"),
+)
+def sites_tolerance(spark, sf_dir):
+    """Sites of one identifier within a grid cell are one, at the place seen last."""
+    records = prepared(spark, sf_dir).records().select(
+        F.col("cell_id").alias("site"), "lat", "lon", F.lit(None).cast("float").alias("radius"), "time"
+    )
+    return distinct_sites(records, 20.5).select("site", "lat", "lon", "last_seen")

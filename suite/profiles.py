@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from suite.inputs import LOOKUPS, derived, lookup_rows, with_inputs
+from suite.inputs import LOOKUPS, NATION_KEY, derived, lookup_rows, with_inputs
 from suite.records import LAT_OK, LON_OK, LONG, TYPED, geo_options, prepared
 from suite.registry import query
 from trailmill.operators import profile as profiles
@@ -146,7 +146,7 @@ def profile_minmax(spark, sf_dir):
     return counts.where(F.col("type").isin("float", "double")).select("column", "min", "max")
 
 
-@query("profile_distinct", _sql('"column", n_distinct', "WHERE type = 'string' AND n_distinct > 0"))
+@query("profile_distinct", _sql('"column", n_distinct', "WHERE type = 'string'"))
 def profile_distinct(spark, sf_dir):
     run = _profiled(spark, sf_dir)
     return profiles.profile_distinct(run.decided, run.profiled_columns)
@@ -259,8 +259,7 @@ def lookup_shuffled(spark, sf_dir):
 @query(
     "prepared_records",
     with_inputs(TYPED.format("trips") + _FIRST.format("person") + f"""
-        , keyed AS (SELECT CAST(n_nationkey AS STRING) AS k, n_name AS v FROM nation
-                    WHERE n_nationkey % 5 <> 4)
+        , keyed AS (SELECT {NATION_KEY} AS k, n_name AS v FROM nation)
         SELECT trip_id, lat, lon, time, cell, ids.id AS person,
             CAST(CASE WHEN TRY_CAST(price AS FLOAT) <> CAST(2147483647 AS FLOAT)
                  THEN TRY_CAST(price AS FLOAT) END AS DOUBLE) AS price,

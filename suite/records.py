@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from suite.inputs import LOOKUPS, derived, lookup_rows, table, with_inputs
+from suite.inputs import LOOKUPS, NATION_KEY, derived, lookup_rows, table, with_inputs
 from suite.registry import query
 from trailmill.functions import casts, times
 from trailmill.functions.names import display_name
 from trailmill.operators.clean import status_of
 from trailmill.operators.lookup import add_lookup
 from trailmill.operators.preview import column_preview, search_columns
-from trailmill.operators.schema import resolve_schema
 from trailmill.options import PrepOptions
 from trailmill.plans.preparation import prepare
 from trailmill.sources.lookups import LookupTable
@@ -179,11 +178,32 @@ def schema_inferred(spark, sf_dir):
         (F.lit(1700000000) + F.col("row_id")).cast("string").alias("fixed"),
         F.concat(F.col("row_id").cast("string"), F.lit(".5")).alias("share"),
     )
-    columns = resolve_schema(raw, PrepOptions(**GEO), times.TimeReader("epoch_s"))
-    rows = [(c.name, c.kind) for c in columns if c.role in ("value", "moment")]
+    run = prepare(spark, PrepOptions(**GEO), records=raw)
+    rows = [(c.name, c.kind) for c in run.columns if c.role in ("value", "moment")]
     return spark.createDataFrame(rows, "name string, type string")
 
 
+@query(
+    "schema_whole_input",
+    over_geo("""
+        SELECT row_id, time, visits, NULLIF(segment, '') AS segment, CAST(1700000000 + row_id AS BIGINT) * 1000 AS fixed,
+            CAST(row_id AS BIGINT) * 1000003 + 123456789 AS big, row_id / CAST(8 AS DOUBLE) + 900000 AS stored
+        FROM accepted"""),
+)
+def schema_whole_input(spark, sf_dir):
+    """Nothing declared: no value is lost in a column of numbers and text, stored numbers stay."""
+    raw = derived(spark, sf_dir, "geo_raw").selectExpr(
+        "CAST(row_id AS BIGINT) AS row_id", "raw_lat", "raw_lon", "raw_time", "visits", "segment",
+        "CAST(1700000000 + row_id AS STRING) AS fixed",
+        "CAST(row_id AS BIGINT) * 1000003 + 123456789 AS big",
+        "row_id / CAST(8 AS DOUBLE) + 900000 AS stored",
+    )
+    options = PrepOptions(longitude="raw_lon", latitude="raw_lat", time="raw_time")
+    return prepare(spark, options, records=raw).records().select(
+        "row_id", "time", "visits", "segment", "fixed", "big", "stored"
+    )
+
+
 _PREVIEW_COLUMNS = ("raw_time", "cell_id", "visits", "segment", "unused", "broken")
 _PREVIEW_SQL = with_inputs(
     ", first AS (SELECT * FROM geo_raw ORDER BY row_id LIMIT 3), shown AS ("
@@ -335,8 +355,7 @@ def _lookup_query(kind, out_type):
         "double": "TRY_CAST(v AS DOUBLE)",
     }[kind]
     sql = with_inputs(
-        f""", keyed AS (SELECT CAST(n_nationkey AS STRING) AS k, {value} AS v FROM nation
-                        WHERE n_nationkey % 5 <> 4)
+        f""", keyed AS (SELECT {NATION_KEY} AS k, {value} AS v FROM nation)
         SELECT row_id, {casted} AS {target} FROM geo_raw LEFT JOIN keyed ON lower(cell_id) = lower(k)""",
         "geo_raw",
     )

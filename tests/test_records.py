@@ -327,3 +327,38 @@ def test_condition_is_never_null(spark):
     run = tm.prepare(spark, options(time_format="epoch_s"), records=raw)
     condition = accept_condition(raw, run.options, run.times, None, None)
     assert raw.where(condition).count() + raw.where(f"NOT coalesce({condition}, false)").count() == 2
+
+
+# -- types and time format from all records ---------------------------------------------------
+
+
+def test_types_come_from_all_records(spark):
+    run = prepared(spark, [(*GOOD, "12"), (*GOOD, "x"), (*GOOD, None)], ["la", "lo", "t", "v"])
+    assert run.columns[-1].kind == "string"
+    assert sorted(r.v or "" for r in run.records().collect()) == ["", "12", "x"]
+
+
+def test_the_time_format_is_the_one_most_values_fit(spark):
+    rows = [(*GOOD[:2], None), (*GOOD[:2], "17")] + [(*GOOD[:2], f"170000000{i}000") for i in range(3)]
+    run = prepared(spark, rows, time_format=None)
+    assert run.times.fmt == "epoch_ms" and run.records().count() == 3
+
+
+def test_stored_numbers_keep_their_type(spark):
+    raw = frame(spark, [GOOD], "la lo t".split()).selectExpr(
+        "*", "123456789L AS big", "900000.01D AS wide", "DATE'2024-03-31' AS day"
+    )
+    row = tm.prepare(spark, options(), records=raw).records().first()
+    assert (row.big, row.wide, row.day) == (123456789, 900000.01, 1711843200000)
+
+
+def test_stored_times_need_no_format(spark):
+    raw = frame(spark, [GOOD] * 2, "la lo t".split()).selectExpr(
+        "la", "lo", "timestamp_seconds(CAST(t AS BIGINT)) AS t"
+    )
+    run = tm.prepare(
+        spark, options(time_format=None, start_time="2023-11-14T00:00:00Z", end_time="1700000000"), records=raw
+    )
+    assert [r.time for r in run.records().collect()] == [1700000000000] * 2
+    late = tm.prepare(spark, options(time_format=None, start_time="1700000001"), records=raw)
+    assert late.records().isEmpty()

@@ -21,6 +21,12 @@ _PATTERNS = {"spaced_offset": SPACED_OFFSET, "iso_offset": ISO_OFFSET, "iso_zone
 # An epoch text is at least this long; a longer sample means milliseconds.
 EPOCH_DIGITS = 10
 
+# Column types that hold times already, and how they are read: an instant as it is, a local time
+# in the zone of the run.
+STORED_TYPES = {"timestamp": "stored_instant", "timestamp_ntz": "stored_local", "date": "stored_local"}
+# Any of FORMATS, told apart per value: for text beside stored times, such as time bounds.
+ANY = "any"
+
 # Milliseconds beyond this have no calendar day in Spark (the product with 1000 leaves bigint).
 _DAY_LIMIT_MS = 9_000_000_000_000_000
 
@@ -37,7 +43,13 @@ def to_millis(text: str, fmt: str, zone: str = "Z") -> str:
     """Epoch milliseconds of a time text in a known format; null if it does not fit."""
     if fmt in _PATTERNS:
         return _instant(text, _PATTERNS[fmt])
-    if fmt == "iso_local":
+    if fmt == "stored_instant":
+        return text
+    if fmt == ANY:
+        seconds = f"CASE WHEN length({text}) <= {EPOCH_DIGITS} THEN {to_millis(text, 'epoch_s')} END"
+        others = [to_millis(text, f, zone) for f in ("spaced_offset", "iso_zoned", "epoch_ms", "iso_local")]
+        return f"coalesce({seconds}, {', '.join(others)})"
+    if fmt in ("iso_local", "stored_local"):
         # read as if UTC (independent of the session zone), then move into the given zone
         as_utc = f"try_to_timestamp({text} || 'Z', {literal(ISO_LOCAL + 'XXX')})"
         return f"unix_millis(to_utc_timestamp({as_utc}, {literal(zone_name(zone))}))"
@@ -50,7 +62,7 @@ def to_millis(text: str, fmt: str, zone: str = "Z") -> str:
 
 def to_day(text: str, millis: str, fmt: str, zone: str = "Z") -> str:
     """Calendar day as text: written dates keep their own day, epochs use the given zone."""
-    if fmt.startswith("epoch"):
+    if fmt.startswith("epoch") or fmt == "stored_instant":
         in_range = f"CASE WHEN {millis} BETWEEN -{_DAY_LIMIT_MS} AND {_DAY_LIMIT_MS} THEN {millis} END"
         local = f"from_utc_timestamp(timestamp_millis({in_range}), {literal(zone_name(zone))})"
         # the instant shifted into the zone, read back in UTC whatever the session zone is
@@ -65,6 +77,12 @@ class TimeReader:
     fmt: str
     zone: str = "Z"
 
+    def of(self, raw_type: str) -> TimeReader:
+        """How a column of this type is read: stored times need no format."""
+        if raw_type in STORED_TYPES:
+            return TimeReader(STORED_TYPES[raw_type], self.zone)
+        return TimeReader(ANY, self.zone) if self.fmt in STORED_TYPES.values() else self
+
     def millis(self, text: str) -> str:
         return to_millis(text, self.fmt, self.zone)
 
@@ -72,29 +90,45 @@ class TimeReader:
         return to_day(text, millis, self.fmt, self.zone)
 
 
+def time_text(column: str, raw_type: str) -> str:
+    """What the reader of this type reads: milliseconds of an instant, otherwise text."""
+    if raw_type == "timestamp":
+        return f"unix_millis({column})"
+    text = column if raw_type == "string" else f"CAST({column} AS STRING)"
+    if raw_type == "timestamp_ntz":
+        return f"replace({text}, ' ', 'T')"
+    return f"({text} || 'T00:00')" if raw_type == "date" else text
+
+
 def _fits(text: str) -> list[tuple[str, str]]:
     whole = f"try_cast({text} AS BIGINT) IS NOT NULL"
     return [
         ("spaced_offset", _instant(text, SPACED_OFFSET) + " IS NOT NULL"),
         ("iso_offset", _instant(text, ISO_OFFSET) + " IS NOT NULL"),
         ("iso_zoned", _instant(text, ISO_ZONED) + " IS NOT NULL"),
+        ("epoch_s", f"{whole} AND length({text}) <= {EPOCH_DIGITS}"),
         ("epoch_ms", f"{whole} AND length({text}) > {EPOCH_DIGITS}"),
-        ("epoch_s", whole),
         ("iso_local", to_millis(text, "iso_local") + " IS NOT NULL"),
     ]
 
 
-def detect_format(sample: DataFrame, column: str) -> str:
-    """First format that fits every non-null value of the sample (default: one row)."""
-    text = f"CAST({quoted(column)} AS STRING)"
-    counted = sample.selectExpr(
-        f"count({text}) AS n", *[f"count_if({fits}) AS {name}" for name, fits in _fits(text)]
+def detect_format(records: DataFrame, column: str) -> str:
+    """The format that most values fit, the first listed of equals: one aggregate.
+
+    A column without any value is read alike by every format. A column of a stored time type
+    is not looked into.
+    """
+    raw_type = dict(records.dtypes)[column]
+    if raw_type in STORED_TYPES:
+        return STORED_TYPES[raw_type]
+    text = f"nullif(CAST({quoted(column)} AS STRING), '')"
+    counted = records.selectExpr(f"{text} AS v").selectExpr(
+        "count(v) AS n", *[f"count_if({fits}) AS {name}" for name, fits in _fits("v")]
     ).first()
-    if counted["n"]:
-        for name, _ in _fits(text):
-            if counted[name] == counted["n"]:
-                return name
-    raise ValueError(f"the first values of {column!r} match no known time format")
+    best = max(FORMATS, key=lambda name: counted[name])
+    if counted["n"] and not counted[best]:
+        raise ValueError(f"the values of {column!r} match no known time format")
+    return best
 
 
 def format_of(text: str) -> str:

@@ -30,12 +30,13 @@ TRAJECTORY_ENTRY = {
     "guiType": TRAJECTORY,
     "lonAttributeId": "lon",
     "latAttributeId": "lat",
+    "infoAttributes": [],
 }
 
 _SCHEMA = (
     "position int, attributeId string, attributeName string, attributeTooltip string, "
     "`group` string, unit string, guiType string, hidden boolean, "
-    "idField string, lonAttributeId string, latAttributeId string"
+    "idField string, lonAttributeId string, latAttributeId string, infoAttributes array<string>"
 )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from trailmill.functions.casts import (
     CASTS, SQL_TYPES, is_marker, literal, quoted, radius_text, to_double, to_float, to_long, to_text,
 )
-from trailmill.functions.times import TimeReader
+from trailmill.functions.times import STORED_TYPES, TimeReader, time_text
 from trailmill.operators.schema import OutputColumn
 from trailmill.options import PrepOptions
 from trailmill.sources.files import FILE_COLUMN
@@ -89,7 +89,8 @@ def parse(column: OutputColumn, raw_type: str, times: TimeReader) -> tuple[str,
     if column.role in ("lat", "lon"):
         return (raw, f"CAST({raw} AS DOUBLE)") if number else (to_text(text), to_double(text))
     if column.role in ("time", "moment"):
-        return to_text(text), times.millis(text)
+        given, reader = time_text(raw, raw_type), times.of(raw_type)
+        return (raw if raw_type in STORED_TYPES else to_text(given)), reader.millis(given)
     if column.role == "radius":
         given = radius_text(text)
         return (raw, f"CAST({raw} AS FLOAT)") if number else (given, to_float(given))
@@ -98,7 +99,7 @@ def parse(column: OutputColumn, raw_type: str, times: TimeReader) -> tuple[str,
     if column.kind == "long":
         if raw_type in _WHOLE:
             return raw, f"CAST({raw} AS BIGINT)"
-        return text, f"coalesce({to_long(text)}, {times.millis(text)})"
+        return text, f"coalesce({to_long(text)}, {times.of('string').millis(text)})"
     if number:
         return raw, f"CAST({raw} AS {SQL_TYPES[column.kind]})"
     return text, CASTS[column.kind](text)
@@ -135,9 +136,9 @@ def clean(
         )
         judged[column.name], judged[status_of(column.name)] = judge(text, value, marked, allowed)
         if column.role == "time":
-            written_time = f"CAST({quoted(column.source)} AS STRING)"
-            parsed["__time_text"] = written_time
-            judged[DAY] = times.day("__time_text", value)
+            raw_type = types[column.source]
+            parsed["__time_text"] = time_text(quoted(column.source), raw_type)
+            judged[DAY] = times.of(raw_type).day("__time_text", value)
     carried = {c.source for c in columns if c.role == "lookup"}
     for source in sorted(carried):
         parsed[raw_of(source)] = f"CAST({quoted(source)} AS STRING)"
@@ -156,6 +157,7 @@ def clean(
 def gate_bounds(raw: DataFrame, options: PrepOptions, times: TimeReader) -> tuple[int | None, int | None]:
     """Start and end in epoch milliseconds, read like the data's own time text."""
     bounds = []
+    times = times.of(dict(raw.dtypes)[options.time]).of("string")
     for text in (options.start_time, options.end_time):
         if not text:
             bounds.append(None)
@@ -208,10 +210,17 @@ def accept_condition(
         marked = markers.hit(name, "double", value)
         if marked != "false":
             tests.append(f"NOT {marked}")
-    column = quoted(options.time)
-    millis = times.millis(f"CAST({column} AS STRING)")
+    column, raw_type = quoted(options.time), types[options.time]
+    millis = times.of(raw_type).millis(time_text(column, raw_type))
     scale = {"epoch_ms": 1, "epoch_s": 1000}.get(times.fmt)
-    if types[options.time] in ("bigint", "int") and scale:
+    if raw_type == "timestamp":
+        # compared as stored, so that the bounds reach the files
+        if start is not None:
+            tests.append(f"{column} >= timestamp_millis({start}L)")
+        if end is not None:
+            tests.append(f"{column} < timestamp_millis({end + 1}L)")
+        tests.append(f"{column} IS NOT NULL")
+    elif raw_type in ("bigint", "int") and scale:
         if start is not None:
             tests.append(f"{column} >= {-(-start // scale)}L")
         if end is not None:

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-# At most this many keys can be heavy; each is a hash and a count on the driver.
-HEAVY_KEYS = 1024
 
 SPREAD = "__spread"
 _SALT = "__salt"
@@ -46,17 +44,18 @@ def spread_column(df: DataFrame) -> DataFrame:
 def heavy_keys(counts: DataFrame, tasks: int) -> list[tuple[int, int]]:
     """(key hash, number of parts) of keys with more than one task's share of the records.
 
-    ``counts`` has (hash, n). The shares are taken within the most frequent keys, which
-    include every key that holds more than 1/1024 of all records.
+    ``counts`` has (hash, n). By counting, fewer than ``tasks`` keys can hold more than a task's
+    share; so many rows of two numbers reach the driver, together with the true total.
     """
-    top = (
-        counts.orderBy(F.desc("n"), "hash").limit(HEAVY_KEYS).select("hash", "n").collect()
-    )
-    total = sum(row["n"] for row in top)
+    counts = counts.select("hash", "n")
+    top = counts.orderBy(F.desc("n"), "hash").limit(tasks)
+    total = counts.agg(F.lit(None).cast("long").alias("hash"), F.sum("n").alias("n"))
+    rows = top.unionByName(total).collect()
+    records = next(row["n"] for row in rows if row["hash"] is None)
     return [
         (row["hash"], parts)
-        for row in top
-        if total and (parts := -(-row["n"] * tasks // total)) > 1
+        for row in rows
+        if row["hash"] is not None and (parts := -(-row["n"] * tasks // records)) > 1
     ]
 
 
@@ -84,7 +83,7 @@ def left_join_unique(
         )
     heavy = spark.createDataFrame(
         heavy_keys(counts, tasks), f"{_HASH} long, {_PARTS} int"
-    )  # at most HEAVY_KEYS rows of two numbers, so broadcasting it is safe at any data size
+    )  # at most one row of two numbers per task, so broadcasting it is safe at any data size
 
     def marked(df: DataFrame) -> DataFrame:
         return df.withColumn(_HASH, F.xxhash64(key)).join(F.broadcast(heavy), _HASH, "left")

@@ -105,10 +105,9 @@ def profile_distinct(
     pairs = ", ".join(f"struct({literal(n)} AS column, {quoted(n)} AS value)" for n in names)
     return (
         cleaned.selectExpr(f"inline(array({pairs}))")
-        .where("value IS NOT NULL")
         .distinct()
         .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("n_distinct"))
+        .agg(F.count("value").alias("n_distinct"))
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmill.functions.casts import quoted, to_float
-from trailmill.functions.times import TimeReader
+from trailmill.functions.times import STORED_TYPES, TimeReader
 from trailmill.options import GEOMETRY_COLUMNS, IDS_SUFFIX, PrepOptions
 from trailmill.sources.files import FILE_COLUMN
 from trailmill.sources.lookups import LookupTable
@@ -43,25 +43,39 @@ def struct_type(columns: Sequence[OutputColumn]) -> T.StructType:
     return T.StructType([c.field for c in columns])
 
 
+# Columns that hold numbers or times already keep their kind.
+_STORED_KINDS = {
+    "tinyint": "long", "smallint": "long", "int": "long", "bigint": "long",
+    "float": "float", "double": "double",
+} | dict.fromkeys(STORED_TYPES, "time")
+
+
+def stored_kind(raw_type: str) -> str | None:
+    return "double" if raw_type.startswith("decimal") else _STORED_KINDS.get(raw_type)
+
+
 def infer_kinds(
-    sample: DataFrame, columns: Sequence[str], times: TimeReader, default_type: str = "string"
+    records: DataFrame, columns: Sequence[str], times: TimeReader, default_type: str = "string"
 ) -> dict[str, str]:
-    """Kind of each column from a sample: time, float, or the default; string if all null.
+    """Kind of each column that all its values fit: time, float, or else the default; string if
+    there is no value.
 
-    One aggregate over the sample, turned into one row per value first, so that the plan stays
+    One aggregate over all records, turned into one row per value first, so that the plan stays
     small for wide inputs; one row of counts per column comes back.
     """
     if not columns:
         return {}
+    # every written time has a dash and a colon; trying the formats on other text is slow
+    dated = "v LIKE '%-%:%' OR try_cast(v AS BIGINT) IS NOT NULL"
     cells = ", ".join(
         f"struct({i} AS place, CAST({quoted(name)} AS STRING) AS v)" for i, name in enumerate(columns)
     )
     counts = (
-        sample.selectExpr(f"inline(array({cells}))")
+        records.selectExpr(f"inline(array({cells}))")
         .groupBy("place")
         .agg(
             F.count("v").alias("n"),
-            F.expr(f"count({times.millis('v')})").alias("times"),
+            F.expr(f"count(CASE WHEN {dated} THEN {times.of('string').millis('v')} END)").alias("times"),
             F.expr(f"count({to_float('v')})").alias("floats"),
         )
     )
@@ -77,20 +91,23 @@ def infer_kinds(
 
 
 def resolve_schema(
-    sample: DataFrame,
+    records: DataFrame,
     options: PrepOptions,
     times: TimeReader,
     lookups: Sequence[LookupTable] = (),
 ) -> list[OutputColumn]:
     """Output columns in order: geometry, input columns, retained ids, lookup columns."""
-    names = [c for c in sample.columns if c != FILE_COLUMN]
+    types = dict(records.dtypes)
+    names = [c for c in records.columns if c != FILE_COLUMN]
     main, declared = options.main_columns, options.declared_types
     free = [
         c for c in names
         if c not in main and c not in declared and c not in options.encoded_columns
         and c not in options.excluded
     ]
-    inferred = infer_kinds(sample, free, times, options.default_type)
+    inferred = {c: kind for c in free if (kind := stored_kind(types[c]))}
+    unknown = [c for c in free if c not in inferred]
+    inferred |= infer_kinds(records, unknown, times, options.default_type)
     columns = [OutputColumn(name, kind, "geometry") for name, kind in GEOMETRY_COLUMNS]
     main_kinds = {"lat": "double", "lon": "double", "time": "long", "radius": "float"}
     for source in names:

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmill.functions.geodesic import LONGEST, distance_bound, distance_m, with_position
-from trailmill.operators.joins import HEAVY_KEYS, left_join_unique
+from trailmill.operators.joins import left_join_unique
 from trailmill.operators.numbering import numbered
 from trailmill.session import written
 
 # Fixed value: neighbours that make up the distance of a site.
 NEAREST = 4
 
-# Below this many distinct coordinates no grid cell can outgrow one task.
-SPREAD_ABOVE = 2_000_000
-# Cubes, looked into by few seekers, that may be broadcast.
-SOUGHT_CUBES = 200_000
 # Rows per window group in the first pass.
 _RUN = 50_000
 _HALF_EARTH = 6_400_000.0
@@ -32,18 +30,25 @@ _INTERLEAVE = (
 def distinct_sites(records: DataFrame, tolerance: float | None = None) -> DataFrame:
     """Distinct (site, lat, lon, radius) with ``last_seen``, the latest time.
 
-    ``records`` has site, lat, lon, radius, time. With a tolerance the coordinates are moved
-    to a grid of that width first.
+    ``records`` has site, lat, lon, radius, time. With a tolerance, coordinates of a site in one
+    cell of a grid of that width are one, and the one seen last stands for them.
     """
-    if tolerance:
-        def snap(c: str) -> Column:
-            return F.round(F.col(c) / tolerance) * tolerance
-        records = records.withColumns({"lat": snap("lat"), "lon": snap("lon")})
-    return (
+    exact = (
         records.where(F.col("site").isNotNull())
         .groupBy("site", "lat", "lon", "radius")
         .agg(F.max("time").alias("last_seen"))
     )
+    if not tolerance:
+        return exact
+
+    def cell(c: str) -> Column:
+        return F.round(F.col(c) / tolerance).alias(f"__cell_{c}")
+
+    return (
+        exact.groupBy("site", cell("lat"), cell("lon"), "radius")
+        .agg(F.max(F.struct("last_seen", "lat", "lon")).alias("s"))
+        .select("site", "s.lat", "s.lon", "radius", "s.last_seen")
+    )
 
 
 def _woven(columns: list[str]) -> str:
@@ -115,7 +120,6 @@ def _with_reach(points: DataFrame) -> DataFrame:
 def nearest_neighbours(
     coordinates: DataFrame,
     wanted: DataFrame | None = None,
-    spread_above: int = SPREAD_ABOVE,
 ) -> DataFrame:
     """The nearest other coordinates of each wanted one, exactly.
 
@@ -144,12 +148,8 @@ def nearest_neighbours(
         low, high = (f"CAST(floor(({a}_a {sign} reach) / {side}) AS BIGINT)" for sign in "-+")
         seek = seek.selectExpr("*", f"explode(sequence({low}, {high})) AS c{a}")
     cube = ["level", "cx", "cy", "cz"]
-    offered = _offered(points, seek, cube)
-    keys = cube
-    if points.count() > spread_above:
-        seek, offered = _spread_crowds(seek, offered, cube)
-        keys = [*cube, "__part"]
-    pairs = seek.join(offered, keys).where(
+    seek, offered = _spread_crowds(seek, _offered(points, seek, cube), cube)
+    pairs = seek.join(offered, [*cube, "__part"]).where(
         f"(lat_a <> lat_b OR lon_a <> lon_b) AND {_chord('{}_a', '{}_b')} <= reach"
     )
     measured = pairs.select(
@@ -170,47 +170,39 @@ def nearest_neighbours(
 def _offered(points: DataFrame, seek: DataFrame, cube: list[str]) -> DataFrame:
     """Every point in its cube of each size in use, as far as somebody looks into that cube.
 
-    Most points seek at a few sizes; the other sizes belong to few seekers. The cubes of those
-    few are broadcast, so that a point is not shuffled once per size for nothing.
+    A semi join drops the others before they meet any seeker.
     """
     # cube sizes are powers of two between a centimetre and the earth, some thirty at most
-    per_level = seek.groupBy("level").count().orderBy("count", "level").collect()
-    few, many, total = [], [], 0
-    for row in per_level:
-        total += row["count"]
-        (few if total <= SOUGHT_CUBES else many).append(row["level"])
-
-    def at(levels: list[int]) -> DataFrame:
-        return points.selectExpr(
-            "lat AS lat_b", "lon AS lon_b", "copies", *[f"{a} AS {a}_b" for a in _AXES],
-            f"explode(array({', '.join(map(str, levels)) or 0})) AS level",
-        ).selectExpr("*", *[f"CAST(floor({a}_b / pow(2D, level)) AS BIGINT) AS c{a}" for a in _AXES])
-
-    parts = [at(many)] if many else []
-    if few or not many:
-        sought = seek.where(F.col("level").isin(few)).select(*cube).distinct()
-        # at most SOUGHT_CUBES rows of four numbers
-        parts.append(at(few).join(F.broadcast(sought), cube, "left_semi"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    levels = sorted(row["level"] for row in seek.select("level").distinct().collect())
+    placed = points.selectExpr(
+        "lat AS lat_b", "lon AS lon_b", "copies", *[f"{a} AS {a}_b" for a in _AXES],
+        f"explode(array({', '.join(map(str, levels)) or 0})) AS level",
+    ).selectExpr("*", *[f"CAST(floor({a}_b / pow(2D, level)) AS BIGINT) AS c{a}" for a in _AXES])
+    return placed.join(seek.select(*cube).distinct(), cube, "left_semi")
 
 
 def _spread_crowds(seek: DataFrame, offered: DataFrame, cube: list[str]):
-    """Split the candidates of crowded cubes into parts and send each seeker to every part."""
+    """Split the candidates of crowded cubes into parts and send each seeker to every part.
+
+    The work of a cube is its seekers times its candidates. Fewer cubes than tasks can hold more
+    than a task's share of all work; only those are split.
+    """
     tasks = int(seek.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    crowds = (
-        offered.groupBy(*cube)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), *cube)
-        .limit(HEAVY_KEYS)
-        .collect()
+    looked = seek.groupBy(*cube).agg(F.count(F.lit(1)).cast("double").alias("seekers"))
+    held = offered.groupBy(*cube).agg(F.count(F.lit(1)).alias("held"))
+    work = looked.join(held, cube).select(*cube, "held", (F.col("seekers") * F.col("held")).alias("work"))
+    total = work.agg(F.sum("work").alias("work")).select(
+        *[F.lit(None).cast(kind).alias(c) for c, kind in work.dtypes[:-1]], "work"
     )
-    total = sum(row["n"] for row in crowds)
+    rows = work.orderBy(F.desc("work"), *cube).limit(tasks).unionByName(total).collect()
+    everything = next(row["work"] for row in rows if row["level"] is None)
     split = [
         (*[row[c] for c in cube], parts)
-        for row in crowds
-        if (parts := -(-row["n"] * tasks // total)) > 1
+        for row in rows
+        if row["level"] is not None
+        and (parts := min(row["held"], math.ceil(row["work"] * tasks / everything))) > 1
     ]
-    # at most HEAVY_KEYS rows of five numbers
+    # at most one row of five numbers per task
     parts = seek.sparkSession.createDataFrame(
         split, "level int, cx long, cy long, cz long, __parts int"
     )
@@ -250,7 +242,6 @@ def coordinates_of(sites: DataFrame, one_per_coordinate: bool = False) -> DataFr
 def radius_per_site(
     sites: DataFrame,
     one_per_coordinate: bool = False,
-    spread_above: int = SPREAD_ABOVE,
     **bounds: int,
 ) -> DataFrame:
     """(site, site_radius): whole metres, from the site of that identifier seen last.
@@ -268,9 +259,7 @@ def radius_per_site(
     without = last.where(F.col("radius").isNull())
     if without.isEmpty():
         return last.select("site", given.alias("site_radius"))
-    neighbours = nearest_neighbours(
-        coordinates_of(sites, one_per_coordinate), without, spread_above
-    )
+    neighbours = nearest_neighbours(coordinates_of(sites, one_per_coordinate), without)
     distances = written(
         intersite_distance(neighbours).select(F.struct("lat", "lon").alias("at"), "intersite_m"),
         "intersite",

@@ -65,7 +65,8 @@ class PrepOptions:
     float_columns: Sequence[str] = ()
     double_columns: Sequence[str] = ()
     string_columns: Sequence[str] = ()
-    sample_rows: int = 1
+    # types and time format come from all records, unless a number of rows is given here
+    sample_rows: int | None = None
 
     # null markers; a per-column list replaces the per-type list for that (output) column
     long_null_values: Sequence[int] = ()
@@ -148,7 +149,7 @@ class PrepOptions:
             raise OptionsError("longitude, latitude and time must be three different columns")
         if self.default_type not in ("string", "float", "double"):
             raise OptionsError(f"default_type must be string, float or double, not {self.default_type!r}")
-        if self.records_per_file < 0 or self.sample_rows < 1:
+        if self.records_per_file < 0 or (self.sample_rows is not None and self.sample_rows < 1):
             raise OptionsError("records_per_file must not be negative and sample_rows must be positive")
         for name in (self.longitude, self.latitude, self.time):
             if name in self.excluded:

@@ -177,7 +177,10 @@ def prepare(
     lookups: tuple[LookupTable, ...] | None = None,
     **bounds: int,
 ) -> Preparation:
-    """Check the options, look at a sample of the input and set up the run.
+    """Check the options, find the time format and the types, and set up the run.
+
+    Both come from all records, by one aggregate each; none is run for what is declared or
+    stored with its type.
 
     ``records`` and ``lookups`` stand in for files that are already DataFrames. ``bounds``
     (max_rows, max_bytes) limit what may be broadcast.
@@ -195,9 +198,9 @@ def prepare(
     missing = sorted({lookup.source for lookup in lookups} - set(names))
     if missing:
         raise OptionsError(f"lookup sources not in the input: {', '.join(missing)}")
-    sample = records.limit(options.sample_rows)
-    fmt = options.time_format or detect_format(sample, options.time)
+    seen = records if options.sample_rows is None else records.limit(options.sample_rows)
+    fmt = options.time_format or detect_format(seen, options.time)
     times = TimeReader(fmt, options.timezone)
-    columns = resolve_schema(sample, options, times, lookups)
+    columns = resolve_schema(seen, options, times, lookups)
     start, end = gate_bounds(records, options, times)
     return Preparation(records, options, times, columns, tuple(lookups), start, end, bounds)
