@@ -8,7 +8,8 @@ What the bands retrieve is verified by exact containment of the template's shing
 
 Only texts that can hold a template are cut into windows: for every template some words
 (anchors) are chosen so that more than a fifth of its shingles hold one; a text without any
-anchor cannot reach 0.8. That test loses nothing and is one pass of a regular expression.
+anchor cannot reach 0.8. That test loses nothing and is one pass of a regular expression. For the
+same reason only windows that hold an anchor are hashed.
 
 All of it is DataFrame operations. Words are runs of ASCII letters and digits, lower-cased.
 Null and empty texts, and templates without words, match nothing. A template with fewer words
@@ -161,15 +162,12 @@ def find_licenses(
         lambda k: F.struct(F.lit(size).alias("size"), (k * size).alias("at")),
     )
     none = F.array().cast("array<struct<size:int,at:int>>")
+    within = F.slice("__words", F.col("w.at") + 1, 2 * F.col("w.size") + SHINGLE - 1)
+    # what holds for texts holds for windows: without an anchor none reaches the containment
+    anchored = F.arrays_overlap(within, F.array(*[F.lit(w) for w in words]).cast("array<string>"))
     windows = able.select(
         *keep, "__row", "__words", F.explode(F.concat(none, *[starts(s) for s in sizes])).alias("w")
-    ).select(
-        *keep,
-        "__row",
-        "w.size",
-        "w.at",
-        shingles_of(F.slice("__words", F.col("w.at") + 1, 2 * F.col("w.size") + SHINGLE - 1)).alias("__held"),
-    )
+    ).where(anchored).select(*keep, "__row", "w.size", "w.at", shingles_of(within).alias("__held"))
     banded = windows.select("*", F.explode(_minhashes(F.col("__held"), bands)).alias("b"))
     sought = known.select(
         "template_id", "size", F.explode(_minhashes(F.col("wanted"), bands)).alias("b")
