@@ -362,3 +362,28 @@ def test_stored_times_need_no_format(spark):
     assert [r.time for r in run.records().collect()] == [1700000000000] * 2
     late = tm.prepare(spark, options(time_format=None, start_time="1700000001"), records=raw)
     assert late.records().isEmpty()
+
+
+def test_discarded_tables_are_gone(spark, tmp_path, monkeypatch):
+    import os
+
+    from trailmill import session
+
+    monkeypatch.setattr(session, "scratch_path", lambda _, label: f"file://{tmp_path}/{label}")
+    kept, gone = (session.written(spark.range(3).toDF("v"), name) for name in ("kept", "gone"))
+    session.discard(gone.where("v > 1"), gone)
+    session.discard(gone)  # twice does no harm
+    assert os.listdir(tmp_path) == ["kept"]
+    assert kept.count() == 3
+
+
+def test_ids_by_one_column_put_nulls_last_without_a_sort(spark):
+    from trailmill.operators.dictionary import build_dictionary
+
+    rows = [(None, 0, "n"), (5, 0, "b"), (2, 0, "a"), (7, 0, "a"), (2, 0, "c"), (None, 0, "a"), (None, 0, None)]
+    df = spark.createDataFrame(rows, "t long, u long, v string")
+    one = {r.value: (r.id, r.n) for r in build_dictionary(df, ["v"], ["t"]).collect()}
+    assert one == {"a": (1, 3), "c": (2, 1), "b": (3, 1), "n": (4, 1)}
+    two = {r.value: (r.id, r.n) for r in build_dictionary(df, ["v"], ["u", "t"]).collect()}
+    assert two == one
+    assert build_dictionary(df.where("false"), ["v"], ["t"]).count() == 0

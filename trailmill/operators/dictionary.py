@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmill.functions.casts import quoted
@@ -12,6 +12,10 @@ from trailmill.operators.joins import left_join_unique
 from trailmill.operators.numbering import numbered
 
 
+def _nulls_last(*order: Column) -> Column:
+    return F.struct(*[x for c in order for x in (c.isNull(), c)])
+
+
 def build_dictionary(df: DataFrame, columns: Sequence[str], first_seen_by: Sequence[str]) -> DataFrame:
     """(column, value, id, n) for the non-null values of text columns.
 
@@ -20,7 +24,8 @@ def build_dictionary(df: DataFrame, columns: Sequence[str], first_seen_by: Seque
     places are told apart by the value.
     """
     order = [F.col(quoted(c)) for c in first_seen_by]
-    seen = F.struct(*[x for c in order for x in (c.isNull(), c)])
+    single = len(order) == 1  # the least of one number is found by hashing, that of a struct by sorting
+    seen = order[0] if single else _nulls_last(*order)
     pairs = df.select(
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).alias("value")) for c in columns])
@@ -32,6 +37,8 @@ def build_dictionary(df: DataFrame, columns: Sequence[str], first_seen_by: Seque
         .groupBy("column", "value")
         .agg(F.min("seen").alias("seen"), F.count(F.lit(1)).alias("n"))
     )
+    if single:
+        distinct = distinct.withColumn("seen", _nulls_last(F.col("seen")))
     return numbered(distinct, ["seen", "value"], "id", "dictionary", within="column").select(
         "column", "value", "id", "n"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/trailmill-{label}-{uuid.uuid4().hex}"
 
 
+# Paths of the tables that this session has written and not yet removed.
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -69,4 +74,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _tables[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that nothing will read again; other DataFrames are left alone.
+
+    Whatever was computed from them must be written already: a lazy result would miss them.
+    """
+    for table in tables:
+        path = _tables.pop(table, None)
+        if path is not None:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
