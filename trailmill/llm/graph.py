@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.session import written
+from trailmill.session import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(
         edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges"
     )
-    labels = written(
+    held = labels = written(
         both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("comp")), "labels"
     )
     while True:
@@ -37,6 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
             ),
             "labels",
         )
-        labels = step.select("node", "comp")
+        discard(held)
+        held, labels = step, step.select("node", "comp")
         if step.where("was <> comp").isEmpty():
+            discard(both)
             return labels

@@ -30,7 +30,7 @@ from trailmill.llm.batches import small_batches
 from trailmill.llm.graph import components
 from trailmill.llm.shingles import mixed, shingle_sets
 from trailmill.operators.joins import fits_broadcast
-from trailmill.session import written
+from trailmill.session import discard, written
 
 COUNTERS = 1 << 20
 BITMAP_WORDS = 4
@@ -206,9 +206,10 @@ class _Join:
             "tokens array<long>",
         )
         prefixes = written(self.sets_of(found, self.classes), "prefixes")
-        self.nodes = prefixes.select("cid", "n", "bits")
+        bitmaps = written(prefixes.drop("tokens"), "bitmaps")
+        self.nodes = bitmaps.select("cid", "n", "bits")
         self.wider = [
-            prefixes.where(F.size(name) > 0).select("cid", "n", F.col(name).alias("wide"))
+            bitmaps.where(F.size(name) > 0).select("cid", "n", F.col(name).alias("wide"))
             for name in ("middle", "wide")
         ]
         groups = written(
@@ -217,17 +218,20 @@ class _Join:
         self.members = written(
             prefixes.join(groups, ["n", "tokens"]).select("cid", "gid"), "members"
         )
+        discard(prefixes)
         postings = groups.select("gid", "n", F.posexplode("tokens").alias("pos", "token"))
         several = (
             postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
         )
         self.shared = written(postings.join(several, "token"), "postings")
+        discard(groups)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that link."""
         pairs = pairs.select("a", "b").distinct()
         for bitmaps in self.wider:
-            pairs = written(self.sifted(pairs, bitmaps), "pairs")
+            before, pairs = pairs, written(self.sifted(pairs, bitmaps), "pairs")
+            discard(before)
         needed = pairs.select("a").union(pairs.select("b")).distinct()
         classes = written(self.classes.join(needed, F.col("cid") == F.col("a"), "left_semi"), "needed")
         ids = classes.select(F.col("rep").alias("id")).distinct()
@@ -242,7 +246,9 @@ class _Join:
         two = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         linked = (self.den + self.num) * both >= self.num * (F.col("na") + F.col("nb"))
-        return written(pairs.join(two, "b").join(one, "a").where(linked).select("a", "b"), "links")
+        links = written(pairs.join(two, "b").join(one, "a").where(linked).select("a", "b"), "links")
+        discard(pairs, classes, sets)
+        return links
 
     def sifted(self, pairs: DataFrame, wide: DataFrame) -> DataFrame:
         """``pairs`` without those of large sets that bitmaps of the same width tell apart."""
