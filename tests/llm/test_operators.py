@@ -256,6 +256,34 @@ def test_leaks_with_changed_slots(spark):
     assert template_leaks.find_leaks(_documents(spark, docs), items.limit(0)).count() == 0
 
 
+def test_leaks_with_changed_words(spark):
+    item = (
+        "Every morning the old keeper walks along the shore and counts how many boats have come home "
+        "before the light of the tower goes out again and the town begins to wake for work"
+    )
+    words = item.split()
+    named = "Tom has 3km to go before the bridge. Then he walks back with Anna Lee until evening comes"
+    items = spark.createDataFrame([(1, item), (2, " ".join(words[:16])), (3, named)], "item_id long, text string")
+    middle = len(words) // 2
+    docs = [
+        (1, " ".join([*words[:middle], "really", *words[middle:]]), "", "", 0),
+        (2, " ".join(words[:middle] + words[middle + 1 :]), "", "", 0),
+        (3, " ".join([*words[:7], "by", *words[8:16]]), "", "", 0),
+        (4, named.replace("Tom", "Mary Ann").replace("3km", "5 miles").replace("Anna Lee", "Bo"), "", "", 0),
+        (5, named.replace("Tom", "Bo").replace("Anna Lee", "Bo"), "", "", 0),  # two names become one
+        (6, item + " . " + item, "", "", 0),
+        (7, " ".join(words[20:] + words[:20][::-1]), "", "", 0),
+    ]
+    rows = template_leaks.find_leaks(_documents(spark, docs), items).collect()
+    leaks = {}
+    for r in rows:
+        leaks.setdefault((r.doc_id, r.item_id), []).append(r)
+    assert {(1, 1), (2, 1), (3, 2), (4, 3), (6, 1), (6, 2)} <= set(leaks) and (7, 2) not in leaks
+    assert leaks[1, 1][0].covered == 1.0 and len(leaks[1, 1]) == len(leaks[2, 1]) == 1
+    assert not leaks[4, 3][0].exact and leaks[3, 2][0].covered == 0.5
+    assert len(leaks[6, 1]) == 2 and all(r.covered == 1.0 and r.exact for r in leaks[6, 1])
+
+
 def test_main_text_and_template(spark):
     page = "<nav>menu</nav><div><p>Always the same line</p><p>Story {0} &amp; more<br>of {0}</p></div><footer>f</footer>"
     rows = [(i, f"http://h.org/{i}", page.format(i)) for i in range(12)]

@@ -1,11 +1,18 @@
-"""Benchmark items in documents, also with changed numbers, names and units.
+"""Benchmark items in documents, also with changed numbers, names, units and words.
 
 Words become a template: numbers, units and names (capitalised words inside a sentence) are typed
-placeholders, other words lose case and outer punctuation. Windows of WINDOW template words of
-the items are looked up in the documents by a hash join. Matches of one document and item with
-the same shift form an alignment. An alignment is a leak if it covers enough of the item and its
-slots are consistent: the same value in the item always meets the same value in the document, and
-different values different ones.
+placeholders, other words lose case and outer punctuation; a glued unit (``3km``) is a number and a
+unit. A capital that begins a sentence may be a name or not, and names may have several words, so
+every text is read twice: word by word, and with such capitals as names and neighbouring names as
+one slot. Windows of WINDOW template words of the items are looked up in the documents by a hash
+join, reading by reading.
+
+Matches of one document and item have a shift: word of the document less word of the item. Shifts
+no further apart than DRIFT words, or a quarter of the item if that is more, form a chain, so words
+put in, left out or replaced do not split a copy. A chain is a leak if its matches cover enough of
+the item's words and its slots are consistent: the same value in the item always meets the same
+value in the document, and different values different ones. In a chain that is not a leak every
+single shift is judged in the same way.
 
 A bounded bit table of the items' window hashes lets only likely windows leave a task; the join
 decides exactly (64-bit hashes). Documents are never shuffled, only their matching windows.
@@ -21,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmill.llm.batches import small_batches
@@ -31,6 +38,7 @@ from trailmill.session import written
 WINDOW = 8
 MIN_WORDS = 5
 MIN_COVERED = 0.5
+DRIFT = 4
 BITS = 1 << 24
 MEMO_ENTRIES = 150_000
 # Unit words.
@@ -42,42 +50,96 @@ UNITS = frozenset(
     "degree degrees mph kmh watt watts volt volts byte bytes kb mb gb".split()
 )
 NUMBER, UNIT, NAME = 1, 2, 3
+GLUED = 3  # kind of a single word; names are told by their place
+BOTH, PLAIN, NAMED = 0, 1, 2  # readings; BOTH: the two are the same
 
 
 def word_codes():
-    """A function from words to (codes, values): template word and slot value (0: no slot)."""
+    """A function from words to [(reading, codes, values, starts)] and the number of words.
+
+    Codes are template words, values those of slots (0: no slot), starts the first word of each
+    code, with the number of words at the end.
+    """
     import re
 
     import xxhash
 
     number = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?").fullmatch
-    memo: dict[str, int] = {}
+    glued = re.compile(r"([+-]?[$€£]?\d[\d.,:/]*)([^\W\d_]+)").fullmatch
 
-    def look(word: str) -> int:
+    def hashed(text: str) -> int:
+        return xxhash.xxh64_intdigest(text) >> 1 & ~15
+
+    class Memo(dict):
         """Hash of the bare word; its low bits are 1 capitalised, 2 ends a sentence, 4 x kind."""
-        bare = word.strip(".,;:!?\"'()[]{}«»“”‘’|*#&")
-        low = bare.lower()
-        code = xxhash.xxh64_intdigest(low) >> 1 & ~15
-        kind = NUMBER if number(bare) else UNIT if low in UNITS else 0
-        flags = (1 if bare[:1].isupper() else 0) | (2 if word[-1:] in ".!?:" else 0)
-        return code | kind << 2 | flags
-
-    def codes(text: str) -> tuple[np.ndarray, np.ndarray]:
-        rows = []
-        for word in text.split():
-            row = memo.get(word)
-            if row is None:
-                if len(memo) >= MEMO_ENTRIES:
-                    memo.clear()
-                row = memo[word] = look(word)
-            rows.append(row)
-        if not rows:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        packed = np.fromiter(rows, np.int64, len(rows))
+
+        def __missing__(self, word: str) -> int:
+            bare = word.strip(".,;:!?\"'()[]{}«»“”‘’|*#&")
+            low = bare.lower()
+            kind = NUMBER if number(bare) else UNIT if low in UNITS else 0
+            flags = (1 if bare[:1].isupper() else 0) | (2 if word[-1:] in ".!?:" else 0)
+            parts = glued(low)
+            if parts and parts[2] in UNITS:
+                kind = GLUED
+            packed = hashed(low) | kind << 2 | flags
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            if kind == GLUED:
+                halves[packed] = (hashed(parts[1]) | NUMBER << 2, hashed(parts[2]) | UNIT << 2 | flags & 2)
+            self[word] = packed
+            return packed
+
+    halves: dict[int, tuple[int, int]] = {}
+    memo = Memo()
+
+    def codes(text: str) -> tuple[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], int]:
+        words = text.split()
+        n = len(words)
+        if not n:
+            return [], 0
+        packed = np.fromiter(map(memo.__getitem__, words), np.int64, n)
+        starts = np.arange(n + 1)
+        both = np.flatnonzero((packed >> 2 & 3) == GLUED)
+        if len(both):
+            pairs = [halves[word] for word in packed[both].tolist()]
+            packed[both] = [first for first, _ in pairs]
+            packed = np.insert(packed, both + 1, [second for _, second in pairs])
+            starts = np.insert(starts, both + 1, both)
+        if len(halves) > MEMO_ENTRIES:
+            halves.clear()
+            memo.clear()
         bare, kind, flags = packed & ~15, packed >> 2 & 3, packed & 3
         inside = np.append(False, (flags[:-1] & 2) == 0)
-        kind[(kind == 0) & ((flags & 1) == 1) & inside] = NAME
-        return np.where(kind > 0, kind, bare).astype(np.uint64), np.where(kind > 0, bare, 0)
+        capital = (kind == 0) & ((flags & 1) == 1)
+        plain = np.where(capital & inside, NAME, kind)
+
+        def reading(which: int, kind: np.ndarray, value: np.ndarray, starts: np.ndarray, bare: np.ndarray):
+            return (
+                which,
+                np.where(kind > 0, kind, bare).astype(np.uint64),
+                np.where(kind > 0, value, 0),
+                starts,
+            )
+
+        named = np.where(capital, NAME, kind)
+        name = named == NAME
+        further = np.append(False, name[1:] & name[:-1] & inside[1:])  # no slot across sentences
+        if not further.any() and (named == plain).all():
+            return [reading(BOTH, plain, bare, starts, bare)], n
+        first = np.flatnonzero(~further)
+        value = bare[first]
+        longer = np.flatnonzero(np.diff(np.append(first, len(bare))) > 1)
+        if len(longer):  # the value of a run of names depends on all of them, in order
+            step = np.uint64(0x9E3779B97F4A7C15)
+            run = np.cumsum(~further) - 1
+            place = (np.arange(len(bare)) - first[run]).astype(np.uint64)
+            total = np.add.reduceat(mixed(bare.view(np.uint64) + place * step), first)
+            value[longer] = (total[longer] >> np.uint64(1)).view(np.int64) | 16
+        joined = np.append(starts[first], n)
+        return [
+            reading(PLAIN, plain, bare, starts, bare),
+            reading(NAMED, named[first], value, joined, bare[first]),
+        ], n
 
     return codes
 
@@ -94,13 +156,17 @@ def windows(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 SLOT = pa.struct([("place", pa.int32()), ("value", pa.int64())])
-FOUND = "id long, hash long, at int, n_words int, width int, slots array<struct<place:int,value:long>>"
+FOUND = (
+    "id long, reading int, hash long, at int, end int, n_words int, width int, "
+    "slots array<struct<place:int,value:long>>"
+)
 
 
 def _found(widths: list[int] | None, bits: np.ndarray | None):
     """Windows of every row; of items (no bits) all, of documents those the bits let through.
 
     Without ``widths`` a row has windows of WINDOW words, or of its own length if it is shorter.
+    ``at`` and ``end`` count words, also where a slot holds several.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,28 +174,73 @@ def _found(widths: list[int] | None, bits: np.ndarray | None):
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                codes, values = codes_of(text or "")
-                n = len(codes)
-                for width in widths if widths is not None else [min(n, WINDOW)] if n >= MIN_WORDS else []:
-                    hashes = windows(codes, width)
-                    at = np.arange(len(hashes))
-                    if bits is not None:
-                        low = hashes & np.uint64(BITS - 1)
-                        at = np.flatnonzero((bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1)
-                    for i in at.tolist():
-                        places = np.flatnonzero(values[i : i + width])
-                        slots = [{"place": i + p, "value": int(values[i + p])} for p in places.tolist()]
-                        rows.append((key, int(hashes[i].view(np.int64)), i, n, width, slots))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [batch.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(SLOT)]
+                readings, n_words = codes_of(text or "")
+                for reading, codes, values, starts in readings:
+                    n = len(codes)
+                    for width in widths if widths is not None else [min(n, WINDOW)] if n >= MIN_WORDS else []:
+                        hashes = windows(codes, width)
+                        at = np.arange(len(hashes))
+                        if bits is not None:
+                            low = hashes & np.uint64(BITS - 1)
+                            at = np.flatnonzero(
+                                (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1
+                            )
+                        for i in at.tolist():
+                            places = np.flatnonzero(values[i : i + width])
+                            slots = [{"place": i + p, "value": int(values[i + p])} for p in places.tolist()]
+                            # half a glued word is all of it
+                            start, end = int(starts[i]), max(int(starts[i + width]), int(starts[i + width - 1]) + 1)
+                            hashed = int(hashes[i].view(np.int64))
+                            rows.append((key, reading, hashed, start, end, n_words, width, slots))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds = [batch.column(0).type, pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.list_(SLOT)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                ["id", "hash", "at", "n_words", "width", "slots"],
+                ["id", "reading", "hash", "at", "end", "n_words", "width", "slots"],
             )
 
     return run
 
 
+def _judged(hits: DataFrame, alignment: list[str]) -> DataFrame:
+    """``alignment``, first shift, share of the item's words and ``exact`` of consistent alignments."""
+    places = hits.groupBy(*alignment, "at").agg(
+        F.max("end").alias("end"), F.min("shift").alias("first"), F.max("n_words").alias("n_words")
+    )
+    before = F.max("end").over(Window.partitionBy(*alignment).orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.col("end") - F.greatest("at", F.coalesce("before", F.col("at")))
+    covered = (
+        places.withColumn("before", before)
+        .groupBy(*alignment)
+        .agg(
+            F.min("first").alias("first"),
+            (F.sum(F.greatest(new, F.lit(0))) / F.max("n_words")).alias("covered"),
+        )
+    )
+    pairs = hits.select(*alignment, F.explode("slots").alias("s")).select(
+        *alignment, F.col("s.i.value").alias("item_value"), F.col("s.d.value").alias("doc_value")
+    )
+    consistent = pairs.distinct().groupBy(*alignment).agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.countDistinct("item_value").alias("item_values"),
+        F.countDistinct("doc_value").alias("doc_values"),
+        F.bool_and(F.col("item_value") == F.col("doc_value")).alias("exact"),
+    )
+    joined = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in alignment]
+    one_to_one = (F.col("pairs") == F.col("item_values")) & (F.col("pairs") == F.col("doc_values"))
+    return (
+        covered.alias("c")
+        .join(consistent.alias("s"), joined, "left")
+        .where(F.coalesce(one_to_one, F.lit(True)))
+        .select(
+            *[F.col(f"c.{k}").alias(k) for k in alignment],
+            F.col("c.first").alias("first"),
+            F.col("c.covered").alias("covered"),
+            F.coalesce("exact", F.lit(True)).alias("exact"),
+        )
+    )
+
+
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -138,7 +249,7 @@ def find_leaks(
     text: str = "text",
     min_covered: float = MIN_COVERED,
 ) -> DataFrame:
-    """doc_id, item_id, shift, covered (share of the item's windows), exact, one row per leak.
+    """doc_id, item_id, shift, covered (share of the item's words), exact, one row per leak.
 
     ``exact`` is true where every slot has the item's own value.
     """
@@ -157,44 +268,43 @@ def find_leaks(
         bits[row["byte"]] = row["mask"]
     of_docs = pick(docs, doc_id).mapInArrow(_found(sorted(widths), bits), FOUND)
     d, i = of_docs.alias("d"), of_items.alias("i")
-    hits = written(
-        d.join(i, (F.col("d.hash") == F.col("i.hash")) & (F.col("d.width") == F.col("i.width"))).select(
-            F.col("d.id").alias("doc"),
-            F.col("i.id").alias("item"),
-            (F.col("d.at") - F.col("i.at")).alias("shift"),
-            F.col("i.at").alias("at"),
-            (F.col("i.n_words") - F.col("i.width") + 1).alias("windows"),
-            F.arrays_zip(F.col("i.slots").alias("i"), F.col("d.slots").alias("d")).alias("slots"),
-        ),
-        "hits",
-    )
-    alignment = ["doc", "item", "shift"]
-    covered = hits.groupBy(*alignment).agg(
-        F.countDistinct("at").alias("n"), F.max("windows").alias("windows")
+    same = (F.col("d.reading") == F.col("i.reading")) | (F.least("d.reading", "i.reading") == BOTH)
+    hits = d.join(
+        i, (F.col("d.hash") == F.col("i.hash")) & (F.col("d.width") == F.col("i.width")) & same
+    ).select(
+        F.col("d.id").alias("doc"),
+        F.col("i.id").alias("item"),
+        F.greatest("d.reading", "i.reading").alias("reading"),
+        (F.col("d.at") - F.col("i.at")).alias("shift"),
+        F.col("i.at").alias("at"),
+        F.col("i.end").alias("end"),
+        F.col("i.n_words").alias("n_words"),
+        F.arrays_zip(F.col("i.slots").alias("i"), F.col("d.slots").alias("d")).alias("slots"),
     )
-    slots = hits.select(*alignment, F.explode("slots").alias("s")).select(
-        *alignment, F.col("s.i.value").alias("item_value"), F.col("s.d.value").alias("doc_value")
-    )
-    pairs = slots.distinct()
-    consistent = pairs.groupBy(*alignment).agg(
-        F.count(F.lit(1)).alias("pairs"),
-        F.countDistinct("item_value").alias("item_values"),
-        F.countDistinct("doc_value").alias("doc_values"),
-        F.bool_and(F.col("item_value") == F.col("doc_value")).alias("exact"),
+    along = Window.partitionBy("doc", "item").orderBy("shift")
+    gap = F.col("shift") - F.lag("shift").over(along)
+    far = gap.isNull() | (gap > F.greatest(F.lit(DRIFT), F.floor(F.col("n_words") / 4)))
+    start = F.when(far, F.col("shift"))
+    chained = hits.withColumn("start", start).withColumn(
+        "chain", F.max("start").over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     )
-    joined = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in alignment]
-    share = F.col("n") / F.col("windows")
-    one_to_one = (F.col("pairs") == F.col("item_values")) & (F.col("pairs") == F.col("doc_values"))
+    hits = written(chained.drop("start"), "hits")
+    chain = ["doc", "item", "chain"]
+    whole = _judged(hits, [*chain, "reading"]).withColumn("shift", F.lit(None).cast("int"))
+    single = _judged(hits, [*chain, "reading", "shift"])
+    enough = whole.unionByName(single).where(F.col("covered") >= min_covered)
+    ruled = F.bool_or(F.col("shift").isNull()).over(Window.partitionBy(*chain))
     return (
-        covered.alias("c")
-        .join(consistent.alias("s"), joined, "left")
-        .where((share >= min_covered) & F.coalesce(one_to_one, F.lit(True)))
+        enough.withColumn("ruled", ruled)
+        .where(~F.col("ruled") | F.col("shift").isNull())
+        .groupBy(*chain, "shift")
+        .agg(F.min("first").alias("first"), F.max("covered").alias("covered"), F.bool_or("exact").alias("exact"))
         .select(
-            F.col("c.doc").alias(doc_id),
-            F.col("c.item").alias(item_id),
-            F.col("c.shift").alias("shift"),
-            F.least(share, F.lit(1.0)).alias("covered"),
-            F.coalesce("exact", F.lit(True)).alias("exact"),
+            F.col("doc").alias(doc_id),
+            F.col("item").alias(item_id),
+            F.col("first").alias("shift"),
+            F.least("covered", F.lit(1.0)).alias("covered"),
+            "exact",
         )
     )
 
