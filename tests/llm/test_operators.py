@@ -299,3 +299,25 @@ def test_main_text_and_template(spark):
     assert (text[100], text[101], text[102], text[103]) == ("T\na b\nd", "", "", "a b\ntail < 5")
     assert wrapper_induction.aligned_leaves("a(h(#)p(#)p(#)d(#))", "a(h(#)p(#)d(#))") == [0, 1, -1, 2]
     assert wrapper_induction.extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "attributes,stays",
+    [
+        ('style="overflow:hidden"', True),
+        ('aria-hidden="false"', True),
+        ('title="hidden gems" data-role="navigation"', True),
+        ('data-id="share"', True),
+        ('class="layout has-sidebar no-sidebar"', True),
+        ("hidden", False),
+        ('data-x="1" hidden=""', False),
+        ('aria-hidden="true"', False),
+        ("class='box sidebar'", False),
+        ('class="sidebar-left"', False),
+        ("id=share", False),
+        ('role="navigation"', False),
+    ],
+)
+def test_only_boilerplate_attributes_drop(attributes, stays):
+    parse = wrapper_induction.page_parser()
+    assert parse(f"<p>a</p><article {attributes}><p>b</p></article>")[1] == (["b"] if stays else ["a"])

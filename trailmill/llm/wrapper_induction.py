@@ -79,17 +79,29 @@ def page_parser():
         r"|<[!?/][^>]*>",
         re.S | re.I,
     )
-    attribute = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-    parts = re.compile("[a-z0-9]+")
+    attribute = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+    first_part = re.compile("[a-z0-9]+")
 
-    def unwanted(attributes: str) -> bool:
+    def named(attributes: str) -> dict[str, str]:
+        """Attributes by lower-case name; of repeated names the first counts."""
+        pairs: dict[str, str] = {}
         for name, value in attribute.findall(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" or name == "role" and value in BOILERPLATE_ROLES:
-                return True
-            if name in ("class", "id") and not BOILERPLATE_CLASSES.isdisjoint(parts.findall(value)):
-                return True
-        return False
+            if value[:1] in ('"', "'"):
+                value = value[1:-1]
+            pairs.setdefault(name.lower(), value.strip().lower())
+        return pairs
+
+    def boilerplate(name: str) -> bool:
+        """A class or id, whole or by its first part: ``sidebar-left``, but not ``has-sidebar``."""
+        first = first_part.match(name)
+        return name in BOILERPLATE_CLASSES or first is not None and first[0] in BOILERPLATE_CLASSES
+
+    def unwanted(attributes: dict[str, str]) -> bool:
+        if "hidden" in attributes or attributes.get("aria-hidden") == "true":
+            return True
+        if not BOILERPLATE_ROLES.isdisjoint(attributes.get("role", "").split()):
+            return True
+        return any(boilerplate(name) for key in ("class", "id") for name in attributes.get(key, "").split())
 
     def parse(page: str) -> tuple[str, list[str]]:
         root = ["body", []]
@@ -138,7 +150,8 @@ def page_parser():
                     close(len(stack) - 1)
                 continue
             attributes = found[4]
-            drop = tag in DROPPED or bool(attributes) and unwanted(attributes)
+            pairs = named(attributes) if attributes else {}
+            drop = tag in DROPPED or bool(pairs) and unwanted(pairs)
             if tag in CLOSES_PARAGRAPH:
                 close_within({"p"}, BLOCKS - {"p"})
             if tag in SIBLINGS:
@@ -158,7 +171,7 @@ def page_parser():
             node = [tag, []]
             if not skipped and not drop:
                 stack[-1][1].append(node)
-                if tag in ("article", "main") or 'role="main"' in attributes:
+                if tag in ("article", "main") or "main" in pairs.get("role", "").split():
                     if not any(x[0] == "article" for x in stack):
                         regions.append((tag == "article", node))
             stack.append(node)
