@@ -321,3 +321,15 @@ def test_main_text_and_template(spark):
 def test_only_boilerplate_attributes_drop(attributes, stays):
     parse = wrapper_induction.page_parser()
     assert parse(f"<p>a</p><article {attributes}><p>b</p></article>")[1] == (["b"] if stays else ["a"])
+
+
+def test_template_of_small_hosts(spark):
+    page = "<div>Notice of this host</div><div><p>Story {0} of {1}</p></div>"
+    rows = [(100 * n + i, f"http://h{n}.org/{i}", page.format(i, n)) for n in (1, 2, 3, 9, 10) for i in range(n)]
+    some = page.replace("Notice of this host", "{2}")
+    rows += [(i, f"http://m.org/{i}", some.format(i, "m", "kept" if i < 2 else f"own {i}")) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in wrapper_induction.extract_text(pages).collect()}
+    assert all(text[100 * n + i] == f"Story {i} of {n}" for n in (2, 3, 9, 10) for i in range(n))
+    assert text[100] == "Notice of this host\nStory 0 of 1"
+    assert [text[i].split("\n")[0] for i in range(4)] == ["kept", "kept", "own 2", "own 3"]

@@ -5,11 +5,14 @@ footers, sidebars, notices, adverts, forms, comments and scripts are left out by
 and class, and where a page has an article (or main) element only that counts. The tree of every
 page is aligned with one reference tree of its host by simple tree matching; a leaf gets the
 slot of the leaf it is aligned with. A slot that holds the same text on nearly all different
-pages of a host is template; slots that vary, and leaves without counterpart, are content.
+pages of a host that fill it is template; slots that vary, and leaves without counterpart, are
+content. The share is smoothed by half a page on either side, so few pages must agree more
+closely than many (2 of 2, 9 of 10, 81 of 100), and a text on one page is always content. Hosts with
+a single page have nothing to compare.
 
 Pages are parsed once. Trees are short strings, so equal trees of a host are aligned once. How
-often a slot holds a text is a grouped count over all different pages of the host; only texts
-that hold a slot nearly everywhere are kept, at most one a slot. Nothing is gathered per host.
+often a slot holds a text is a grouped count over all different pages of the host; only the most
+frequent text of a slot can hold it nearly everywhere, so at most one a slot is kept. Nothing is gathered per host.
 
 Null and empty pages have empty text. A null URL's pages form one host. Repeated pages count once
 for the template and keep their rows. Nesting beyond DEPTH levels is flattened.
@@ -29,7 +32,7 @@ from trailmill.operators.joins import left_join_unique
 from trailmill.session import written
 
 CONSTANT_SHARE = 0.8
-MIN_PAGES = 10
+MIN_PAGES = 2
 DEPTH = 100
 
 # Elements by role in a page.
@@ -375,14 +378,16 @@ def extract_text(
     filled = different.join(slots, ["host", "tree"]).select(
         "host", F.explode(F.arrays_zip("slots", "hashes")).alias("leaf")
     )
+    counts = filled.where("leaf.slots >= 0").groupBy("host", "leaf.slots", "leaf.hashes").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    share = (F.col("best.n") + 0.5) / (F.col("n_filled") + 1.0)
     constant = (
-        filled.where("leaf.slots >= 0")
-        .groupBy("host", "leaf.slots", "leaf.hashes")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(wide, "host")
-        .where(F.col("n") >= constant_share * F.col("n_pages"))
+        counts.groupBy("host", "slots")
+        .agg(F.sum("n").alias("n_filled"), F.max(F.struct("n", "hashes")).alias("best"))
+        .where((F.col("best.n") >= 2) & (share >= constant_share))
         .groupBy("host")
-        .agg(F.collect_list(F.struct("slots", "hashes")).alias("template"))
+        .agg(F.collect_list(F.struct("slots", F.col("best.hashes").alias("hashes"))).alias("template"))
     )
     template = written(constant, "template")
     # pages of hosts without any template keep all their leaves and need no slots
