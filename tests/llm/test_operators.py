@@ -7,6 +7,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from trailmill.llm import (
     bpe_monoid,
     host_quality,
@@ -333,3 +334,47 @@ def test_template_of_small_hosts(spark):
     assert all(text[100 * n + i] == f"Story {i} of {n}" for n in (2, 3, 9, 10) for i in range(n))
     assert text[100] == "Notice of this host\nStory 0 of 1"
     assert [text[i].split("\n")[0] for i in range(4)] == ["kept", "kept", "own 2", "own 3"]
+
+
+ENGLISH = "the river runs along old walls and every child that lives near there knows which stones are safe to cross".split()
+GERMAN = "der fluss zieht an alten mauern vorbei und jedes kind das dort wohnt weiß welche steine man betreten darf".split()
+FOREIGN = [
+    "Il gatto dorme sul tavolo della cucina mentre la nonna prepara il pranzo per tutta la famiglia",
+    "Wczoraj wieczorem poszliśmy do kina ze znajomymi i obejrzeliśmy bardzo ciekawy film o dawnych czasach",
+    "Вчера вечером мы пошли в кино с друзьями и посмотрели очень интересный фильм о старых временах",
+    "qzx vkjw pqgh zzkx wvbn xqjt kkpz gfdq wxyz jjqk vbnm zxqw hjkl qwrt zpxk vvqj",
+]
+
+
+def _languages():
+    rnd = random.Random(9)
+    rows = []
+    for i in range(120):
+        lang, words = [("en", ENGLISH), ("de", GERMAN)][i % 2]
+        rows.append((i, " ".join(rnd.choices(words, k=rnd.randrange(40, 80))), lang, f"src{i % 3}", 0))
+    odd = [(1000 + 2 * i + j, t, lang, "src1", 0) for i, t in enumerate(FOREIGN) for j, lang in enumerate([None, "en"])]
+    return rows, odd
+
+
+def test_foreign_and_junk_texts_are_refused(spark):
+    rows, odd = _languages()
+    labelled = _documents(spark, rows)
+    judged = language_fusion.identify_documents(_documents(spark, rows + odd), labelled).collect()
+    assert all(r.kept and r.language == r.lang for r in judged if r.doc_id < 1000)
+    assert not any(r.kept for r in judged if r.doc_id >= 1000)
+    italian = [(2000 + i, " ".join(random.Random(i).choices(FOREIGN[0].split(), k=40)), "it", "src1", 0) for i in range(60)]
+    both = language_fusion.identify_documents(_documents(spark, rows + italian)).collect()
+    assert all(r.kept and r.language == r.lang for r in both)
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    rows, odd = _languages()
+    item = " ".join(random.Random(3).sample(ENGLISH, 18))
+    copies = [(2000, rows[4][1], "en", "src0", 0)]
+    leaks = [(2001, rows[6][1] + " " + item + " " + rows[8][1], "en", "src1", 0)]
+    none = [(2002, None, None, None, 0), (2003, "", "en", "src1", 0), (2004, "12 34", "en", "src1", 0)]
+    docs = rows + odd + copies + leaks + none
+    _documents(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {r[0] for r in rows}

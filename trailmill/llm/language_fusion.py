@@ -9,14 +9,21 @@ a language, those with the least hashes); its size is fixed. Every document is s
 Text evidence counts the mean over trigrams times a bounded number of them, as neighbouring
 trigrams are not independent; so a long text outweighs the other evidence, a short one does not.
 
-A document is kept if it has letters and some language reaches ``min_posterior``. Null text is
-empty: not kept. Null or unknown declared languages, suffixes and hosts are no evidence. Repeated
+The languages are those of the labels. Beside them stands the background: text of no language
+among them. Its evidence is the mean log-likelihood below which a text is not written in the
+language that fits it best. That floor is fitted on the labelled sample, every text scored by a
+model without itself; it leaves room for a share MIXED of unknown text, and is lower for shorter
+texts, whose means scatter more.
+
+A document is kept if it has letters and some language reaches ``min_posterior``; a text won by
+the background has no language. Null text is empty: not kept. Null or unknown declared languages, suffixes and hosts are no evidence. Repeated
 rows are judged alike and each counts for the priors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +42,8 @@ DECLARED_RIGHT = 0.9
 SUFFIX_RIGHT = 0.7
 SMOOTHING = 20.0
 MIN_POSTERIOR = 0.5
+DEVIATIONS = 4.0  # of the texts of a language, from their median down to the floor
+MIXED = 0.2  # share of a text that may be anything, as quotations, names and code
 # Country suffixes that speak for a language.
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "ie": "en"}
 
@@ -83,17 +92,67 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+class Model(NamedTuple):
+    """Trigrams of some languages, one row each, and what texts of a language reach."""
+
+    weights: np.ndarray  # log-probability of every bucket
+    floors: np.ndarray  # median of the texts' means, their own variance, variance by 1 / trigrams
+
+
+def _scored_alone(counts: np.ndarray, languages: list[str]):
+    """(language, n, mean, var) of every text under the model of its language without the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for language, raw in zip(batch.column(0).to_pylist(), _batch_bytes(batch.column(1)), strict=True):
+                own = np.zeros(BUCKETS)
+                for piece in _pieces(raw):
+                    own += np.bincount(_trigrams(piece), minlength=BUCKETS)
+                at = np.flatnonzero(own)
+                n, own, held = own.sum(), own[at], counts[languages.index(language)]
+                logs = np.log((np.maximum(held[at] - own, 0) + 0.5) / (max(held.sum() - n, 0) + 0.5 * BUCKETS))
+                mean = float(logs @ own / n) if n else 0.0
+                rows.append((language, float(n), mean, float((logs - mean) ** 2 @ own / n) if n else 0.0))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = [pa.string(), *[pa.float64()] * 3]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["language", "n", "mean", "var"]
+            )
+
+    return run
+
+
+def _floor(n: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple[float, float, float]:
+    """Median, variance between texts and variance by 1 / trigrams, from a language's texts.
+
+    Neighbouring trigrams share two bytes, so a mean scatters as one of a third as many.
+    Medians, as labelled junk must not move the floor.
+    """
+    if not len(n):  # nothing is known of the language: the background never wins over it
+        return 0.0, np.inf, 0.0
+    short = 3 * float(np.median(var))
+    order = np.argsort(mean)
+    share = np.cumsum(n[order]) / n.sum()
+    middle = float(mean[order][np.searchsorted(share, 0.5)])  # of texts by length
+    spare = (mean - middle) ** 2 * 2.2 - short / n  # 2.2: variance from a median of squares
+    return middle, max(0.0, float(np.median(spare))), short
+
+
 def fit_trigrams(
     labelled: DataFrame, languages: list[str], text: str = "text", label: str = "lang", sample: int = SAMPLE
-) -> np.ndarray:
+) -> Model:
     """Log-probability of every trigram bucket per language, from about ``sample`` texts each.
 
     The sample is every text whose hash lies below a bound that follows from the number of
-    different texts of the language; copies count once.
+    different texts of the language; copies count once. Labels count by their first two letters.
     """
     small_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(label).isin(languages) & F.col(text).isNotNull()).select(
-        F.col(label).alias("language"), F.col(text).cast("binary").alias("raw")
+    if not languages:
+        return Model(np.zeros((0, BUCKETS)), np.zeros((0, 3)))
+    named = language_code(F.col(label))
+    rows = labelled.where(named.isin(languages) & F.col(text).isNotNull()).select(
+        named.alias("language"), F.col(text).cast("binary").alias("raw")
     ).withColumn("hash", F.xxhash64("raw"))
     sizes = rows.groupBy("language").agg(F.approx_count_distinct("hash").alias("n")).collect()
     chosen = F.lit(False)
@@ -102,35 +161,53 @@ def fit_trigrams(
         bound = min((1 << 63) - 1, share - (1 << 63))
         chosen |= (F.col("language") == row["language"]) & (F.col("hash") <= bound)
     picked = rows.where(chosen).dropDuplicates(["language", "hash"]).select("language", "raw")
+    picked = written(picked, "sample")
     counts = picked.mapInArrow(_counted, "language string, bucket long, n long")
     found = counts.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     held = np.zeros((len(languages), BUCKETS))  # as many rows at most
     at = found["language"].map(languages.index).to_numpy(np.int64)
     held[at, found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
     smooth = held + 0.5
-    return np.log(smooth / smooth.sum(axis=1, keepdims=True))
+    alone = picked.mapInArrow(
+        _scored_alone(held, languages), "language string, n double, mean double, var double"
+    ).where("n > 0").toPandas()  # one row a text of the sample
+    floors = []
+    for name in languages:
+        of = alone[alone["language"] == name]
+        floors.append(_floor(*(of[c].to_numpy(np.float64) for c in ("n", "mean", "var"))))
+    return Model(np.log(smooth / smooth.sum(axis=1, keepdims=True)), np.array(floors))
+
 
+def with_text_evidence(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with ``__text`` (log-likelihood per language, then background) and ``__letters``.
 
-def with_text_evidence(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with ``__text`` (log-likelihood per language) and ``__letters``. No shuffle."""
+    No shuffle.
+    """
     names = docs.columns
     at = names.index(text)
-    weights = np.ascontiguousarray(model.T.astype(np.float32))  # BUCKETS rows, always
+    weights = np.ascontiguousarray(model.weights.T.astype(np.float32))  # BUCKETS rows, always
+    middle, between, short = model.floors.T
+    last = weights.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.zeros((batch.num_rows, weights.shape[1]))
+            scores = np.zeros((batch.num_rows, last + 1))
             letters = np.zeros(batch.num_rows, bool)
             for i, raw in enumerate(_batch_bytes(batch.column(at).cast(pa.binary()))):
                 n = 0
                 for piece in _pieces(raw):
                     buckets = _trigrams(piece)
-                    scores[i] += weights[buckets].sum(axis=0, dtype=np.float64)
+                    scores[i, :last] += weights[buckets].sum(axis=0, dtype=np.float64)
                     n += len(buckets)
                     letters[i] |= bool(((piece >= 128) | ((piece | 32) - 97 < 26)).any())
+                if letters[i] and last:
+                    best = int(scores[i, :last].argmax())
+                    floor = (1 - MIXED) * middle[best] - MIXED * np.log(BUCKETS)
+                    floor -= DEVIATIONS * np.sqrt(between[best] + short[best] / n)
+                    scores[i, last] = max(floor, -1e6) * n
                 scores[i] *= min(n, EVIDENCE) / n if letters[i] else 0.0
             flat = pa.array(scores.ravel())
-            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * weights.shape[1])
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (last + 1))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.ListArray.from_arrays(ends, flat), pa.array(letters)],
                 [*names, "__text", "__letters"],
@@ -146,11 +223,26 @@ def _softmax(scores: Column) -> Column:
     return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
+def language_code(value: Column) -> Column:
+    """First two letters in lower case; what does not begin with two letters is no language."""
+    code = F.lower(F.substring(value, 1, 2))
+    return F.when(code.rlike("^[a-z]{2}$"), code)
+
+
+def labelled_languages(labelled: DataFrame, label: str = "lang", text: str = "text") -> list[str]:
+    """All languages of the labels that have a text, in order; by their form at most 676."""
+    rows = labelled.where(F.col(text).isNotNull()).select(language_code(F.col(label)).alias("code"))
+    return sorted(r["code"] for r in rows.where("code IS NOT NULL").distinct().collect())
+
+
 def _claim(value: Column, languages: list[str], right: float) -> Column:
-    """Log-likelihood of a claimed language per language; an unknown claim says nothing."""
-    wrong = (1 - right) / max(1, len(languages) - 1)
-    told = F.array(*[F.log(F.when(value == name, right).otherwise(wrong)) for name in languages])
-    nothing = F.array(*[F.lit(0.0) for _ in languages])
+    """Log-likelihood of a claimed language per class; an unknown claim says nothing.
+
+    The last class is the background, for which every claim is wrong.
+    """
+    wrong = (1 - right) / max(1, len(languages))
+    told = F.array(*[F.log(F.when(value == name, right).otherwise(wrong)) for name in languages], F.log(F.lit(wrong)))
+    nothing = F.array(*[F.lit(0.0) for _ in [*languages, None]])
     return F.when(value.isin(languages), told).otherwise(nothing)
 
 
@@ -162,12 +254,12 @@ def _sum(*parts: Column) -> Column:
 
 
 def host_priors(scored: DataFrame, languages: list[str]) -> DataFrame:
-    """(__host, __prior): log prior per language of every host.
+    """(__host, __prior): log prior of every host per language and of the background.
 
     ``scored`` has __host, __domain and __soft, the posterior without any prior. A host without
     documents enough leans on its domain, a domain on the whole.
     """
-    names = [f"p{i}" for i in range(len(languages))]
+    names = [f"p{i}" for i in range(len(languages) + 1)]
     sums = [F.sum(F.col("__soft")[i]).alias(name) for i, name in enumerate(names)]
     hosts = scored.groupBy("__host", "__domain").agg(*sums)
     add = [F.sum(name).alias(f"d_{name}") for name in names]
@@ -182,14 +274,14 @@ def host_priors(scored: DataFrame, languages: list[str]) -> DataFrame:
             for name, under in zip(names, below, strict=True)
         ]
 
-    even = [F.lit(1.0 / len(languages)) for _ in names]
+    even = [F.lit(1.0 / len(names)) for _ in names]
     host = level("", level("d_", level("w_", even)))
     return joined.select("__host", F.array(*[F.log(p) for p in host]).alias("__prior"))
 
 
 def identified(
     docs: DataFrame,
-    model: np.ndarray,
+    model: Model,
     languages: list[str],
     text: str = "text",
     declared: Column | None = None,
@@ -203,7 +295,7 @@ def identified(
     shuffled between the two.
     """
     none = F.lit(None).cast("string")
-    declared = none if declared is None else F.lower(F.substring(declared, 1, 2))
+    declared = none if declared is None else language_code(declared)
     host = F.lit("") if host is None else F.coalesce(host.cast("string"), F.lit(""))
     ending = F.element_at(F.split(host, r"\."), -1) if suffix is None else suffix
     country = F.create_map(*[F.lit(x) for pair in SUFFIX_LANGUAGE.items() for x in pair])[ending]
@@ -220,14 +312,14 @@ def identified(
     )
     priors = written(host_priors(scored, languages), "priors")
     whole = left_join_unique(with_text_evidence(rows, model, text), priors, "__host")
-    even = F.array(*[F.lit(0.0) for _ in languages])
+    even = F.array(*[F.lit(0.0) for _ in [*languages, None]])
     fused = whole.withColumn(
         "__fused", _softmax(_sum(F.col("__text"), F.col("__claims"), F.coalesce("__prior", even)))
     )
     best = F.array_max("__fused")
-    names = F.array(*[F.lit(name) for name in languages])
+    names = F.array(*[F.lit(name) for name in languages], none)
     language = F.get(names, (F.array_position("__fused", best) - 1).cast("int"))
-    known = F.col("__letters") & (best >= min_posterior)
+    known = F.col("__letters") & (best >= min_posterior) & language.isNotNull()
     return fused.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.when(F.col("__letters"), language).alias("language"),
@@ -236,10 +328,9 @@ def identified(
     )
 
 
-LANGUAGES = ["de", "en", "es", "fr"]
-
-
 def identify_documents(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """Documents with language, posterior and verdict; ``lang`` is their declared language."""
-    model = fit_trigrams(docs if labelled is None else labelled, LANGUAGES)
-    return identified(docs, model, LANGUAGES, declared=F.col("lang"), host=F.col("source"))
+    labelled = docs if labelled is None else labelled
+    languages = labelled_languages(labelled)
+    model = fit_trigrams(labelled, languages)
+    return identified(docs, model, languages, declared=F.col("lang"), host=F.col("source"))
