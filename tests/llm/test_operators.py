@@ -85,6 +85,14 @@ def test_secrets_by_owner(spark):
     assert secret_ownership.secret_report(_documents(spark, [])).count() == 0
 
 
+def test_secrets_of_rows_without_id(spark):
+    one, two = "Zx9" * 8, "Wy7" * 8
+    rows = [(None, f"a {one} b", "en", "a", 0), (None, f"c {two} d", "en", "b", 0), (None, "plain", "en", "a", 0)]
+    rows += [(1, f"e {'Qv5' * 8}", "en", "a", 0), (1, "plain", "en", "a", 0)]
+    clean = secret_ownership.redact_secrets(_documents(spark, rows)).collect()
+    assert sorted(r.text for r in clean) == ["a [secret] b", "c [secret] d", "e [secret]", "plain", "plain"]
+
+
 @pytest.mark.parametrize("repeat", [1, 4])
 def test_ring_keeps_counts_even(spark, docs, repeat):
     rows = docs

@@ -218,9 +218,11 @@ def redact_secrets(
     """``docs`` with every secret value replaced by ``mark``; rows and other columns stay.
 
     Only values are cut out: the name before an assigned value stays. Overlapping spans become
-    one mark. Null text stays null. Rows with one ``key`` share their live generic values.
+    one mark. Null text stays null. Rows are told apart by a number of their own, so ``key`` may be
+    null or repeat.
     """
-    found = searched(docs, text, owner, repository, [F.col(key).alias("__key")])
+    numbered = written(docs.withColumn("__number", F.monotonically_increasing_id()), "numbered")
+    found = searched(numbered, text, owner, repository, [F.col("__number").alias("__key")])
     generic = written(
         found.where(F.size("__generic") > 0).withColumn("__base", F.array().cast(SPAN)), "generic"
     )
@@ -234,7 +236,7 @@ def redact_secrets(
         .agg(F.collect_set("span.value").alias("__live"))
     )
     whole = F.coalesce(F.col(text), F.lit(""))
-    held = docs.join(per_key, F.col(key) == F.col("__key"), "left").drop("__key")
+    held = numbered.join(per_key, F.col("__number") == F.col("__key"), "left").drop("__key")
     base = F.transform(
         base_spans(whole),
         lambda x: F.struct(
