@@ -5,8 +5,8 @@ joined by concatenation. Within one match, halves are encoded recursively and jo
 window of tokens around the seam is encoded again, and it grows until both its ends fit the
 tokens outside. Two neighbouring tokens fit if encoding their bytes together gives just the two;
 a list whose neighbours all fit is the encoding of its bytes, so everything outside the window
-is final. Joining costs the window, not the text, whatever the length of a match. Decoding is
-the same reduction with byte strings and plain concatenation.
+is final. Joining costs the window, not the text, whatever the length of a match. Matches of at
+most LEAF_BYTES bytes are merged plainly. Decoding is one flat concatenation of byte strings.
 
 Ranks come from a vocabulary file given by path, which every machine must have installed; only
 the ranks' path travels with the plan. Python workers keep results of frequent stretches between
