@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trailmill.llm import (
     bpe_monoid,
+    fill_middle,
     host_quality,
     jaccard_groups,
     language_fusion,
@@ -213,3 +214,34 @@ def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper_induction.extract_text(table(spark, sf_dir, "pages"))
+
+
+_H = "CAST('0x' || substr(sha256('1:' || doc_id), {}, 8) AS UBIGINT)"
+
+MIDDLE_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+    {_H.format(1)} AS h1, {_H.format(9)} AS h2, {_H.format(17)} AS h3, {_H.format(25)} AS h4
+  FROM documents),
+cuts AS (
+  SELECT *, CAST(least(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS a,
+    CAST(greatest(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+      OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+parts AS (
+  SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix
+  FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text
+    WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query(MIDDLE_SQL)
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.middle_digests(table(spark, sf_dir, "documents"))
