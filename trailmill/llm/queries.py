@@ -13,6 +13,7 @@ from trailmill.llm import (
     jaccard_groups,
     language_fusion,
     license_windows,
+    line_dedup,
     ring_sharding,
     secret_ownership,
     template_leaks,
@@ -216,6 +217,25 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper_induction.extract_text(table(spark, sf_dir, "pages"))
 
 
+_ENDS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+
+LINES_SQL = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, {_ENDS}), '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key),
+g AS (SELECT k.*, coalesce(doc_id <> first, false) AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM g GROUP BY doc_id
+"""
+
+
+@query(LINES_SQL)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 _H = "CAST('0x' || substr(sha256('1:' || doc_id), {}, 8) AS UBIGINT)"
 
 MIDDLE_SQL = f"""
