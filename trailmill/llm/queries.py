@@ -10,6 +10,7 @@ from trailmill.llm import (
     bpe_monoid,
     fill_middle,
     host_quality,
+    importance_resampling,
     jaccard_groups,
     language_fusion,
     license_windows,
@@ -217,6 +218,62 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper_induction.extract_text(table(spark, sf_dir, "pages"))
 
 
+# DuckDB has no crc32: the table of its 256 bytes from the rule, then one step per byte.
+RESAMPLING_SQL = r"""
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+    FROM range(256) r(i)) t),
+d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word FROM d),
+v AS (
+  SELECT unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+bytes AS (
+  SELECT word, list_transform(range(1, octet_length(encode(word)) + 1),
+    lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i - 1, 2) AS BIGINT)) AS b
+  FROM (SELECT word FROM w UNION SELECT word FROM v) u),
+hashed AS (
+  SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295, b),
+    lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]))) % 10000 AS bucket
+  FROM bytes, crc),
+s AS (SELECT bucket, count(*) AS s FROM w JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM v JOIN hashed USING (word) GROUP BY bucket),
+gains AS (
+  SELECT r.bucket, CAST(floor(1000 * ln(
+    CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM w) + 10000 AS DOUBLE)
+    / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM v) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM range(10000) r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+sums AS (
+  SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total
+  FROM w JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features,
+    CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight,
+    CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE))
+      / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS noise
+  FROM d LEFT JOIN sums USING (doc_id)),
+ranked AS (
+  SELECT *, weight + noise AS score, n_features >= 20 AS able,
+    row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) AS place
+  FROM scored)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN able AND place <= (SELECT count(*) FROM ranked WHERE able) * 10 // 100 THEN place END AS rank
+FROM ranked
+"""
+
+
+@query(RESAMPLING_SQL)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return importance_resampling.resample(docs, target)
+
+
 _ENDS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 
 LINES_SQL = f"""
