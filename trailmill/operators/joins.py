@@ -6,8 +6,9 @@ shuffled, and keys that hold a large share of the records are spread over severa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -18,14 +19,36 @@ _HASH = "__hash"
 _PARTS = "__parts"
 
 
+def width_of(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value: texts by their length, arrays and maps by what they hold; 8 for the rest."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        width = F.octet_length(value).cast("long")
+    elif isinstance(kind, T.StructType):
+        width = F.lit(8).cast("long")
+        for field in kind.fields:
+            width = width + width_of(value.getField(field.name), field.dataType)
+    elif isinstance(kind, T.ArrayType):
+        element = kind.elementType
+        if isinstance(element, T.StringType | T.BinaryType | T.StructType | T.ArrayType | T.MapType):
+            width = F.aggregate(value, F.lit(8).cast("long"), lambda sum_, x: sum_ + width_of(x, element))
+        else:
+            width = 8 + 8 * F.size(value).cast("long")
+    elif isinstance(kind, T.MapType):
+        width = width_of(F.map_keys(value), T.ArrayType(kind.keyType)) + width_of(
+            F.map_values(value), T.ArrayType(kind.valueType)
+        )
+    else:
+        return F.lit(8).cast("long")
+    return F.coalesce(width, F.lit(8).cast("long"))
+
+
 def fits_broadcast(
     table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
     """Measure a table: true when both its rows and its bytes are within the bound."""
     width = F.lit(0).cast("long")
-    for name, kind in table.dtypes:
-        value = F.col(f"`{name}`")
-        width = width + (F.coalesce(F.octet_length(value), F.lit(0)) if kind == "string" else 8)
+    for field in table.schema:
+        width = width + width_of(F.col(f"`{field.name}`"), field.dataType)
     size = table.agg(F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")).first()
     return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
