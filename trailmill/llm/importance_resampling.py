@@ -194,14 +194,17 @@ def _with_gain(df: DataFrame, column: str, gains: np.ndarray, n: str, gain: str)
 def document_weights(corpus: Features, gains: np.ndarray) -> DataFrame:
     """(row, doc_id, n_words, n_features, weight) of every row."""
     segments = written(_with_gain(corpus.segments.drop("times"), "buckets", gains, "n", "gain"), "gains")
-    rows = _with_gain(corpus.rows, "across", gains, "across_n", "across_gain")
-    lines = rows.select("row", "doc_id", "across_n", "across_gain", F.explode_outer("keys").alias("key"))
+    lines = corpus.rows.select("row", F.explode("keys").alias("key"))
     counts = corpus.segments.select(F.xxhash64("key").alias("hash"), F.col("times").alias("n"))
-    held = left_join_unique(lines, segments, "key", counts)
-    summed = held.groupBy("row", "doc_id", "across_n", "across_gain").agg(
-        F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"),
-        (F.coalesce(F.sum("n"), F.lit(0)) + F.col("across_n")).alias("n_features"),
-        (F.coalesce(F.sum("gain"), F.lit(0)) + F.col("across_gain")).alias("total"),
+    # gains of lines grow with the corpus, so they are never broadcast
+    held = left_join_unique(lines, segments, "key", counts, max_rows=0)
+    sums = held.groupBy("row").agg(F.sum("n_words").alias("n_words"), F.sum("n").alias("n"), F.sum("gain").alias("gain"))
+    rows = _with_gain(corpus.rows.drop("keys"), "across", gains, "across_n", "across_gain")
+    summed = rows.join(sums, "row", "left").select(
+        "row", "doc_id",
+        F.coalesce("n_words", F.lit(0)).alias("n_words"),
+        (F.coalesce("n", F.lit(0)) + F.col("across_n")).alias("n_features"),
+        (F.coalesce("gain", F.lit(0)) + F.col("across_gain")).alias("total"),
     )
     floored = F.expr("CASE WHEN n_features = 0 THEN 0L ELSE (total - pmod(total, n_features)) DIV n_features END")
     weights = written(summed.select("row", "doc_id", "n_words", "n_features", floored.alias("weight")), "weights")
