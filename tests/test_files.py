@@ -12,7 +12,7 @@ from trailmill.operators.preview import column_preview, search_columns
 from trailmill.options import OptionsError
 from trailmill.plans.sinks import write_records
 from trailmill.session import scratch_path
-from trailmill.sources.files import FILE_COLUMN, list_files, read_csv, read_parquet, read_records
+from trailmill.sources.files import FILE_COLUMN, csv_dialect, holds, read_csv, read_parquet, read_records
 from trailmill.sources.lookups import read_lookup
 from trailmill.streaming import accepted_stream
 
@@ -84,6 +84,90 @@ def test_short_and_long_records(spark, tmp_path):
         assert sorted(map(tuple, got), key=str) == expected
 
 
+def test_headers_in_other_orders(spark, tmp_path):
+    make(tmp_path, "csv", "a")
+    make(tmp_path, "csv", "b", 't,"note", la,lo\n1700000009,n,1,2\n')
+    make(tmp_path, "csv.gz", "c", "note,t,lo,la\n,1700000008,4,3\n")
+    make(tmp_path, "zip", "d", "lo,la,t,note\n6,5,1700000007,\n")
+    make(tmp_path, "csv", "e", "")
+    df = read_csv(spark, str(tmp_path))
+    assert df.columns == ["la", "lo", "t", "note", FILE_COLUMN]
+    more = [("1", "2", "1700000009", "n"), ("3", "4", "1700000008", None), ("5", "6", "1700000007", None)]
+    assert rows(df) == sorted(ROWS + more)
+    make(tmp_path, "csv", "f", "la,lo,t,other\n1,2,3,4\n")
+    with pytest.raises(OptionsError, match="f.csv: columns missing .'note'., unknown .'other'"):
+        read_csv(spark, str(tmp_path))
+
+
+def test_headers_where_only_spark_reads(spark, tmp_path, monkeypatch):
+    from trailmill.sources import access
+
+    monkeypatch.setattr(access, "tasks_can_open", lambda *_: False)
+    make(tmp_path, "csv", "a")
+    make(tmp_path, "csv", "b", "t,note,la,lo\n1700000009,n,1,2\n")
+    assert rows(read_csv(spark, str(tmp_path))) == sorted([*ROWS, ("1", "2", "1700000009", "n")])
+
+
+def test_unknown_column_in_an_archive(spark, tmp_path):
+    make(tmp_path, "csv", "a")
+    make(tmp_path, "zip", "d", "lo,la,t,extra\n6,5,1700000007,\n")
+    with pytest.raises(Exception, match="unknown .'extra'"):
+        read_csv(spark, str(tmp_path)).collect()
+
+
+def test_entries_of_archives(spark, tmp_path):
+    long = "x" * (5 << 20)  # longer than a block
+    spaced = 'la,lo,t,note\n' + "1,2,3,plain\n" * 20000 + '7,8,9, "a, b"\n' + "1,2,3,plain\n" * 5
+    with zipfile.ZipFile(tmp_path / "many.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("sub/one.csv", TEXT)
+        archive.writestr("notes.md", "not, a, record\n")
+        archive.writestr("__MACOSX/sub/._one.csv", b"\x00\x05")
+        archive.writestr("header.csv", "la,lo,t,note\n")
+        archive.writestr("empty.csv", "")
+        archive.writestr("two.CSV", f'note,la,lo,t\n{long},1,2,3\n"two\nlines",4,5,6\n')
+        archive.writestr("spaced.csv", spaced)
+        archive.writestr("uneven.csv", "la,lo,t,note\n1,2\n\n1,2,3,x,surplus\n")
+    with zipfile.ZipFile(tmp_path / "odd.zip", "w") as archive:
+        archive.writestr("data.txt", "la,lo,t,note\n9,9,9,text\n")
+    with zipfile.ZipFile(tmp_path / "none.zip", "w"):
+        pass
+    df = read_csv(spark, str(tmp_path))
+    expected = [*ROWS, (("1"), "2", "3", long), ("4", "5", "6", "two\nlines"), ("7", "8", "9", "a, b")]
+    expected += [("1", "2", "3", "plain")] * 20005 + [("1", "2", None, None), ("1", "2", "3", "x"), ("9", "9", "9", "text")]
+    assert sorted(map(str, rows_any(df))) == sorted(map(str, expected))
+    assert df.select(FILE_COLUMN).distinct().count() == 2
+
+
+def rows_any(df):
+    return [tuple(v.strip() if v else None for v in r) for r in df.select("la", "lo", "t", "note").collect()]
+
+
+@pytest.mark.parametrize(
+    ("sep", "quote", "lines"),
+    [
+        (",", '"', ["a,b,c", '1,"x, y",z', "2,it's,q", '3,"say ""hi"", you",w']),
+        (",", "'", ["a,b,c", "1,'x, y',z", "2,'p, q, r',s", '3,6" nails,t']),
+        (";", '"', ["a;b;c", "1;2,5;3,5", "2;4,5;5", '3;"x;y";7,0']),
+        (";", "'", ["a;b", "'1;2';x", "'3;4';y"]),
+        ("\t", '"', ["a\tb\tc", "1\tx, y\tz", "2\tp; q\tr"]),
+        ("|", '"', ["a|b", "1|x,y", "2|z"]),
+        (",", '"', ["a,b", "1,2"]),
+        (",", '"', ["single", "column"]),
+    ],
+)
+def test_dialects(spark, tmp_path, sep, quote, lines):
+    found = csv_dialect(spark, make(tmp_path, "csv", "d", "\n".join(lines) + "\n"))
+    assert (found.sep, found.quote) == (sep, quote)
+    zipped = csv_dialect(spark, make(tmp_path, "zip", "d", "\r\n".join(lines) + "\r\n"))
+    assert zipped == found
+
+
+def test_detected_dialect_is_read(spark, tmp_path):
+    path = make(tmp_path, "csv", "d", "la;lo;t;note\n1;2;3;'x; y'\n4;5;6;'p; q; r'\n")
+    df = read_csv(spark, path, quote="auto", sep="auto")
+    assert rows(df) == [("1", "2", "3", "x; y"), ("4", "5", "6", "p; q; r")]
+
+
 def test_input_checks(spark, tmp_path):
     make(tmp_path, "csv")
     (tmp_path / "b.parquet").write_bytes(b"")
@@ -95,7 +179,7 @@ def test_input_checks(spark, tmp_path):
     for path in (str(other), str(tmp_path / "missing")):
         with pytest.raises(OptionsError):
             read_records(spark, path)
-    assert len(list_files(spark, str(tmp_path))) == 2
+    assert holds(spark, str(tmp_path), (".csv",)) and not holds(spark, str(tmp_path), (".gz", ".zip"))
 
 
 def test_rolled_parquet(spark, tmp_path):

@@ -22,6 +22,9 @@ GEOMETRY_COLUMNS = (
 # Suffix of the column that holds the ids of a retained column.
 IDS_SUFFIX = "_IDs"
 
+# A separator or quote that is found from the input.
+AUTO = "auto"
+
 VALUE_TYPES = ("long", "float", "double", "string")
 
 
@@ -48,6 +51,7 @@ class PrepOptions:
     headers: Sequence[str] | None = None
     multiline: bool = False
     quote: str = '"'
+    sep: str = ","
 
     # output
     output_path: str | None = None
@@ -107,7 +111,7 @@ class PrepOptions:
             if f.name in ("string_null_values", "column_null_values", "lookups", "input_path"):
                 continue
             if isinstance(value, str):
-                if f.name not in ("quote",):
+                if f.name not in ("quote", "sep"):
                     object.__setattr__(self, f.name, value.strip())
             elif isinstance(value, (list, tuple)):
                 object.__setattr__(

@@ -189,7 +189,7 @@ def prepare(
         if not options.input_path:
             raise OptionsError("input_path is not set")
         records = read_records(
-            spark, options.input_path, options.headers, options.multiline, options.quote
+            spark, options.input_path, options.headers, options.multiline, options.quote, options.sep
         )
     if lookups is None:
         lookups = tuple(read_lookup(spark, lookup) for lookup in options.lookups)

@@ -8,44 +8,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmill.options import OptionsError
-from trailmill.sources.zipped import read_zipped_csv
+from trailmill.operators.joins import left_join_unique
+from trailmill.options import AUTO, OptionsError
+from trailmill.sources.access import headers_by_file
+from trailmill.sources.dialect import QUOTES, SEPARATORS, Dialect, detect_dialect
+from trailmill.sources.zipped import ZIP_ENDING, read_zipped_csv, read_zipped_lines, zipped_header
 
 # Widest record, and the file endings that are read.
 MAX_COLUMNS = 1000
 CSV_ENDINGS = (".csv", ".gz")
-ZIP_ENDING = ".zip"
 PARQUET_ENDING = ".parquet"
 
 # Name of the column that says which file a record came from.
 FILE_COLUMN = "__file"
 
+_PLAIN = "*{" + ",".join(CSV_ENDINGS) + "}"
+
 
 def _paths(path: str | Sequence[str]) -> list[str]:
     return [path] if isinstance(path, str) else list(path)
 
 
-def list_files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
-    """Files of a flat folder (or the file itself), through the session's file systems."""
+def holds(spark: SparkSession, path: str | Sequence[str], endings: Sequence[str]) -> bool:
+    """Whether a file, or a file of a flat folder, has one of the endings."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    found: list[str] = []
     for one in _paths(path):
         where = jvm.org.apache.hadoop.fs.Path(one)
         fs = where.getFileSystem(conf)
         if not fs.exists(where):
             raise OptionsError(f"input {one!r} does not exist")
-        found += [
-            s.getPath().toString()
-            for s in fs.listStatus(where)
-            if s.isFile() and not s.getPath().getName().startswith((".", "_"))
-        ]
-    return sorted(found)
-
-
-def input_kind(files: Sequence[str]) -> str:
+        if fs.getFileStatus(where).isFile():
+            if one.endswith(tuple(endings)):
+                return True
+            continue
+        files = fs.listStatusIterator(where)  # up to the first hit, in pages of the file system
+        while files.hasNext():
+            status = files.next()
+            name = status.getPath().getName()
+            if name.endswith(tuple(endings)) and not name.startswith((".", "_")) and status.isFile():
+                return True
+    return False
+
+
+def input_kind(spark: SparkSession, path: str | Sequence[str]) -> str:
     """``csv`` or ``parquet``; a mixture or neither is an error."""
-    csv = any(f.endswith(CSV_ENDINGS + (ZIP_ENDING,)) for f in files)
-    parquet = any(f.endswith(PARQUET_ENDING) for f in files)
+    csv = holds(spark, path, (*CSV_ENDINGS, ZIP_ENDING))
+    parquet = holds(spark, path, (PARQUET_ENDING,))
     if csv and parquet:
         raise OptionsError("the input holds both CSV and Parquet files")
     if not csv and not parquet:
@@ -53,16 +61,72 @@ def input_kind(files: Sequence[str]) -> str:
     return "csv" if csv else "parquet"
 
 
-def _csv_reader(spark: SparkSession, multiline: bool, quote: str):
+def csv_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(value): all lines of a CSV input, in archives too."""
+    parts = []
+    if holds(spark, path, CSV_ENDINGS):
+        parts.append(spark.read.option("pathGlobFilter", _PLAIN).text(_paths(path)))
+    if holds(spark, path, (ZIP_ENDING,)):
+        parts.append(read_zipped_lines(spark, _paths(path)))
+    if not parts:
+        raise OptionsError("not a CSV input")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def csv_dialect(spark: SparkSession, path: str | Sequence[str], sep: str = AUTO, quote: str = AUTO) -> Dialect:
+    """Separator and quote; what is ``auto`` is found by one pass over all lines."""
+    if AUTO not in (sep, quote):
+        return Dialect(sep, quote)
+    return detect_dialect(
+        csv_lines(spark, path),
+        SEPARATORS if sep == AUTO else (sep,),
+        QUOTES if quote == AUTO else (quote,),
+    )
+
+
+def _csv_reader(spark: SparkSession, multiline: bool, dialect: Dialect):
     return (
         spark.read.option("maxColumns", MAX_COLUMNS)
         .option("maxCharsPerColumn", -1)
-        .option("quote", quote)
-        .option("escape", quote)  # a doubled quote stands for one quote
+        .option("sep", dialect.sep)
+        .option("quote", dialect.quote)
+        .option("escape", dialect.quote)  # a doubled quote stands for one quote
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .option("multiLine", multiline)
         .option("mode", "PERMISSIVE")
+        # the folder itself, not its files one by one: it may hold very many
+        .option("pathGlobFilter", _PLAIN)
+    )
+
+
+def _texts(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def _read_plain(reader, paths: list[str], names: Sequence[str], header: bool) -> DataFrame:
+    frame = reader.schema(_texts(names)).option("header", header).csv(paths)
+    return frame.select("*", F.col("_metadata.file_path").alias(FILE_COLUMN))
+
+
+def _reconciled(reader, paths: list[str], names: Sequence[str], headers: DataFrame) -> DataFrame:
+    """Records of files whose columns stand in different orders, matched by each file's header."""
+    if len(set(names)) < len(names):
+        raise OptionsError("files with different headers must not name a column twice")
+    wrong = headers.where(F.array_sort("names") != F.lit(sorted(names))).head(1)
+    if wrong:
+        found = wrong[0]["names"]
+        raise OptionsError(
+            f"{wrong[0]['file']}: columns missing {sorted(set(names) - set(found))},"
+            f" unknown {sorted(set(found) - set(names))}"
+        )
+    places = F.transform(F.lit(list(names)), lambda n: F.array_position("names", n).cast("int") - 1)
+    table = headers.select(F.col("file").alias(FILE_COLUMN), places.alias("__places"))
+    columns = [f"__c{i}" for i in range(len(names))]
+    joined = left_join_unique(_read_plain(reader, paths, columns, True), table, FILE_COLUMN)
+    values = F.array(*columns)
+    return joined.select(
+        *[F.get(values, F.col("__places")[i]).alias(n) for i, n in enumerate(names)], FILE_COLUMN
     )
 
 
@@ -72,33 +136,41 @@ def read_csv(
     headers: Sequence[str] | None = None,
     multiline: bool = False,
     quote: str = '"',
+    sep: str = ",",
 ) -> DataFrame:
     """All values as text, plus the file each record came from.
 
-    Without ``headers`` the first line of every file is its header. Records with quoted line
-    breaks need ``multiline``, which makes each file one task.
+    Without ``headers`` the first line of every file is its header. Columns are matched by name, in
+    the order of the first file; a file with a missing or an unknown column is an error. Records
+    with quoted line breaks need ``multiline``, which makes each file one task. ``quote`` and
+    ``sep`` may be ``auto``.
     """
-    files = list_files(spark, path)
-    if input_kind(files) != "csv":
+    if input_kind(spark, path) != "csv":
         raise OptionsError("not a CSV input")
-    zipped = [f for f in files if f.endswith(ZIP_ENDING)]
-    plain = [f for f in files if f.endswith(CSV_ENDINGS)]
+    paths = _paths(path)
+    dialect = csv_dialect(spark, path, sep, quote)
+    plain, zipped = holds(spark, path, CSV_ENDINGS), holds(spark, path, (ZIP_ENDING,))
     parts = []
-    reader = _csv_reader(spark, multiline, quote)
-    if headers is None and plain:
-        # names come from the first file that has any; the data is read once, by the run itself
-        headers_of = (reader.option("header", True).csv(f).columns for f in plain)
-        names = next((h for h in headers_of if h), None)
-    else:
-        names = list(headers) if headers is not None else None
+    reader = _csv_reader(spark, multiline, dialect)
+    names = [n.strip() for n in headers] if headers is not None else None
     if plain and names:
-        schema = T.StructType([T.StructField(n.strip(), T.StringType()) for n in names])
-        # the folder itself, not its files one by one: it may hold very many
-        reader = reader.option("pathGlobFilter", "*{" + ",".join(CSV_ENDINGS) + "}")
-        frame = reader.schema(schema).option("header", headers is None).csv(_paths(path))
-        parts.append(frame.select("*", F.col("_metadata.file_path").alias(FILE_COLUMN)))
+        parts.append(_read_plain(reader, paths, names, False))
+    elif plain:
+        found = headers_by_file(spark, paths, _PLAIN, dialect.sep, dialect.quote)
+        # a row per different header: one, unless columns change their order
+        kinds = found.groupBy("names").agg(F.min("file").alias("file")).collect()
+        if kinds:
+            names = min(kinds, key=lambda row: row["file"])["names"]
+            if len(kinds) == 1:
+                parts.append(_read_plain(reader, paths, names, True))
+            else:
+                parts.append(_reconciled(reader, paths, names, found))
     if zipped:
-        parts.append(read_zipped_csv(spark, zipped, names, headers is None, quote, FILE_COLUMN))
+        names = names or zipped_header(spark, paths, dialect.sep, dialect.quote)
+        if names:
+            parts.append(
+                read_zipped_csv(spark, paths, names, headers is None, dialect.sep, dialect.quote, FILE_COLUMN)
+            )
     if not parts:
         raise OptionsError("the input files are empty")
     frame = parts[0]
@@ -109,8 +181,7 @@ def read_csv(
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Columns keep their stored types, so typed filters still reach the files."""
-    files = list_files(spark, path)
-    if input_kind(files) != "parquet":
+    if input_kind(spark, path) != "parquet":
         raise OptionsError("not a Parquet input")
     frame = spark.read.option("pathGlobFilter", f"*{PARQUET_ENDING}").parquet(*_paths(path))
     return frame.select("*", F.col("_metadata.file_path").alias(FILE_COLUMN))
@@ -122,11 +193,12 @@ def read_records(
     headers: Sequence[str] | None = None,
     multiline: bool = False,
     quote: str = '"',
+    sep: str = ",",
 ) -> DataFrame:
     """A file, a flat folder or several of them; the endings say which kind it is."""
-    if input_kind(list_files(spark, path)) == "parquet":
+    if input_kind(spark, path) == "parquet":
         return read_parquet(spark, path)
-    return read_csv(spark, path, headers, multiline, quote)
+    return read_csv(spark, path, headers, multiline, quote, sep)
 
 
 def union_records(*frames: DataFrame) -> DataFrame:
