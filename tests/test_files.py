@@ -256,16 +256,62 @@ def test_approximate_distinct(run, spark):
     assert {r["column"]: r.n_distinct for r in got.collect()} == {"cell": 2, "tag": 10}
 
 
-def test_wide_inputs_have_the_same_profile(run, monkeypatch):
+def test_profile_of_no_records_and_of_wide_ones(run, spark):
     from trailmill.operators import profile as profiles
 
     prepared = run[0]
-    narrow = profiles.profile_counts(prepared.decided, prepared.profiled_columns)
-    monkeypatch.setattr(profiles, "WIDE", 0)
-    wide = profiles.profile_counts(prepared.decided, prepared.profiled_columns).select(narrow.columns)
-    assert sorted(map(str, narrow.collect())) == sorted(map(str, wide.collect()))
     none = profiles.profile_counts(prepared.decided.where("false"), prepared.profiled_columns)
     assert none.count() == len(prepared.profiled_columns) and none.agg(F.sum("nulls")).first()[0] == 0
+    numbers = [f"CAST(id % {i + 2} AS STRING) AS n{i}" for i in range(200)]
+    raw = spark.range(60).selectExpr("'1' AS la", "'2' AS lo", "CAST(1700000000 + id AS STRING) AS t", *numbers)
+    wide = tm.prepare(spark, tm.PrepOptions(longitude="lo", latitude="la", time="t"), records=raw)
+    found = {r["column"]: (r.non_null, r.zeros, r.max) for r in wide.profile().collect()}
+    assert len(found) == 203
+    assert all(found[f"n{i}"] == (60, -(-60 // (i + 2)), float(min(i + 1, 59))) for i in range(200))
+
+
+def test_observed_run_gives_the_same_results(run):
+    prepared, watched = run[0], run[0].observed
+    for name in ("records", "rejects", "profile", "totals", "daily", "reject_reasons", "catalogue"):
+        one, two = getattr(prepared, name)(), getattr(watched, name)()
+        assert sorted(one.columns) == sorted(two.columns), name
+        two = two.select(*[F.col(f"`{c}`") for c in one.columns])
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())), name
+
+
+def test_one_read_of_the_input(run):
+    watched = run[0].observed
+    for made in (watched.records(), watched.report(), watched.daily(), watched.totals()):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan csv" not in plan
+
+
+def test_closed_run_leaves_no_tables(spark, tmp_path):
+    make(tmp_path, "csv")
+    options = tm.PrepOptions(longitude="lo", latitude="la", time="t", input_path=str(tmp_path), output_path=str(tmp_path / "out"))
+    watched = tm.prepare(spark, options).write()
+    assert watched.totals().first()["written"] == 3
+    watched.close()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(watched.table.inputFiles()[0]).count()
+
+
+def test_time_format_of_each_file(spark, tmp_path):
+    for name, times in {
+        "a": ["1700000000", "1700000001"], "b": ["1700000002000", "1700000003000", "12"],
+        "c": ["2023-11-14T22:13:24Z", "2023-11-14T22:13:25+00:00", "bad"], "d": ["", ""],
+        "e": ["2023-11-14T22:13:26Z", "2023-11-14T22:13:27Z[UTC]"],
+    }.items():
+        (tmp_path / f"{name}.csv").write_text("la,lo,t,seen\n" + "".join(f"1,2,{t},{t}\n" for t in times))
+    options = tm.PrepOptions(
+        longitude="lo", latitude="la", time="t", time_columns=["seen"], input_path=str(tmp_path),
+        start_time="2023-11-14T22:13:21Z", end_time="1700000026",
+    )
+    found = tm.prepare(spark, options)
+    assert found.times.formats == ("epoch_ms", "epoch_s", "iso_offset", "iso_zoned")
+    expected = [(t * 1000, t * 1000) for t in range(1700000001, 1700000008)]
+    assert sorted((r.time, r.seen) for r in found.records().collect()) == expected
+    assert [(r.day, r.n) for r in found.daily().collect()] == [("2023-11-14", 7)]
 
 
 def test_days(run):

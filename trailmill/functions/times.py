@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trailmill.functions.casts import literal, quoted
 
@@ -27,6 +28,10 @@ STORED_TYPES = {"timestamp": "stored_instant", "timestamp_ntz": "stored_local",
 # Any of FORMATS, told apart per value: for text beside stored times, such as time bounds.
 ANY = "any"
 
+# The format is that of the record's file, named in this column.
+BY_FILE = "by_file"
+FORMAT_COLUMN = "__time_format"
+
 # Milliseconds beyond this have no calendar day in Spark (the product with 1000 leaves bigint).
 _DAY_LIMIT_MS = 9_000_000_000_000_000
 
@@ -72,10 +77,14 @@ def to_day(text: str, millis: str, fmt: str, zone: str = "Z") -> str:
 
 @dataclass(frozen=True)
 class TimeReader:
-    """The detected format together with the zone: how this input writes time."""
+    """The detected format together with the zone: how this input writes time.
+
+    ``formats`` are those of the files if they differ (``fmt`` is then BY_FILE).
+    """
 
     fmt: str
     zone: str = "Z"
+    formats: tuple[str, ...] = ()
 
     def of(self, raw_type: str) -> TimeReader:
         """How a column of this type is read: stored times need no format."""
@@ -83,10 +92,22 @@ class TimeReader:
             return TimeReader(STORED_TYPES[raw_type], self.zone)
         return TimeReader(ANY, self.zone) if self.fmt in STORED_TYPES.values() else self
 
+    def alone(self) -> TimeReader:
+        """How a text that belongs to no file is read, such as a time bound."""
+        return TimeReader(ANY, self.zone) if self.fmt == BY_FILE else self
+
+    def _each(self, of_format) -> str:
+        cases = " ".join(f"WHEN '{name}' THEN {of_format(name)}" for name in self.formats)
+        return f"CASE {FORMAT_COLUMN} {cases} END"
+
     def millis(self, text: str) -> str:
+        if self.fmt == BY_FILE:
+            return self._each(lambda name: to_millis(text, name, self.zone))
         return to_millis(text, self.fmt, self.zone)
 
     def day(self, text: str, millis: str) -> str:
+        if self.fmt == BY_FILE:
+            return self._each(lambda name: to_day(text, millis, name, self.zone))
         return to_day(text, millis, self.fmt, self.zone)
 
 
@@ -100,16 +121,49 @@ def time_text(column: str, raw_type: str) -> str:
     return f"({text} || 'T00:00')" if raw_type == "date" else text
 
 
-def _fits(text: str) -> list[tuple[str, str]]:
-    whole = f"try_cast({text} AS BIGINT) IS NOT NULL"
-    return [
-        ("spaced_offset", _instant(text, SPACED_OFFSET) + " IS NOT NULL"),
-        ("iso_offset", _instant(text, ISO_OFFSET) + " IS NOT NULL"),
-        ("iso_zoned", _instant(text, ISO_ZONED) + " IS NOT NULL"),
-        ("epoch_s", f"{whole} AND length({text}) <= {EPOCH_DIGITS}"),
-        ("epoch_ms", f"{whole} AND length({text}) > {EPOCH_DIGITS}"),
-        ("iso_local", to_millis(text, "iso_local") + " IS NOT NULL"),
-    ]
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _shape(text: str) -> str:
+    """The one format whose look a text has, found without parsing."""
+    return (
+        f"CASE WHEN try_cast({text} AS BIGINT) IS NOT NULL THEN"
+        f" CASE WHEN length({text}) <= {EPOCH_DIGITS} THEN 'epoch_s' ELSE 'epoch_ms' END"
+        f" WHEN {text} NOT LIKE '%-%:%' THEN NULL"
+        f" WHEN substring({text}, 11, 1) = ' ' THEN 'spaced_offset'"
+        f" WHEN {text} LIKE '%]' THEN 'iso_zoned'"
+        f" WHEN substring({text}, 17) RLIKE '[Z+-]' THEN 'iso_offset' ELSE 'iso_local' END"
+    )
+
+
+def _vote(text: str, shape: str) -> str:
+    """The format of the shape if the text parses in it, or null: one parse a value."""
+    return f"CASE {shape} " + " ".join(
+        f"WHEN '{name}' THEN CASE WHEN {to_millis(text, name)} IS NOT NULL THEN '{name}' END"
+        for name in FORMATS if not name.startswith("epoch")
+    ) + f" ELSE {shape} END"
+
+
+def format_votes(records: DataFrame, column: str, by: str | None = None) -> DataFrame:
+    """One row (per ``by``): n values, and how many fit each format.
+
+    Whole numbers are told apart by size; a text is parsed in the one format it looks like. What fits
+    an offset alone also fits the zoned form.
+    """
+    raw_type = dict(records.dtypes)[column]
+    kept = [quoted(by)] if by else []
+    if raw_type in _WHOLE:
+        number = quoted(column)
+        low, high = -(10 ** (EPOCH_DIGITS - 1)) + 1, 10**EPOCH_DIGITS - 1
+        short = f"CASE WHEN CAST({number} AS BIGINT) BETWEEN {low}L AND {high}L THEN 'epoch_s' ELSE 'epoch_ms' END"
+        voted = records.selectExpr(*kept, f"{number} AS v", f"CASE WHEN {number} IS NOT NULL THEN {short} END AS vote")
+    else:
+        text = f"nullif(CAST({quoted(column)} AS STRING), '')"
+        shaped = records.selectExpr(*kept, f"{text} AS v").selectExpr("*", f"{_shape('v')} AS shape")
+        voted = shaped.selectExpr(*kept, "v", f"{_vote('v', 'shape')} AS vote")
+    fitting = {name: f"vote = '{name}'" for name in FORMATS} | {"iso_zoned": "vote IN ('iso_offset', 'iso_zoned')"}
+    counts = [F.count("v").alias("n"), *(F.expr(f"count_if({fits})").alias(n) for n, fits in fitting.items())]
+    return voted.groupBy(by).agg(*counts) if by else voted.agg(*counts)
 
 
 def detect_format(records: DataFrame, column: str) -> str:
@@ -121,16 +175,33 @@ def detect_format(records: DataFrame, column: str) -> str:
     raw_type = dict(records.dtypes)[column]
     if raw_type in STORED_TYPES:
         return STORED_TYPES[raw_type]
-    text = f"nullif(CAST({quoted(column)} AS STRING), '')"
-    counted = records.selectExpr(f"{text} AS v").selectExpr(
-        "count(v) AS n", *[f"count_if({fits}) AS {name}" for name, fits in _fits("v")]
-    ).first()
+    counted = format_votes(records, column).first()
     best = max(FORMATS, key=lambda name: counted[name])
     if counted["n"] and not counted[best]:
         raise ValueError(f"the values of {column!r} match no known time format")
     return best
 
 
+def formats_by_file(records: DataFrame, column: str, file: str) -> DataFrame:
+    """(file, FORMAT_COLUMN): the format that most values of a file fit.
+
+    Files whose values fit none take the format that most values of all files fit.
+    """
+    votes = format_votes(records, column, by=file)
+    total = votes.agg(*[F.sum(name).alias(name) for name in ("n", *FORMATS)])
+
+    def best(df: DataFrame, name: str) -> DataFrame:
+        most = F.greatest(*FORMATS)
+        choice = F.coalesce(*[F.when((F.col(f) == most) & (most > 0), F.lit(f)) for f in FORMATS])
+        return df.withColumn(name, choice)
+
+    # one row on the right
+    whole = best(total, "__whole").select("__whole")
+    return best(votes, FORMAT_COLUMN).join(F.broadcast(whole)).select(
+        file, F.coalesce(FORMAT_COLUMN, "__whole").alias(FORMAT_COLUMN)
+    )
+
+
 def format_of(text: str) -> str:
     """Per value: the name of the first format it fits, or null."""
-    return "CASE " + " ".join(f"WHEN {fits} THEN '{name}'" for name, fits in _fits(text)) + " END"
+    return _vote(text, f"({_shape(text)})")

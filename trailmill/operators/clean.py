@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from trailmill.functions.casts import (
     CASTS, SQL_TYPES, is_marker, literal, quoted, radius_text, to_double, to_float, to_long, to_text,
 )
-from trailmill.functions.times import STORED_TYPES, TimeReader, time_text
+from trailmill.functions.times import BY_FILE, FORMAT_COLUMN, STORED_TYPES, TimeReader, time_text
 from trailmill.operators.schema import OutputColumn
 from trailmill.options import PrepOptions
 from trailmill.sources.files import FILE_COLUMN
@@ -147,6 +147,8 @@ def clean(
         carried.add(options.site_id)
     for name in sorted(map(raw_of, carried)):
         judged[name] = quoted(name)
+    if times.fmt == BY_FILE:
+        parsed[FORMAT_COLUMN] = FORMAT_COLUMN
     if FILE_COLUMN in raw.columns:
         parsed[FILE_COLUMN] = judged[FILE_COLUMN] = FILE_COLUMN
     return raw.selectExpr(*[f"{e} AS {quoted(n)}" for n, e in parsed.items()]).selectExpr(
@@ -157,7 +159,7 @@ def clean(
 def gate_bounds(raw: DataFrame, options: PrepOptions, times: TimeReader) -> tuple[int | None, int | None]:
     """Start and end in epoch milliseconds, read like the data's own time text."""
     bounds = []
-    times = times.of(dict(raw.dtypes)[options.time]).of("string")
+    times = times.of(dict(raw.dtypes)[options.time]).of("string").alone()
     for text in (options.start_time, options.end_time):
         if not text:
             bounds.append(None)

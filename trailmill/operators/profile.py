@@ -10,52 +10,16 @@ from pyspark.sql import functions as F
 from trailmill.functions.casts import literal, quoted
 from trailmill.operators.clean import ACCEPTED, DAY, INVALID, NULL, OUT_OF_RANGE, REASON, status_of
 from trailmill.operators.schema import OutputColumn
-from trailmill.session import written
 from trailmill.sources.files import FILE_COLUMN
 
-# Beyond this many columns one aggregate of all measures outgrows generated code.
-WIDE = 60
-
-
-def _measures(columns: Sequence[OutputColumn]) -> tuple[list[str], str]:
-    """Aggregates of every column, and the expression that makes rows of them."""
-    aggregates, rows = [], []
-    for i, column in enumerate(columns):
-        value, status = quoted(column.name), quoted(status_of(column.name))
-        numeric = column.kind != "string" and column.role not in ("encoded", "ids")
-        ranged = numeric and column.kind in ("float", "double")
-        measures = {
-            "non_null": f"count_if({status} NOT IN ('{NULL}', '{OUT_OF_RANGE}'))",
-            "invalid": f"count_if({status} = '{INVALID}')",
-            "nulls": f"count_if({status} IN ('{NULL}', '{OUT_OF_RANGE}'))",
-            "out_of_range": f"count_if({status} = '{OUT_OF_RANGE}')",
-            "zeros": f"count_if({value} = 0)" if numeric else "0L",
-            "min": f"CAST(min({value}) AS DOUBLE)" if ranged else "CAST(NULL AS DOUBLE)",
-            "max": f"CAST(max({value}) AS DOUBLE)" if ranged else "CAST(NULL AS DOUBLE)",
-        }
-        aggregates += [f"{measure} AS {name}_{i}" for name, measure in measures.items()]
-        rows.append(
-            f"named_struct('position', {i + 1}, 'column', {literal(column.name)},"
-            f" 'type', '{column.kind}', "
-            + ", ".join(f"'{name}', {name}_{i}" for name in measures) + ")"
-        )
-    return aggregates, f"inline(array({', '.join(rows)}))"
-
 
 def profile_counts(cleaned: DataFrame, columns: Sequence[OutputColumn]) -> DataFrame:
     """One row per column over all records, rejected ones too.
 
-    A single aggregate reads every column once and moves one row per task; that row is then
-    turned into one row per column. Out-of-range coordinates count as null as well.
+    Every record becomes one row per column, counted by column and reduced per task before the
+    shuffle; so the plan has the same size for any number of columns. Out-of-range coordinates
+    count as null as well.
     """
-    if len(columns) > WIDE:
-        return _wide_counts(cleaned, columns)
-    aggregates, rows = _measures(columns)
-    return cleaned.selectExpr(*aggregates).selectExpr(rows)
-
-
-def _wide_counts(cleaned: DataFrame, columns: Sequence[OutputColumn]) -> DataFrame:
-    """The same counts from one row per value, reduced per task before the shuffle."""
     cells = []
     for i, column in enumerate(columns):
         value, status = quoted(column.name), quoted(status_of(column.name))
@@ -143,49 +107,32 @@ def empty_columns(profiled: DataFrame) -> DataFrame:
     return profiled.select("column", finding.alias("finding")).where(F.col("finding").isNotNull())
 
 
-def _totals(decided: DataFrame, start: int | None, end: int | None) -> dict[str, str]:
+def total_measures(start: int | None, end: int | None) -> dict[str, str]:
+    """Aggregates of decided records; plain ones, so that they can also be observed."""
     gates = [f"time < {start}L"] if start is not None else []
     gates += [f"time > {end}L"] if end is not None else []
-    totals = {
+    return {
         "total": "count(1)",
         "written": f"count_if({ACCEPTED})",
         "rejected": f"count_if(NOT {ACCEPTED})",
         "time_gated": f"count_if({' OR '.join(gates) or 'false'})",
     }
-    if FILE_COLUMN in decided.columns:
-        totals["files"] = f"count(DISTINCT {FILE_COLUMN})"
-    return totals
 
 
 def run_totals(decided: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """One row: total, written, rejected, time_gated and, where known, files."""
-    totals = _totals(decided, start, end)
+    totals = total_measures(start, end)
+    if FILE_COLUMN in decided.columns:
+        totals["files"] = f"count(DISTINCT {FILE_COLUMN})"
     return decided.selectExpr(*[f"{value} AS {name}" for name, value in totals.items()])
 
 
-def totals_and_counts(
-    decided: DataFrame,
-    columns: Sequence[OutputColumn],
-    start: int | None = None,
-    end: int | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """``run_totals`` and ``profile_counts`` from one pass over the records."""
-    if len(columns) > WIDE:
-        return run_totals(decided, start, end), profile_counts(decided, columns)
-    totals = _totals(decided, start, end)
-    aggregates, rows = _measures(columns)
-    once = written(
-        decided.selectExpr(*[f"{v} AS {n}" for n, v in totals.items()], *aggregates), "overview"
+def days_and_reasons(decided: DataFrame) -> DataFrame:
+    """(file, day, reason, n): the table that days, reasons and files are counted from."""
+    file = F.col(FILE_COLUMN) if FILE_COLUMN in decided.columns else F.lit(None).cast("string")
+    return decided.groupBy(file.alias("file"), F.col(DAY).alias("day"), F.col(REASON).alias(REASON)).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    return once.select(*totals), once.selectExpr(rows)
-
-
-def days_and_reasons(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows_per_day`` and ``reject_reasons`` from one pass over the records."""
-    once = written(decided.groupBy(DAY, REASON).agg(F.count(F.lit(1)).alias("n")), "days")
-    days = once.where(f"{REASON} IS NULL").select(F.col(DAY).alias("day"), "n").orderBy("day")
-    reasons = once.where(f"{REASON} IS NOT NULL").groupBy(REASON).agg(F.sum("n").alias("n"))
-    return days, reasons
 
 
 def reject_reasons(rejected: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmill.functions.casts import quoted, to_float
-from trailmill.functions.times import STORED_TYPES, TimeReader
+from trailmill.functions.times import BY_FILE, FORMAT_COLUMN, STORED_TYPES, TimeReader
 from trailmill.options import GEOMETRY_COLUMNS, IDS_SUFFIX, PrepOptions
 from trailmill.sources.files import FILE_COLUMN
 from trailmill.sources.lookups import LookupTable
@@ -71,7 +71,7 @@ def infer_kinds(
         f"struct({i} AS place, CAST({quoted(name)} AS STRING) AS v)" for i, name in enumerate(columns)
     )
     counts = (
-        records.selectExpr(f"inline(array({cells}))")
+        records.selectExpr(*([FORMAT_COLUMN] if times.fmt == BY_FILE else []), f"inline(array({cells}))")
         .groupBy("place")
         .agg(
             F.count("v").alias("n"),
@@ -98,7 +98,7 @@ def resolve_schema(
 ) -> list[OutputColumn]:
     """Output columns in order: geometry, input columns, retained ids, lookup columns."""
     types = dict(records.dtypes)
-    names = [c for c in records.columns if c != FILE_COLUMN]
+    names = [c for c in records.columns if c not in (FILE_COLUMN, FORMAT_COLUMN)]
     main, declared = options.main_columns, options.declared_types
     free = [
         c for c in names

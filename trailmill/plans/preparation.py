@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trailmill.functions.casts import quoted
-from trailmill.functions.times import TimeReader, detect_format
+from trailmill.functions.times import BY_FILE, FORMAT_COLUMN, STORED_TYPES, TimeReader, detect_format, formats_by_file
 from trailmill.operators import catalogue as catalogues
 from trailmill.operators import profile as profiles
 from trailmill.operators.clean import (
-    REASON, NullMarkers, accept_condition, clean, decide, gate_bounds, raw_of,
+    ACCEPTED, REASON, NullMarkers, accept_condition, clean, decide, gate_bounds, raw_of,
 )
 from trailmill.operators.dictionary import build_dictionary, encode
 from trailmill.operators.geometry import add_geometry
@@ -24,8 +24,8 @@ from trailmill.operators.schema import OutputColumn, resolve_schema, struct_type
 from trailmill.operators.sites import distinct_sites, radius_per_site
 from trailmill.options import OptionsError, PrepOptions
 from trailmill.plans.sinks import write_records, write_text
-from trailmill.session import written
-from trailmill.sources.files import FILE_COLUMN, read_records
+from trailmill.session import discard, written
+from trailmill.sources.files import FILE_COLUMN, bare_parquet, read_records
 from trailmill.sources.lookups import LookupTable, read_lookup
 
 # Size bounds of a broadcast, forwarded to every join of the run.
@@ -37,6 +37,7 @@ class Preparation:
     """Results are lazy: each method returns a DataFrame over the same input."""
 
     raw: DataFrame
+    bare: DataFrame  # the same records, without the file where nothing needs it
     options: PrepOptions
     times: TimeReader
     columns: list[OutputColumn]
@@ -70,16 +71,21 @@ class Preparation:
 
     @property
     def _condition(self) -> str:
-        return accept_condition(self.raw, self.options, self.times, self.start, self.end)
+        return accept_condition(self.bare, self.options, self.times, self.start, self.end)
 
     @cached_property
     def accepted(self) -> DataFrame:
         """Accepted records before ids and geometry, filtered in the scan."""
-        return self._cleaned(self.raw.where(self._condition))
+        return self._cleaned(self.bare.where(self._condition))
 
     @cached_property
     def rejected(self) -> DataFrame:
-        return self._cleaned(self.raw.where(f"NOT coalesce({self._condition}, false)"))
+        return self._cleaned(self.bare.where(f"NOT coalesce({self._condition}, false)"))
+
+    @property
+    def typed(self) -> DataFrame:
+        """Every record with typed values, before lookups."""
+        return clean(self.bare, self.columns, self.options, self.times)
 
     @cached_property
     def dictionary(self) -> DataFrame | None:
@@ -89,8 +95,7 @@ class Preparation:
             return None
         # first seen by time, then by value, unless the input has a column that orders it
         order = [self.options.output_name(c) for c in self.options.first_seen_by or ("time",)]
-        plain = clean(self.raw, self.columns, self.options, self.times)
-        return build_dictionary(plain, [c.name for c in encoded], order)
+        return build_dictionary(self.typed, [c.name for c in encoded], order)
 
     @cached_property
     def site_radius(self) -> DataFrame:
@@ -145,29 +150,125 @@ class Preparation:
             self.raw.sparkSession, self.columns, self.options, self.profile() if with_counts else None
         )
 
+    @cached_property
+    def observed(self) -> ObservedRun:
+        """The run over its decided records, written as a table in one pass over the input.
+
+        The totals are observed while the table is written; everything else reads the table's
+        columns, not the input.
+        """
+        observation = Observation()
+        measures = profiles.total_measures(self.start, self.end)
+        watched = self.decided.observe(observation, *[F.expr(v).alias(n) for n, v in measures.items()])
+        table = written(watched, "decided")
+        held = {f.name: getattr(self, f.name) for f in fields(self)}
+        return ObservedRun(**held, table=table, measured=observation.get)
+
     def report(self) -> DataFrame:
-        """The report as lines of text, in order; three passes over the records."""
-        o, columns = self.options, self.profiled_columns
-        totals, counts = profiles.totals_and_counts(self.decided, columns, self.start, self.end)
-        distinct = profiles.profile_distinct(self.decided, columns, o.approximate_distinct)
-        profiled = written(profiles.with_distinct(counts, distinct), "profile")
-        days, reasons = profiles.days_and_reasons(self.decided)
-        return ordered_text(
-            report_lines(totals, profiled, days, reasons, o.start_time, o.end_time, o.unique_strings)
-        )
+        """The report as lines of text, in order."""
+        return self.observed.report()
 
-    def write(self, mode: str = "errorifexists") -> None:
-        """Write the records and, where paths are given, the report and the catalogue."""
-        o = self.options
+    def write(self, mode: str = "errorifexists") -> ObservedRun:
+        """Write the records and, where paths are given, the report and the catalogue.
+
+        The input is read once; the run over the table of that pass is handed back.
+        """
+        o, run = self.options, self.observed
         if not o.output_path:
             raise OptionsError("output_path is not set")
         write_records(
-            self.records(), o.output_path, o.records_per_file, o.row_group_bytes, o.page_bytes, mode
+            run.records(), o.output_path, o.records_per_file, o.row_group_bytes, o.page_bytes, mode
         )
         if o.report_path:
-            write_text(self.report(), o.report_path, mode)
+            write_text(run.report(), o.report_path, mode)
         if o.catalogue_path:
-            write_text(catalogues.catalogue_document(self.catalogue()), o.catalogue_path, mode)
+            write_text(catalogues.catalogue_document(run.catalogue()), o.catalogue_path, mode)
+        return run
+
+
+@dataclass(frozen=True)
+class ObservedRun(Preparation):
+    """The same results from a stored table of decided records; ``close`` removes it."""
+
+    table: DataFrame
+    measured: dict[str, int]
+
+    @property
+    def decided(self) -> DataFrame:
+        return self.table
+
+    @property
+    def typed(self) -> DataFrame:
+        return self.table
+
+    @property
+    def accepted(self) -> DataFrame:
+        return self.table.where(ACCEPTED)
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self.table.where(f"NOT {ACCEPTED}")
+
+    @property
+    def observed(self) -> ObservedRun:
+        return self
+
+    @cached_property
+    def _days(self) -> DataFrame:
+        return written(profiles.days_and_reasons(self.table), "days")
+
+    @cached_property
+    def _profiled(self) -> DataFrame:
+        return written(super().profile(), "profile")
+
+    def profile(self) -> DataFrame:
+        return self._profiled
+
+    def totals(self) -> DataFrame:
+        spark = self.table.sparkSession
+        totals = spark.createDataFrame([self.measured], ", ".join(f"{name} long" for name in self.measured))
+        if FILE_COLUMN not in self.table.columns:
+            return totals
+        # one row on both sides
+        return totals.join(F.broadcast(self._days.agg(F.count_distinct("file").alias("files"))))
+
+    def daily(self) -> DataFrame:
+        return (
+            self._days.where(f"{REASON} IS NULL").groupBy("day").agg(F.sum("n").alias("n")).orderBy("day")
+        )
+
+    def reject_reasons(self) -> DataFrame:
+        return self._days.where(f"{REASON} IS NOT NULL").groupBy(REASON).agg(F.sum("n").alias("n"))
+
+    def report(self) -> DataFrame:
+        o = self.options
+        return ordered_text(
+            report_lines(
+                self.totals(), self.profile(), self.daily(), self.reject_reasons(),
+                o.start_time, o.end_time, o.unique_strings,
+            )
+        )
+
+    def close(self) -> None:
+        """Remove the tables of this run; results that are not written yet would miss them."""
+        held = [self.table, *(vars(self).get(name) for name in ("_days", "_profiled", "site_radius"))]
+        discard(*[table for table in held if table is not None])
+
+
+def _time_reader(
+    records: DataFrame, seen: DataFrame, options: PrepOptions
+) -> tuple[TimeReader, DataFrame]:
+    """How times are read, and the records with the format of their file where files differ."""
+    zone = options.timezone
+    stored = dict(records.dtypes)[options.time] in STORED_TYPES
+    if options.time_format or stored or FILE_COLUMN not in records.columns or options.sample_rows:
+        return TimeReader(options.time_format or detect_format(seen, options.time), zone), records
+    table = written(formats_by_file(records, options.time, FILE_COLUMN), "formats")
+    # at most one row per known format
+    formats = sorted(row[0] for row in table.select(FORMAT_COLUMN).distinct().collect() if row[0])
+    if len(formats) > 1:
+        return TimeReader(BY_FILE, zone, tuple(formats)), left_join_unique(records, table, FILE_COLUMN)
+    return TimeReader(formats[0] if formats else detect_format(seen, options.time), zone), records
 
 
 def prepare(
@@ -185,12 +286,14 @@ def prepare(
     ``records`` and ``lookups`` stand in for files that are already DataFrames. ``bounds``
     (max_rows, max_bytes) limit what may be broadcast.
     """
+    bare = records
     if records is None:
         if not options.input_path:
             raise OptionsError("input_path is not set")
         records = read_records(
             spark, options.input_path, options.headers, options.multiline, options.quote, options.sep
         )
+        bare = bare_parquet(spark, options.input_path, records)
     if lookups is None:
         lookups = tuple(read_lookup(spark, lookup) for lookup in options.lookups)
     names = [c for c in records.columns if c != FILE_COLUMN]
@@ -199,8 +302,9 @@ def prepare(
     if missing:
         raise OptionsError(f"lookup sources not in the input: {', '.join(missing)}")
     seen = records if options.sample_rows is None else records.limit(options.sample_rows)
-    fmt = options.time_format or detect_format(seen, options.time)
-    times = TimeReader(fmt, options.timezone)
+    times, records = _time_reader(records, seen, options)
+    if times.fmt == BY_FILE:
+        bare = seen = records
     columns = resolve_schema(seen, options, times, lookups)
     start, end = gate_bounds(records, options, times)
-    return Preparation(records, options, times, columns, tuple(lookups), start, end, bounds)
+    return Preparation(records, bare, options, times, columns, tuple(lookups), start, end, bounds)

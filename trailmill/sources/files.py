@@ -187,6 +187,17 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return frame.select("*", F.col("_metadata.file_path").alias(FILE_COLUMN))
 
 
+def bare_parquet(spark: SparkSession, path: str | Sequence[str], records: DataFrame) -> DataFrame:
+    """``records`` of ``read_records`` without the file, where reading less is possible.
+
+    A file column that nobody uses makes Spark's Parquet scan build all metadata of every row.
+    """
+    if not holds(spark, path, (PARQUET_ENDING,)):
+        return records
+    schema = records.drop(FILE_COLUMN).schema
+    return spark.read.schema(schema).option("pathGlobFilter", f"*{PARQUET_ENDING}").parquet(*_paths(path))
+
+
 def read_records(
     spark: SparkSession,
     path: str | Sequence[str],
