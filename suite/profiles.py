@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from suite.inputs import LOOKUPS, NATION_KEY, derived, lookup_rows, with_inputs
 from suite.records import LAT_OK, LON_OK, LONG, TYPED, geo_options, prepared
 from suite.registry import query
+from trailmill.operators import catalogue as catalogues
 from trailmill.operators import profile as profiles
 from trailmill.operators.dictionary import build_dictionary, encode
 from trailmill.options import PrepOptions
@@ -177,9 +178,73 @@ def empty_columns(spark, sf_dir):
     return profiles.empty_columns(_profiled(spark, sf_dir).profile())
 
 
-@query("profile_report", None)
+def _report_sql() -> str:
+    """The lines of the report, from the measures of every column."""
+    measures = []
+    for name in ("lat", "lon"):
+        measures.append(f"""
+            SELECT '{name}' AS c, 'double' AS type, count(*) FILTER (WHERE {name}_status IN ('ok', 'invalid')) AS non_null,
+                count(*) FILTER (WHERE {name}_status = 'invalid') AS invalid,
+                count(*) FILTER (WHERE {name}_status IN ('null', 'out_of_range')) AS nulls,
+                count(*) FILTER (WHERE {name}_status = 'out_of_range') AS out_of_range,
+                count(*) FILTER (WHERE {name} = 0) AS zeros, min({name}) AS low, max({name}) AS high,
+                CAST(NULL AS BIGINT) AS n_distinct FROM typed""")
+    measures.append("""
+        SELECT 'time', 'long', count(*) FILTER (WHERE time_status IN ('ok', 'invalid')),
+            count(*) FILTER (WHERE time_status = 'invalid'), count(*) FILTER (WHERE time_status = 'null'), 0,
+            count(*) FILTER (WHERE time = 0), NULL, NULL, NULL FROM typed""")
+    numbers = {"amount": "float", "broken": "float", "visits": "long", "row_id": "long"}
+    for name, kind in numbers.items():
+        text = f"CAST({name} AS VARCHAR)"
+        value = _FLOAT.format(name) if kind == "float" else LONG.format(text)
+        ends = f"CAST(min({value}) AS DOUBLE), CAST(max({value}) AS DOUBLE)" if kind == "float" else "NULL, NULL"
+        measures.append(f"""
+            SELECT '{name}', '{kind}', count({name}), count(*) FILTER (WHERE {name} IS NOT NULL AND {value} IS NULL),
+                count(*) - count({name}), 0, count(*) FILTER (WHERE {value} = 0), {ends}, NULL FROM typed""")
+    for name in ("cell_id", "raw_radius", "segment", "unused"):
+        value = f"NULLIF({name}, '')"
+        measures.append(f"""
+            SELECT '{name}', 'string', count({value}), 0, count(*) - count({value}), 0, 0, NULL, NULL,
+                count(DISTINCT {value}) FROM typed""")
+
+    def shown(value: str) -> str:
+        # three decimals at most, no zero before the point
+        cut = f"rtrim(rtrim(printf('%.3f', {value}), '0'), '.')"
+        return f"CASE WHEN {cut} IN ('0', '-0') THEN {cut} ELSE regexp_replace({cut}, '^(-?)0\\.', '\\1.') END"
+
+    def named(title: str, where: str) -> str:
+        return f"SELECT '{title}: ' || coalesce(string_agg(c, ', ' ORDER BY c), '') FROM m WHERE {where}"
+
+    return with_inputs(
+        TYPED.format("geo_raw") + ", m AS (" + " UNION ALL ".join(measures) + f"""),
+        judged AS (SELECT CASE WHEN lon_status <> 'ok' THEN 'lon_' || lon_status
+            WHEN lat_status <> 'ok' THEN 'lat_' || lat_status
+            WHEN time_status <> 'ok' THEN 'time_' || time_status END AS reason, time FROM typed),
+        lines AS (
+        SELECT 'Records: ' || count(*) || ', written: ' || count(*) FILTER (WHERE reason IS NULL)
+            || ', rejected: ' || count(reason) || ', outside the time bounds: 0' AS value FROM judged
+        UNION ALL SELECT 'Time bounds: start none, end none'
+        UNION ALL SELECT 'Rejected ' || reason || ': ' || count(*) FROM judged WHERE reason IS NOT NULL GROUP BY reason
+        UNION ALL SELECT 'WARNING: ' || c || ' has ' || n_distinct || ' distinct strings, more than 5' FROM m
+            WHERE n_distinct > 5
+        UNION ALL SELECT c || ': non-null ' || non_null || ', invalid ' || invalid || ', null ' || nulls
+            || ', out of range ' || out_of_range || ', zero ' || zeros || ', type ' || type
+            || coalesce(', min ' || {shown("low")} || ', max ' || {shown("high")}, '')
+            || coalesce(', distinct ' || n_distinct, '') FROM m
+        UNION ALL {named("String columns without any data", "type = 'string' AND n_distinct = 0")}
+        UNION ALL {named("Number columns without any data", "type IN ('float', 'double') AND non_null = 0")}
+        UNION ALL {named("Number columns without any valid data",
+                         "type IN ('float', 'double') AND non_null > 0 AND non_null = invalid")}
+        UNION ALL SELECT strftime(make_timestamp(time * 1000), '%Y-%m-%d') || ': ' || count(*) FROM judged
+            WHERE reason IS NULL GROUP BY strftime(make_timestamp(time * 1000), '%Y-%m-%d'))
+        SELECT value FROM lines""",
+        "geo_raw",
+    )
+
+
+@query("profile_report", _report_sql())
 def profile_report(spark, sf_dir):
-    """The report as text, in order; the numbers in it are checked by the queries above."""
+    """The report as lines of text, in order."""
     return prepared(spark, sf_dir, unique_strings=5).report()
 
 
@@ -309,3 +374,60 @@ def attribute_catalogue(spark, sf_dir):
     )
     catalogue = prepare(spark, options, records=raw).catalogue(with_counts=True)
     return catalogue.select("attributeId", "attributeName", "guiType", "non_null", "group", "hidden")
+
+
+_TOOLTIP = (
+    "Refined location of the record, used by heatmapping and optionally by trajectory visualisation function\\n"
+    "Geographic WGS84 coordinate in decimal degrees.\\nIn the current version equals to "
+)
+
+
+def _document_sql() -> str:
+    """The JSON document, entry by entry, with the counts of the table."""
+    def entry(*fields: str, counts: str = "") -> str:
+        return "'{" + ",".join(fields) + "'" + (f" || {counts} || '" if counts else " || '") + "}'"
+
+    def counted(text: str, distinct: bool = False, good: str = "") -> str:
+        n = f"(SELECT count(*) FILTER (WHERE {good or text + ' IS NOT NULL'}) FROM geo_raw)"
+        shown = f"',\"non_null\":' || {n} || ',\"nulls\":' || ((SELECT count(*) FROM geo_raw) - {n})"
+        return shown + (f" || ',\"n_distinct\":' || (SELECT count(DISTINCT {text}) FROM geo_raw)" if distinct else "")
+
+    def plain(name: str, shown: str, *more: str) -> tuple[str, ...]:
+        gui = tuple(m for m in more if m)
+        return (f'"attributeId":"{name}"', f'"attributeName":"{shown}"', f'"attributeTooltip":"{shown}"',
+                '"group":"Generic"', *gui, '"hidden":false')
+
+    def place(name: str, shown: str, source: str, bound: int) -> str:
+        good = (f"{source} <> '' AND (TRY_CAST({source} AS DOUBLE) IS NULL"
+                f" OR TRY_CAST({source} AS DOUBLE) BETWEEN -{bound} AND {bound})")
+        return entry(f'"attributeId":"{name}"', f'"attributeName":"{shown}"', f'"attributeTooltip":"{_TOOLTIP}{source}"',
+                     '"group":"Geographic Location"', '"unit":"degrees"', '"hidden":false',
+                     counts=counted(source, good=good))
+
+    identifier, moment = '"guiType":"ID"', '"guiType":"dateTime"'
+    cell, segment = "NULLIF(cell_id, '')", "NULLIF(segment, '')"
+    entries = [
+        place("lat", "Latitude", "raw_lat", 90), place("lon", "Longitude", "raw_lon", 180),
+        entry('"attributeId":"time"', '"attributeName":"Time"', '"attributeTooltip":"time"', '"group":"Generic"',
+              moment, '"hidden":false', counts=counted("NULLIF(raw_time, '')")),
+        entry(*plain("cell_id", "cell id"), counts=counted(cell, distinct=True)),
+        entry(*plain("amount", "amount"), counts=counted("amount")),
+        entry(*plain("visits", "visits"), counts=counted("visits")),
+        entry(*plain("segment", "segment", identifier), counts=counted(segment)),
+        entry(*plain("cell_id_IDs", "cell id IDs", identifier), counts=counted(cell)),
+        entry('"attributeId":"trajectory_1"', '"attributeName":"Trajectory"', '"group":"trajectories"',
+              '"guiType":"trajectory"', '"hidden":true', '"idField":"cell_id"', '"lonAttributeId":"lon"',
+              '"latAttributeId":"lat"', '"infoAttributes":[]'),
+    ]
+    return with_inputs(f"SELECT '{{\"data\":[' || {" || ',' || ".join(entries)} || ']}}' AS value", "geo_raw")
+
+
+@query("catalogue_document", _document_sql())
+def catalogue_document(spark, sf_dir):
+    """The whole catalogue as its JSON document, with the counts of the profile."""
+    raw = derived(spark, sf_dir, "geo_raw").drop("row_id", "raw_radius", "unused", "broken")
+    options = geo_options(
+        string_columns=["cell_id"], float_columns=["amount"], long_columns=["visits"],
+        encoded_columns=["segment"], retained_id_columns=["cell_id"], trajectory_id="cell_id",
+    )
+    return catalogues.catalogue_document(prepare(spark, options, records=raw).catalogue(with_counts=True))

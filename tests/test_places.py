@@ -183,3 +183,66 @@ def test_whole_run_with_sites(spark):
     assert sorted(str(r[0]) for r in per_record.select("outerSemiMajorRadius").collect()) == ["12.0", "77.0", "None"]
     shuffled = tm.prepare(spark, tm.PrepOptions(**base, site_id="cell"), records=raw, max_rows=0).records()
     assert shuffled.exceptAll(by_site).count() == 0 and shuffled.count() == 3
+
+
+def test_close_sites_by_brute_force(spark):
+    """Chains, cells side by side, corners both ways, other identifiers, repeated rows, nulls."""
+    from trailmill.operators.closeness import joined_sites
+
+    rnd, tolerance = random.Random(8), 0.01
+    rows = []
+    for i in range(400):
+        rows.append((f"s{rnd.randrange(3)}", round(rnd.uniform(-0.15, 0.15), 4), round(rnd.uniform(-0.15, 0.15), 4), None, i))
+    rows += [("edge", 1.0, 1.0, 5.0, 1), ("edge", 1.01, 1.01, None, 2), ("edge", 1.0201, 1.0, None, 3), (None, 0.0, 0.0, None, 4)]
+    rows += [("turn", 0.0101, 0.0099, None, 1), ("turn", 0.0099, 0.0101, None, 2), ("alone", 0.0, 0.0, None, 9)]
+    rows += rows[:50]
+    frame = spark.createDataFrame(rows, "site string, lat double, lon double, radius float, time long")
+    latest = {}
+    for site, lat, lon, radius, time in rows:
+        if site is not None:
+            key = (site, lat, lon, radius)
+            latest[key] = max(latest.get(key, -1), time)
+    points = list(latest)
+    label = list(range(len(points)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(points):
+            for j, b in enumerate(points):
+                close = a[0] == b[0] and abs(a[1] - b[1]) <= tolerance * (1 + 1e-9) and abs(a[2] - b[2]) <= tolerance * (1 + 1e-9)
+                if close and label[i] != label[j]:
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    groups = {}
+    for point, comp in zip(points, label):
+        groups.setdefault(comp, []).append((latest[point], *point[1:3], point))
+    expected = sorted((g[-1][3][0], g[-1][1], g[-1][2], g[-1][0]) for g in (sorted(g, key=lambda m: m[:3]) for g in groups.values()))
+    got = sorted((r.site, r.lat, r.lon, r.last_seen) for r in joined_sites(frame, tolerance).collect())
+    assert got == expected and len(got) < len(points)
+    assert joined_sites(frame.limit(0), tolerance).collect() == []
+
+
+def test_rolled_files_hold_exactly_so_many(spark, tmp_path):
+    from trailmill.plans.sinks import write_rolled
+
+    frame = spark.range(1000).selectExpr("(id * 37) % 1000 AS k", "id").repartition(7)
+    for size, expected in ((300, [300, 300, 300, 100]), (500, [500, 500]), (0, [1000]), (5000, [1000])):
+        path = str(tmp_path / f"n{size}")
+        write_rolled(frame, path, ["k"], size, drop=["id"])
+        files = sorted((tmp_path / f"n{size}").glob("*.parquet"))
+        parts = [[r.k for r in spark.read.parquet(str(f)).collect()] for f in files]
+        assert [len(p) for p in parts] == expected and sum(parts, []) == list(range(1000))
+    write_rolled(frame.limit(0), str(tmp_path / "none"), ["k"], 10)
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+
+
+def test_folded_values(spark):
+    from trailmill.operators.folding import fold_rare
+
+    rows = [("a", "x")] * 5 + [("b", "x")] * 3 + [("c", "y")] * 3 + [("d", None), (None, "y")]
+    frame = spark.createDataFrame(rows, "one string, two string")
+    for bounds in ({}, {"max_rows": 0}):
+        found = fold_rare(frame, ["one", "two"], 2, "rest", **bounds).collect()
+        assert sorted(map(str, ((r.one, r.two) for r in found))) == sorted(
+            map(str, ((v if v in ("a", "b", None) else "rest", w) for v, w in rows))
+        )

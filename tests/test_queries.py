@@ -26,7 +26,7 @@ def duck():
 
 def test_every_oracle_has_its_query():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"profile_report"}
+    assert set(QUERIES) == set(ORACLE)
     assert set(QUERIES) <= set(__spark_entry__.queries())
     assert set(ORACLE) <= set(__spark_entry__.oracle_sql())
 

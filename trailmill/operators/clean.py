@@ -16,7 +16,7 @@ from trailmill.functions.casts import (
 from trailmill.functions.times import BY_FILE, FORMAT_COLUMN, STORED_TYPES, TimeReader, time_text
 from trailmill.operators.schema import OutputColumn
 from trailmill.options import PrepOptions
-from trailmill.sources.files import FILE_COLUMN
+from trailmill.sources.files import FILE_COLUMN, PLACE_COLUMN
 
 # Status of a value. A null-marker counts as null.
 OK, NULL, INVALID, OUT_OF_RANGE = "ok", "null", "invalid", "out_of_range"
@@ -149,8 +149,9 @@ def clean(
         judged[name] = quoted(name)
     if times.fmt == BY_FILE:
         parsed[FORMAT_COLUMN] = FORMAT_COLUMN
-    if FILE_COLUMN in raw.columns:
-        parsed[FILE_COLUMN] = judged[FILE_COLUMN] = FILE_COLUMN
+    for carried_on in (FILE_COLUMN, PLACE_COLUMN):
+        if carried_on in raw.columns:
+            parsed[carried_on] = judged[carried_on] = carried_on
     return raw.selectExpr(*[f"{e} AS {quoted(n)}" for n, e in parsed.items()]).selectExpr(
         *[f"{e} AS {quoted(n)}" for n, e in judged.items()]
     )

@@ -4,21 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmill.functions.casts import quoted
 from trailmill.operators.joins import left_join_unique
 from trailmill.operators.numbering import numbered
+from trailmill.session import written
 
 
 def _nulls_last(*order: Column) -> Column:
     return F.struct(*[x for c in order for x in (c.isNull(), c)])
 
 
-def build_dictionary(df: DataFrame, columns: Sequence[str], first_seen_by: Sequence[str]) -> DataFrame:
+def build_dictionary(
+    df: DataFrame, columns: Sequence[str], first_seen_by: Sequence[str], known: DataFrame | None = None
+) -> DataFrame:
     """(column, value, id, n) for the non-null values of text columns.
 
+    ``known`` (column, value, id) is the dictionary of earlier runs: its values keep their ids,
+    new values go on after the largest id of their column.
+
     Values are reduced before the shuffle, so a value that fills a third of the records moves
     as one row per task. Records without an order value count as seen last; equal first
     places are told apart by the value.
@@ -39,9 +45,38 @@ def build_dictionary(df: DataFrame, columns: Sequence[str], first_seen_by: Seque
     )
     if single:
         distinct = distinct.withColumn("seen", _nulls_last(F.col("seen")))
-    return numbered(distinct, ["seen", "value"], "id", "dictionary", within="column").select(
-        "column", "value", "id", "n"
+    if known is None:
+        return numbered(distinct, ["seen", "value"], "id", "dictionary", within="column").select(
+            "column", "value", "id", "n"
+        )
+    known = known.select("column", "value", "id")
+    distinct = written(distinct, "seen")
+    fresh = numbered(
+        distinct.join(known, ["column", "value"], "left_anti"), ["seen", "value"], "id", "dictionary", within="column"
     )
+    # one row per column
+    last = F.broadcast(known.groupBy("column").agg(F.max("id").alias("last")))
+    added = fresh.join(last, "column", "left").select(
+        "column", "value", (F.col("id") + F.coalesce("last", F.lit(0))).alias("id"), "n"
+    )
+    counted = known.join(distinct.select("column", "value", "n"), ["column", "value"], "left")
+    return counted.select("column", "value", "id", F.coalesce("n", F.lit(0)).alias("n")).unionByName(added)
+
+
+def store_dictionary(dictionary: DataFrame, path: str, known: DataFrame | None = None) -> None:
+    """Add the entries that ``known`` does not hold to the stored dictionary."""
+    entries = dictionary.select("column", "value", "id")
+    if known is not None:
+        entries = entries.join(known, ["column", "value"], "left_anti")
+    entries.write.mode("append").parquet(path)
+
+
+def stored_dictionary(spark: SparkSession, path: str) -> DataFrame | None:
+    """(column, value, id) of all earlier runs; None before the first one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.schema("column string, value string, id long").parquet(path)
 
 
 def encode(

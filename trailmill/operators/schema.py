@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from trailmill.functions.casts import quoted, to_float
 from trailmill.functions.times import BY_FILE, FORMAT_COLUMN, STORED_TYPES, TimeReader
 from trailmill.options import GEOMETRY_COLUMNS, IDS_SUFFIX, PrepOptions
-from trailmill.sources.files import FILE_COLUMN
+from trailmill.sources.files import FILE_COLUMN, PLACE_COLUMN
 from trailmill.sources.lookups import LookupTable
 
 _SPARK_TYPES = {
@@ -98,7 +98,7 @@ def resolve_schema(
 ) -> list[OutputColumn]:
     """Output columns in order: geometry, input columns, retained ids, lookup columns."""
     types = dict(records.dtypes)
-    names = [c for c in records.columns if c not in (FILE_COLUMN, FORMAT_COLUMN)]
+    names = [c for c in records.columns if c not in (FILE_COLUMN, FORMAT_COLUMN, PLACE_COLUMN)]
     main, declared = options.main_columns, options.declared_types
     free = [
         c for c in names

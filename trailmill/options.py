@@ -52,11 +52,15 @@ class PrepOptions:
     multiline: bool = False
     quote: str = '"'
     sep: str = ","
+    # ids and output files follow the order of the input: by name of the file, then by place in it
+    reading_order: bool = False
 
     # output
     output_path: str | None = None
     report_path: str | None = None
     catalogue_path: str | None = None
+    # ids that later runs continue
+    dictionary_path: str | None = None
     records_per_file: int = 0
     row_group_bytes: int | None = None
     page_bytes: int | None = None
@@ -101,6 +105,8 @@ class PrepOptions:
 
     # report
     unique_strings: int | None = None
+    # values beyond the unique_strings most frequent ones of a column become this class
+    rare_class: str | None = None
     approximate_distinct: bool = False
     trajectory_id: str | None = None
 

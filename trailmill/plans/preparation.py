@@ -15,7 +15,9 @@ from trailmill.operators import profile as profiles
 from trailmill.operators.clean import (
     ACCEPTED, REASON, NullMarkers, accept_condition, clean, decide, gate_bounds, raw_of,
 )
-from trailmill.operators.dictionary import build_dictionary, encode
+from trailmill.operators.closeness import joined_sites
+from trailmill.operators.dictionary import build_dictionary, encode, store_dictionary, stored_dictionary
+from trailmill.operators.folding import fold_rare
 from trailmill.operators.geometry import add_geometry
 from trailmill.operators.joins import left_join_unique, spread_column
 from trailmill.operators.lookup import add_lookup
@@ -23,9 +25,9 @@ from trailmill.operators.report import ordered_text, report_lines
 from trailmill.operators.schema import OutputColumn, resolve_schema, struct_type
 from trailmill.operators.sites import distinct_sites, radius_per_site
 from trailmill.options import OptionsError, PrepOptions
-from trailmill.plans.sinks import write_records, write_text
+from trailmill.plans.sinks import write_records, write_rolled, write_text
 from trailmill.session import discard, written
-from trailmill.sources.files import FILE_COLUMN, bare_parquet, read_records
+from trailmill.sources.files import FILE_COLUMN, PLACE_COLUMN, read_for_run, read_in_order
 from trailmill.sources.lookups import LookupTable, read_lookup
 
 # Size bounds of a broadcast, forwarded to every join of the run.
@@ -93,9 +95,17 @@ class Preparation:
         encoded = [c for c in self.columns if c.role in ("encoded", "ids")]
         if not encoded:
             return None
-        # first seen by time, then by value, unless the input has a column that orders it
+        # first seen by time, then by value, unless the input has an order or a column that orders it
         order = [self.options.output_name(c) for c in self.options.first_seen_by or ("time",)]
-        return build_dictionary(self.typed, [c.name for c in encoded], order)
+        if self.options.reading_order and not self.options.first_seen_by:
+            order = [PLACE_COLUMN]
+        return build_dictionary(self.typed, [c.name for c in encoded], order, self.known_ids)
+
+    @cached_property
+    def known_ids(self) -> DataFrame | None:
+        """(column, value, id) of earlier runs, where they are kept."""
+        path = self.options.dictionary_path
+        return stored_dictionary(self.raw.sparkSession, path) if path else None
 
     @cached_property
     def site_radius(self) -> DataFrame:
@@ -105,13 +115,17 @@ class Preparation:
             F.col(quoted(raw_of(self.options.site_id))).alias("site"), "lat", "lon",
             radius.alias("radius"), "time",
         )
-        stored = written(distinct_sites(sites, self.options.site_tolerance), "sites")
+        tolerance = self.options.site_tolerance
+        stored = joined_sites(sites, tolerance) if tolerance else written(distinct_sites(sites), "sites")
         radii = radius_per_site(stored, self.options.distinct_site_coordinates, **self.bounds)
         return written(radii, "radius")
 
-    def records(self) -> DataFrame:
-        """The finished records, in output order and types."""
-        df = self.accepted
+    def records(self, *more: str) -> DataFrame:
+        """The finished records, in output order and types; then the columns named in ``more``."""
+        df, o = self.accepted, self.options
+        if o.rare_class is not None and o.unique_strings is not None:
+            texts = [c.name for c in self.columns if c.kind == "string" and c.role == "value"]
+            df = fold_rare(df, texts, o.unique_strings, o.rare_class, **self.bounds)
         for column in self.columns:
             if column.role in ("encoded", "ids"):
                 df = encode(df, self.dictionary, column.name, "__id", **self.bounds)
@@ -126,7 +140,7 @@ class Preparation:
             df = df.withColumn("site_radius", F.col("radius").try_cast("int"))
             radius = "site_radius"
         df = add_geometry(df, radius, self.options.randomize, self.options.seed)
-        return df.select(*[quoted(c.name) for c in self.columns])
+        return df.select(*[quoted(c.name) for c in self.columns], *map(quoted, more))
 
     def rejects(self) -> DataFrame:
         """Rejected records with the reason and the typed values, encoded columns as text."""
@@ -176,9 +190,13 @@ class Preparation:
         o, run = self.options, self.observed
         if not o.output_path:
             raise OptionsError("output_path is not set")
-        write_records(
-            run.records(), o.output_path, o.records_per_file, o.row_group_bytes, o.page_bytes, mode
-        )
+        layout = (o.records_per_file, o.row_group_bytes, o.page_bytes, mode)
+        if o.reading_order:
+            write_rolled(run.records(PLACE_COLUMN), o.output_path, [PLACE_COLUMN], *layout, drop=[PLACE_COLUMN])
+        else:
+            write_records(run.records(), o.output_path, *layout)
+        if o.dictionary_path and run.dictionary is not None:
+            store_dictionary(run.dictionary, o.dictionary_path, run.known_ids)
         if o.report_path:
             write_text(run.report(), o.report_path, mode)
         if o.catalogue_path:
@@ -290,13 +308,14 @@ def prepare(
     if records is None:
         if not options.input_path:
             raise OptionsError("input_path is not set")
-        records = read_records(
-            spark, options.input_path, options.headers, options.multiline, options.quote, options.sep
-        )
-        bare = bare_parquet(spark, options.input_path, records)
+        o = options
+        if o.reading_order:
+            records = bare = read_in_order(spark, o.input_path, o.headers, o.quote, o.sep)
+        else:
+            records, bare = read_for_run(spark, o.input_path, o.headers, o.multiline, o.quote, o.sep)
     if lookups is None:
         lookups = tuple(read_lookup(spark, lookup) for lookup in options.lookups)
-    names = [c for c in records.columns if c != FILE_COLUMN]
+    names = [c for c in records.columns if c not in (FILE_COLUMN, PLACE_COLUMN)]
     options.check_against(names, [lookup.target for lookup in lookups])
     missing = sorted({lookup.source for lookup in lookups} - set(names))
     if missing:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmill.operators.joins import left_join_unique
+from trailmill.operators.numbering import numbered
 from trailmill.options import AUTO, OptionsError
 from trailmill.sources.access import headers_by_file
 from trailmill.sources.dialect import QUOTES, SEPARATORS, Dialect, detect_dialect
+from trailmill.sources.mixed import read_by_footer
 from trailmill.sources.zipped import ZIP_ENDING, read_zipped_csv, read_zipped_lines, zipped_header
 
 # Widest record, and the file endings that are read.
@@ -21,6 +23,8 @@ PARQUET_ENDING = ".parquet"
 
 # Name of the column that says which file a record came from.
 FILE_COLUMN = "__file"
+# Where a record stands in the input: by name of the file, then by place in it.
+PLACE_COLUMN = "__place"
 
 _PLAIN = "*{" + ",".join(CSV_ENDINGS) + "}"
 
@@ -179,23 +183,42 @@ def read_csv(
     return frame
 
 
-def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Columns keep their stored types, so typed filters still reach the files."""
+def _parquet(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The records with and without the file each came from."""
     if input_kind(spark, path) != "parquet":
         raise OptionsError("not a Parquet input")
-    frame = spark.read.option("pathGlobFilter", f"*{PARQUET_ENDING}").parquet(*_paths(path))
-    return frame.select("*", F.col("_metadata.file_path").alias(FILE_COLUMN))
+    frames = read_by_footer(spark, _paths(path), f"*{PARQUET_ENDING}")
+    parts: list[DataFrame] = []
+    for frame, turned in frames:
+        columns = [F.col(f"`{c}`").cast(turned[c]).alias(c) if c in turned else F.col(f"`{c}`") for c in frame.columns]
+        named = frame.select(*columns, F.col("_metadata.file_path").alias(FILE_COLUMN))
+        parts.append(parts[-1].unionByName(named, allowMissingColumns=True) if parts else named)
+    # a file column that nobody uses makes the Parquet scan build all metadata of every row
+    return parts[-1], frames[0][0] if len(frames) == 1 else parts[-1].drop(FILE_COLUMN)
 
 
-def bare_parquet(spark: SparkSession, path: str | Sequence[str], records: DataFrame) -> DataFrame:
-    """``records`` of ``read_records`` without the file, where reading less is possible.
+def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Columns keep their stored types, so typed filters still reach the files.
 
-    A file column that nobody uses makes Spark's Parquet scan build all metadata of every row.
+    Where files store a column with different types, each is read with its own and turned into the
+    least type that holds all; a column that a file lacks is null there.
     """
-    if not holds(spark, path, (PARQUET_ENDING,)):
-        return records
-    schema = records.drop(FILE_COLUMN).schema
-    return spark.read.schema(schema).option("pathGlobFilter", f"*{PARQUET_ENDING}").parquet(*_paths(path))
+    return _parquet(spark, path)[0]
+
+
+def read_for_run(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    headers: Sequence[str] | None = None,
+    multiline: bool = False,
+    quote: str = '"',
+    sep: str = ",",
+) -> tuple[DataFrame, DataFrame]:
+    """The records with the file each came from, and the same for whoever needs no file."""
+    if input_kind(spark, path) == "parquet":
+        return _parquet(spark, path)
+    records = read_csv(spark, path, headers, multiline, quote, sep)
+    return records, records
 
 
 def read_records(
@@ -207,9 +230,64 @@ def read_records(
     sep: str = ",",
 ) -> DataFrame:
     """A file, a flat folder or several of them; the endings say which kind it is."""
-    if input_kind(spark, path) == "parquet":
-        return read_parquet(spark, path)
-    return read_csv(spark, path, headers, multiline, quote, sep)
+    return read_for_run(spark, path, headers, multiline, quote, sep)[0]
+
+
+def reading_place(records: DataFrame, files: DataFrame) -> DataFrame:
+    """``records`` of ``read_records`` with ``PLACE_COLUMN``: one number that grows in reading order.
+
+    Files count in order of their names, records of a file in theirs. The number is made where a
+    record is read: rank of the file, block of the file that a task reads, place in the task.
+    ``files`` (file, rank) has one row per file.
+    """
+    table = files.select(F.col("file").alias(FILE_COLUMN), F.col("rank").alias("__rank"))
+    # rows of a task count up within 33 bits; blocks are positions in a file
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    digits = "decimal(38,0)"
+    numbered_rows = records.withColumn("__row", row)
+    place = (
+        F.col("__rank").cast(digits) * F.lit(str(10**25)).cast(digits)
+        + F.col("__block").cast(digits) * F.lit(str(10**10)).cast(digits)
+        + F.col("__row").cast(digits)
+    ).cast(digits)
+    return left_join_unique(numbered_rows, table, FILE_COLUMN).withColumn(PLACE_COLUMN, place).drop(
+        "__rank", "__block", "__row"
+    )
+
+
+def read_in_order(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    headers: Sequence[str] | None = None,
+    quote: str = '"',
+    sep: str = ",",
+) -> DataFrame:
+    """Records of plain CSV or of Parquet files with ``PLACE_COLUMN``."""
+    paths = _paths(path)
+    kind = input_kind(spark, path)
+    pattern = f"*{PARQUET_ENDING}" if kind == "parquet" else _PLAIN
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(paths)
+    files = numbered(listed.select(F.col("_metadata.file_path").alias("file")), ["file"], "rank", "files")
+    if kind == "parquet":
+        frame = spark.read.option("pathGlobFilter", pattern).parquet(*paths)
+    else:
+        if holds(spark, path, (ZIP_ENDING,)):
+            raise OptionsError("records of archives have no reading order")
+        dialect = csv_dialect(spark, path, sep, quote)
+        if headers is None:
+            found = headers_by_file(spark, paths, _PLAIN, dialect.sep, dialect.quote)
+            kinds = found.groupBy("names").agg(F.min("file").alias("file")).collect()
+            if len(kinds) != 1:
+                raise OptionsError("the files have different headers")
+            headers = kinds[0]["names"]
+            reader = _csv_reader(spark, False, dialect).option("header", True)
+        else:
+            reader = _csv_reader(spark, False, dialect).option("header", False)
+        frame = reader.schema(_texts(headers)).csv(paths)
+    named = frame.select(
+        "*", F.col("_metadata.file_path").alias(FILE_COLUMN), F.col("_metadata.file_block_start").alias("__block")
+    )
+    return reading_place(named, files)
 
 
 def union_records(*frames: DataFrame) -> DataFrame:
