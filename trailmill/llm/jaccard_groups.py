@@ -1,8 +1,12 @@
 """Exact n-gram Jaccard join by a grouped prefix join, down to connected components.
 
 1. Every text becomes its set of shingle hashes. Equal sets are one class.
-2. Shingles are ordered: common ones last (by a small table of counts), else by hash. Two sets
-   over the limit share one of their first few shingles (the prefix).
+2. Shingles are ordered, rare ones first; two sets over the limit share one of their first few
+   shingles (the prefix). The rare ones are sought among the least hashes of a set, some 2.5 times
+   as many as a prefix holds; they come before all others in the order. Their frequencies are
+   counted exactly. A class whose prefix consists of shingles that no other class has links with
+   nothing, which settles all but copies and texts of common passages. Among the
+   classes left, frequencies are counted again, and the prefixes follow from these.
 3. Classes with the same size and prefix are one group; a prefix index is built over groups.
 4. Group pairs are filtered by size; members are filtered by a parity bitmap, which bounds the
    symmetric difference from below, and verified by exact intersection of their sets.
@@ -32,7 +36,6 @@ from trailmill.llm.shingles import mixed, shingle_sets
 from trailmill.operators.joins import fits_broadcast
 from trailmill.session import discard, written
 
-COUNTERS = 1 << 20
 BITMAP_WORDS = 4
 ROUNDS = 2
 MAX_BROADCAST_IDS = 200_000
@@ -57,52 +60,35 @@ def _wider_bitmap(shingles: np.ndarray, least: int, size: int) -> np.ndarray:
 
 
 def _scan(width: int):
-    """Per row its id, size and signature; per task the counters that stand out."""
+    """Per row its id, size and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(width)
-        counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             sizes, marks = [], []
             for shingles in sets(batch.column(1)):
                 sizes.append(len(shingles))
                 marks.append(_signature(shingles))
-                np.add.at(counts, (shingles & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-            n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(marks, pa.binary()),
-                    pa.nulls(n, pa.int64()),
-                    pa.nulls(n, pa.int64()),
-                ],
-                ["doc_id", "n", "sig", "counter", "seen"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())],
+                ["doc_id", "n", "sig"],
             )
-        mean = counts.mean()
-        common = np.flatnonzero(counts > mean + 2 * np.sqrt(mean) + 2)
-        n = len(common)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.nulls(n, pa.int64()),
-                pa.nulls(n, pa.int64()),
-                pa.nulls(n, pa.binary()),
-                pa.array(common, pa.int64()),
-                pa.array(counts[common], pa.int64()),
-            ],
-            ["doc_id", "n", "sig", "counter", "seen"],
-        )
 
     return run
 
 
-def _prefixes(width: int, num: int, den: int, levels: np.ndarray):
-    """Per row its size, signature, parity bitmap and prefix in the common order."""
+def _prefix_size(n: int, num: int, den: int) -> int:
+    return n - -(-n * num // den) + 1 if n else 0
+
+
+def _prefixes(width: int, num: int, den: int):
+    """Per row its signature, bitmaps, least hashes, and what a prefix needs beyond those."""
+    least = min(1 << 64, 5 * (1 << 63) * (den - num) // den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(width)
         for batch in batches:
-            marks, bits, middle, wide, tokens = [], [], [], [], []
+            marks, bits, middle, wide, low, more = [], [], [], [], [], []
             for shingles in sets(batch.column(1)):
                 n = len(shingles)
                 marks.append(_signature(shingles))
@@ -111,12 +97,13 @@ def _prefixes(width: int, num: int, den: int, levels: np.ndarray):
                 bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 middle.append(_wider_bitmap(shingles, 64 * BITMAP_WORDS, MIDDLE_BITS))
                 wide.append(_wider_bitmap(shingles, 2 * MIDDLE_BITS, 1 << int(n).bit_length()))
-                level = levels[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                order = np.argsort(level, kind="stable")  # sets are sorted by hash already
-                tokens.append(shingles[order[: n - -(-n * num // den) + 1 if n else 0]].view(np.int64))
+                k = n if least >> 64 else int(np.searchsorted(shingles, np.uint64(least)))
+                low.append(shingles[:k].view(np.int64))  # sets are sorted by hash
+                more.append(shingles[k : max(k, _prefix_size(n, num, den))].view(np.int64))
+            lists = map(_lists, (bits, middle, wide, low, more))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(marks, pa.binary()), *map(_lists, (bits, middle, wide, tokens))],
-                ["doc_id", "sig", "bits", "middle", "wide", "tokens"],
+                [batch.column(0), pa.array(marks, pa.binary()), *lists],
+                ["doc_id", "sig", "bits", "middle", "wide", "low", "more"],
             )
 
     return run
@@ -145,15 +132,6 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _levels(scan: DataFrame) -> np.ndarray:
-    """How common the shingles of each counter are, as a power of two; at most COUNTERS rows."""
-    rows = scan.where("counter is not null").groupBy("counter").agg(F.sum("seen").alias("seen"))
-    common = rows.toPandas()
-    levels = np.zeros(COUNTERS, np.uint8)
-    levels[common["counter"].to_numpy(np.int64)] = 1 + np.log2(common["seen"].to_numpy(np.float64))
-    return levels
-
-
 def _near(a: str, b: str, num: int, den: int) -> Column:
     """Sizes and bitmaps allow a link between rows ``a`` and ``b``."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -178,12 +156,9 @@ class _Join:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.width, self.num, self.den = width, num, den
         self.scan = written(
-            self.docs.mapInArrow(
-                _scan(width), "doc_id long, n long, sig binary, counter long, seen long"
-            ),
-            "scan",
+            self.docs.mapInArrow(_scan(width), "doc_id long, n long, sig binary"), "scan"
         )
-        self.rows = self.scan.where("sig is not null").select("doc_id", "n", "sig")
+        self.rows = self.scan
         self.classes = written(
             self.rows.where("n > 0")
             .groupBy("sig", "n")
@@ -199,33 +174,81 @@ class _Join:
         return rows.dropDuplicates(["cid"])  # a repeated row
 
     def index(self) -> None:
-        levels = _levels(self.scan)
         found = self.docs.mapInArrow(
-            _prefixes(self.width, self.num, self.den, levels),
+            _prefixes(self.width, self.num, self.den),
             "doc_id long, sig binary, bits array<long>, middle array<long>, wide array<long>, "
-            "tokens array<long>",
+            "low array<long>, more array<long>",
         )
-        prefixes = written(self.sets_of(found, self.classes), "prefixes")
-        bitmaps = written(prefixes.drop("tokens"), "bitmaps")
+        sets = written(self.sets_of(found, self.classes), "prefixes")
+        left = written(self.unsettled(sets), "unsettled")
+        bitmaps = written(left.drop("low", "more", "size"), "bitmaps")
         self.nodes = bitmaps.select("cid", "n", "bits")
         self.wider = [
             bitmaps.where(F.size(name) > 0).select("cid", "n", F.col(name).alias("wide"))
             for name in ("middle", "wide")
         ]
+        prefixes = written(self.prefixes(left), "tokens")
+        discard(sets, left)
+        # a prefix with a shingle of its own equals no other prefix
+        alike = ["n", "tokens", "own"]
+        prefixes = prefixes.withColumn("own", F.when(F.col("rare") > 0, F.col("cid")).otherwise(-1))
         groups = written(
-            prefixes.groupBy("n", "tokens").agg(F.min("cid").alias("gid")), "groups"
+            prefixes.groupBy(*alike, "rare").agg(F.min("cid").alias("gid")), "groups"
         )
+        grouped = prefixes.join(groups.drop("rare"), alike).select("cid", F.col("gid").alias("found"))
         self.members = written(
-            prefixes.join(groups, ["n", "tokens"]).select("cid", "gid"), "members"
+            self.classes.join(grouped, "cid", "left").select("cid", F.coalesce("found", "cid").alias("gid")),
+            "members",
         )
         discard(prefixes)
-        postings = groups.select("gid", "n", F.posexplode("tokens").alias("pos", "token"))
+        postings = groups.select("gid", "n", "rare", F.posexplode("tokens").alias("at", "token"))
+        postings = postings.select("gid", "n", (F.col("rare") + F.col("at")).alias("pos"), "token")
         several = (
             postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
         )
         self.shared = written(postings.join(several, "token"), "postings")
         discard(groups)
 
+    def unsettled(self, sets: DataFrame) -> DataFrame:
+        """Classes whose prefix holds a shingle of another class, with the prefix ``size``."""
+        counts = (
+            sets.select("cid", F.explode("low").alias("token"))
+            .groupBy("token")
+            .agg(F.count(F.lit(1)).alias("k"), F.min("cid").alias("cid"))
+        )
+        alone = counts.where("k = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
+        whole = F.expr(f"n - (n * {self.num} + {self.den - 1}) DIV {self.den} + 1")
+        return (
+            sets.withColumn("size", whole)
+            .join(alone, "cid", "left")
+            .where(F.coalesce("alone", F.lit(0)) < F.col("size"))
+            .drop("alone")
+        )
+
+    def prefixes(self, left: DataFrame) -> DataFrame:
+        """(cid, n, rare, tokens): how many shingles of a prefix no other class has, and the others.
+
+        The order is that of the frequencies among the classes left, then of the hashes.
+        """
+        tokens = left.select("cid", F.explode("low").alias("token"))
+        common = (
+            tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        )
+        held = (
+            tokens.join(common, "token")
+            .groupBy("cid")
+            # at most the least hashes of one set
+            .agg(F.array_sort(F.collect_list(F.struct("k", "token"))).alias("held"))
+        )
+        rare = F.least(F.size("low") - F.size("held"), F.col("size")).cast("int")
+        rows = left.join(held, "cid", "left").withColumn(
+            "held", F.coalesce("held", F.array().cast("array<struct<k:bigint,token:bigint>>"))
+        )
+        taken = F.slice("held", F.lit(1), F.greatest(F.lit(0), F.col("size").cast("int") - F.col("rare")))
+        return rows.withColumn("rare", rare).select(
+            "cid", "n", "rare", F.concat(F.transform(taken, lambda x: x["token"]), "more").alias("tokens")
+        ).where(F.size("tokens") > 0)
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that link."""
         pairs = pairs.select("a", "b").distinct()
