@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trailmill.llm import (
@@ -184,6 +185,51 @@ def test_one_of_each_component_stays(docs, texts):
     assert jaccard_groups.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_other_text_of_a_repeated_id_stays(spark):
+    """Rows of one id with different texts, rows without id, and rows equal in both."""
+    rnd = random.Random(7)
+    a, b, c, d = (_prose(rnd, 30) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d + " more"), (None, a), (None, None), (4, "")]
+    frame = _documents(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    kept = [(r.doc_id, r.text) for r in jaccard_groups.one_of_each(frame).collect()]
+    (one,) = [r for r in kept if r[1] in (d, d + " more")]  # near copies of each other
+    assert sorted(map(str, kept)) == sorted(map(str, [(1, a), (2, b), (3, c), (3, c), one, (None, None), (4, "")]))
+
+
+def test_one_more_shard_moves_few_rows(spark):
+    """Homes move only into the new shard; rows go on clockwise only from full shards."""
+    rows = spark.range(6000).selectExpr("id * 7919 AS k").withColumn("size", F.lit(1))
+    before = {r.k: r for r in ring_sharding.shard_rows(rows, "k", 24).collect()}
+    after = {r.k: r for r in ring_sharding.shard_rows(rows, "k", 25).collect()}
+    moved = [k for k in before if before[k].home_shard != after[k].home_shard]
+    assert len(moved) <= 0.08 * len(before) and all(after[k].home_shard == 24 for k in moved)
+
+
+def test_ring_by_a_clockwise_walk(spark):
+    """Every arc gives its rows to its shard until that is full, then the next arcs with room take them."""
+    arcs = ring_sharding.ring_arcs(spark, 5, 8)
+    rnd = random.Random(3)
+    for _ in range(30):
+        counts = {arc: rnd.choice([0, 0, 1, 5, 200]) for arc in range(len(arcs))}
+        total = sum(counts.values())
+        room = [total // 5 + (s < total % 5) for s in range(5)]
+        placed, waiting = [], []
+        for arc, n in counts.items():
+            stay = min(n, room[arcs[arc][2]])
+            room[arcs[arc][2]] -= stay
+            placed += [(arc, rank, arcs[arc][2]) for rank in range(stay)]
+            waiting += [(arc, rank) for rank in range(stay, n)]
+        for arc, rank in waiting:
+            at = (arc + 1) % len(arcs)
+            while not room[arcs[at][2]]:
+                at = (at + 1) % len(arcs)
+            room[arcs[at][2]] -= 1
+            placed.append((arc, rank, arcs[at][2]))
+        parts = ring_sharding.bounded_loads(arcs, counts, 5)
+        got = [(arc, rank, shard) for arc, start, end, shard in parts for rank in range(start, end)]
+        assert sorted(got) == sorted(placed)
+
+
 def test_urls_by_brute_force(spark):
     rnd = random.Random(3)
     labels, paths = ["a", "b", "com", "net", "x"], ["/", "/en/", "/en/x/", "/e", ""]

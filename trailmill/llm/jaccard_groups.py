@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from trailmill.llm.batches import small_batches
 from trailmill.llm.graph import components
 from trailmill.llm.shingles import mixed, shingle_sets
-from trailmill.operators.joins import fits_broadcast
+from trailmill.operators.joins import fits_broadcast, left_join_unique
 from trailmill.session import discard, written
 
 BITMAP_WORDS = 4
@@ -60,7 +60,7 @@ def _wider_bitmap(shingles: np.ndarray, least: int, size: int) -> np.ndarray:
 
 
 def _scan(width: int):
-    """Per row its id, size and signature."""
+    """Per row its id, hash of the text, size and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(width)
@@ -70,13 +70,22 @@ def _scan(width: int):
                 sizes.append(len(shingles))
                 marks.append(_signature(shingles))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())],
-                ["doc_id", "n", "sig"],
+                [
+                    batch.column(0), *batch.columns[2:],
+                    pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()),
+                ],
+                ["doc_id", "t1", "t2", "n", "sig"],
             )
 
     return run
 
 
+def _text_hash(text: str) -> list[Column]:
+    """128 bits of a text as t1, t2: two chains of a 64-bit hash."""
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return [F.xxhash64(whole).alias("t1"), F.xxhash64(F.lit(1), whole).alias("t2")]
+
+
 def _prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1 if n else 0
 
@@ -156,7 +165,10 @@ class _Join:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.width, self.num, self.den = width, num, den
         self.scan = written(
-            self.docs.mapInArrow(_scan(width), "doc_id long, n long, sig binary"), "scan"
+            self.docs.select("*", *_text_hash("text")).mapInArrow(
+                _scan(width), "doc_id long, t1 long, t2 long, n long, sig binary"
+            ),
+            "scan",
         )
         self.rows = self.scan
         self.classes = written(
@@ -358,19 +370,8 @@ class _Join:
         )
 
 
-def jaccard_components(
-    docs: DataFrame,
-    width: int = 5,
-    num: int = 80,
-    den: int = 100,
-    doc_id: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id of every document.
-
-    Two documents link where their shingle sets' Jaccard similarity is at least ``num / den``.
-    ``component_id`` is the smallest doc_id reachable by links, ``class_id`` that of equal sets.
-    """
+def _linked(docs: DataFrame, width: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, t1, t2, n, comp, component_id, class_id of every row; the last three null without words."""
     join = _Join(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, num, den)
     join.index()
     inside = join.members.where("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
@@ -390,8 +391,26 @@ def jaccard_components(
         comps = join.labelled(links.union(last))
     named = join.classes.join(comps, "cid")
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    table = named.join(least, "comp").select("sig", "component_id", F.col("rep").alias("class_id"))
-    return join.rows.join(table, "sig", "left").select(
+    table = named.join(least, "comp").select("sig", "comp", "component_id", F.col("rep").alias("class_id"))
+    # texts without words share a signature and have no class; copies by the thousand are spread
+    keyed = join.rows.withColumn("sig", F.when(F.col("n") > 0, F.col("sig")))
+    return left_join_unique(keyed, written(table, "table"), "sig").drop("sig")
+
+
+def jaccard_components(
+    docs: DataFrame,
+    width: int = 5,
+    num: int = 80,
+    den: int = 100,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id of every document.
+
+    Two documents link where their shingle sets' Jaccard similarity is at least ``num / den``.
+    ``component_id`` is the smallest doc_id reachable by links, ``class_id`` that of equal sets.
+    """
+    return _linked(docs, width, num, den, doc_id, text).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
@@ -400,12 +419,27 @@ def jaccard_components(
 
 
 def one_of_each(
-    docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id"
+    docs: DataFrame,
+    width: int = 5,
+    num: int = 80,
+    den: int = 100,
+    doc_id: str = "doc_id",
+    text: str = "text",
 ) -> DataFrame:
-    """``docs`` with one document of every component: the smallest id.
+    """``docs`` with one document of every component: that of the smallest id, null last.
 
-    Rows that repeat that id stay together; documents without any word or id stay.
+    Rows are told apart by id and text, so another text of a repeated id stays; only rows equal in
+    both stay together. Documents without any word stay.
     """
-    found = jaccard_components(docs, width, num, den, doc_id)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    found = _linked(docs, width, num, den, doc_id, text).where("comp IS NOT NULL")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    rows = written(found.select("comp", row.alias("row")), "rows")
+    first = rows.groupBy("comp").agg(F.min("row").alias("first"))
+    gone = left_join_unique(rows, first, "comp").where(F.col("row") != F.col("first"))
+    gone = gone.select(
+        F.col("row.doc_id").alias("__gone"), F.col("row.t1").alias("__t1"), F.col("row.t2").alias("__t2")
+    )
+    gone = written(gone.distinct(), "gone")
+    t1, t2 = _text_hash(text)
+    key = F.col(f"`{doc_id}`").eqNullSafe(F.col("__gone")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2"))
+    return docs.join(gone, key, "left_anti")

@@ -34,7 +34,8 @@ def ring_arcs(spark: SparkSession, shards: int, replicas: int) -> list[tuple[int
     nodes = sorted(
         spark.range(shards * replicas)
         .select(
-            _place(F.lit("node"), F.col("id")).alias("at"),
+            # a node's place depends on its shard and number alone, so other shards leave it there
+            _place(F.lit("node"), F.col("id") % shards, F.floor(F.col("id") / shards)).alias("at"),
             (F.col("id") % shards).cast("int").alias("shard"),
         )
         .collect()  # shards x replicas rows, whatever the data
