@@ -7,8 +7,12 @@ page is aligned with one reference tree of its host by simple tree matching; a l
 slot of the leaf it is aligned with. A slot that holds the same text on nearly all different
 pages of a host that fill it is template; slots that vary, and leaves without counterpart, are
 content. The share is smoothed by half a page on either side, so few pages must agree more
-closely than many (2 of 2, 9 of 10, 81 of 100), and a text on one page is always content. Hosts with
-a single page have nothing to compare.
+closely than many (2 of 2, 9 of 10, 81 of 100), and a text on one page is always content. Pages that
+share most of their text are versions of one story and count as one page. Hosts with a single page
+have nothing to compare.
+
+A header inside an article, main or section element is part of it. A form goes unless it holds an
+article or most of the page's text; then only its controls and labels go.
 
 Pages are parsed once. Trees are short strings, so equal trees of a host are aligned once. How
 often a slot holds a text is a grouped count over all different pages of the host; only the most
@@ -34,6 +38,10 @@ from trailmill.session import written
 CONSTANT_SHARE = 0.8
 MIN_PAGES = 2
 DEPTH = 100
+# Pages without a text that are added to a host before the text counts as a notice.
+NOTICE_WEIGHT = 4.0
+# A page with so much of its text on other pages of the host is a version of one of them.
+VERSION_SHARE = 0.75
 
 # Elements by role in a page.
 BLOCKS = frozenset(
@@ -43,7 +51,7 @@ BLOCKS = frozenset(
     "thead tr ul".split()
 )
 DROPPED = frozenset(
-    "aside audio button canvas dialog footer form head header input map menu nav object optgroup "
+    "aside audio button canvas dialog footer head header input label map menu nav object optgroup "
     "option search select svg video".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -64,6 +72,15 @@ BOILERPLATE_CLASSES = frozenset(
     "replies reply share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription toolbar widget".split()
 )
+# What may stand beside them in a class name without naming other content.
+LAYOUT_PARTS = frozenset(
+    "area articles block bottom box btn button buttons card cell col column container desktop form full "
+    "global group icon icons inner item items label large left line link links list main mobile "
+    "outer page panel posts primary right row secondary section site slot small space stories sub text "
+    "title top unit wrap wrapper".split()
+)
+# Where a header belongs to the text.
+HEADED = frozenset("article main section".split())
 BOILERPLATE_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search "
     "toolbar".split()
@@ -77,13 +94,13 @@ def page_parser():
 
     token = re.compile(
         r"<!--.*?(?:-->|\Z)"
-        r"|<(script|style|template|iframe|textarea|title|noscript|noframes)\b.*?(?:</\1\s*>|\Z)"
+        r"|<(script|style|template|iframe|textarea|title|noscript|noframes)(?=[\s/>]).*?(?:</\1\s*>|\Z)"
         r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
         r"|<[!?/][^>]*>",
         re.S | re.I,
     )
     attribute = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-    first_part = re.compile("[a-z0-9]+")
+    name_part = re.compile("[a-z]+")
 
     def named(attributes: str) -> dict[str, str]:
         """Attributes by lower-case name; of repeated names the first counts."""
@@ -95,9 +112,12 @@ def page_parser():
         return pairs
 
     def boilerplate(name: str) -> bool:
-        """A class or id, whole or by its first part: ``sidebar-left``, but not ``has-sidebar``."""
-        first = first_part.match(name)
-        return name in BOILERPLATE_CLASSES or first is not None and first[0] in BOILERPLATE_CLASSES
+        """A class or id of boilerplate and layout alone, boilerplate first: ``sidebar-left``, but not
+        ``has-sidebar`` or ``related-work``."""
+        parts = name_part.findall(name)
+        return bool(parts) and parts[0] in BOILERPLATE_CLASSES and all(
+            part in BOILERPLATE_CLASSES or part in LAYOUT_PARTS for part in parts
+        )
 
     def unwanted(attributes: dict[str, str]) -> bool:
         if "hidden" in attributes or attributes.get("aria-hidden") == "true":
@@ -155,6 +175,8 @@ def page_parser():
             attributes = found[4]
             pairs = named(attributes) if attributes else {}
             drop = tag in DROPPED or bool(pairs) and unwanted(pairs)
+            if tag == "header" and drop and any(x[0] in HEADED for x in stack):
+                drop = bool(pairs) and unwanted(pairs)
             if tag in CLOSES_PARAGRAPH:
                 close_within({"p"}, BLOCKS - {"p"})
             if tag in SIBLINGS:
@@ -183,13 +205,49 @@ def page_parser():
         if at < len(page) and not skipped:
             run.append(page[at:])
         flush()
-        articles = [node for is_article, node in regions if is_article]
-        mains = [node for is_article, node in regions if not is_article]
+        gone = _without_forms(root, [node for _, node in regions])
+        articles = [node for is_article, node in regions if is_article and id(node) not in gone]
+        mains = [node for is_article, node in regions if not is_article and id(node) not in gone]
         return _written_tree(articles or mains or [root])
 
     return parse
 
 
+def _without_forms(root: list, regions: list) -> set[int]:
+    """Empty the forms of a page; hands back the nodes that were in them.
+
+    A form that holds an article or more than half of the page's text is a frame around the page and
+    stays; its controls and labels are left out where they are read.
+    """
+    order, parents = [root], {id(root): None}
+    for node in order:
+        for kid in node[1]:
+            if not isinstance(kid, str):
+                parents[id(kid)] = node
+                order.append(kid)
+    if not any(node[0] == "form" for node in order):
+        return set()
+    size: dict[int, int] = {}
+    for node in reversed(order):
+        size[id(node)] = sum(len(kid) if isinstance(kid, str) else size[id(kid)] for kid in node[1])
+    framing = set()
+    for node in regions:
+        while node is not None and id(node) not in framing:
+            framing.add(id(node))
+            node = parents.get(id(node))
+    gone: set[int] = set()
+    for node in order:
+        above = parents[id(node)]
+        if above is not None and id(above) in gone:
+            gone.add(id(node))
+        elif node[0] == "form" and id(node) not in framing and 2 * size[id(node)] <= size[id(root)]:
+            gone.add(id(node))
+    for node in order:
+        if id(node) in gone:
+            node[1].clear()
+    return gone
+
+
 def _written_tree(nodes: list) -> tuple[str, list[str]]:
     """The tree as a string and its leaves in order; elements without text are left out."""
     out, texts = [], []
@@ -313,20 +371,22 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     parse = page_parser()
     for batch in batches:
-        trees, hashes, texts = [], [], []
+        trees, hashes, sizes, texts = [], [], [], []
         for page in batch.column(batch.num_columns - 1).to_pylist():
             tree, leaves = parse(page or "")
             trees.append(tree)
             texts.append(leaves)
             hashes.append([xxhash.xxh64_intdigest(leaf) - (1 << 63) for leaf in leaves])
+            sizes.append([len(leaf) for leaf in leaves])
         yield pa.RecordBatch.from_arrays(
             [
                 *batch.columns[:-1],
                 pa.array(trees, pa.string()),
                 pa.array(hashes, pa.list_(pa.int64())),
+                pa.array(sizes, pa.list_(pa.int32())),
                 pa.array(texts, pa.list_(pa.string())),
             ],
-            [*batch.schema.names[:-1], "tree", "hashes", "texts"],
+            [*batch.schema.names[:-1], "tree", "hashes", "sizes", "texts"],
         )
 
 
@@ -341,6 +401,40 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _stories(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(page, story) of different pages: versions of one text have the same story.
+
+    A page is a version if most of its text, by length, is on other pages of its host too. Its story
+    is then its longest text that is surely no notice: texts on nearly all pages of a host, by a share that few pages
+    cannot reach, are passed over. Any other page is a story of its own.
+    """
+    leaves = (
+        pages.select("page", "host", F.explode(F.arrays_zip("hashes", "sizes")).alias("leaf"))
+        .groupBy("page", F.struct("host", F.col("leaf.hashes").alias("leaf")).alias("key"))
+        .agg(F.sum("leaf.sizes").alias("length"), F.max("leaf.sizes").alias("size"))
+    )
+    leaves = written(leaves, "leaves")
+    spread = leaves.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    spread = written(
+        spread.join(hosts.select("host", "n_pages"), F.col("key.host") == F.col("host")).select("key", "n", "n_pages"),
+        "spread",
+    )
+    often = spread.select(F.xxhash64("key").alias("hash"), "n")
+    notice = (F.col("n") + 0.5) / (F.col("n_pages") + NOTICE_WEIGHT) >= CONSTANT_SHARE
+    told = F.when(~notice, F.struct("size", F.col("key.leaf").alias("leaf")))
+    shared = F.sum(F.when(F.col("n") >= 2, F.col("length")).otherwise(0)) / F.sum("length")
+    return (
+        left_join_unique(leaves, spread, "key", often)
+        .groupBy("page")
+        .agg(shared.alias("shared"), F.max(told).alias("longest"))
+        .select(
+            "page",
+            F.when(F.col("shared") >= VERSION_SHARE, F.coalesce("longest.leaf", "page"))
+            .otherwise(F.col("page")).alias("story"),
+        )
+    )
+
+
 def extract_text(
     pages: DataFrame,
     url: str = "url",
@@ -357,11 +451,13 @@ def extract_text(
     parsed = written(
         rows.mapInArrow(
             _parsed,
-            f"key {kind}, url string, host string, tree string, hashes array<long>, texts array<string>",
+            f"key {kind}, url string, host string, tree string, hashes array<long>, "
+            "sizes array<int>, texts array<string>",
         ),
         "parsed",
     )
-    different = parsed.select("host", "tree", "hashes").distinct()
+    different = parsed.select("host", "tree", "hashes", "sizes").distinct()
+    different = written(different.withColumn("page", F.monotonically_increasing_id()), "different")
     trees = different.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"))
     # the reference is the tree that most pages of the host have, the least of equals
     reference = trees.groupBy("host").agg(
@@ -375,16 +471,22 @@ def extract_text(
         .mapInArrow(_aligned, "host string, tree string, slots array<int>")
     )
     slots = written(slots, "slots")
-    filled = different.join(slots, ["host", "tree"]).select(
-        "host", F.explode(F.arrays_zip("slots", "hashes")).alias("leaf")
+    several = different.join(wide.select("host"), "host", "left_semi")
+    filled = several.join(_stories(several, wide), "page").join(slots, ["host", "tree"]).select(
+        "host", "story", F.explode(F.arrays_zip("slots", "hashes")).alias("leaf")
     )
-    counts = filled.where("leaf.slots >= 0").groupBy("host", "leaf.slots", "leaf.hashes").agg(
-        F.count(F.lit(1)).alias("n")
+    # versions of one story agree because they are one story: they count as one page
+    held = filled.where("leaf.slots >= 0").select("host", "leaf.slots", "leaf.hashes", "story").distinct()
+    held = written(held, "held")
+    counts = held.groupBy("host", "slots", "hashes").agg(F.count(F.lit(1)).alias("n"))
+    filling = held.select("host", "slots", "story").distinct().groupBy("host", "slots").agg(
+        F.count(F.lit(1)).alias("n_filled")
     )
     share = (F.col("best.n") + 0.5) / (F.col("n_filled") + 1.0)
     constant = (
         counts.groupBy("host", "slots")
-        .agg(F.sum("n").alias("n_filled"), F.max(F.struct("n", "hashes")).alias("best"))
+        .agg(F.max(F.struct("n", "hashes")).alias("best"))
+        .join(filling, ["host", "slots"])
         .where((F.col("best.n") >= 2) & (share >= constant_share))
         .groupBy("host")
         .agg(F.collect_list(F.struct("slots", F.col("best.hashes").alias("hashes"))).alias("template"))
