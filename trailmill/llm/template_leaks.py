@@ -309,7 +309,15 @@ def find_leaks(
     )
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without those that hold a benchmark item; null ids stay unless null leaks."""
-    leaks = find_leaks(docs, items, doc_id).select(F.col(doc_id).alias("__leak")).distinct()
-    return docs.join(leaks, F.col(doc_id).cast("long").eqNullSafe(F.col("__leak")), "left_anti")
+def without_leaks(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` without those that hold a benchmark item.
+
+    Rows are told apart by a hash of id and text: other texts of an id, and other rows without id,
+    stay; rows equal in both stay or go together.
+    """
+    row = F.xxhash64(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), F.col(f"`{text}`"))
+    rows = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"))
+    leaks = find_leaks(rows, items, "row").select(F.col("row").alias("__leak"))
+    return docs.join(leaks.distinct(), row == F.col("__leak"), "left_anti")
