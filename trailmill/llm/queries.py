@@ -75,15 +75,17 @@ ends AS (SELECT doc_id, source, ord, val, CAST(b AS BIGINT) AS b, CAST(b + n AS
 kept AS (
   SELECT * FROM ends s WHERE ord < 3 OR NOT EXISTS (
     SELECT 1 FROM ends o WHERE o.doc_id = s.doc_id AND o.ord < 3 AND o.b < s.e AND s.b < o.e)),
-owners AS (SELECT val, count(DISTINCT coalesce(source, '')) AS n_owners FROM kept GROUP BY val),
+owners AS (
+  SELECT val, count(DISTINCT coalesce(source, '')) > 1 OR count(DISTINCT doc_id) > 10 AS example
+  FROM kept GROUP BY val),
 judged AS (
   SELECT doc_id,
     count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access,
     count(*) FILTER (ord = 2) AS n_hex,
     {_AS_TEXT} FILTER (ord < 3) AS base,
-    {_AS_TEXT} FILTER (ord < 3 OR n_owners = 1) AS spans,
-    count(*) FILTER (n_owners = 1) AS n_live,
-    count(*) FILTER (n_owners > 1 AND ord < 3) AS n_example
+    {_AS_TEXT} FILTER (ord < 3 OR NOT example) AS spans,
+    count(*) FILTER (NOT example) AS n_live,
+    count(*) FILTER (example AND ord < 3) AS n_example
   FROM kept JOIN owners USING (val) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
   coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,

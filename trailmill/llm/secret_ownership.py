@@ -3,8 +3,8 @@
 Every text is searched for values after names such as ``password``, for access keys and for long
 hexadecimal runs (the base kinds), and for long mixed tokens (``generic``). The hash of every
 value is counted over the whole corpus: by distinct owners and distinct repositories. A value
-that several owners hold is a copied example; a value of one owner looks live. Base spans always
-stay; a generic token becomes a span only where it looks live and no base span touches it.
+that several owners or many repositories hold is a copied example; a value of one owner in a few
+repositories looks live. Base spans always stay; a generic token becomes a span only where it looks live and no base span touches it.
 
 All of it is DataFrame operations. Positions are code points, ends are exclusive. Null text is
 searched as an empty one; a null owner is an owner of its own. Rows are never merged: a repeated
@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmill.operators.joins import left_join_unique
 from trailmill.session import written
 
 # The base kinds in their order, the group that holds the value, its least length.
@@ -29,6 +30,10 @@ KINDS = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24
 # What a text must hold before the costlier search for positions is worth it.
 SIGNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 
+# A value looks live up to so many owners and repositories.
+MAX_OWNERS = 1
+MAX_REPOSITORIES = 10
+
 GENERIC = r"[A-Za-z0-9+/_=-]+"
 GENERIC_LEAST = 20
 GENERIC_ORDER = len(KINDS)
@@ -156,11 +161,13 @@ def find_secrets(
     owner: str = "source",
     repository: str = "doc_id",
     keep: tuple[str, ...] = ("doc_id",),
-    max_owners: int = 1,
+    max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """One row per document: ``keep``, ``base`` spans, ``spans`` (all), ``n_live``, ``n_example``.
 
-    ``max_owners`` is the largest number of distinct owners of a value that still looks live.
+    ``max_owners`` and ``max_repositories`` are the largest numbers of distinct owners and
+    repositories of a value that still looks live.
     """
     found = written(
         searched(docs, text, owner, repository, [F.col(c) for c in keep]).withColumn(
@@ -170,9 +177,11 @@ def find_secrets(
     )
     candidates = _candidates(found, "__row")
     counted = ownership(candidates.select("hash", "owner", "repo"))
-    live = F.col("n_owners") <= max_owners
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repositories)
+    counted = written(counted, "ownership")
+    often = counted.select(F.xxhash64("hash").alias("hash"), F.col("n_rows").alias("n"))
     judged = (
-        candidates.join(counted, "hash")
+        left_join_unique(candidates, counted, "hash", often)
         .where(live | (F.col("span.ord") < GENERIC_ORDER))
         .groupBy("__row")
         .agg(
@@ -212,7 +221,8 @@ def redact_secrets(
     owner: str = "source",
     repository: str = "doc_id",
     key: str = "doc_id",
-    max_owners: int = 1,
+    max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
     mark: str = "[secret]",
 ) -> DataFrame:
     """``docs`` with every secret value replaced by ``mark``; rows and other columns stay.
@@ -228,7 +238,7 @@ def redact_secrets(
     )
     candidates = _candidates(generic, "__key")
     live = ownership(candidates.select("hash", "owner", "repo")).where(
-        F.col("n_owners") <= max_owners
+        (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repositories)
     )
     per_key = (
         candidates.join(live, "hash")
