@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmill.operators.joins import left_join_unique
 from trailmill.session import written
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -141,9 +142,10 @@ def judge_quality(
     counts = written(text_counts(rows, text), "quality")
     rates = host_rates(counts, "__host")
     refused = F.greatest(*[F.col(f"rate_{name}") for name in HOST_RULES]) > max_host_rate
-    verdicts = rates.select("__host", refused.alias("host_refused"))
+    verdicts = written(rates.select("__host", refused.alias("host_refused")), "verdicts")
     failed = F.expr(HOST_RULES["base"])
-    return counts.join(verdicts, "__host").select(
+    # a host may hold a third of all documents
+    return left_join_unique(counts, verdicts, "__host").select(
         *keep,
         "n_words",
         "word_chars",
