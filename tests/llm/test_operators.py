@@ -390,6 +390,62 @@ def test_template_of_small_hosts(spark):
     assert [text[i].split("\n")[0] for i in range(4)] == ["kept", "kept", "own 2", "own 3"]
 
 
+def test_versions_of_an_article_are_no_template(spark):
+    rnd = random.Random(6)
+    paragraphs = [_prose(rnd, 40) for _ in range(4)]
+    page = "<p>Notice on all pages</p><div><h1>A title</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "<p>{}</p></div>"
+    rows = [(i, f"http://v.org/{i}", page.format(f"Updated {day}")) for i, day in enumerate(["Monday", "Friday"])]
+    rows += [(10 + i, f"http://w.org/{i}", page.format(f"Updated {day}")) for i, day in enumerate(["Monday", "Friday"])]
+    rows += [(20 + i, f"http://w.org/x{i}", f"<p>Notice on all pages</p><div><h1>Story {i}</h1><p>{_prose(rnd, 60)}</p></div>") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.text.split("\n") for r in wrapper_induction.extract_text(pages).collect()}
+    for i in (0, 1):
+        assert text[i][-6:] == ["A title", *paragraphs, f"Updated {['Monday', 'Friday'][i]}"]
+        assert text[10 + i] == ["A title", *paragraphs, f"Updated {['Monday', 'Friday'][i]}"]
+    assert all(text[20 + i][0] == f"Story {i}" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    ("page", "leaves"),
+    [
+        ("<title-card>a</title-card><p>b</p>", ["a", "b"]),
+        ("<style-guide><p>a</p></style-guide><p>b</p><style>p {}</style>", ["a", "b"]),
+        ("<title>t</title><p>b</p><script src='x'>1</script>", ["b"]),
+        ("<form id='page'><div><p>" + "long prose " * 9 + "</p><label>Name</label><input><select><option>x</select></div></form>",
+         [("long prose " * 9).strip()]),
+        ("<div><p>" + "long prose " * 9 + "</p></div><form><p>Your mail is safe</p><input></form>", [("long prose " * 9).strip()]),
+        ("<form><article><p>a</p></article><p>b</p></form><p>" + "c " * 20 + "</p>", ["a"]),
+        ("<p>" + "c " * 20 + "</p><form><div role=main><p>a</p></div></form>", ["a"]),
+        ('<div class="related-work"><p>a</p></div><div class="header-image-wrap"><p>b</p></div>', ["a", "b"]),
+        ('<div class="related-posts"><p>a</p></div><div class="nav_menu-2"><p>b</p></div><p>c</p>', ["c"]),
+        ("<article><header><h1>T</h1></header><p>a</p><footer>f</footer></article>", ["T", "a"]),
+        ("<header><h1>Site</h1></header><main><header><h1>T</h1></header><p>a</p></main>", ["T", "a"]),
+        ('<article><header class="byline">by</header><p>a</p></article>', ["a"]),
+    ],
+)
+def test_text_that_must_stay(page, leaves):
+    assert wrapper_induction.page_parser()(page)[1] == leaves
+
+
+def test_only_the_leaking_rows_go(spark):
+    """Several texts of one id and several rows without id are judged one by one."""
+    item = "How many apples does Anna have if she buys 12 apples and eats 5 of them on Monday morning"
+    rnd = random.Random(1)
+    clean = [_prose(rnd, 60) for _ in range(3)]
+    rows = [(None, clean[0] + " " + item), (None, clean[1]), (7, clean[2] + " " + item), (7, clean[0]), (8, None), (8, "")]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    frame = _documents(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    left = [(r.doc_id, r.text) for r in template_leaks.without_leaks(frame, items).collect()]
+    assert sorted(map(str, left)) == sorted(map(str, [(None, clean[1]), (7, clean[0]), (8, None), (8, "")]))
+
+
+def test_value_in_many_repositories_is_an_example(spark):
+    few, many = "Zx9" * 8, "Qw7" * 8
+    rows = [(i, f"x {many}", "en", "a", 0) for i in range(11)] + [(20 + i, f"x {few}", "en", "a", 0) for i in range(10)]
+    spans = {r.doc_id: r.spans for r in secret_ownership.secret_report(_documents(spark, rows)).collect()}
+    assert {spans[i] for i in range(11)} == {""} and {spans[20 + i] for i in range(10)} == {"generic:2:26"}
+
+
 ENGLISH = "the river runs along old walls and every child that lives near there knows which stones are safe to cross".split()
 GERMAN = "der fluss zieht an alten mauern vorbei und jedes kind das dort wohnt weiß welche steine man betreten darf".split()
 FOREIGN = [
