@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from trailmill.llm.batches import small_batches
+from trailmill.llm.batches import small_batches, tidy
 
 LEAF_BYTES = 16
 WINDOW = 2
@@ -267,7 +267,7 @@ def encode(
     if data is not None:
         fields.append(StructField(data, BinaryType()))
     names = [field.name for field in fields]
-    return rows.mapInArrow(run, StructType(fields))
+    return rows.mapInArrow(tidy(run), StructType(fields))
 
 
 def decode(
@@ -294,7 +294,7 @@ def decode(
             )
 
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    return rows.mapInArrow(run, StructType([*rows.schema, StructField(data, BinaryType())]))
+    return rows.mapInArrow(tidy(run), StructType([*rows.schema, StructField(data, BinaryType())]))
 
 
 def token_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.llm.batches import small_batches
+from trailmill.llm.batches import small_batches, tidy
 from trailmill.llm.graph import components
 from trailmill.llm.shingles import mixed, shingle_sets
 from trailmill.operators.joins import fits_broadcast, left_join_unique
@@ -166,7 +166,7 @@ class _Join:
         self.width, self.num, self.den = width, num, den
         self.scan = written(
             self.docs.select("*", *_text_hash("text")).mapInArrow(
-                _scan(width), "doc_id long, t1 long, t2 long, n long, sig binary"
+                tidy(_scan(width)), "doc_id long, t1 long, t2 long, n long, sig binary"
             ),
             "scan",
         )
@@ -187,7 +187,7 @@ class _Join:
 
     def index(self) -> None:
         found = self.docs.mapInArrow(
-            _prefixes(self.width, self.num, self.den),
+            tidy(_prefixes(self.width, self.num, self.den)),
             "doc_id long, sig binary, bits array<long>, middle array<long>, wide array<long>, "
             "low array<long>, more array<long>",
         )
@@ -274,7 +274,7 @@ class _Join:
             ids = F.broadcast(ids)
         texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(F.col("id")), "left_semi")
         found = texts.mapInArrow(
-            _full_sets(self.width), "doc_id long, sig binary, shingles array<long>"
+            tidy(_full_sets(self.width)), "doc_id long, sig binary, shingles array<long>"
         )
         sets = written(self.sets_of(found, classes).select("cid", "n", "shingles"), "sets")
         one = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))

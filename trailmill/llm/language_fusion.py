@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
-from trailmill.llm.batches import small_batches
+from trailmill.llm.batches import small_batches, tidy
 from trailmill.operators.joins import left_join_unique
 from trailmill.session import written
 
@@ -162,7 +162,7 @@ def fit_trigrams(
         chosen |= (F.col("language") == row["language"]) & (F.col("hash") <= bound)
     picked = rows.where(chosen).dropDuplicates(["language", "hash"]).select("language", "raw")
     picked = written(picked, "sample")
-    counts = picked.mapInArrow(_counted, "language string, bucket long, n long")
+    counts = picked.mapInArrow(tidy(_counted), "language string, bucket long, n long")
     found = counts.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     held = np.zeros((len(languages), BUCKETS))  # as many rows at most
     at = found["language"].map(languages.index).to_numpy(np.int64)
@@ -214,7 +214,7 @@ def with_text_evidence(docs: DataFrame, model: Model, text: str = "text") -> Dat
             )
 
     added = [StructField("__text", ArrayType(DoubleType())), StructField("__letters", BooleanType())]
-    return docs.mapInArrow(run, StructType([*docs.schema, *added]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema, *added]))
 
 
 def _softmax(scores: Column) -> Column:

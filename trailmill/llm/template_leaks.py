@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmill.llm.batches import small_batches
+from trailmill.llm.batches import small_batches, tidy
 from trailmill.llm.shingles import mixed
 from trailmill.session import written
 
@@ -257,7 +257,7 @@ def find_leaks(
     pick = lambda df, key: df.select(
         F.col(key).cast("long").alias("id"), F.col(text).alias("text")
     )
-    of_items = written(pick(items, item_id).mapInArrow(_found(None, None), FOUND), "items")
+    of_items = written(pick(items, item_id).mapInArrow(tidy(_found(None, None)), FOUND), "items")
     widths = [r["width"] for r in of_items.select("width").distinct().collect()]  # at most WINDOW
     places = of_items.select(F.col("hash").bitwiseAND(BITS - 1).alias("p")).distinct()
     bits = np.zeros(BITS // 8, np.uint8)  # whatever the number of items
@@ -266,7 +266,7 @@ def find_leaks(
     )
     for row in marks.toLocalIterator():
         bits[row["byte"]] = row["mask"]
-    of_docs = pick(docs, doc_id).mapInArrow(_found(sorted(widths), bits), FOUND)
+    of_docs = pick(docs, doc_id).mapInArrow(tidy(_found(sorted(widths), bits)), FOUND)
     d, i = of_docs.alias("d"), of_items.alias("i")
     same = (F.col("d.reading") == F.col("i.reading")) | (F.least("d.reading", "i.reading") == BOTH)
     hits = d.join(
