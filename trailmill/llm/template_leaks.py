@@ -14,12 +14,22 @@ the item's words and its slots are consistent: the same value in the item always
 value in the document, and different values different ones. In a chain that is not a leak every
 single shift is judged in the same way.
 
+Two things keep the work in proportion where templates say little. A window in which fewer than
+MIN_LITERAL of WINDOW words are no slots (a table of numbers) is hashed with its values: a copy is
+found, other numbers are no match. Windows of one row that repeat within half a window (a repeated
+row of numbers, word or phrase) are one run with all its places and values; two runs meet twice,
+aligned at their beginnings and at their ends, not place by place.
+
 A bounded bit table of the items' window hashes lets only likely windows leave a task; the join
 decides exactly (64-bit hashes). Documents are never shuffled, only their matching windows.
 
+A name at the edge of an item that stands beside another name in the document is read as one longer
+name there. Windows further inside still match; an item of about one window can be missed.
+
 Null and empty texts match nothing. Items shorter than a window are matched by one window of
-their own length, but not below MIN_WORDS words. Repeated rows (documents or items) are matched
-like any others; each alignment is reported once.
+their own length, but not below MIN_WORDS words. Rows, of documents and of items, are told apart by
+id and text: different texts of one id, or without id, are matched and reported each for itself;
+rows equal in both are reported once. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +47,7 @@ from trailmill.session import written
 
 WINDOW = 8
 MIN_WORDS = 5
+MIN_LITERAL = 3
 MIN_COVERED = 0.5
 DRIFT = 4
 BITS = 1 << 24
@@ -155,10 +166,22 @@ def windows(codes: np.ndarray, width: int) -> np.ndarray:
     return mixed(total)
 
 
-SLOT = pa.struct([("place", pa.int32()), ("value", pa.int64())])
+def window_hashes(codes: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the templates, of the values too where a window is mostly slots."""
+    hashes = windows(codes, width)
+    slot = values != 0
+    least = width - -(-MIN_LITERAL * width // WINDOW) + 1  # so many slots leave too few other words
+    if np.count_nonzero(slot) >= least and len(hashes):
+        before = np.append(0, np.cumsum(slot))
+        mostly = before[width:] - before[:-width] >= least
+        if mostly.any():
+            hashes[mostly] = windows(np.where(slot, values.view(np.uint64), codes), width)[mostly]
+    return hashes
+
+
 FOUND = (
-    "id long, reading int, hash long, at int, end int, n_words int, width int, "
-    "slots array<struct<place:int,value:long>>"
+    "id long, row long, reading int, hash long, n_words int, width int, at array<int>, end array<int>, "
+    "slots array<long>"
 )
 
 
@@ -166,42 +189,82 @@ def _found(widths: list[int] | None, bits: np.ndarray | None):
     """Windows of every row; of items (no bits) all, of documents those the bits let through.
 
     Without ``widths`` a row has windows of WINDOW words, or of its own length if it is shorter.
-    ``at`` and ``end`` count words, also where a slot holds several.
+    ``at`` and ``end`` count words, also where a slot holds several: one for each place of a run.
+    ``slots`` holds the values of the slots, place by place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes_of = word_codes()
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                readings, n_words = codes_of(text or "")
+            ids, keys, texts = (batch.column(c) for c in range(3))
+            for k in range(batch.num_rows):
+                readings, n_words = codes_of(texts[k].as_py() or "")
                 for reading, codes, values, starts in readings:
                     n = len(codes)
                     for width in widths if widths is not None else [min(n, WINDOW)] if n >= MIN_WORDS else []:
-                        hashes = windows(codes, width)
+                        hashes = window_hashes(codes, values, width)
                         at = np.arange(len(hashes))
                         if bits is not None:
                             low = hashes & np.uint64(BITS - 1)
                             at = np.flatnonzero(
                                 (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1
                             )
+                        runs: dict[int, tuple] = {}  # by hash: last place, period, places, ends, slots
                         for i in at.tolist():
-                            places = np.flatnonzero(values[i : i + width])
-                            slots = [{"place": i + p, "value": int(values[i + p])} for p in places.tolist()]
+                            inside = values[i : i + width]
+                            slots = inside[inside != 0].tolist()
                             # half a glued word is all of it
                             start, end = int(starts[i]), max(int(starts[i + width]), int(starts[i + width - 1]) + 1)
                             hashed = int(hashes[i].view(np.int64))
-                            rows.append((key, reading, hashed, start, end, n_words, width, slots))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            kinds = [batch.column(0).type, pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.list_(SLOT)]
+                            last, period, *lists = runs.get(hashed, (None, 0))
+                            if last is not None and 2 * (i - last) <= width and period in (0, i - last):
+                                for held, more in zip(lists, ([start], [end], slots), strict=True):
+                                    held.extend(more)
+                                runs[hashed] = (i, i - last, *lists)
+                            else:
+                                lists = [start], [end], slots
+                                runs[hashed] = (i, 0, *lists)
+                                rows.append((ids[k].as_py(), keys[k].as_py(), reading, hashed, n_words, width, *lists))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
+            whole, many = pa.int32(), pa.list_(pa.int32())
+            kinds = [pa.int64(), pa.int64(), whole, pa.int64(), whole, whole, many, many, pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                ["id", "reading", "hash", "at", "end", "n_words", "width", "slots"],
+                ["id", "row", "reading", "hash", "n_words", "width", "at", "end", "slots"],
             )
 
     return run
 
 
+def _met(of_docs: DataFrame, of_items: DataFrame) -> DataFrame:
+    """Runs of equal windows, aligned at their beginnings and, if one is longer, at their ends."""
+    d, i = of_docs.alias("d"), of_items.alias("i")
+    same = (F.col("d.reading") == F.col("i.reading")) | (F.least("d.reading", "i.reading") == BOTH)
+    met = d.join(i, (F.col("d.hash") == F.col("i.hash")) & (F.col("d.width") == F.col("i.width")) & same)
+    n_doc, n_item = F.size("d.at"), F.size("i.at")
+    aligned = F.when(n_doc == n_item, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    met = met.withColumns({"both": F.least(n_doc, n_item), "late": F.explode(aligned)})
+    skip_doc, skip_item = F.col("late") * (n_doc - F.col("both")), F.col("late") * (n_item - F.col("both"))
+    each = (F.size("i.slots") / n_item).cast("int")  # slots of one place
+
+    def slots(side: str, skip):
+        return F.slice(f"{side}.slots", skip * each + 1, F.col("both") * each)
+
+    return met.select(
+        F.col("d.id").alias("doc"),
+        F.col("d.row").alias("doc_row"),
+        F.col("i.id").alias("item"),
+        F.col("i.row").alias("item_row"),
+        F.greatest("d.reading", "i.reading").alias("reading"),
+        (F.get("d.at", skip_doc) - F.get("i.at", skip_item)).alias("shift"),
+        F.get("i.at", skip_item).alias("at"),
+        F.get("i.end", skip_item + F.col("both") - 1).alias("end"),
+        F.col("i.n_words").alias("n_words"),
+        F.arrays_zip(slots("i", skip_item).alias("i"), slots("d", skip_doc).alias("d")).alias("slots"),
+    )
+
+
 def _judged(hits: DataFrame, alignment: list[str]) -> DataFrame:
     """``alignment``, first shift, share of the item's words and ``exact`` of consistent alignments."""
     places = hits.groupBy(*alignment, "at").agg(
@@ -218,7 +281,7 @@ def _judged(hits: DataFrame, alignment: list[str]) -> DataFrame:
         )
     )
     pairs = hits.select(*alignment, F.explode("slots").alias("s")).select(
-        *alignment, F.col("s.i.value").alias("item_value"), F.col("s.d.value").alias("doc_value")
+        *alignment, F.col("s.i").alias("item_value"), F.col("s.d").alias("doc_value")
     )
     consistent = pairs.distinct().groupBy(*alignment).agg(
         F.count(F.lit(1)).alias("pairs"),
@@ -254,9 +317,11 @@ def find_leaks(
     ``exact`` is true where every slot has the item's own value.
     """
     small_batches(docs.sparkSession)
-    pick = lambda df, key: df.select(
-        F.col(key).cast("long").alias("id"), F.col(text).alias("text")
-    )
+
+    def pick(df: DataFrame, key: str) -> DataFrame:
+        row = F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.col(f"`{text}`"))
+        return df.select(F.col(f"`{key}`").cast("long").alias("id"), row.alias("row"), F.col(f"`{text}`").alias("text"))
+
     of_items = written(pick(items, item_id).mapInArrow(tidy(_found(None, None)), FOUND), "items")
     widths = [r["width"] for r in of_items.select("width").distinct().collect()]  # at most WINDOW
     places = of_items.select(F.col("hash").bitwiseAND(BITS - 1).alias("p")).distinct()
@@ -267,21 +332,9 @@ def find_leaks(
     for row in marks.toLocalIterator():
         bits[row["byte"]] = row["mask"]
     of_docs = pick(docs, doc_id).mapInArrow(tidy(_found(sorted(widths), bits)), FOUND)
-    d, i = of_docs.alias("d"), of_items.alias("i")
-    same = (F.col("d.reading") == F.col("i.reading")) | (F.least("d.reading", "i.reading") == BOTH)
-    hits = d.join(
-        i, (F.col("d.hash") == F.col("i.hash")) & (F.col("d.width") == F.col("i.width")) & same
-    ).select(
-        F.col("d.id").alias("doc"),
-        F.col("i.id").alias("item"),
-        F.greatest("d.reading", "i.reading").alias("reading"),
-        (F.col("d.at") - F.col("i.at")).alias("shift"),
-        F.col("i.at").alias("at"),
-        F.col("i.end").alias("end"),
-        F.col("i.n_words").alias("n_words"),
-        F.arrays_zip(F.col("i.slots").alias("i"), F.col("d.slots").alias("d")).alias("slots"),
-    )
-    along = Window.partitionBy("doc", "item").orderBy("shift")
+    hits = _met(of_docs, of_items)
+    pair = ["doc", "doc_row", "item", "item_row"]
+    along = Window.partitionBy(*pair).orderBy("shift")
     gap = F.col("shift") - F.lag("shift").over(along)
     far = gap.isNull() | (gap > F.greatest(F.lit(DRIFT), F.floor(F.col("n_words") / 4)))
     start = F.when(far, F.col("shift"))
@@ -289,7 +342,7 @@ def find_leaks(
         "chain", F.max("start").over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     )
     hits = written(chained.drop("start"), "hits")
-    chain = ["doc", "item", "chain"]
+    chain = [*pair, "chain"]
     whole = _judged(hits, [*chain, "reading"]).withColumn("shift", F.lit(None).cast("int"))
     single = _judged(hits, [*chain, "reading", "shift"])
     enough = whole.unionByName(single).where(F.col("covered") >= min_covered)
