@@ -439,6 +439,75 @@ def test_only_the_leaking_rows_go(spark):
     assert sorted(map(str, left)) == sorted(map(str, [(None, clean[1]), (7, clean[0]), (8, None), (8, "")]))
 
 
+def test_leaks_are_told_by_row(spark):
+    """Parts of an item in different texts of one id, or of rows without id, do not add up."""
+    rnd = random.Random(8)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ru") for b in ("ten", "ser", "bal", "dor", "win", "gas")]
+    item, other = " ".join(words), " ".join(reversed(words))
+    half, rest = " ".join(words[:11]), " ".join(words[13:])
+    rows = [(1, half), (1, rest), (None, half), (None, rest), (2, item), (2, other), (None, item), (3, item), (3, item)]
+    before = _prose(rnd, 9)
+    frame = _documents(spark, [(i, f"{before} . {t}", "en", "s", 0) for i, t in rows])
+    frame = frame.withColumns({"row": F.lit("x"), "hash": F.lit(1), "item": F.lit(None), "doc": F.lit(2)})
+    items = spark.createDataFrame([(1, item), (1, other), (None, item), (4, None)], "item_id long, text string")
+    found = [(r.doc_id, r.item_id) for r in template_leaks.find_leaks(frame, items).collect()]
+    each = [(2, 1), (2, 1), (2, None), (None, 1), (None, None), (3, 1), (3, None)]
+    assert sorted(map(str, found)) == sorted(map(str, each))
+    assert template_leaks.find_leaks(frame.limit(0), items).count() == 0
+
+
+def test_tables_of_numbers_stay_linear(spark):
+    rnd = random.Random(6)
+
+    def numbers(n):
+        return " ".join(str(rnd.randrange(10**6)) for _ in range(n))
+
+    tables = [numbers(120) for _ in range(20)]
+    items = spark.createDataFrame(
+        [*enumerate(tables), (30, "0 " * 300), (31, "seven red boats went out " + "0 " * 60 + "and nobody saw them come home")],
+        "item_id long, text string",
+    )
+    rows = [(i, numbers(300), "", "", 0) for i in range(50)]
+    rows += [(100, "x " + tables[3] + " y", "", "", 0), (101, "0 " * 500, "", "", 0), (102, "1 2 3 " * 200, "", "", 0)]
+    rows += [(103, "then seven red boats went out " + "0 " * 90 + "and nobody saw them come home at all", "", "", 0)]
+    docs = _documents(spark, rows)
+    found = {(r.doc_id, r.item_id): r for r in template_leaks.find_leaks(docs, items).collect()}
+    assert {(100, 3), (101, 30), (103, 31)} <= set(found) and found[100, 3].covered == found[101, 30].covered == 1.0
+    assert {doc for doc, _ in found} == {100, 101, 103}
+    width, bits = template_leaks.WINDOW, template_leaks._found
+    texts = lambda t: t.selectExpr(f"{t.columns[0]} AS id", "xxhash64(text) AS row", "text")
+    runs = [texts(t).mapInArrow(bits([width], None), template_leaks.FOUND) for t in (docs, items)]
+    assert template_leaks._met(*runs).count() < 500
+
+
+@pytest.mark.parametrize("words", [["red", "7", "blue"], "the of and river stone bridge Anna 12 40 km walk old".split()])
+def test_leaks_by_brute_force(spark, words):
+    """Every copy of an item is found; whatever is found shares windows with the item."""
+    rnd = random.Random(len(words))
+    items = [" ".join(rnd.choices(words, k=rnd.randrange(5, 40))) for _ in range(8)]
+    docs = []
+    for i in range(30):
+        parts = [" ".join(rnd.choices(words, k=rnd.randrange(1, 30))) for _ in range(2)]
+        docs.append((i, f" . {rnd.choice(items)} . ".join(parts), "", "", 0))
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in template_leaks.find_leaks(_documents(spark, docs), table).collect()}
+    codes_of = template_leaks.word_codes()
+
+    def shapes(text, width):
+        return {
+            h for _, codes, values, _ in codes_of(text)[0]
+            for h in template_leaks.window_hashes(codes, values, width).tolist()
+        }
+
+    for i, text, *_ in docs:
+        for j, item in enumerate(items):
+            if f" . {item} . " in f" . {text} . ":
+                assert (i, j) in found
+            elif (i, j) in found:
+                width = min(template_leaks.WINDOW, len(item.split()))
+                assert any(shapes(text, w) & shapes(item, w) for w in range(5, width + 1))
+
+
 def test_value_in_many_repositories_is_an_example(spark):
     few, many = "Zx9" * 8, "Qw7" * 8
     rows = [(i, f"x {many}", "en", "a", 0) for i in range(11)] + [(20 + i, f"x {few}", "en", "a", 0) for i in range(10)]
