@@ -1,12 +1,19 @@
 """Byte-level BPE as a tree reduction of a monoid.
 
-Between two matches of the splitting pattern no merge happens, so token lists of matches are
-joined by concatenation. Within one match, halves are encoded recursively and joined: only a
-window of tokens around the seam is encoded again, and it grows until both its ends fit the
-tokens outside. Two neighbouring tokens fit if encoding their bytes together gives just the two;
-a list whose neighbours all fit is the encoding of its bytes, so everything outside the window
-is final. Joining costs the window, not the text, whatever the length of a match. Matches of at
-most LEAF_BYTES bytes are merged plainly. Decoding is one flat concatenation of byte strings.
+One function, ``reduced``, halves and joins on three levels.
+
+* A text is halved anywhere. A single space between two characters that are no white space always
+  begins a match, and between matches no merge happens, so such a space is a proven boundary. A
+  part keeps the ids between its first and its last boundary, and as text what lies outside them:
+  its head and its tail. Joining two parts encodes the tail of the left with the head of the right,
+  a window that has grown on both sides to the nearest boundary; all ids outside are final.
+  Parts without a boundary are joined as text.
+* Within one match, halves are encoded recursively and joined: a window of tokens around the seam
+  is encoded again, and it grows until both its ends fit the tokens outside. Two neighbouring
+  tokens fit if encoding their bytes together gives just the two; a list whose neighbours all fit
+  is the encoding of its bytes, so everything outside the window is final. Joining costs the
+  window, not the match. Matches of at most LEAF_BYTES bytes are merged plainly.
+* Ids are halved too; decoding concatenates the bytes of the halves up the tree.
 
 Ranks come from a vocabulary file given by path, which every machine must have installed; only
 the ranks' path travels with the plan. Python workers keep results of frequent stretches between
@@ -27,6 +34,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from trailmill.llm.batches import small_batches, tidy
 
 LEAF_BYTES = 16
+LEAF_CHARS = 8192
+LEAF_IDS = 8192
 WINDOW = 2
 MEMO_ENTRIES = 60_000
 STRETCHES = 150_000
@@ -37,6 +46,14 @@ NEVER = 1 << 60
 SENTENCE_MARKS = (".", ",")
 
 
+def reduced(start: int, end: int, size: int, leaf: Callable, joined: Callable):
+    """Leaves of at most ``size`` places from ``start`` to ``end``, joined up a tree of halves."""
+    if end - start <= size:
+        return leaf(start, end)
+    half = (start + end) // 2
+    return joined(reduced(start, half, size, leaf, joined), reduced(half, end, size, leaf, joined))
+
+
 def _merged(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merge the pair of least rank, the leftmost of equals, until none is left."""
     rank_of = ranks.get
@@ -109,14 +126,15 @@ def piece_encoder(ranks: dict[bytes, int]) -> Callable[[bytes], list[int]]:
             size *= 2
 
     def tree(data: bytes) -> list[int]:
-        if len(data) <= LEAF_BYTES:
-            known = leaves.get(data)
+        def leaf(start: int, end: int) -> list[int]:
+            part = data[start:end]
+            known = leaves.get(part)
             if known is None:
-                known = _merged(data, ranks)
-                leaves.put(data, known)
+                known = _merged(part, ranks)
+                leaves.put(part, known)
             return known
-        half = len(data) // 2
-        return joined(tree(data[:half]), tree(data[half:]))
+
+        return reduced(0, len(data), LEAF_BYTES, leaf, joined)
 
     def encode(data: bytes) -> list[int]:
         whole = ranks.get(data)
@@ -137,8 +155,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def text_encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], bytes]:
     """Encoder of a text; ids are packed as 32-bit integers.
 
-    A single space between two characters that are no white space always begins a match, so a
-    text may be cut before such spaces and the stretches encoded alone. Stretches repeat.
+    Stretches from one boundary to the next are encoded alone and remembered: they repeat. A part of
+    a text is (head, ids, tail); ids are None if it has no boundary, then all of it is its head.
     """
     import re
     from array import array
@@ -151,6 +169,7 @@ def text_encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], bytes
     memo = _Memo(STRETCHES)
 
     def stretch(text: str) -> bytes:
+        """Ids of a text as matches of the pattern."""
         if text[1:].isalpha() and text[0] == " ":  # one match
             return array("i", piece(text.encode())).tobytes()
         ids = array("i")
@@ -169,24 +188,53 @@ def text_encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], bytes
             memo.put(key, packed)
         return packed
 
-    def encode(text: str) -> bytes:
-        stretches = text.split(" ")
-        if bordered(stretches[0]):
-            return encoded(cut(text))
-        out = [stretch(stretches[0])]
-        frequent = memo.young.get
-        for key in stretches[1:]:
+    def stretches(keys: list[str]) -> bytes | None:
+        """Ids of stretches, each with the space before it; None if a space is no boundary."""
+        out, frequent = [], memo.young.get
+        for key in keys:
             packed = frequent(key)
             if packed is None:
                 if bordered(key):  # white space beside a space; the memo holds no such key
-                    return encoded(cut(text))
+                    return None
                 packed = looked_up(key)
                 frequent = memo.young.get
             out.append(packed)
         return b"".join(out)
 
-    def encoded(stretches: list[str]) -> bytes:
-        return b"".join([stretch(stretches[0]), *[stretch(" " + key) for key in stretches[1:]]])
+    def part(text: str) -> tuple[str, bytes | None, str]:
+        keys = text.split(" ")
+        ids = None
+        if not (bordered(keys[0]) or bordered(keys[-1])):
+            ids = stretches(keys[1:-1])
+        if ids is None:
+            keys = cut(text)
+            ids = stretches(keys[1:-1])
+        return (keys[0], ids, " " + keys[-1]) if len(keys) > 1 else (text, None, "")
+
+    def seam(text: str) -> bytes:
+        """Ids of a window from one boundary to another."""
+        if not text:
+            return b""
+        key = text[1:]
+        if text[0] == " " and " " not in key and not bordered(key):
+            return looked_up(key)
+        first, *others = cut(text)
+        return b"".join([stretch(first), *[stretch(" " + key) for key in others]])
+
+    def joined(left: tuple, right: tuple) -> tuple:
+        if left[1] is None and right[1] is None:
+            return part(left[0] + right[0])
+        if left[1] is None:
+            head, ids, tail = part(left[0] + right[0])
+            return (head, right[1], right[2]) if ids is None else (head, ids + seam(tail) + right[1], right[2])
+        if right[1] is None:
+            head, ids, tail = part(left[2] + right[0])
+            return (left[0], left[1], head) if ids is None else (left[0], left[1] + seam(head) + ids, tail)
+        return left[0], left[1] + seam(left[2] + right[0]) + right[1], right[2]
+
+    def encode(text: str) -> bytes:
+        head, ids, tail = reduced(0, len(text), LEAF_CHARS, lambda start, end: part(text[start:end]), joined)
+        return seam(head) + (ids or b"") + seam(tail)
 
     def bordered(key: str) -> bool:
         return not key or key[0].isspace() or key[-1].isspace()
@@ -195,13 +243,16 @@ def text_encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], bytes
 
 
 def ids_decoder(ranks: dict[bytes, int]) -> Callable:
-    """Decoder of an array of ids: the tokens' bytes, concatenated."""
+    """Decoder of an array of ids: the tokens' bytes, concatenated up the tree."""
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
 
     def decoded(ids) -> bytes:
-        return b"".join([tokens[i] for i in ids.tolist()])
+        def leaf(start: int, end: int) -> bytes:
+            return b"".join([tokens[i] for i in ids[start:end].tolist()])
+
+        return reduced(0, len(ids), LEAF_IDS, leaf, bytes.__add__)
 
     return decoded
 
