@@ -4,7 +4,9 @@ import hashlib
 import html as entities
 import random
 import re
+from array import array
 
+import numpy
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +136,25 @@ def test_licenses_by_brute_force(spark, docs):
     assert got == expected and {k for _, k, _ in got} == set(range(len(templates)))
 
 
+@pytest.mark.parametrize("leaf", [1, 2, 3, 7, 50])
+def test_bpe_tree_at_any_cut(monkeypatch, leaf):
+    """However small the parts are, the tree gives the ids of the whole text and its bytes back."""
+    tiktoken = pytest.importorskip("tiktoken")
+    public = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(bpe_monoid, "LEAF_CHARS", leaf)
+    monkeypatch.setattr(bpe_monoid, "LEAF_IDS", leaf)
+    ranks = bpe_monoid.read_ranks(public.path(bpe_monoid.VOCABULARY))
+    known = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encode, decode = bpe_monoid.text_encoder(ranks, public.PATTERN), bpe_monoid.ids_decoder(ranks)
+    rnd = random.Random(leaf)
+    parts = ["a", "th", " ", " ", "  ", "\n", "\t", "'s", "é", "中文", "🙂", "12", "#", "\x1c", "\xa0", "word.", "abc" * 40]
+    for _ in range(400):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(60)))
+        ids = array("i", encode(text)).tolist() if text else []
+        assert ids == known.encode_ordinary(text)
+        assert decode(numpy.array(ids, numpy.int32)) == text.encode()
+
+
 def test_bpe_like_the_public_encoder(spark, docs, texts):
     tiktoken = pytest.importorskip("tiktoken")
     public = pytest.importorskip("public_tokenizers")
