@@ -145,7 +145,7 @@ def fit_trigrams(
     """Log-probability of every trigram bucket per language, from about ``sample`` texts each.
 
     The sample is every text whose hash lies below a bound that follows from the number of
-    different texts of the language; copies count once. Labels count by their first two letters.
+    different texts of the language; copies count once. Labels count by ``language_code``.
     """
     small_batches(labelled.sparkSession)
     if not languages:
@@ -223,14 +223,21 @@ def _softmax(scores: Column) -> Column:
     return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
+# Tags that name no language (undetermined, several, uncoded, no linguistic content).
+NO_LANGUAGE = ["und", "mul", "mis", "zxx"]
+
+
 def language_code(value: Column) -> Column:
-    """First two letters in lower case; what does not begin with two letters is no language."""
-    code = F.lower(F.substring(value, 1, 2))
-    return F.when(code.rlike("^[a-z]{2}$"), code)
+    """The language of a tag: its two or three letters before any ``-`` or ``_``, in lower case.
+
+    Anything else (``unknown``, ``english``, ``e1``) names no language.
+    """
+    code = F.regexp_extract(F.lower(F.trim(value)), "^([a-z]{2,3})(?:[-_].*)?$", 1)
+    return F.when(~code.isin("", *NO_LANGUAGE), code)
 
 
 def labelled_languages(labelled: DataFrame, label: str = "lang", text: str = "text") -> list[str]:
-    """All languages of the labels that have a text, in order; by their form at most 676."""
+    """All languages of the labels that have a text, in order; by their form at most 18,252."""
     rows = labelled.where(F.col(text).isNotNull()).select(language_code(F.col(label)).alias("code"))
     return sorted(r["code"] for r in rows.where("code IS NOT NULL").distinct().collect())
 
@@ -334,3 +341,34 @@ def identify_documents(docs: DataFrame, labelled: DataFrame | None = None) -> Da
     languages = labelled_languages(labelled)
     model = fit_trigrams(labelled, languages)
     return identified(docs, model, languages, declared=F.col("lang"), host=F.col("source"))
+
+
+# Markup, scripts, styles and comments; character references stand for a space.
+MARKUP = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>|&[#0-9a-z]+;"
+DECLARED = r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?\s*([a-z]{2,3}(?:[-_][a-z0-9]+)*)"""
+HOST = r"://(?:[^/?#]*@)?([^/?#:]*)"
+
+
+def identify_pages(
+    pages: DataFrame, labelled: DataFrame, url: str = "url", html: str = "html", min_posterior: float = MIN_POSTERIOR
+) -> DataFrame:
+    """``pages`` with declared, host, language, posterior and kept (columns of these names are replaced).
+
+    All four kinds of evidence speak: the text between the markup, the language that the markup
+    declares, the suffix of the host and the host's prior, smoothed by its domain and all pages.
+    The trigrams come from ``labelled`` (text, lang). A page without url has no host: it leans on
+    all pages. Null html is empty: not kept.
+    """
+    languages = labelled_languages(labelled)
+    model = fit_trigrams(labelled, languages)
+    kept = [c for c in pages.columns if c not in ("declared", "host", "language", "posterior", "kept", "__page")]
+    rows = pages.select(
+        *[F.col(f"`{c}`") for c in kept],
+        F.nullif(F.regexp_extract(F.col(f"`{html}`"), DECLARED, 1), F.lit("")).alias("declared"),
+        F.nullif(F.lower(F.regexp_extract(F.col(f"`{url}`"), HOST, 1)), F.lit("")).alias("host"),
+        F.trim(F.regexp_replace(F.regexp_replace(F.col(f"`{html}`"), MARKUP, " "), r"\s+", " ")).alias("__page"),
+    )
+    judged = identified(
+        rows, model, languages, text="__page", declared=F.col("declared"), host=F.col("host"), min_posterior=min_posterior
+    )
+    return judged.drop("__page")

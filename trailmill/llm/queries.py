@@ -209,6 +209,14 @@ def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_fusion.identify_documents(docs).select("doc_id", "language", "posterior", "kept")
 
 
+@query()
+def op8_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    labelled = table(spark, sf_dir, "documents").select("text", "lang")
+    judged = language_fusion.identify_pages(pages, labelled)
+    return judged.select("page_id", "declared", "host", "language", "posterior", "kept")
+
+
 @query()
 def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
