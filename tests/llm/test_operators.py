@@ -567,6 +567,35 @@ def test_foreign_and_junk_texts_are_refused(spark):
     assert all(r.kept and r.language == r.lang for r in both)
 
 
+def test_languages_of_pages(spark):
+    """Text outweighs a wrong declaration; where the text says little, markup, suffix and host do."""
+    rows, _ = _languages()
+    labelled = _documents(spark, [*rows, (500, rows[0][1], "unknown", "s", 0), (501, rows[1][1], "und", "s", 0)])
+    assert language_fusion.labelled_languages(labelled) == ["de", "en"]
+    page = '<!DOCTYPE html><html class="x"{0}><style>p {{ the: and }}</style><body><p class="river old walls">{1}</p></body></html>'
+    german, english = rows[1][1], rows[0][1]
+    pages = [
+        (1, "http://a.example.com/x", page.format(' lang="en"', german)),
+        (2, "http://a.example.com/x", page.format(" lang='de-AT'", "a")),
+        (3, "http://kurz.de/x", page.format("", "a")),
+        *[(10 + i, f"http://www.blog.org/{i}", page.format("", rows[2 * i + 1][1])) for i in range(20)],
+        (4, "https://user@WWW.blog.org:80?q", page.format("", "a")),
+        (5, None, page.format(' lang="en"', english * 500)),
+        (6, "no url", None),
+        (7, "http://a.example.com/", ""),
+        (8, "http://a.example.com/", "<script>" + english + "</script><!-- " + english + " -->"),
+    ]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    clash = table.withColumns({"language": F.lit("xx"), "kept": F.lit(1), "host": F.lit(0), "__page": F.lit("")})
+    judged = language_fusion.identify_pages(clash, labelled)
+    assert sorted(judged.columns) == sorted(["page_id", "url", "html", "declared", "host", "language", "posterior", "kept"])
+    got = {r.page_id: r for r in judged.collect()}
+    assert [got[i].language for i in (1, 2, 3, 4, 5)] == ["de", "de", "de", "de", "en"]
+    assert all(got[i].kept for i in (1, 2, 3, 4, 5)) and not any(got[i].kept for i in (6, 7, 8))
+    assert got[4].host == "www.blog.org" and got[2].declared == "de-AT" and got[3].declared is None
+    assert language_fusion.identify_pages(table.limit(0), labelled).count() == 0
+
+
 def test_pipeline_by_brute_force(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     rows, odd = _languages()
