@@ -607,3 +607,39 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     _documents(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {r[0] for r in rows}
+
+
+CLASHING = "language posterior kept __host __row __number __key __live __gone __t1 __leak __text c0 id a.b Kept2".split()
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_of_any_column_names(spark, tmp_path, name, stage):
+    """Other columns of any name go through a stage unchanged; null rows and no rows are no error."""
+    pytest.importorskip("public_tokenizers")
+    rows, _ = _languages()
+    item = " ".join(random.Random(3).sample(ENGLISH, 18))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = _documents(spark, [*rows[:30], *[(None,) * 5] * 2, (900, _secret("aB3" * 9), "en", "src1", 0)])
+    usual = stage(spark, plain, str(tmp_path))
+    mark = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    wide = plain.select("*", *[F.concat(F.lit(c + "="), mark).alias(c) for c in CLASHING])
+    got = stage(spark, wide, str(tmp_path))
+    key = lambda row: str([row[c] for c in usual.columns])
+    kept = got.collect()
+    assert sorted(map(key, kept)) == sorted(map(key, usual.collect()))
+    if name != "tokens":
+        assert got.columns == wide.columns
+        for row in kept:
+            of = "none" if row.doc_id is None else row.doc_id
+            assert [row[len(plain.columns) + i] for i in range(len(CLASHING))] == [f"{c}={of}" for c in CLASHING]
+    assert stage(spark, wide.limit(0), str(tmp_path)).count() == 0
+
+
+def test_languages_replace_columns_of_their_names(spark):
+    rows, _ = _languages()
+    plain = _documents(spark, rows[:40])
+    clash = plain.withColumns({c: F.lit("x") for c in ["Language", "posterior", "kept", "__host", "__prior", "a.b"]})
+    usual = language_fusion.identify_documents(plain)
+    judged = language_fusion.identify_documents(clash)
+    assert judged.columns == [*plain.columns, "__host", "__prior", "a.b", "language", "posterior", "kept"]
+    assert sorted(judged.select(usual.columns).collect()) == sorted(usual.collect())

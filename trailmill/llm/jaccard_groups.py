@@ -441,5 +441,5 @@ def one_of_each(
     )
     gone = written(gone.distinct(), "gone")
     t1, t2 = _text_hash(text)
-    key = F.col(f"`{doc_id}`").eqNullSafe(F.col("__gone")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2"))
+    key = F.col(f"`{doc_id}`").eqNullSafe(gone["__gone"]) & (t1 == gone["__t1"]) & (t2 == gone["__t2"])
     return docs.join(gone, key, "left_anti")

@@ -286,17 +286,20 @@ def host_priors(scored: DataFrame, languages: list[str]) -> DataFrame:
     return joined.select("__host", F.array(*[F.log(p) for p in host]).alias("__prior"))
 
 
-def identified(
+OUTCOMES = ("language", "posterior", "kept")
+
+
+def _fused(
     docs: DataFrame,
     model: Model,
     languages: list[str],
-    text: str = "text",
-    declared: Column | None = None,
-    host: Column | None = None,
-    suffix: Column | None = None,
-    min_posterior: float = MIN_POSTERIOR,
+    text: str,
+    declared: Column | None,
+    host: Column | None,
+    suffix: Column | None,
+    min_posterior: float,
 ) -> DataFrame:
-    """``docs`` with ``language``, ``posterior`` and ``kept``.
+    """The columns of ``docs`` as c0, c1, ... and OUTCOMES, so that no name of theirs can clash.
 
     The text is scored twice, once for the priors and once for the verdict, instead of being
     shuffled between the two.
@@ -310,15 +313,17 @@ def identified(
     labels = F.split(host, r"\.")
     domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
 
-    rows = docs.withColumns({"__claims": claims, "__host": host, "__domain": domain})
-    narrow = rows.select("__claims", "__host", "__domain", F.col(f"`{text}`").alias("text"))
+    given = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*given, claims.alias("__claims"), host.alias("__host"), domain.alias("__domain"))
+    body = f"c{docs.columns.index(text)}"
+    narrow = rows.select("__claims", "__host", "__domain", F.col(body).alias("text"))
     scored = (
         with_text_evidence(narrow, model)
         .where("__letters")
         .select("__host", "__domain", _softmax(_sum(F.col("__text"), F.col("__claims"))).alias("__soft"))
     )
     priors = written(host_priors(scored, languages), "priors")
-    whole = left_join_unique(with_text_evidence(rows, model, text), priors, "__host")
+    whole = left_join_unique(with_text_evidence(rows, model, body), priors, "__host")
     even = F.array(*[F.lit(0.0) for _ in [*languages, None]])
     fused = whole.withColumn(
         "__fused", _softmax(_sum(F.col("__text"), F.col("__claims"), F.coalesce("__prior", even)))
@@ -327,20 +332,45 @@ def identified(
     names = F.array(*[F.lit(name) for name in languages], none)
     language = F.get(names, (F.array_position("__fused", best) - 1).cast("int"))
     known = F.col("__letters") & (best >= min_posterior) & language.isNotNull()
+    found = (F.when(F.col("__letters"), language), best, known)
     return fused.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col("__letters"), language).alias("language"),
-        best.alias("posterior"),
-        known.alias("kept"),
+        *[f"c{i}" for i in range(len(given))],
+        *[value.alias(name) for value, name in zip(found, OUTCOMES, strict=True)],
     )
 
 
-def identify_documents(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """Documents with language, posterior and verdict; ``lang`` is their declared language."""
+def identified(
+    docs: DataFrame,
+    model: Model,
+    languages: list[str],
+    text: str = "text",
+    declared: Column | None = None,
+    host: Column | None = None,
+    suffix: Column | None = None,
+    min_posterior: float = MIN_POSTERIOR,
+) -> DataFrame:
+    """``docs`` with ``language``, ``posterior`` and ``kept``; columns of these names are replaced."""
+    fused = _fused(docs, model, languages, text, declared, host, suffix, min_posterior)
+    stay = [(i, c) for i, c in enumerate(docs.columns) if c.lower() not in OUTCOMES]
+    return fused.select(*[F.col(f"c{i}").alias(c) for i, c in stay], *OUTCOMES)
+
+
+def _evidence(docs: DataFrame, labelled: DataFrame | None) -> dict:
     labelled = docs if labelled is None else labelled
     languages = labelled_languages(labelled)
     model = fit_trigrams(labelled, languages)
-    return identified(docs, model, languages, declared=F.col("lang"), host=F.col("source"))
+    return {"model": model, "languages": languages, "declared": F.col("lang"), "host": F.col("source")}
+
+
+def identify_documents(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """Documents with language, posterior and verdict; ``lang`` is their declared language."""
+    return identified(docs, **_evidence(docs, labelled))
+
+
+def of_known_language(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """Documents that ``identify_documents`` keeps, with all their columns, whatever their names."""
+    fused = _fused(docs, text="text", suffix=None, min_posterior=MIN_POSTERIOR, **_evidence(docs, labelled))
+    return fused.where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 # Markup, scripts, styles and comments; character references stand for a space.

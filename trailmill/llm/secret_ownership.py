@@ -229,9 +229,12 @@ def redact_secrets(
 
     Only values are cut out: the name before an assigned value stays. Overlapping spans become
     one mark. Null text stays null. Rows are told apart by a number of their own, so ``key`` may be
-    null or repeat.
+    null or repeat. Other columns may have any name.
     """
-    numbered = written(docs.withColumn("__number", F.monotonically_increasing_id()), "numbered")
+    short = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    text, owner, repository = short[text], short[owner], short[repository]
+    rows = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in short.items()])
+    numbered = written(rows.withColumn("__number", F.monotonically_increasing_id()), "numbered")
     found = searched(numbered, text, owner, repository, [F.col("__number").alias("__key")])
     generic = written(
         found.where(F.size("__generic") > 0).withColumn("__base", F.array().cast(SPAN)), "generic"
@@ -281,4 +284,4 @@ def redact_secrets(
     rest = lambda s: F.concat(s["out"], F.substring(s["text"], s["at"] + 1, F.length(s["text"])))
     cut = held.withColumn("__cuts", cuts)
     clean = F.when(F.size("__cuts") > 0, F.aggregate("__cuts", start, step, rest)).otherwise(F.col(text))
-    return cut.withColumn(text, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return cut.withColumn(text, clean).select(*[F.col(name).alias(c) for c, name in short.items()])

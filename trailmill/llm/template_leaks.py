@@ -372,5 +372,5 @@ def without_leaks(
     """
     row = F.xxhash64(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), F.col(f"`{text}`"))
     rows = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"))
-    leaks = find_leaks(rows, items, "row").select(F.col("row").alias("__leak"))
-    return docs.join(leaks.distinct(), row == F.col("__leak"), "left_anti")
+    leaks = find_leaks(rows, items, "row").select(F.col("row").alias("__leak")).distinct()
+    return docs.join(leaks, row == leaks["__leak"], "left_anti")
