@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trailmill.llm.bpe_monoid import token_digests
 from trailmill.llm.jaccard_groups import one_of_each
-from trailmill.llm.language_fusion import identify_documents
+from trailmill.llm.language_fusion import of_known_language
 from trailmill.llm.secret_ownership import redact_secrets
 from trailmill.llm.template_leaks import without_leaks
 from trailmill.session import written
@@ -14,7 +14,7 @@ from trailmill.session import written
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known stay."""
-    return identify_documents(docs).where("kept").select(*docs.columns)
+    return of_known_language(docs)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
