@@ -206,6 +206,30 @@ def test_one_of_each_component_stays(docs, texts):
     assert jaccard_groups.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_a_pair_is_made_once_not_for_every_shared_shingle(spark):
+    """Long texts of one family, some of their words replaced: some pairs link, most nearly do."""
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(1500)]
+    rows = []
+    for i in range(24):
+        words = list(base)
+        for _ in range(10 * (i % 6) + 5):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    join = jaccard_groups._Join(docs, 3, 90, 100)
+    join.index()
+    alone = join.members.select("cid", "gid", F.col("cid").alias("comp"))
+    name = {r.cid: r.rep for r in join.classes.collect()}
+    pairs = [tuple(sorted((name[r.a], name[r.b]))) for r in join.remaining(alone).collect()]
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (t.split() for _, t in rows)]
+    likeness = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(24) for a in range(b)}
+    linked = {pair for pair, x in likeness.items() if x >= 0.9}
+    assert linked and linked <= set(pairs)
+    assert len(pairs) <= 1.1 * len(set(pairs))
+    assert all(likeness[pair] > 0.8 for pair in pairs)
+
+
 def test_other_text_of_a_repeated_id_stays(spark):
     """Rows of one id with different texts, rows without id, and rows equal in both."""
     rnd = random.Random(7)

@@ -15,7 +15,8 @@ Only components are asked for, so a crowded group needs no pairs of all its memb
 rounds every node of a shared prefix shingle is verified against one node of another component,
 the likeliest by bitmap. What then remains are pairs of members in different components that
 still share a prefix shingle; all of these are checked. So no link is lost, and copies in
-thousands cost one verification each, not one per pair.
+thousands cost one verification each, not one per pair. A pair is made once, not for every shingle
+that it shares, and only where bitmaps of up to 1024 bits allow a link.
 
 Hashes have 64 bits; classes are told apart by 128. Null and empty texts have no shingles and
 link with nothing. Repeated rows fall into one class and each keep their result row.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmill.llm.batches import small_batches, tidy
@@ -37,7 +38,11 @@ from trailmill.operators.joins import fits_broadcast, left_join_unique
 from trailmill.session import discard, written
 
 BITMAP_WORDS = 4
-ROUNDS = 2
+# at least two rounds; more, up to ROUNDS, while one in WORTH of the pairs tried links
+ROUNDS = 4
+WORTH = 2
+# a pair is made again where so many prefix shingles follow its last shared one
+EARLIER = 8
 MAX_BROADCAST_IDS = 200_000
 
 
@@ -152,13 +157,21 @@ def _near(a: str, b: str, num: int, den: int) -> Column:
     )
 
 
-def _apart(a: str, b: str) -> Column:
+def _apart(a: str, b: str, name: str = "bits", words: int = BITMAP_WORDS) -> Column:
+    """Bits in which two bitmaps differ; null where one is empty."""
     total = F.lit(0)
-    for i in range(BITMAP_WORDS):
-        total = total + F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i]))
+    for i in range(words):
+        total = total + F.bit_count(F.get(f"{a}.{name}", F.lit(i)).bitwiseXOR(F.get(f"{b}.{name}", F.lit(i))))
     return total
 
 
+def _nearer(a: str, b: str, num: int, den: int) -> Column:
+    """As ``_near``, by the middle bitmaps too where both sets have one."""
+    apart = _apart(a, b, "middle", MIDDLE_BITS // 64)
+    room = (den - num) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    return _near(a, b, num, den) & F.coalesce((num + den) * apart <= room, F.lit(True))
+
+
 class _Join:
     def __init__(self, docs: DataFrame, width: int, num: int, den: int):
         small_batches(docs.sparkSession)
@@ -194,7 +207,7 @@ class _Join:
         sets = written(self.sets_of(found, self.classes), "prefixes")
         left = written(self.unsettled(sets), "unsettled")
         bitmaps = written(left.drop("low", "more", "size"), "bitmaps")
-        self.nodes = bitmaps.select("cid", "n", "bits")
+        self.nodes = bitmaps.select("cid", "n", "bits", "middle")
         self.wider = [
             bitmaps.where(F.size(name) > 0).select("cid", "n", F.col(name).alias("wide"))
             for name in ("middle", "wide")
@@ -301,15 +314,23 @@ class _Join:
         """One class for every component in every group."""
         return comps.groupBy("gid", "comp").agg(F.min("cid").alias("cid"))
 
-    def proposed(self, units: DataFrame) -> DataFrame:
-        """For every unit the likeliest node of another component with a shared prefix shingle."""
+    def proposed(self, units: DataFrame, turn: int) -> DataFrame:
+        """For every unit the likeliest node of another component with a shared prefix shingle.
+
+        Of every shingle one holder, drawn anew each turn, is proposed to all others: so large
+        components, which have many holders, soon meet what belongs to them.
+        """
         held = self.shared.select("token", "gid").join(units, "gid")
+        node = F.struct("comp", "cid")
+        drawn = F.struct(F.xxhash64(F.lit(turn), "cid").alias("draw"), "comp", "cid")
         ends = (
             held.groupBy("token")
-            .agg(F.min(F.struct("comp", "cid")).alias("lo"), F.max(F.struct("comp", "cid")).alias("hi"))
+            .agg(F.min(node).alias("lo"), F.max(node).alias("hi"), F.min(drawn).alias("one"))
             .where("lo.comp <> hi.comp")
         )
-        other = F.when(F.col("comp") != F.col("lo.comp"), F.col("lo.cid")).otherwise(F.col("hi.cid"))
+        other = F.col("lo.cid")
+        for end in ("hi", "one"):
+            other = F.when(F.col("comp") != F.col(f"{end}.comp"), F.col(f"{end}.cid")).otherwise(other)
         pairs = held.join(ends, "token").select(F.col("cid").alias("a"), other.alias("b")).distinct()
         return self.likeliest(pairs)
 
@@ -325,7 +346,12 @@ class _Join:
         )
 
     def remaining(self, comps: DataFrame) -> DataFrame:
-        """All pairs of members in different components that may still link."""
+        """All pairs of members in different components that may still link.
+
+        A pair is made at the first prefix shingle that both share: a later one knows those just
+        before it in either prefix, and makes no pair where they have one in common. The first one
+        has none before it, so no pair is lost; one far behind its last shared shingle may come again.
+        """
         span = comps.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         mixed_tokens = (
             self.shared.join(span, "gid")
@@ -334,29 +360,34 @@ class _Join:
             .where("lo <> hi")
             .select("token")
         )
-        within = (
-            comps.alias("x")
-            .join(comps.alias("y"), (F.col("x.gid") == F.col("y.gid")) & (F.col("x.cid") < F.col("y.cid")))
-            .where("x.comp <> y.comp")
-            .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-        )
         left = written(self.shared.join(mixed_tokens, "token"), "left")
-        members = comps.join(self.nodes.select("cid", "bits"), "cid")
-        held = left.join(members, "gid")
+        members = comps.join(self.nodes.drop("n"), "cid")
+        # bitmaps go only with members that may make a pair
+        several = comps.join(span.where("lo <> hi").select("gid"), "gid", "left_semi")
+        inside = several.join(self.nodes, "cid")
+        x, y = inside.alias("x"), inside.alias("y")
+        within = x.join(
+            y,
+            (F.col("x.gid") == F.col("y.gid"))
+            & (F.col("x.cid") < F.col("y.cid"))
+            & (F.col("x.comp") != F.col("y.comp"))
+            & _nearer("x", "y", self.num, self.den),
+        ).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+        earlier = Window.partitionBy("gid").orderBy("pos").rowsBetween(-EARLIER, -1)
+        held = left.withColumn("before", F.collect_list("token").over(earlier)).join(members, "gid")
         x, y = held.alias("x"), held.alias("y")
         room = (self.num + self.den) * (F.col("x.pos") + F.col("y.pos")) <= (self.den - self.num) * (
             F.col("x.n") + F.col("y.n")
         )
-        across = (
-            x.join(
-                y,
-                (F.col("x.token") == F.col("y.token"))
-                & (F.col("x.cid") < F.col("y.cid"))
-                & (F.col("x.comp") != F.col("y.comp"))
-                & room
-                & _near("x", "y", self.num, self.den),
-            ).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-        )
+        across = x.join(
+            y,
+            (F.col("x.token") == F.col("y.token"))
+            & (F.col("x.cid") < F.col("y.cid"))
+            & (F.col("x.comp") != F.col("y.comp"))
+            & room
+            & _nearer("x", "y", self.num, self.den)
+            & ~F.arrays_overlap("x.before", "y.before"),
+        ).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
         return within.union(across)
 
     def labelled(self, links: DataFrame) -> DataFrame:
@@ -375,16 +406,19 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, doc_id: str, text:
     join = _Join(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, num, den)
     join.index()
     inside = join.members.where("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
-    single = join.members.select("cid", "gid", F.col("cid").alias("comp"))
     heads = join.members.where("cid = gid").select("gid", F.col("gid").alias("comp"), "cid")
-    links = join.verified(join.proposed(heads).union(join.likeliest(inside)))
-    comps = single
-    for _ in range(ROUNDS - 1):
+    links = join.verified(join.proposed(heads, 0).union(join.likeliest(inside)))
+    # clusters meet in a few rounds; where many pairs link, one more saves far more pairs at the end
+    for turn in range(1, ROUNDS):
         comps = join.labelled(links)
-        more = join.verified(join.proposed(join.units(comps)))
-        if more.isEmpty():
+        pairs = written(join.proposed(join.units(comps), turn), "proposed")
+        more = join.verified(pairs)
+        found, tried = more.count(), pairs.count()
+        if not found:
             break
         links = links.union(more)
+        if found * WORTH < tried:
+            break
     comps = join.labelled(links)
     last = join.verified(join.remaining(comps))
     if not last.isEmpty():
