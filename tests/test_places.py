@@ -236,6 +236,26 @@ def test_rolled_files_hold_exactly_so_many(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "none")).count() == 0
 
 
+def test_one_file_is_written_in_order_without_a_sort_in_its_task(spark, tmp_path):
+    from trailmill.plans import sinks
+    from trailmill.session import discard, written
+
+    frame = spark.range(50_000).selectExpr("(id * 7919) % 50000 AS k", "id", "'x' || id AS `a.b`").repartition(9)
+    sinks.write_rolled(frame, str(tmp_path / "one"), ["k"], drop=["id"])
+    (file,) = (tmp_path / "one").glob("*.parquet")
+    got = spark.read.parquet(str(file)).collect()
+    assert [r.k for r in got] == list(range(50_000)) and got[0].asDict().keys() == {"k", "a.b"}
+    sinks.write_rolled(frame.limit(0), str(tmp_path / "none"), ["k"])
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+    # more files than ten, and numbers that do not sort as texts
+    stored = written(frame.repartitionByRange(12, "k").sortWithinPartitions("k"), "shares")
+    whole = sinks._one_after_another(stored)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert whole.rdd.getNumPartitions() == 1 and "Sort" not in plan and "Exchange" not in plan
+    assert [r.k for r in whole.collect()] == list(range(50_000))
+    discard(stored)
+
+
 def test_folded_values(spark):
     from trailmill.operators.folding import fold_rare
 
