@@ -230,6 +230,35 @@ def test_a_pair_is_made_once_not_for_every_shared_shingle(spark):
     assert all(likeness[pair] > 0.8 for pair in pairs)
 
 
+def test_links_between_two_components_are_walked_once(spark, monkeypatch):
+    """Families of near copies that only the last step may join: one edge for many links."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # no round sees a pair of the families by chance: half of the classes each
+    def halves(self, units, turn):
+        x, y = units.alias("x"), units.alias("y")
+        pairs = x.join(y, (F.col("x.cid") < F.col("y.cid")) & (F.col("x.cid") % 2 == F.col("y.cid") % 2))
+        return pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+
+    walked, known = [], jaccard_groups.components
+
+    def counted(edges):
+        walked.append(edges.where("a <> b").distinct().count())
+        return known(edges)
+
+    monkeypatch.setattr(jaccard_groups._Join, "proposed", halves)
+    monkeypatch.setattr(jaccard_groups, "components", counted)
+    found = jaccard_groups.jaccard_components(docs, 3, 90, 100).collect()
+    assert {r.component_id for r in found} == {0}
+    assert len(walked) > 1 and walked[-1] <= 10
+
+
 def test_other_text_of_a_repeated_id_stays(spark):
     """Rows of one id with different texts, rows without id, and rows equal in both."""
     rnd = random.Random(7)

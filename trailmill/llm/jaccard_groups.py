@@ -13,7 +13,8 @@
 
 Only components are asked for, so a crowded group needs no pairs of all its members. For a few
 rounds every node of a shared prefix shingle is verified against one node of another component,
-the likeliest by bitmap. What then remains are pairs of members in different components that
+the likeliest by bitmap among a few holders drawn of each of its shingles. The components of each
+round's links are walked as one node each in the next. What then remains are pairs of members in different components that
 still share a prefix shingle; all of these are checked. So no link is lost, and copies in
 thousands cost one verification each, not one per pair. A pair is made once, not for every shingle
 that it shares, and only where bitmaps of up to 1024 bits allow a link.
@@ -39,8 +40,10 @@ from trailmill.session import discard, written
 
 BITMAP_WORDS = 4
 # at least two rounds; more, up to ROUNDS, while one in WORTH of the pairs tried links
-ROUNDS = 4
+ROUNDS = 3
 WORTH = 2
+# holders of a shingle that a round proposes to all others
+DRAWS = 3
 # a pair is made again where so many prefix shingles follow its last shared one
 EARLIER = 8
 MAX_BROADCAST_IDS = 200_000
@@ -208,10 +211,7 @@ class _Join:
         left = written(self.unsettled(sets), "unsettled")
         bitmaps = written(left.drop("low", "more", "size"), "bitmaps")
         self.nodes = bitmaps.select("cid", "n", "bits", "middle")
-        self.wider = [
-            bitmaps.where(F.size(name) > 0).select("cid", "n", F.col(name).alias("wide"))
-            for name in ("middle", "wide")
-        ]
+        self.wider = bitmaps.where(F.size("middle") > 0).select("cid", "n", "middle", "wide")
         prefixes = written(self.prefixes(left), "tokens")
         discard(sets, left)
         # a prefix with a shingle of its own equals no other prefix
@@ -275,11 +275,7 @@ class _Join:
         ).where(F.size("tokens") > 0)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that link."""
-        pairs = pairs.select("a", "b").distinct()
-        for bitmaps in self.wider:
-            before, pairs = pairs, written(self.sifted(pairs, bitmaps), "pairs")
-            discard(before)
+        """The pairs (a, b) of classes that link, of a table of ``sifted``, which goes."""
         needed = pairs.select("a").union(pairs.select("b")).distinct()
         classes = written(self.classes.join(needed, F.col("cid") == F.col("a"), "left_semi"), "needed")
         ids = classes.select(F.col("rep").alias("id")).distinct()
@@ -298,17 +294,21 @@ class _Join:
         discard(pairs, classes, sets)
         return links
 
-    def sifted(self, pairs: DataFrame, wide: DataFrame) -> DataFrame:
-        """``pairs`` without those of large sets that bitmaps of the same width tell apart."""
-        one = wide.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
-        two = wide.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
-        unlike = F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-        apart = F.aggregate(unlike, F.lit(0), lambda total, x: total + x)
-        far = (F.size("wa") == F.size("wb")) & (
-            (self.num + self.den) * apart > (self.den - self.num) * (F.col("na") + F.col("nb"))
+    def sifted(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` once each, without those of large sets that bitmaps of the same width tell apart."""
+        one, two = (
+            self.wider.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "middle", "wide")])
+            for x in "ab"
         )
-        held = pairs.join(two, "b", "left").join(one, "a", "left")
-        return held.where(~F.coalesce(far, F.lit(False))).select("a", "b")
+        far = F.lit(False)
+        for name in ("middle", "wide"):
+            x, y = F.col(f"{name}_a"), F.col(f"{name}_b")
+            unlike = F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseXOR(w)))
+            apart = F.aggregate(unlike, F.lit(0), lambda total, v: total + v)
+            room = (self.den - self.num) * (F.col("n_a") + F.col("n_b"))
+            far = far | F.coalesce((F.size(x) == F.size(y)) & ((self.num + self.den) * apart > room), F.lit(False))
+        held = pairs.select("a", "b").distinct().join(two, "b", "left").join(one, "a", "left")
+        return written(held.where(~far).select("a", "b"), "pairs")
 
     def units(self, comps: DataFrame) -> DataFrame:
         """One class for every component in every group."""
@@ -317,22 +317,26 @@ class _Join:
     def proposed(self, units: DataFrame, turn: int) -> DataFrame:
         """For every unit the likeliest node of another component with a shared prefix shingle.
 
-        Of every shingle one holder, drawn anew each turn, is proposed to all others: so large
-        components, which have many holders, soon meet what belongs to them.
+        Of every shingle a few holders, drawn anew for it and each turn, are proposed to all others:
+        so a unit chooses among many nodes, and large components, which have many holders, soon meet
+        what belongs to them.
         """
         held = self.shared.select("token", "gid").join(units, "gid")
         node = F.struct("comp", "cid")
-        drawn = F.struct(F.xxhash64(F.lit(turn), "cid").alias("draw"), "comp", "cid")
+        drawn = [
+            F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(i), "token", "cid").alias("draw"), "comp", "cid"))
+            for i in range(DRAWS)
+        ]
         ends = (
             held.groupBy("token")
-            .agg(F.min(node).alias("lo"), F.max(node).alias("hi"), F.min(drawn).alias("one"))
+            .agg(F.min(node).alias("lo"), F.max(node).alias("hi"), F.array(*drawn).alias("drawn"))
             .where("lo.comp <> hi.comp")
         )
-        other = F.col("lo.cid")
-        for end in ("hi", "one"):
-            other = F.when(F.col("comp") != F.col(f"{end}.comp"), F.col(f"{end}.cid")).otherwise(other)
-        pairs = held.join(ends, "token").select(F.col("cid").alias("a"), other.alias("b")).distinct()
-        return self.likeliest(pairs)
+        others = F.array_distinct(F.filter("drawn", lambda x: x["comp"] != F.col("comp"))["cid"])
+        end = F.when(F.col("comp") != F.col("hi.comp"), F.col("hi.cid")).otherwise(F.col("lo.cid"))
+        others = F.when(F.size(others) > 0, others).otherwise(F.array(end))
+        pairs = held.join(ends, "token").select(F.col("cid").alias("a"), F.explode(others).alias("b"))
+        return self.likeliest(pairs.distinct())
 
     def likeliest(self, pairs: DataFrame) -> DataFrame:
         one, two = self.nodes.alias("x"), self.nodes.alias("y")
@@ -390,12 +394,18 @@ class _Join:
         ).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
         return within.union(across)
 
-    def labelled(self, links: DataFrame) -> DataFrame:
-        """(cid, gid, comp) of every class under ``links``."""
-        comps = components(links)
+    def merged(self, comps: DataFrame, links: DataFrame) -> DataFrame:
+        """(cid, gid, comp) of every class after ``links``, which join components of ``comps``.
+
+        Only the links' components are walked, each pair of them once, however many links it has.
+        """
+        a = comps.select(F.col("cid").alias("a"), F.col("comp").alias("from"))
+        b = comps.select(F.col("cid").alias("b"), F.col("comp").alias("to"))
+        ends = links.join(a, "a").join(b, "b").select(F.col("from").alias("a"), F.col("to").alias("b"))
+        found = components(ends).withColumnRenamed("comp", "least")
         return written(
-            self.members.join(comps, F.col("cid") == F.col("node"), "left").select(
-                "cid", "gid", F.coalesce("comp", "cid").alias("comp")
+            comps.join(found, F.col("comp") == F.col("node"), "left").select(
+                "cid", "gid", F.coalesce("least", "comp").alias("comp")
             ),
             "comps",
         )
@@ -407,22 +417,21 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, doc_id: str, text:
     join.index()
     inside = join.members.where("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
     heads = join.members.where("cid = gid").select("gid", F.col("gid").alias("comp"), "cid")
-    links = join.verified(join.proposed(heads, 0).union(join.likeliest(inside)))
-    # clusters meet in a few rounds; where many pairs link, one more saves far more pairs at the end
+    links = join.verified(join.sifted(join.proposed(heads, 0).union(join.likeliest(inside))))
+    comps = join.merged(join.members.withColumn("comp", F.col("cid")), links)
+    # clusters meet in a few rounds; while pairs link, one more saves far more pairs at the end
     for turn in range(1, ROUNDS):
-        comps = join.labelled(links)
-        pairs = written(join.proposed(join.units(comps), turn), "proposed")
-        more = join.verified(pairs)
-        found, tried = more.count(), pairs.count()
-        if not found:
-            break
-        links = links.union(more)
-        if found * WORTH < tried:
+        pairs = join.sifted(join.proposed(join.units(comps), turn))
+        tried = pairs.count()
+        links = join.verified(pairs)
+        found = links.count()
+        if found:
+            comps = join.merged(comps, links)
+        if not found or found * WORTH < tried:
             break
-    comps = join.labelled(links)
-    last = join.verified(join.remaining(comps))
+    last = join.verified(join.sifted(join.remaining(comps)))
     if not last.isEmpty():
-        comps = join.labelled(links.union(last))
+        comps = join.merged(comps, last)
     named = join.classes.join(comps, "cid")
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     table = named.join(least, "comp").select("sig", "comp", "component_id", F.col("rep").alias("class_id"))
