@@ -554,6 +554,34 @@ def test_tables_of_numbers_stay_linear(spark):
     assert template_leaks._met(*runs).count() < 500
 
 
+def test_windows_of_many_texts_are_hashed_together(monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    words = "the of and River stone Bridge Anna Bell 12 40 km 3km walk. old Old: 7ft $5 «A» --".split()
+    texts = [None, "", " ", "3km", *(" ".join(rnd.choices(words, k=rnd.randrange(60))) for _ in range(400))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], list("irt"))
+    calls, hashes = [], template_leaks.window_hashes
+    monkeypatch.setattr(template_leaks, "window_hashes", lambda *a: calls.append(1) or hashes(*a))
+
+    def found(widths, size):
+        monkeypatch.setattr(template_leaks, "PIECE", size)
+        calls.clear()
+        (out,) = template_leaks._found(widths, None)(iter([batch]))
+        return sorted(map(repr, out.to_pylist())), len(calls)
+
+    for widths in (None, [5, 8]):
+        whole, few = found(widths, 1 << 18)
+        single, many = found(widths, 1)  # a text at a time
+        assert whole == single and len(whole) > 1000 and few <= 8 < many
+    codes_of = template_leaks.word_codes()
+    for row, (text, width) in enumerate((t, 8) for t in texts):
+        for reading, codes, values, starts in codes_of(text or "")[0]:
+            assert len(starts) == len(codes) + 1 == len(values) + 1
+            held = sum(f"'row': {row}, 'reading': {reading}, " in r and f"'width': {width}," in r for r in whole)
+            assert held <= max(0, len(codes) - width + 1)
+
+
 @pytest.mark.parametrize("words", [["red", "7", "blue"], "the of and river stone bridge Anna 12 40 km walk old".split()])
 def test_leaks_by_brute_force(spark, words):
     """Every copy of an item is found; whatever is found shares windows with the item."""

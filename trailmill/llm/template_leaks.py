@@ -35,6 +35,7 @@ rows equal in both are reported once. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,7 @@ MIN_COVERED = 0.5
 DRIFT = 4
 BITS = 1 << 24
 MEMO_ENTRIES = 150_000
+PIECE = 1 << 18  # characters of texts that are read at once
 # Unit words.
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hour hours minute minutes second "
@@ -65,11 +67,12 @@ GLUED = 3  # kind of a single word; names are told by their place
 BOTH, PLAIN, NAMED = 0, 1, 2  # readings; BOTH: the two are the same
 
 
-def word_codes():
-    """A function from words to [(reading, codes, values, starts)] and the number of words.
+def text_codes():
+    """A function from texts to the codes of their readings and the number of words of each text.
 
-    Codes are template words, values those of slots (0: no slot), starts the first word of each
-    code, with the number of words at the end.
+    A reading is (text, reading, codes, values, starts), one entry per code, text after text; a text
+    whose two readings are the same is in the first only, as BOTH. Codes are template words, values
+    those of slots (0: no slot), starts the word of its text at which a code begins.
     """
     import re
 
@@ -85,47 +88,57 @@ def word_codes():
         """Hash of the bare word; its low bits are 1 capitalised, 2 ends a sentence, 4 x kind."""
 
         def __missing__(self, word: str) -> int:
-            bare = word.strip(".,;:!?\"'()[]{}«»“”‘’|*#&")
-            low = bare.lower()
-            kind = NUMBER if number(bare) else UNIT if low in UNITS else 0
-            flags = (1 if bare[:1].isupper() else 0) | (2 if word[-1:] in ".!?:" else 0)
-            parts = glued(low)
-            if parts and parts[2] in UNITS:
-                kind = GLUED
-            packed = hashed(low) | kind << 2 | flags
+            halved = None
+            if word.isalpha() and word.islower():  # most words: nothing to strip, no digit, no capital
+                packed = hashed(word) | (UNIT << 2 if word in UNITS else 0)
+            else:
+                bare = word.strip(".,;:!?\"'()[]{}«»“”‘’|*#&")
+                low = bare.lower()
+                kind = UNIT if low in UNITS else 0
+                flags = (1 if bare[:1].isupper() else 0) | (2 if word[-1:] in ".!?:" else 0)
+                if not bare.isalpha():
+                    kind = NUMBER if number(bare) else kind
+                    parts = glued(low)
+                    if parts and parts[2] in UNITS:
+                        kind = GLUED
+                        halved = hashed(parts[1]) | NUMBER << 2, hashed(parts[2]) | UNIT << 2 | flags & 2
+                packed = hashed(low) | kind << 2 | flags
             if len(self) >= MEMO_ENTRIES:
                 self.clear()
-            if kind == GLUED:
-                halves[packed] = (hashed(parts[1]) | NUMBER << 2, hashed(parts[2]) | UNIT << 2 | flags & 2)
+            if halved:
+                halves[packed] = halved
             self[word] = packed
             return packed
 
     halves: dict[int, tuple[int, int]] = {}
     memo = Memo()
 
-    def codes(text: str) -> tuple[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], int]:
-        words = text.split()
-        n = len(words)
-        if not n:
-            return [], 0
-        packed = np.fromiter(map(memo.__getitem__, words), np.int64, n)
-        starts = np.arange(n + 1)
+    def codes(texts: list[str]) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+        words = [text.split() for text in texts]
+        n_words = np.fromiter(map(len, words), np.int64, len(words))
+        of = np.repeat(np.arange(len(words)), n_words)
+        if not len(of):
+            return [], n_words
+        packed = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.int64, len(of))
+        starts = np.arange(len(of)) - (np.cumsum(n_words) - n_words)[of]
         both = np.flatnonzero((packed >> 2 & 3) == GLUED)
         if len(both):
             pairs = [halves[word] for word in packed[both].tolist()]
             packed[both] = [first for first, _ in pairs]
             packed = np.insert(packed, both + 1, [second for _, second in pairs])
-            starts = np.insert(starts, both + 1, both)
+            starts = np.insert(starts, both + 1, starts[both])
+            of = np.insert(of, both + 1, of[both])
         if len(halves) > MEMO_ENTRIES:
             halves.clear()
             memo.clear()
         bare, kind, flags = packed & ~15, packed >> 2 & 3, packed & 3
-        inside = np.append(False, (flags[:-1] & 2) == 0)
+        inside = np.append(False, ((flags[:-1] & 2) == 0) & (of[1:] == of[:-1]))
         capital = (kind == 0) & ((flags & 1) == 1)
         plain = np.where(capital & inside, NAME, kind)
 
-        def reading(which: int, kind: np.ndarray, value: np.ndarray, starts: np.ndarray, bare: np.ndarray):
+        def reading(of: np.ndarray, which, kind: np.ndarray, value: np.ndarray, starts: np.ndarray, bare: np.ndarray):
             return (
+                of,
                 which,
                 np.where(kind > 0, kind, bare).astype(np.uint64),
                 np.where(kind > 0, value, 0),
@@ -134,35 +147,50 @@ def word_codes():
 
         named = np.where(capital, NAME, kind)
         name = named == NAME
-        further = np.append(False, name[1:] & name[:-1] & inside[1:])  # no slot across sentences
-        if not further.any() and (named == plain).all():
-            return [reading(BOTH, plain, bare, starts, bare)], n
-        first = np.flatnonzero(~further)
-        value = bare[first]
-        longer = np.flatnonzero(np.diff(np.append(first, len(bare))) > 1)
-        if len(longer):  # the value of a run of names depends on all of them, in order
-            step = np.uint64(0x9E3779B97F4A7C15)
-            run = np.cumsum(~further) - 1
-            place = (np.arange(len(bare)) - first[run]).astype(np.uint64)
-            total = np.add.reduceat(mixed(bare.view(np.uint64) + place * step), first)
-            value[longer] = (total[longer] >> np.uint64(1)).view(np.int64) | 16
-        joined = np.append(starts[first], n)
-        return [
-            reading(PLAIN, plain, bare, starts, bare),
-            reading(NAMED, named[first], value, joined, bare[first]),
-        ], n
+        further = np.append(False, name[1:] & name[:-1]) & inside  # no slot across sentences
+        differs = np.zeros(len(words), bool)
+        differs[of[further | (named != plain)]] = True
+        two = differs[of]
+        readings = [reading(of, np.where(two, PLAIN, BOTH), plain, bare, starts, bare)]
+        if two.any():
+            of, bare, named, starts, further = of[two], bare[two], named[two], starts[two], further[two]
+            first = np.flatnonzero(~further)
+            value = bare[first]
+            longer = np.flatnonzero(np.diff(np.append(first, len(bare))) > 1)
+            if len(longer):  # the value of a run of names depends on all of them, in order
+                step = np.uint64(0x9E3779B97F4A7C15)
+                run = np.cumsum(~further) - 1
+                place = (np.arange(len(bare)) - first[run]).astype(np.uint64)
+                total = np.add.reduceat(mixed(bare.view(np.uint64) + place * step), first)
+                value[longer] = (total[longer] >> np.uint64(1)).view(np.int64) | 16
+            which = np.full(len(first), NAMED)
+            readings.append(reading(of[first], which, named[first], value, starts[first], bare[first]))
+        return readings, n_words
+
+    return codes
+
+
+def word_codes():
+    """A function from a text to [(reading, codes, values, starts)] and its number of words."""
+    codes_of = text_codes()
+
+    def codes(text: str) -> tuple[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], int]:
+        readings, (n,) = codes_of([text])
+        return [(int(which[0]), codes, values, np.append(starts, n)) for _, which, codes, values, starts in readings], int(n)
 
     return codes
 
 
-def windows(codes: np.ndarray, width: int) -> np.ndarray:
+def windows(codes: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of all windows, or of those that begin at the places ``at``."""
     n = len(codes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(n, width, np.uint64)
+    total = np.full(n if at is None else len(at), width, np.uint64)
     spread = mixed(codes)
     for k in range(width):
-        total = (total * np.uint64(0x9E3779B97F4A7C15)) ^ (total >> np.uint64(29)) ^ spread[k : k + n]
+        one = spread[k : k + n] if at is None else spread[at + k]
+        total = (total * np.uint64(0x9E3779B97F4A7C15)) ^ (total >> np.uint64(29)) ^ one
     return mixed(total)
 
 
@@ -173,12 +201,24 @@ def window_hashes(codes: np.ndarray, values: np.ndarray, width: int) -> np.ndarr
     least = width - -(-MIN_LITERAL * width // WINDOW) + 1  # so many slots leave too few other words
     if np.count_nonzero(slot) >= least and len(hashes):
         before = np.append(0, np.cumsum(slot))
-        mostly = before[width:] - before[:-width] >= least
-        if mostly.any():
-            hashes[mostly] = windows(np.where(slot, values.view(np.uint64), codes), width)[mostly]
+        mostly = np.flatnonzero(before[width:] - before[:-width] >= least)
+        if len(mostly):
+            hashes[mostly] = windows(np.where(slot, values.view(np.uint64), codes), width, mostly)
     return hashes
 
 
+def _pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """The texts in order, with the place of the first: some PIECE characters at a time, or one text."""
+    begin = size = 0
+    for k, text in enumerate(texts):
+        if size and size + len(text) > PIECE:
+            yield begin, texts[begin:k]
+            begin, size = k, 0
+        size += len(text)
+    if texts:
+        yield begin, texts[begin:]
+
+
 FOUND = (
     "id long, row long, reading int, hash long, n_words int, width int, at array<int>, end array<int>, "
     "slots array<long>"
@@ -193,39 +233,50 @@ def _found(widths: list[int] | None, bits: np.ndarray | None):
     ``slots`` holds the values of the slots, place by place.
     """
 
+    def chosen(hashes: np.ndarray, of: np.ndarray, width: int, sizes: np.ndarray) -> np.ndarray:
+        """Places of the windows that lie in one text and count there."""
+        at = of[: len(hashes)] == of[width - 1 :]
+        if widths is None:
+            at &= np.minimum(sizes, WINDOW)[of[: len(hashes)]] == width
+        if bits is not None:
+            low = hashes & np.uint64(BITS - 1)
+            at &= ((bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+        return np.flatnonzero(at)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes_of = word_codes()
+        codes_of = text_codes()
         for batch in batches:
             rows = []
-            ids, keys, texts = (batch.column(c) for c in range(3))
-            for k in range(batch.num_rows):
-                readings, n_words = codes_of(texts[k].as_py() or "")
-                for reading, codes, values, starts in readings:
-                    n = len(codes)
-                    for width in widths if widths is not None else [min(n, WINDOW)] if n >= MIN_WORDS else []:
+            ids, keys = batch.column(0), batch.column(1)
+            for begin, texts in _pieces([text or "" for text in batch.column(2).to_pylist()]):
+                readings, n_words = codes_of(texts)
+                for of, which, codes, values, starts in readings:
+                    sizes = np.bincount(of, minlength=len(texts))
+                    stops = np.cumsum(sizes)
+                    for width in widths if widths is not None else range(MIN_WORDS, WINDOW + 1):
+                        if len(codes) < width:
+                            continue
                         hashes = window_hashes(codes, values, width)
-                        at = np.arange(len(hashes))
-                        if bits is not None:
-                            low = hashes & np.uint64(BITS - 1)
-                            at = np.flatnonzero(
-                                (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1
-                            )
-                        runs: dict[int, tuple] = {}  # by hash: last place, period, places, ends, slots
-                        for i in at.tolist():
-                            inside = values[i : i + width]
+                        # by text and hash: last place, period, places, ends, slots
+                        runs: dict[tuple[int, int], tuple] = {}
+                        for i in chosen(hashes, of, width, sizes).tolist():
+                            k, to = int(of[i]), i + width
+                            inside = values[i:to]
                             slots = inside[inside != 0].tolist()
+                            n = int(n_words[k])
                             # half a glued word is all of it
-                            start, end = int(starts[i]), max(int(starts[i + width]), int(starts[i + width - 1]) + 1)
+                            start, end = int(starts[i]), max(int(starts[to]) if to < stops[k] else n, int(starts[to - 1]) + 1)
                             hashed = int(hashes[i].view(np.int64))
-                            last, period, *lists = runs.get(hashed, (None, 0))
+                            last, period, *lists = runs.get((k, hashed), (None, 0))
                             if last is not None and 2 * (i - last) <= width and period in (0, i - last):
                                 for held, more in zip(lists, ([start], [end], slots), strict=True):
                                     held.extend(more)
-                                runs[hashed] = (i, i - last, *lists)
+                                runs[k, hashed] = (i, i - last, *lists)
                             else:
                                 lists = [start], [end], slots
-                                runs[hashed] = (i, 0, *lists)
-                                rows.append((ids[k].as_py(), keys[k].as_py(), reading, hashed, n_words, width, *lists))
+                                runs[k, hashed] = (i, 0, *lists)
+                                row = ids[begin + k].as_py(), keys[begin + k].as_py()
+                                rows.append((*row, int(which[i]), hashed, n, width, *lists))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
             whole, many = pa.int32(), pa.list_(pa.int32())
             kinds = [pa.int64(), pa.int64(), whole, pa.int64(), whole, whole, many, many, pa.list_(pa.int64())]
