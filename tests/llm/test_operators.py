@@ -554,6 +554,17 @@ def test_tables_of_numbers_stay_linear(spark):
     assert template_leaks._met(*runs).count() < 500
 
 
+def test_copies_plan_nothing_without_pairs(spark, monkeypatch):
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choices("abcdefghijklmnop", k=80)) for _ in range(20)]
+    rows = [(i, text, "", "", 0) for i, text in enumerate([*texts, texts[3] + " z", texts[3], "y " + texts[5]])]
+    labels, written = [], jaccard_groups.written
+    monkeypatch.setattr(jaccard_groups, "written", lambda df, label: labels.append(label) or written(df, label))
+    found = jaccard_groups.jaccard_components(_documents(spark, rows), 5, 80, 100).collect()
+    assert {r.doc_id: r.component_id for r in found if r.component_id != r.doc_id} == {20: 3, 21: 3, 22: 5}
+    assert labels.count("needed") == labels.count("sets") == labels.count("links") == 1, labels
+
+
 def test_windows_of_many_texts_are_hashed_together(monkeypatch):
     import pyarrow as pa
 

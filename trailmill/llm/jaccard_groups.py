@@ -423,15 +423,22 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, doc_id: str, text:
     for turn in range(1, ROUNDS):
         pairs = join.sifted(join.proposed(join.units(comps), turn))
         tried = pairs.count()
+        if not tried:
+            discard(pairs)
+            break
         links = join.verified(pairs)
         found = links.count()
         if found:
             comps = join.merged(comps, links)
         if not found or found * WORTH < tried:
             break
-    last = join.verified(join.sifted(join.remaining(comps)))
-    if not last.isEmpty():
-        comps = join.merged(comps, last)
+    pairs = join.sifted(join.remaining(comps))
+    if pairs.isEmpty():  # no plans for nothing: the driver keeps them
+        discard(pairs)
+    else:
+        last = join.verified(pairs)
+        if not last.isEmpty():
+            comps = join.merged(comps, last)
     named = join.classes.join(comps, "cid")
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     table = named.join(least, "comp").select("sig", "comp", "component_id", F.col("rep").alias("class_id"))
