@@ -230,6 +230,44 @@ def test_a_pair_is_made_once_not_for_every_shared_shingle(spark):
     assert all(likeness[pair] > 0.8 for pair in pairs)
 
 
+def test_a_crowded_family_is_not_paired_before_the_likeliest_is_picked(spark, monkeypatch):
+    """Near copies by the hundred: a unit's row holds the drawn nodes, and only the likeliest becomes a pair."""
+    rnd = random.Random(13)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for _ in range(i % 3 + 1):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    paired, proposals = [], []
+    likeliest, proposed = jaccard_groups._Join.likeliest, jaccard_groups._Join.proposed
+
+    def counted(self, pairs):
+        paired.append(pairs.count())
+        return likeliest(self, pairs)
+
+    def kept(self, units, turn):
+        found = proposed(self, units, turn)
+        proposals.append((found.collect(), {r.cid: r.comp for r in units.collect()}))
+        return found
+
+    monkeypatch.setattr(jaccard_groups._Join, "likeliest", counted)
+    monkeypatch.setattr(jaccard_groups._Join, "proposed", kept)
+    found = jaccard_groups.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100).collect()
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (t.split() for _, t in rows)]
+    least = list(range(len(rows)))
+    near = [(a, b) for b in least for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in near:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(least))
+    assert len(near) > 1000 and sum(paired) <= len(rows)
+    first, comp = proposals[0]
+    assert len(first) > 50 and len({r.a for r in first}) == len(first)
+    assert all(comp[r.a] != comp[r.b] for r in first)
+
+
 def test_links_between_two_components_are_walked_once(spark, monkeypatch):
     """Families of near copies that only the last step may join: one edge for many links."""
     rnd = random.Random(5)

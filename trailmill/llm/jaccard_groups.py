@@ -149,9 +149,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _near(a: str, b: str, num: int, den: int) -> Column:
+def _of(row: str | Column, name: str) -> Column:
+    return F.col(f"{row}.{name}") if isinstance(row, str) else row[name]
+
+
+def _near(a: str | Column, b: str | Column, num: int, den: int) -> Column:
     """Sizes and bitmaps allow a link between rows ``a`` and ``b``."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    na, nb = _of(a, "n"), _of(b, "n")
     apart = _apart(a, b)
     return (
         (den * na >= num * nb)
@@ -160,11 +164,11 @@ def _near(a: str, b: str, num: int, den: int) -> Column:
     )
 
 
-def _apart(a: str, b: str, name: str = "bits", words: int = BITMAP_WORDS) -> Column:
+def _apart(a: str | Column, b: str | Column, name: str = "bits", words: int = BITMAP_WORDS) -> Column:
     """Bits in which two bitmaps differ; null where one is empty."""
     total = F.lit(0)
     for i in range(words):
-        total = total + F.bit_count(F.get(f"{a}.{name}", F.lit(i)).bitwiseXOR(F.get(f"{b}.{name}", F.lit(i))))
+        total = total + F.bit_count(F.get(_of(a, name), F.lit(i)).bitwiseXOR(F.get(_of(b, name), F.lit(i))))
     return total
 
 
@@ -319,24 +323,29 @@ class _Join:
 
         Of every shingle a few holders, drawn anew for it and each turn, are proposed to all others:
         so a unit chooses among many nodes, and large components, which have many holders, soon meet
-        what belongs to them.
+        what belongs to them. The drawn come to a unit's row with their bitmaps and the likeliest is
+        picked there: no pair is a row before it is, and a unit has one row for each of its shingles.
         """
-        held = self.shared.select("token", "gid").join(units, "gid")
-        node = F.struct("comp", "cid")
+        nodes = units.join(self.nodes.select("cid", "n", "bits"), "cid")
+        node = F.struct("comp", "cid", "n", "bits").alias("own")
+        held = self.shared.select("token", "gid").join(nodes, "gid").select("token", node)
         drawn = [
-            F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(i), "token", "cid").alias("draw"), "comp", "cid"))
+            F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(i), "token", "own.cid").alias("draw"), "own"))["own"]
             for i in range(DRAWS)
         ]
         ends = (
             held.groupBy("token")
-            .agg(F.min(node).alias("lo"), F.max(node).alias("hi"), F.array(*drawn).alias("drawn"))
+            .agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.array(*drawn).alias("drawn"))
             .where("lo.comp <> hi.comp")
         )
-        others = F.array_distinct(F.filter("drawn", lambda x: x["comp"] != F.col("comp"))["cid"])
-        end = F.when(F.col("comp") != F.col("hi.comp"), F.col("hi.cid")).otherwise(F.col("lo.cid"))
+        others = F.filter("drawn", lambda x: x["comp"] != F.col("own.comp"))
+        end = F.when(F.col("own.comp") != F.col("hi.comp"), F.col("hi")).otherwise(F.col("lo"))
         others = F.when(F.size(others) > 0, others).otherwise(F.array(end))
-        pairs = held.join(ends, "token").select(F.col("cid").alias("a"), F.explode(others).alias("b"))
-        return self.likeliest(pairs.distinct())
+        near = F.filter(others, lambda x: _near(x, "own", self.num, self.den))
+        apart = F.transform(near, lambda x: F.struct(_apart(x, "own").alias("apart"), x["cid"].alias("b")))
+        rows = held.join(ends, "token").select(F.col("own.cid").alias("a"), F.array_min(apart).alias("best"))
+        best = rows.groupBy("a").agg(F.min("best").alias("best")).where("best IS NOT NULL")
+        return best.select("a", F.col("best.b").alias("b"))
 
     def likeliest(self, pairs: DataFrame) -> DataFrame:
         one, two = self.nodes.alias("x"), self.nodes.alias("y")
